@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from cellweave.llm import mixing, quality, secrets, simhash, token_counts
+from cellweave.llm import decontaminate, mixing, quality, secrets, simhash, token_counts
 
 QUERIES = {
     "op1_token_counts": token_counts.op1_token_counts,
     "op3_simhash_dedup": simhash.op3_simhash_dedup,
+    "op4_decontaminate": decontaminate.op4_decontaminate,
     "op5_secret_scan": secrets.op5_secret_scan,
     "op8_mix_sources": mixing.op8_mix_sources,
     "op9_quality_rules": quality.op9_quality_rules,
 }
 
 ORACLE_SQL = {
+    "op4_decontaminate": decontaminate.ORACLE_SQL,
     "op5_secret_scan": secrets.ORACLE_SQL,
     "op9_quality_rules": quality.ORACLE_SQL,
 }
