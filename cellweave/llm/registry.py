@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from cellweave.llm import decontaminate, mixing, quality, secrets, simhash, token_counts
+from cellweave.llm import decontaminate, mixing, quality, secrets, simhash, substring, token_counts
 
 QUERIES = {
     "op1_token_counts": token_counts.op1_token_counts,
+    "op2_substring_dedup": substring.op2_substring_dedup,
     "op3_simhash_dedup": simhash.op3_simhash_dedup,
     "op4_decontaminate": decontaminate.op4_decontaminate,
     "op5_secret_scan": secrets.op5_secret_scan,
