@@ -9,6 +9,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -76,7 +77,7 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str, limit: int = CHUNK_BY
             if batch.num_rows:
                 yield batch
             continue
-        sizes = pa.compute.fill_null(pa.compute.binary_length(texts), 0).to_pylist()
+        sizes = pc.fill_null(pc.binary_length(texts), 0).to_pylist()
         start = held = 0
         for i, size in enumerate(sizes):
             if i > start and held + size > limit:
