@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cellweave.llm import decontaminate, mixing, quality, secrets, simhash, substring, token_counts
+from cellweave.llm import decontaminate, html_text, language_model, mixing, quality, secrets, simhash, substring, token_counts
 
 QUERIES = {
     "op1_token_counts": token_counts.op1_token_counts,
@@ -10,6 +10,8 @@ QUERIES = {
     "op3_simhash_dedup": simhash.op3_simhash_dedup,
     "op4_decontaminate": decontaminate.op4_decontaminate,
     "op5_secret_scan": secrets.op5_secret_scan,
+    "op6_lm_score": language_model.op6_lm_score,
+    "op7_html_text": html_text.op7_html_text,
     "op8_mix_sources": mixing.op8_mix_sources,
     "op9_quality_rules": quality.op9_quality_rules,
 }
