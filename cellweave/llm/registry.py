@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cellweave.llm import decontaminate, html_text, language_model, mixing, quality, secrets, simhash, substring, token_counts
+from cellweave.llm import decontaminate, html_text, language_model, mixing, quality, secrets, simhash, substring, token_counts, warc
 
 QUERIES = {
     "op1_token_counts": token_counts.op1_token_counts,
@@ -14,6 +14,7 @@ QUERIES = {
     "op7_html_text": html_text.op7_html_text,
     "op8_mix_sources": mixing.op8_mix_sources,
     "op9_quality_rules": quality.op9_quality_rules,
+    "op10_warc_derivatives": warc.op10_warc_derivatives,
 }
 
 ORACLE_SQL = {
