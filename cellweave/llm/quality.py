@@ -70,7 +70,9 @@ def add_signals(df: DataFrame, text_col: str = "text") -> DataFrame:
         lambda a, x: F.struct(x.alias("last"), (a["n"] + F.least(F.lit(GRAM), x - a["last"])).alias("n")),
         lambda a: a["n"],
     )
-    six = five.select(*names, "n_words", "word_chars", "n_symbols", "n_dup_lines", F.coalesce(covered, F.lit(0).cast("long")).alias("n_repeat_words"))
+    # Through a generator, so that no filter above is pushed below, where it would repeat all this for each array element.
+    counts = F.struct("n_words", "word_chars", "n_symbols", "n_dup_lines", F.coalesce(covered, F.lit(0).cast("long")).alias("n_repeat_words"))
+    six = five.select(*names, F.inline(F.array(counts)))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     return six.withColumn("base_failed", failed)
 
