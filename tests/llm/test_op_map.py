@@ -1,0 +1,152 @@
+"""Operators 1, 4, 5 and 9 against plain versions, on all awkward cases."""
+
+import hashlib
+import re
+
+import numpy as np
+import pytest
+from cellweave.llm import decontaminate, quality, secrets, token_counts
+from corpora import corpus, lower, words
+
+
+def test_token_counts(spark, docs, empty):
+    vocabulary = token_counts.load_ranks(token_counts.DEFAULT_VOCABULARY)
+    known, longest = set(vocabulary), max(map(len, vocabulary))
+
+    def count(word):
+        data, n = b" " + word.encode(), 0
+        while data:
+            size = next((k for k in range(min(longest, len(data)), 0, -1) if data[:k] in known), None)
+            if size is None:
+                return 1
+            data, n = data[size:], n + 1
+        return n
+
+    got = sorted((-1 if r["doc_id"] is None else r["doc_id"], r["n_bytes"], r["n_words"], r["n_tokens"]) for r in token_counts.token_counts(docs, vocabulary).collect())
+    want = sorted((-1 if r[0] is None else r[0], len((r[1] or "").encode()), len(words(r[1])), sum(map(count, words(r[1])))) for r in corpus())
+    assert got == want
+    assert token_counts.token_counts(empty, vocabulary).count() == 0
+
+
+def test_unknown_words():
+    automaton = token_counts.PieceCounter([b" a", b"b", b"bc", b" ab", b"cd"])
+    count = automaton.counter()
+    assert [count(w) for w in (b"a", b"ab", b"abcd", b"abc", b"abbc", b"z", b"az", b"acd")] == [1, 1, 2, 1, 2, 1, 1, 2]
+    # " ab" then "c" cannot be spelled: greedy matching gives up on the whole word.
+
+
+def item_windows(text):
+    w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(text))
+    return [tuple(w[i : i + 13]) for i in range(max(1, len(w) - 12))] if w else []
+
+
+def test_decontaminate(spark, docs, empty):
+    texts = [r[1] for r in corpus()]
+    items = [(0, " ".join(words(texts[0])[20:50])), (1, texts[2]), (2, "emoji!"), (3, None), (4, ""), (5, "same-line SAME line"), (5, "a b c d e"), (None, "two words"), (7, " ".join(words(texts[1])[:14]))]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    want = []
+    for r in corpus():
+        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(r[1]))
+        hit, found = set(), set()
+        for name, text in items:
+            for window in set(item_windows(text)):
+                for i in range(len(w) - len(window) + 1):
+                    if tuple(w[i : i + len(window)]) == window:
+                        hit.update(range(i, i + len(window)))
+                        found.add("null" if name is None else str(name))
+        want.append((str(r[0]), len(w), len(hit), sorted(found)))
+    got = decontaminate.find_contamination(docs, bench).collect()
+    assert sorted((str(r["doc_id"]), r["n_words"], r["n_hit"], r["items"]) for r in got) == sorted(want)
+    assert all(sum(s["end"] - s["start"] for s in r["spans"]) == r["n_hit"] for r in got)
+    kept = decontaminate.drop_contaminated(docs, bench)
+    assert kept.columns == docs.columns and kept.count() == sum(not (h and 20 * h >= n) for _, n, h, _ in want)
+    assert decontaminate.find_contamination(empty, bench).count() == 0
+    assert decontaminate.find_contamination(docs, bench.limit(0)).where("n_hit > 0").count() == 0
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_fm_index(seed):
+    random = np.random.default_rng(seed)
+    text = random.integers(1, 5, 400)
+    index = decontaminate.FMIndex(text, 5, 7)
+    phrases = random.integers(1, 5, (60, 4))
+    lengths = random.integers(1, 5, 60)
+    low, high = index.search(phrases, lengths)
+    for p, n, a, b in zip(phrases, lengths, low, high, strict=True):
+        want = [i for i in range(len(text) - n + 1) if (text[i : i + n] == p[:n]).all()]
+        assert sorted(index.locate(np.arange(a, b))) == want
+
+
+RULES = [("assign", r"(?ai:(password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 2, 8), ("access", "AKIA[A-Z0-9]+", 0, 16), ("hex", "[0-9a-f]+", 0, 32)]
+
+
+def spans_of(text):
+    out = []
+    for order, (kind, pattern, group, least) in enumerate(RULES):
+        out += [(m.start(), order, f"{kind}:{m.start()}:{m.end()}", m.end()) for m in re.finditer(pattern, text or "") if len(m[group]) >= least]
+    return sorted(out)
+
+
+def test_secrets(spark, docs, empty, tmp_path):
+    got = sorted((str(r["doc_id"]), ",".join(f"{s['kind']}:{s['start']}:{s['end']}" for s in r["spans"])) for r in secrets.scan_versions(docs).collect())
+    assert got == sorted((str(r[0]), ",".join(s[2] for s in spans_of(r[1]))) for r in corpus())
+    assert any(x[1] for x in got)
+    assert secrets.scan_versions(empty).count() == 0
+    redacted = secrets.redact(docs, length_col="n_chars")
+    assert redacted.columns == docs.columns
+
+    def cut(text):
+        if text is None or not spans_of(text):
+            return text
+        out, at = "", 0
+        for start, _, _, end in spans_of(text):
+            if start >= at:
+                out += text[at:start] + secrets.REDACTED
+            at = max(at, end)
+        return out + text[at:]
+
+    assert sorted((str(r["doc_id"]), str(r["text"])) for r in redacted.collect()) == sorted((str(r[0]), str(cut(r[1]))) for r in corpus())
+
+
+def test_ledger_scans_only_what_is_new(spark, docs, tmp_path):
+    path = f"file://{tmp_path}/ledger"
+    first = secrets.update_ledger(docs.where("doc_id < 20"), path)
+    blobs = {hashlib.sha256((r[1] or "").encode()).hexdigest() for r in corpus() if r[0] is not None and r[0] < 20}
+    assert {r["blob"] for r in first.collect()} == blobs and first.count() == len(blobs)
+    versions = docs.selectExpr("doc_id path", "text")
+    ledger = spark.read.parquet(path)
+    fresh = secrets.new_ledger_entries(versions, ledger)
+    assert not {r["blob"] for r in fresh.collect()} & blobs
+    assert secrets.new_ledger_entries(versions, ledger, rule_version=2).select("blob").distinct().count() == len({r[1] or "" for r in corpus()})
+    key = lambda df: sorted((str(r["doc_id"]), str(r["spans"])) for r in df.collect())
+    assert key(secrets.scan_versions(docs, ledger)) == key(secrets.scan_versions(docs))
+
+
+def signals_of(text):
+    text = text or ""
+    w = words(text)
+    grams = [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
+    covered = {i + j for i, g in enumerate(grams) if grams.count(g) > 1 for j in range(5)} if len(set(grams)) < len(grams) else set()
+    lines = [x for x in text.split("\n") if words(x)]
+    n = len(covered)
+    return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), n, len(w) < 10 or 100 * n > 20 * len(w)
+
+
+def test_quality(spark, docs, empty):
+    rows = [r for r in corpus() if len(words(r[1])) < 1000]  # the plain version is quadratic
+    small = spark.createDataFrame(rows, docs.schema)
+    got = sorted((str(r["doc_id"]), *(r[c] for c in quality.SIGNALS)) for r in quality.quality_verdicts(small).collect())
+    assert got == sorted((str(r[0]), *signals_of(r[1])) for r in rows)
+    assert quality.quality_verdicts(docs).count() == len(corpus())
+    long = {r["doc_id"]: r["n_repeat_words"] for r in quality.quality_verdicts(docs).collect()}
+    assert long[[r[0] for r in corpus() if (r[1] or "").startswith("word word")][0]] == 4000
+    kept = quality.keep_quality(small)
+    assert kept.columns == docs.columns and kept.count() == sum(not signals_of(r[1])[5] for r in rows)
+    assert quality.quality_verdicts(empty).count() == 0 and quality.keep_quality(empty).count() == 0
+
+
+def test_bad_host_goes(spark):
+    good = [(i, " ".join(f"w{i}x{j}" for j in range(30)), f"host{i % 20}") for i in range(200)]
+    bad = [(1000 + i, "too short", "spam") for i in range(95)] + [(2000, good[0][1], "spam"), (2001, good[1][1], None)]
+    out = {r["doc_id"]: r["kept"] for r in quality.quality_verdicts(spark.createDataFrame(good + bad, "doc_id long, text string, source string")).collect()}
+    assert all(out[i] for i in range(200)) and not out[2000] and out[2001] and not out[1000]
