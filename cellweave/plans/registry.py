@@ -6,15 +6,21 @@ events, as an access log and as metric points; parts, as rule codes.  Counts com
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cellweave.functions import metrics as measures
 from cellweave.functions import workload
 from cellweave.functions.rules import CONWAY, DEFAULT_3D_RULE, HIGHLIFE, Rule, parse_rule, parse_rule_3d, rule_code, rule_masks, rule_text
 from cellweave.operators import cells, grids, native, render, simulate
 from cellweave.plans import oracles as sql
 from cellweave.plans.experiments import compare_dimensions, random_experiment, random_rules, summary_by_rule
+from cellweave.sources import states
 from cellweave.sources.patterns import PATTERNS, all_patterns, get_pattern
+from cellweave.streaming.commands import ANSWERS, session_stream
 from cellweave.streaming.sessions import surviving_sessions
 
 STEPS, STABLE_STEPS, SEED, TORUS = 10, 24, 42, (4096, 4096)
@@ -58,6 +64,14 @@ def _text(df: DataFrame) -> DataFrame:
     return df.withColumn("cells", F.array_join(F.transform("cells", lambda c: c.cast("string")), ""))
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``; in local mode without it, a temporary folder."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return (found or f"file://{tempfile.mkdtemp(prefix='cellweave-')}").rstrip("/")
+
+
 def _run(dims: int, steps: int = STEPS) -> str:
     return sql.run(sql.vectors(dims), RULE[dims], dims, SHAPE[dims], steps)
 
@@ -88,6 +102,38 @@ def _per_dimension(dims: int) -> None:
         out = simulate.neighbour_counts(_vectors(spark, sf_dir, dims), dims)
         return out.select("grid_id", F.array_join(F.transform("cells", lambda c: c.cast("string")), ",").alias("counts"))
 
+    one = sql.run(sql.vectors(dims), RULE[dims], dims, shape, 1)
+
+    @_register(f"measurements_{d}", f"{one}, {sql.transitions(dims)}, f AS (SELECT grid_id, sum(alive)::BIGINT AS before FROM g GROUP BY grid_id) SELECT grid_id, before, before / 64.0::DOUBLE AS before_fraction, changed > 0 AS has_changed, alive, changed, births, deaths FROM m JOIN f USING (grid_id)")
+    def measurements(spark, sf_dir):
+        """Column measures of every grid and of its first transition."""
+        first = _ruled(spark, sf_dir, dims).withColumn("before", F.col("cells"))
+        pair = simulate.run_steps(first, 1, dims)
+        counts = measures.transition_counts(F.col("before"), F.col("cells"))
+        return _longs(pair.select("grid_id", measures.alive_count(F.col("before")).alias("before"), measures.alive_fraction(F.col("before")).alias("before_fraction"), measures.has_changed(F.col("before"), F.col("cells")).alias("has_changed"), counts.alias("t")).select("grid_id", "before", "before_fraction", "has_changed", "t.*"))
+
+    @_register(f"cell_transitions_{d}", f"{one}, {sql.transitions(dims)} SELECT grid_id, alive, changed, births, deaths FROM m")
+    def cell_transitions(spark, sf_dir):
+        """The same counts from two cell relations that are joined by cell."""
+        before = grids.to_cells(_vectors(spark, sf_dir, dims), dims)
+        return _longs(measures.cell_counts(before, cells.step(before, RULE[dims], shape), ["grid_id", *sql.AXES[dims]]))
+
+    @_register(f"repacked_{d}", f"SELECT grid_id, {sql.grid_text(dims)} FROM ({sql.vectors(dims)}) GROUP BY grid_id")
+    def repacked(spark, sf_dir):
+        """Packed grids to live cells and back."""
+        live = grids.to_cells(_vectors(spark, sf_dir, dims), dims)
+        return _text(grids.from_cells(live, shape).select("grid_id", "cells"))
+
+    @_register(f"state_json_{d}", f"SELECT grid_id, '{RULE[dims].text}' AS rule, {sql.grid_text(dims)} FROM ({sql.vectors(dims)}) GROUP BY grid_id")
+    def state_json(spark, sf_dir):
+        """Every grid written as a JSON state and parsed again."""
+        packed = _vectors(spark, sf_dir, dims)
+        saved = states.state_json(packed.select("grid_id", F.lit(dims).alias("dimensions"), F.lit(RULE[dims].text).alias("rule"), "depth", "height", "width", F.lit(None).cast("long").alias("seed"), F.lit(None).cast("double").alias("density"), F.lit(0).alias("generation"), "cells"))
+        nested = "array<" * dims + "tinyint" + ">" * dims
+        parsed = saved.select("grid_id", F.from_json("json", f"rule string, grid {nested}").alias("s"))
+        flat = F.flatten("s.grid") if dims == 2 else F.flatten(F.flatten("s.grid"))
+        return _text(parsed.select("grid_id", "s.rule", flat.alias("cells")))
+
     @_register(f"run_steps_{d}", f"{_run(dims)} SELECT grid_id, {sql.grid_text(dims)} FROM t WHERE gen = {STEPS} GROUP BY grid_id")
     def run_steps(spark, sf_dir):
         return _text(simulate.run_steps(_ruled(spark, sf_dir, dims), STEPS, dims).select("grid_id", "cells"))
@@ -287,6 +333,27 @@ def metric_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return render.metric_history(points, "session", "generation", "event_id", 180)
 
 
+@_register("packbits_roundtrip", f"SELECT grid_id, {sql.grid_text(2)} FROM ({sql.vectors(2)}) GROUP BY grid_id")
+def packbits_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _text(render.unpack_bits(render.pack_bits(_vectors(spark, sf_dir, 2))).select("grid_id", "cells"))
+
+
+@_register("session_stream")
+def stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The event log as a stream of session commands, by user; the answers.  Stateful, so beyond SQL."""
+    source = spark.read.parquet(f"{sf_dir}/events.parquet")
+    events = spark.readStream.schema(source.schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events.parquet*")
+    action = F.element_at(F.array(*[F.lit(a) for a in ("create", "step", "step", "until_stable", "rule", "clear", "reset", "randomize")]), F.pmod("event_id", F.lit(8)).cast("int") + 1)
+    commands = events.where("ts IS NOT NULL").select(
+        F.col("user_id").cast("string").alias("session_id"), F.col("ts").cast("timestamp").alias("ts"), action.alias("action"), F.lit("B3/S23").alias("rule"), F.lit(16).alias("size"),
+        F.col("event_id").alias("seed"), F.lit(0.3).alias("density"), F.pmod("event_id", F.lit(5)).cast("int").alias("steps"),
+    )
+    target = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    query = session_stream(commands).writeStream.format("parquet").option("path", f"{target}/answers").option("checkpointLocation", f"{target}/checkpoint").outputMode("append").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.schema(ANSWERS).parquet(f"{target}/answers")
+
+
 _texts = {2: ["B3/S23", " b36 / s23 ", "B/S1357", "B0248/S1357", "b2/s", "B9/S23", "B33/S23", "B3/23", "life", "", "B3/S2x", "B3 /S 23"], 3: ["B/S", "B10/S10", "B6,9,10/S4,5,6", "B1/S23", "B1/S234", "B6/S567", "B1011/S", "B27/S", "B27,28/S", "B1,1/S", "B1,,2/S", "B/S0,27", "life", "b6/s5, 06,7"]}
 
 
