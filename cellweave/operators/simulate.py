@@ -128,12 +128,17 @@ def run_steps(grids: DataFrame, steps: int, dims: int = 2) -> DataFrame:
     return _apply(grids, kernel, "", True)
 
 
-def run_metrics(grids: DataFrame, steps: int, dims: int = 2) -> DataFrame:
-    """A row of transition counts for every grid and generation 1 to ``steps``, without the grids."""
+def run_metrics(grids: DataFrame, steps: int, dims: int = 2, include_first: bool = False) -> DataFrame:
+    """A row of transition counts for every grid and generation 1 to ``steps``, without the grids.
+
+    ``include_first`` adds generation 0, in which nothing changed.
+    """
     steps = whole(steps, "steps", 0)
 
     def kernel(stack, codes):
         tables = rule_tables(codes, dims)
+        if include_first:
+            yield np.arange(len(stack)), [np.zeros(len(stack), np.int32), *transition(stack, stack).T], None
         for generation in range(1, steps + 1):
             after = next_generation(stack, tables, dims)
             yield np.arange(len(stack)), [np.full(len(stack), generation, np.int32), *transition(stack, after).T], None

@@ -14,7 +14,6 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellweave.functions.metrics import alive_count
 from cellweave.functions.rules import Rule, int_to_rule, parse_rule, parse_rule_3d, rule_text
 from cellweave.functions.seeds import check_density, check_seed, rule_bits
 from cellweave.operators import simulate
@@ -36,12 +35,15 @@ def sample_rules(spark: SparkSession, seed: int, count: int, dims: int = 2, stre
 
 def sweep(grids: DataFrame, rules: list[Rule], steps: int, dims: int) -> DataFrame:
     """A row per rule and grid: ``rule_index, rule_id, rule, initial_condition`` and run statistics."""
-    crossed = simulate.with_rules(grids.withColumn("_first", alive_count(F.col("cells"))), rules, dims)
-    first = crossed.select("rule_index", "rule_id", "grid_id", F.col("_first").alias("first"), F.size("cells").alias("total"), F.lit(0).alias("generation"), *[F.lit(0).alias(c) for c in ("changed", "births", "deaths")], F.col("_first").alias("alive"))
-    later = simulate.run_metrics(crossed, steps, dims).select("rule_index", "rule_id", "grid_id", F.col("_first").alias("first"), (F.col("depth") * F.col("height") * F.col("width")).alias("total"), "generation", "changed", "births", "deaths", "alive")
-    # Generation 0 brings in grids whose run is empty.
-    per = first.unionByName(later).groupBy("rule_index", "rule_id", "grid_id", "first", "total")
-    sums = per.agg(F.max_by("alive", "generation").alias("alive"), F.max_by("changed", "generation").alias("last"), *[F.sum(c).alias(c) for c in ("changed", "births", "deaths")])
+    crossed = simulate.with_rules(grids, rules, dims)
+    # A sweep has few rows and much work in each: every (rule, grid) may go to a core of its own.
+    cores = grids.sparkSession.sparkContext.defaultParallelism
+    spread = crossed.repartition(3 * cores, "grid_id", "rule_index")
+    runs = simulate.run_metrics(spread, steps, dims, include_first=True)
+    size = (F.col("depth") * F.col("height") * F.col("width")).alias("total")
+    per = runs.select("rule_index", "rule_id", "grid_id", size, "generation", "alive", "changed", "births", "deaths").groupBy("rule_index", "rule_id", "grid_id", "total")
+    first = F.max(F.when(F.col("generation") == 0, F.col("alive"))).alias("first")
+    sums = per.agg(first, F.max_by("alive", "generation").alias("alive"), F.max_by("changed", "generation").alias("last"), *[F.sum(c).alias(c) for c in ("changed", "births", "deaths")])
     total = F.col("total").cast("double")
     mean = lambda c: (F.col(c) / (total * F.lit(float(steps))) if steps else F.lit(0.0))
     return sums.select(
