@@ -67,7 +67,7 @@ def _text(df: DataFrame) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """``spark.checkpoint.dir``; in local mode without it, a temporary folder."""
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found and not spark.sparkContext.master.startswith("local["):
+    if not found and spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
         raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return (found or f"file://{tempfile.mkdtemp(prefix='cellweave-')}").rstrip("/")
 
