@@ -32,11 +32,14 @@ MODEL_TOKENS = 1022
 DIMENSIONS = 24
 CONTEXT = 2
 NOISE = 32
-BATCH = 8192
-RATE = 0.15
+BATCH = 1024
+RATE = 0.05
+FIRST_SQUARE = 1e-3
 SEED = 11
-#: Tokens whose counts are broadcast; some 10 MB.
+#: Most tokens whose counts are broadcast; some 10 MB.
 HOT_TOKENS = 200_000
+#: Text bytes a step of training or scoring: each token takes some dozen numbers meanwhile.
+STEP_BYTES = 4 << 20
 #: A task hands on its partial counts beyond this many different tokens.
 COUNTED = 300_000
 
@@ -77,6 +80,7 @@ class Model:
         self.weights = np.ones((CONTEXT, DIMENSIONS), np.float32)
         self.outputs = random.normal(0, 0.1, (classes, DIMENSIONS)).astype(np.float32)
         self.bias = log_prior.astype(np.float32)
+        self.squares = [np.full(classes, FIRST_SQUARE, np.float32) for _ in range(3)]  # AdaGrad's, for as long as training goes on
 
     def pack(self) -> np.ndarray:
         """One row of numbers per class; position weights follow as further rows."""
@@ -98,7 +102,7 @@ class Model:
         """
         random = np.random.default_rng(SEED)
         cumulative = np.cumsum(np.exp(self.log_prior))
-        squares = [np.full(len(x), 1e-3, np.float32) for x in (self.inputs, self.outputs, self.bias)]
+        squares = self.squares
         order = random.permutation(len(target))
         for at in range(0, len(order), BATCH):
             chosen = order[at : at + BATCH]
@@ -168,7 +172,7 @@ def _train_partition(shipped):
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes, log_prior = shipped.value
         model, seen = Model(len(log_prior), log_prior), 0
-        for part in pieces(batches, "text"):
+        for part in pieces(batches, "text", STEP_BYTES):
             texts = [t for d, t in zip(part.column("doc_id").to_pylist(), utf8(part.column("text")), strict=True) if not held_out(d)]
             if texts:
                 target, first, second, _ = _events(texts, classes)
@@ -191,7 +195,7 @@ def _score_partition(shipped):
         width = math.log10(total + 0.5 * (distinct + 1))
         base = {token: math.log10(c + 0.5) for token, c in hot.items()}
         base_of, inside = base.get, math.log10(others + 0.5 * (other_kinds + 1))
-        for part in pieces(batches, "text"):
+        for part in pieces(batches, "text", STEP_BYTES):
             ids, texts = part.column("doc_id").to_pylist(), utf8(part.column("text"))
             target, first, second, sizes = _events(texts, classes)
             natural = model.log_probabilities(target, first, second) / math.log(10)
@@ -220,6 +224,18 @@ def _score_partition(shipped):
     return score
 
 
+def frequent_tokens(counts: DataFrame) -> dict[bytes, int]:
+    """The tokens with at least 2^k occurrences, most frequent first, for the least k that leaves at most ``HOT_TOKENS``.
+
+    One aggregation finds k, so that only these tokens travel to the driver; a top-k would bring one from every task.
+    """
+    powers = range(63)
+    above = counts.agg(*[F.count_if(F.col("c") >= (1 << k)).alias(f"n{k}") for k in powers]).first()
+    least = next(k for k in powers if above[k] <= HOT_TOKENS)
+    found = counts.where(F.col("c") >= (1 << least)).toArrow()
+    return dict(sorted(zip(found["token"].to_pylist(), found["c"].to_pylist(), strict=True), key=lambda x: (-x[1], x[0])))
+
+
 def fit_and_score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` for every row.
 
@@ -232,7 +248,7 @@ def fit_and_score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     docs = df.select(df[id_col].alias("doc_id"), df[text_col].alias("text"))
     counts = materialise(docs.mapInArrow(_count_tokens, "token binary, c long").groupBy("token").agg(F.sum("c").alias("c")), "counts")
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    hot = {bytes(r[0]): r[1] for r in counts.orderBy(F.desc("c"), "token").limit(HOT_TOKENS).collect()}
+    hot = frequent_tokens(counts)
     listed = list(hot)[:MODEL_TOKENS]
     classes = {token: i + 1 for i, token in enumerate(listed)}
     others = total - sum(hot[t] for t in listed)
