@@ -10,7 +10,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: White space that separates words, as a Java / RE2 / Python class.
@@ -38,7 +38,7 @@ def shared_dir(spark: SparkSession) -> str:
     known = context._jsc.sc().getCheckpointDir()
     if known.isDefined():
         return known.get()
-    if not context.master.startswith("local["):
+    if context.master != "local" and not context.master.startswith("local["):
         raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     made = tempfile.mkdtemp(prefix="cellweave-")
     atexit.register(shutil.rmtree, made, ignore_errors=True)
@@ -69,6 +69,15 @@ def maybe_broadcast(df: DataFrame, limit: int) -> DataFrame:
     return F.broadcast(df) if bounded_rows(df, limit) else df
 
 
+def dealt_anew(key: Column) -> Column:
+    """A long key under which an aggregate is dealt out again when it is joined.
+
+    An aggregate joined on its own grouping key stays where it is, and Spark can then not split a hot key of the other side.
+    As another expression of the same value the key needs an exchange of its own, and skewed partitions can be split.
+    """
+    return key.bitwiseXOR(F.lit(0).cast("long"))
+
+
 def pieces(batches: Iterator[pa.RecordBatch], column: str, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of the batches whose ``column`` holds about ``limit`` bytes, or one row if that is longer."""
     for batch in batches:

@@ -29,14 +29,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellweave.llm.common import materialise, pieces, read_table, utf8
+from cellweave.llm.common import dealt_anew, materialise, pieces, read_table, utf8
 
 THRESHOLD = 35
 ANCHOR = 12
 #: Contexts of one anchor that share an automaton: at most this many times twice the threshold in words.
 MAX_CONTEXTS = 400
 #: A worker forgets its word cache beyond this many words.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 200_000
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
@@ -293,11 +293,11 @@ def dedup_substrings(df: DataFrame, threshold: int = THRESHOLD, anchor: int = AN
     # Rows are named by their content, so the name outlives a lost executor; equal rows share a name and a verdict.
     docs = docs.withColumn("rid", F.xxhash64(F.col("doc_id").isNull(), "doc_id", "text"))
     found = docs.select("rid", "text").mapInArrow(_anchors(threshold, anchor), "h long, context long, rid long, first int, windows int")
-    again = found.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("h").alias("_h"))
+    again = found.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(dealt_anew(F.col("h")).alias("_h"))
     places = materialise(found.join(again, F.col("h") == F.col("_h")).select("h", "context", "rid", "first", "windows"), "places")
     counted = places.groupBy("h", "context").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("rid", "first", "windows")).alias("rep"))
     counted = materialise(counted, "contexts")
-    kinds = counted.groupBy("h").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select(F.col("h").alias("_h"), "kinds")
+    kinds = counted.groupBy("h").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select(dealt_anew(F.col("h")).alias("_h"), "kinds")
     whole = counted.where("n > 1").select("h", "context", F.expr("shiftleft(1L, rep.windows) - 1").alias("bits"))
     # Different contexts of one anchor may still share windows.
     mixed = counted.join(kinds, F.col("h") == F.col("_h"))
@@ -309,9 +309,10 @@ def dedup_substrings(df: DataFrame, threshold: int = THRESHOLD, anchor: int = AN
     judged = shard.mapInArrow(_shard_verdicts(threshold), "h long, context long, bits long")
     windows = passages.where("big").drop("big").mapInArrow(_common_windows(threshold), "h long, context long, n long, at int, window string")
     windows = windows.withColumn("window", F.sha2("window", 256))
-    twice = windows.groupBy("h", "window").agg(F.sum("n").alias("n")).where("n > 1").select(F.col("h").alias("_h"), F.col("window").alias("_window"))
+    twice = windows.groupBy("h", "window").agg(F.sum("n").alias("n")).where("n > 1").select(dealt_anew(F.col("h")).alias("_h"), F.col("window").alias("_window"))
     common = windows.join(twice, (F.col("h") == F.col("_h")) & (F.col("window") == F.col("_window"))).groupBy("h", "context").agg(F.expr("bit_or(shiftleft(1L, at))").alias("bits"))
     verdicts = whole.unionByName(judged).unionByName(common).where("bits <> 0").groupBy(F.col("h").alias("_h"), F.col("context").alias("_context")).agg(F.expr("bit_or(bits)").alias("bits"))
+    verdicts = verdicts.withColumn("_h", dealt_anew(F.col("_h")))
     hit = places.join(verdicts, (F.col("h") == F.col("_h")) & (F.col("context") == F.col("_context"))).select("rid", "first", "windows", "bits")
     marks = hit.groupBy(F.col("rid").alias("_rid")).agg(F.collect_set(F.struct("first", "windows", "bits")).alias("marks"))
     out = docs.join(marks.hint("shuffle_hash"), F.col("rid") == F.col("_rid"), "left").select("doc_id", "text", "rid", "marks")
