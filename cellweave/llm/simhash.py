@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellweave.llm.common import materialise, pieces, read_table, utf8
+from cellweave.llm.common import dealt_anew, materialise, pieces, read_table, utf8
 from cellweave.llm.components import components, local_components
 
 SHINGLE = 3
@@ -163,7 +163,7 @@ def fingerprint_components(rows: DataFrame, radius: int = RADIUS) -> DataFrame:
     roots = components(fingerprint_links(distinct.select("fp"), radius))
     named = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     named = materialise(named, "roots")
-    least = named.groupBy(F.col("root").alias("_root")).agg(F.min("first_id").alias("component_id"))
+    least = named.groupBy("root").agg(F.min("first_id").alias("component_id")).select(dealt_anew(F.col("root")).alias("_root"), "component_id")
     return named.join(least, F.col("root") == F.col("_root")).select("fp", "root", "component_id")
 
 
