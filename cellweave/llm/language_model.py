@@ -1,24 +1,27 @@
 """LM scoring (operator 6): a log-bilinear neural model trained with noise-contrastive estimation.
 
-The corpus is counted once (token counts over all training documents, map-side combined).  The most frequent tokens
-are the model's vocabulary; all others are one class, inside which a token has its smoothed corpus frequency.  The model
-predicts a class from the two before it: the context vector is a position-wise weighted sum of their embeddings, a score
-is its product with the class's output vector plus a bias.  Every training partition runs noise-contrastive estimation
-in numpy over all its training tokens from one common start; the parameters are then averaged row by row, weighted by
-tokens, with an ordinary map-side combined aggregation.  Scoring forms, for each distinct context of a batch, the matrix
-product with all output vectors and normalises it, so log-probabilities add up to one over all tokens.
-
-Counts of frequent tokens are broadcast (``HOT_TOKENS`` at most); the others meet their counts by a shuffle join on the
-token, which no frequent token takes part in.
+The corpus is counted once (token counts over all training documents, map-side combined).  Every token with at least
+``MODEL_TOKENS`` training occurrences is a class of the model with embeddings of its own, so the vocabulary follows the
+corpus; all others are one class, inside which a token has its smoothed corpus frequency.  Classes, by frequency, form
+about as many clusters as the square root of their number.  The model predicts the cluster and, inside it, the class from
+the two classes before: the context vector is a position-wise weighted sum of their embeddings, a score is its product
+with an output vector plus a bias.  Every training partition runs noise-contrastive estimation in numpy over all its
+training tokens from one common start and hands on what it changed, in rows it has met; changes are averaged row by row,
+weighted by how often a partition met the row, after a shuffle by row.  Scoring normalises over all clusters and over all
+members of the target's cluster, so log-probabilities add up to one over all tokens.
+
+Classes are found by a 64-bit hash of the token (a sorted array, 16 bytes a class); parameters are broadcast in
+half precision, some 100 bytes a class.  Counts of frequent tokens are broadcast (``HOT_TOKENS`` at most); the others meet
+their counts by a shuffle join on the token, which no frequent token takes part in.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 import zlib
 from collections import Counter
-from collections.abc import Iterator
-from itertools import repeat
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +30,8 @@ from pyspark.sql import functions as F
 
 from cellweave.llm.common import materialise, pieces, read_table, utf8
 
-#: Classes of the model besides "another token": a fixed size, whatever the corpus.
-MODEL_TOKENS = 1022
+#: Training occurrences that make a token one of the model's: each has its own embeddings, however many there are.
+MODEL_TOKENS = 5
 DIMENSIONS = 24
 CONTEXT = 2
 NOISE = 32
@@ -36,10 +39,14 @@ BATCH = 1024
 RATE = 0.05
 FIRST_SQUARE = 1e-3
 SEED = 11
+#: Different starts of embeddings; a class takes the one of its number modulo this.
+STARTS = 4093
 #: Most tokens whose counts are broadcast; some 10 MB.
 HOT_TOKENS = 200_000
 #: Text bytes a step of training or scoring: each token takes some dozen numbers meanwhile.
 STEP_BYTES = 4 << 20
+#: Rows of parameters a batch that tasks hand on.
+ROWS = 20_000
 #: A task hands on its partial counts beyond this many different tokens.
 COUNTED = 300_000
 
@@ -70,58 +77,112 @@ def _count_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     yield out(counts)
 
 
+def _hash(tokens: Iterable[bytes]) -> np.ndarray:
+    """64-bit hashes of tokens."""
+    return np.frombuffer(b"".join(hashlib.blake2b(t, digest_size=8).digest() for t in tokens), np.int64)
+
+
+def _hash_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([pa.array(_hash(batch.column("token").to_pylist())), batch.column("c")], ["h", "c"])
+
+
+def _clusters(frequency: np.ndarray) -> np.ndarray:
+    """First class of each cluster, and the number of classes: class 0 alone, the others in order by equal sums of square roots."""
+    if len(frequency) == 1:
+        return np.array([0, 1])
+    upto = np.cumsum(np.sqrt(frequency[1:]))
+    number = np.minimum(np.concatenate(([0.0], upto[:-1])) / upto[-1] * math.ceil(math.sqrt(len(upto))), len(upto)).astype(np.int64)
+    return np.concatenate(([0], 1 + np.flatnonzero(np.concatenate(([True], number[1:] != number[:-1]))), [len(frequency)]))
+
+
 class Model:
-    """Parameters: input embeddings, position weights, output embeddings and biases, over classes 0 (others) to K."""
+    """Parameters: input embeddings, position weights, output embeddings and biases, over classes 0 (others) to K and clusters.
+
+    Tables of classes hold the changes from the start, so that memory is taken for rows which training meets.
+    """
 
     def __init__(self, classes: int, log_prior: np.ndarray):
         random = np.random.default_rng(SEED)
         self.log_prior = log_prior  # natural logarithm of each class's frequency: the noise distribution
-        self.inputs = random.normal(0, 0.1, (classes, DIMENSIONS)).astype(np.float32)
+        self.starts = _clusters(np.exp(log_prior))
+        sizes = np.diff(self.starts)
+        self.cluster = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+        self.cluster_prior = np.log(np.add.reduceat(np.exp(log_prior), self.starts[:-1]))
+        self.start_inputs = random.normal(0, 0.1, (STARTS, DIMENSIONS)).astype(np.float32)
+        self.start_outputs = random.normal(0, 0.1, (STARTS, DIMENSIONS)).astype(np.float32)
+        self.inputs = np.zeros((classes, DIMENSIONS), np.float32)
         self.weights = np.ones((CONTEXT, DIMENSIONS), np.float32)
-        self.outputs = random.normal(0, 0.1, (classes, DIMENSIONS)).astype(np.float32)
-        self.bias = log_prior.astype(np.float32)
-        self.squares = [np.full(classes, FIRST_SQUARE, np.float32) for _ in range(3)]  # AdaGrad's, for as long as training goes on
-
-    def pack(self) -> np.ndarray:
-        """One row of numbers per class; position weights follow as further rows."""
-        body = np.hstack((self.inputs, self.outputs, self.bias[:, None]))
-        tail = np.zeros((CONTEXT, body.shape[1]), np.float32)
-        tail[:, :DIMENSIONS] = self.weights
-        return np.vstack((body, tail))
+        self.outputs = np.zeros((classes, DIMENSIONS), np.float32)
+        self.bias = np.zeros(classes, np.float32)
+        self.cluster_outputs = np.zeros((len(sizes), DIMENSIONS), np.float32)
+        self.cluster_bias = np.zeros(len(sizes), np.float32)
+        self.squares = [np.zeros(n, np.float32) for n in (classes, classes, classes, len(sizes), len(sizes))]  # AdaGrad's, for as long as training goes on
+        self.met = np.zeros(classes, np.float32)  # how often a class was a target or noise
+
+    def input_of(self, rows: np.ndarray) -> np.ndarray:
+        return self.inputs[rows] + self.start_inputs[rows % STARTS]
+
+    def output_of(self, rows: np.ndarray) -> np.ndarray:
+        return self.outputs[rows] + self.start_outputs[rows % STARTS]
+
+    def pack(self, seen: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Numbers, weights and changes of the rows met: classes, then clusters, then position weights."""
+        classes, clusters = len(self.bias), len(self.cluster_bias)
+        rows = np.flatnonzero(self.met)
+        for at in range(0, len(rows), ROWS):
+            part = rows[at : at + ROWS]
+            yield part, self.met[part].astype(np.float64), np.hstack((self.inputs[part], self.outputs[part], self.bias[part, None]))
+        tail = np.zeros((clusters + CONTEXT, 2 * DIMENSIONS + 1), np.float32)
+        tail[:clusters, DIMENSIONS : 2 * DIMENSIONS], tail[:clusters, -1] = self.cluster_outputs, self.cluster_bias
+        tail[clusters:, :DIMENSIONS] = self.weights - 1
+        yield classes + np.arange(len(tail)), np.full(len(tail), float(seen)), tail
 
     def unpack(self, rows: np.ndarray) -> None:
-        body, tail = rows[:-CONTEXT].astype(np.float32), rows[-CONTEXT:].astype(np.float32)
-        self.inputs, self.outputs = body[:, :DIMENSIONS].copy(), body[:, DIMENSIONS : 2 * DIMENSIONS].copy()
-        self.bias, self.weights = body[:, -1].copy(), tail[:, :DIMENSIONS].copy()
+        classes, clusters = len(self.bias), len(self.cluster_bias)
+        body, tail = rows[:classes], rows[classes:].astype(np.float32)
+        self.inputs, self.outputs, self.bias = body[:, :DIMENSIONS], body[:, DIMENSIONS : 2 * DIMENSIONS], body[:, -1].astype(np.float32)
+        self.cluster_outputs, self.cluster_bias = tail[:clusters, DIMENSIONS : 2 * DIMENSIONS].copy(), tail[:clusters, -1].copy()
+        self.weights = 1 + tail[clusters:, :DIMENSIONS]
 
     def train(self, target: np.ndarray, first: np.ndarray, second: np.ndarray) -> None:
         """One pass of noise-contrastive estimation over events: a class and the two classes before it.
 
-        The normaliser is held at one while training, as usual; the noise sample is shared by a batch.  Steps are
-        AdaGrad's, by row.
+        The normaliser is held at one while training, as usual; noise samples (classes, and clusters) are shared by a batch.
+        Steps are AdaGrad's, by row.
         """
         random = np.random.default_rng(SEED)
-        cumulative = np.cumsum(np.exp(self.log_prior))
-        squares = self.squares
+        cumulative, cluster_cumulative = np.cumsum(np.exp(self.log_prior)), np.cumsum(np.exp(self.cluster_prior))
+        draw = lambda upto: np.minimum(np.searchsorted(upto, random.random(NOISE) * upto[-1]), len(upto) - 1)
         order = random.permutation(len(target))
         for at in range(0, len(order), BATCH):
             chosen = order[at : at + BATCH]
             w, a, b = target[chosen], first[chosen], second[chosen]
-            noise = np.minimum(np.searchsorted(cumulative, random.random(NOISE) * cumulative[-1]), len(cumulative) - 1)
-            ea, eb = self.inputs[a], self.inputs[b]
+            noise, cluster, cluster_noise = draw(cumulative), self.cluster[w], draw(cluster_cumulative)
+            np.add.at(self.met, w, 1)
+            np.add.at(self.met, noise, 1)
+            ea, eb = self.input_of(a), self.input_of(b)
             hidden = ea * self.weights[0] + eb * self.weights[1]
-            data = np.einsum("ij,ij->i", hidden, self.outputs[w]) + self.bias[w] - self.log_prior[w] - math.log(NOISE)
-            fake = hidden @ self.outputs[noise].T + self.bias[noise] - self.log_prior[noise] - math.log(NOISE)
-            # Gradients of the log-likelihood "data or noise".
-            gd = (1 / (1 + np.exp(np.clip(data, -30, 30)))).astype(np.float32)
-            gf = (-1 / (1 + np.exp(np.clip(-fake, -30, 30)))).astype(np.float32)
-            to_hidden = gd[:, None] * self.outputs[w] + gf @ self.outputs[noise]
-            self._step(self.outputs, squares[1], np.concatenate((w, noise)), np.vstack((gd[:, None] * hidden, gf.T @ hidden)))
-            self._step(self.bias[:, None], squares[2], np.concatenate((w, noise)), np.concatenate((gd, gf.sum(0)))[:, None])
-            self._step(self.inputs, squares[0], np.concatenate((a, b)), np.vstack((to_hidden * self.weights[0], to_hidden * self.weights[1])))
+            to_hidden = self._contrast(hidden, w, noise, self.output_of, self.outputs, self.bias, self.squares[1:3])
+            to_hidden += self._contrast(hidden, cluster, cluster_noise, self.cluster_outputs.__getitem__, self.cluster_outputs, self.cluster_bias, self.squares[3:])
+            self._step(self.inputs, self.squares[0], np.concatenate((a, b)), np.vstack((to_hidden * self.weights[0], to_hidden * self.weights[1])))
             n = len(chosen)
             self.weights += RATE / 10 * np.vstack(((to_hidden * ea).sum(0), (to_hidden * eb).sum(0))) / n
 
+    def _contrast(self, hidden, w, noise, output_of, outputs, bias, squares) -> np.ndarray:
+        """Steps of one level's outputs and biases (changes from its log-prior); the gradient of the hidden vectors."""
+        own, other = output_of(w), output_of(noise)
+        # Score minus log-prior: the prior is the start of the bias.
+        data = np.einsum("ij,ij->i", hidden, own) + bias[w] - math.log(NOISE)
+        fake = hidden @ other.T + bias[noise] - math.log(NOISE)
+        # Gradients of the log-likelihood "data or noise".
+        gd = (1 / (1 + np.exp(np.clip(data, -30, 30)))).astype(np.float32)
+        gf = (-1 / (1 + np.exp(np.clip(-fake, -30, 30)))).astype(np.float32)
+        rows = np.concatenate((w, noise))
+        self._step(outputs, squares[0], rows, np.vstack((gd[:, None] * hidden, gf.T @ hidden)))
+        self._step(bias[:, None], squares[1], rows, np.concatenate((gd, gf.sum(0)))[:, None])
+        return gd[:, None] * own + gf @ other
+
     @staticmethod
     def _step(table: np.ndarray, squares: np.ndarray, rows: np.ndarray, gradient: np.ndarray) -> None:
         order = np.argsort(rows, kind="stable")
@@ -130,36 +191,69 @@ class Model:
         total = np.add.reduceat(gradient[order], first, axis=0)
         hit = ordered[first]
         squares[hit] += (total * total).mean(axis=1)
-        table[hit] += RATE * total / np.sqrt(squares[hit])[:, None]
+        table[hit] += RATE * total / np.sqrt(FIRST_SQUARE + squares[hit])[:, None]
 
     def log_probabilities(self, target: np.ndarray, first: np.ndarray, second: np.ndarray) -> np.ndarray:
-        """Natural log-probabilities, normalised over all classes."""
-        classes = len(self.bias)
-        key = first.astype(np.int64) * classes + second
-        contexts, which = np.unique(key, return_inverse=True)
-        norms = np.empty(len(contexts), np.float64)
-        hidden = self.inputs[contexts // classes] * self.weights[0] + self.inputs[contexts % classes] * self.weights[1]
-        for at in range(0, len(contexts), 4096):
-            scores = hidden[at : at + 4096] @ self.outputs.T + self.bias
-            top = scores.max(axis=1)
-            norms[at : at + 4096] = top + np.log(np.exp(scores - top[:, None]).sum(axis=1))
+        """Natural log-probabilities, normalised over all classes: of the cluster, and of the class inside it."""
+        classes, clusters = len(self.bias), len(self.cluster_bias)
+        contexts, which = np.unique(first.astype(np.int64) * classes + second, return_inverse=True)
+        hidden = self.input_of(contexts // classes) * self.weights[0] + self.input_of(contexts % classes) * self.weights[1]
+        cluster_bias = (self.cluster_bias + self.cluster_prior).astype(np.float32)
+        norms = _log_sums(hidden, self.cluster_outputs, cluster_bias)
         out = np.empty(len(target), np.float64)
+        cluster = self.cluster[target].astype(np.int64)
         for at in range(0, len(target), 1 << 18):
             part = slice(at, at + (1 << 18))
-            score = np.einsum("ij,ij->i", hidden[which[part]], self.outputs[target[part]]) + self.bias[target[part]]
-            out[part] = score - norms[which[part]]
+            c = cluster[part]
+            out[part] = np.einsum("ij,ij->i", hidden[which[part]], self.cluster_outputs[c]) + cluster_bias[c] - norms[which[part]]
+        order = np.argsort(cluster, kind="stable")
+        ends = np.cumsum(np.bincount(cluster, minlength=clusters))
+        for c in np.flatnonzero(np.diff(ends, prepend=0)).tolist():
+            low, high = int(self.starts[c]), int(self.starts[c + 1])
+            if high - low == 1:
+                continue
+            events = order[ends[c - 1] : ends[c]]  # never of cluster 0, which has one class
+            members = np.arange(low, high)
+            table, bias = self.output_of(members), (self.bias[members] + self.log_prior[members]).astype(np.float32)
+            needed, place = np.unique(which[events], return_inverse=True)
+            rows = hidden[needed]
+            at = target[events] - low
+            out[events] += np.einsum("ij,ij->i", rows[place], table[at]) + bias[at] - _log_sums(rows, table, bias)[place]
         return out
 
 
-def _events(texts: list[bytes], classes: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Class of every token of the texts, of the two before it (an end before the beginning), and tokens a text."""
-    get, end = classes.get, classes.get(END, 0)
+def _log_sums(hidden: np.ndarray, outputs: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    """Logarithm of the sum of exponentials of all scores, for each context vector."""
+    out = np.empty(len(hidden), np.float64)
+    step = max(1, (1 << 19) // len(bias))
+    for at in range(0, len(hidden), step):
+        scores = hidden[at : at + step] @ outputs.T
+        scores += bias
+        top = scores.max(axis=1)
+        scores -= top[:, None]
+        out[at : at + step] = top + np.log(np.exp(scores, out=scores).sum(axis=1))
+    return out
+
+
+def _events(texts: list[bytes], hashes: np.ndarray, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Class of every token of the texts, of the two before it (an end before the beginning), and tokens a text.
+
+    ``hashes`` are those of the model's tokens, sorted, and ``numbers`` their classes.
+    """
+    split = [text.lower().split() for text in texts]
+    words = list({END}.union(*split))
+    found = np.zeros(len(words), np.int64)
+    if len(hashes):
+        wanted = _hash(words)
+        at = np.minimum(np.searchsorted(hashes, wanted), len(hashes) - 1)
+        found = np.where(hashes[at] == wanted, numbers[at], 0).astype(np.int64)
+    classes = dict(zip(words, found.tolist(), strict=True))
+    get, end = classes.__getitem__, classes[END]
     padded, sizes = [], []
-    for text in texts:
-        words = text.lower().split()
+    for words in split:
         row = np.empty(len(words) + 1 + CONTEXT, np.int64)
         row[:CONTEXT], row[-1] = end, end
-        row[CONTEXT:-1] = np.fromiter(map(get, words, repeat(0)), np.int64, len(words))
+        row[CONTEXT:-1] = np.fromiter(map(get, words), np.int64, len(words))
         padded.append(row)
         sizes.append(len(words) + 1)
     flat = np.concatenate(padded) if padded else np.empty(0, np.int64)
@@ -168,27 +262,64 @@ def _events(texts: list[bytes], classes: dict[bytes, int]) -> tuple[np.ndarray,
     return flat[at], flat[at - 1], flat[at - 2], np.array(sizes, np.int64)
 
 
+PARAMETER_SCHEMA = "row long, weight double, x binary"
+
+
+def _rows(rows: np.ndarray, weights: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
+    """Rows of ``PARAMETER_SCHEMA``: numbers in half precision."""
+    return pa.RecordBatch.from_arrays([pa.array(rows), pa.array(weights), pa.array([r.tobytes() for r in x.astype(np.float16)], pa.binary())], ["row", "weight", "x"])
+
+
+def _numbers(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.float16).reshape(len(column), 2 * DIMENSIONS + 1)
+
+
 def _train_partition(shipped):
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        classes, log_prior = shipped.value
+        hashes, numbers, log_prior = shipped.value
         model, seen = Model(len(log_prior), log_prior), 0
         for part in pieces(batches, "text", STEP_BYTES):
             texts = [t for d, t in zip(part.column("doc_id").to_pylist(), utf8(part.column("text")), strict=True) if not held_out(d)]
             if texts:
-                target, first, second, _ = _events(texts, classes)
+                target, first, second, _ = _events(texts, hashes, numbers)
                 model.train(target, first, second)
                 seen += len(target)
         if seen:
-            rows = model.pack().astype(np.float64) * seen
-            columns = [pa.array(np.arange(len(rows))), pa.array(np.full(len(rows), float(seen))), *(pa.array(c) for c in rows.T)]
-            yield pa.RecordBatch.from_arrays(columns, ["row", "weight", *(f"x{i}" for i in range(rows.shape[1]))])
+            for each in model.pack(seen):
+                yield _rows(*each)
 
     return train
 
 
+def _average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Weighted means by row; all of a row's changes come to one task."""
+
+    def merged(held):
+        rows, weights, x = (np.concatenate(c) for c in zip(*held, strict=True))
+        order = np.argsort(rows, kind="stable")
+        rows = rows[order]
+        first = np.flatnonzero(np.concatenate(([True], rows[1:] != rows[:-1])))
+        return [(rows[first], np.add.reduceat(weights[order], first), np.add.reduceat(x[order], first, axis=0))]
+
+    held, waiting = [], 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        weights = batch.column("weight").to_numpy()
+        held.append((batch.column("row").to_numpy(), weights, (_numbers(batch.column("x")) * weights[:, None]).astype(np.float32)))
+        waiting += batch.num_rows
+        if waiting > max(5 * ROWS, len(held[0][0])):
+            held, waiting = merged(held), 0
+    if held:
+        rows, weights, x = merged(held)[0]
+        for at in range(0, len(rows), ROWS):
+            part = slice(at, at + ROWS)
+            yield _rows(rows[part], weights[part], x[part] / weights[part, None])
+
+
 def _score_partition(shipped):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        classes, log_prior, parameters, hot, total, distinct, others, other_kinds = shipped.value
+        hashes, numbers, log_prior, parameters, hot, total, distinct, others, other_kinds = shipped.value
         model = Model(len(log_prior), log_prior)
         if parameters is not None:
             model.unpack(parameters)
@@ -197,7 +328,7 @@ def _score_partition(shipped):
         base_of, inside = base.get, math.log10(others + 0.5 * (other_kinds + 1))
         for part in pieces(batches, "text", STEP_BYTES):
             ids, texts = part.column("doc_id").to_pylist(), utf8(part.column("text"))
-            target, first, second, sizes = _events(texts, classes)
+            target, first, second, sizes = _events(texts, hashes, numbers)
             natural = model.log_probabilities(target, first, second) / math.log(10)
             ends = np.cumsum(sizes)
             cumulative = np.concatenate(([0.0], np.cumsum(natural)))
@@ -210,8 +341,8 @@ def _score_partition(shipped):
                 n_rare = sum(rare.values())
                 found = math.fsum(x for x in known if x is not None)
                 # Hot tokens outside the model's classes: their share of the class of others.
-                outside = math.fsum(x for x, t in zip(known, tokens, strict=True) if x is not None and t not in classes)
-                n_other = sum(1 for t in tokens if t not in classes)
+                other = np.flatnonzero(target[ends[i] - sizes[i] : ends[i]] == 0).tolist()
+                outside, n_other = math.fsum(known[j] for j in other if known[j] is not None), len(other)
                 rows[0].append(len(tokens) - n_rare)
                 rows[1].append(found - width * len(tokens))
                 rows[2].append(float(neural[i]) + outside - inside * n_other)
@@ -236,6 +367,19 @@ def frequent_tokens(counts: DataFrame) -> dict[bytes, int]:
     return dict(sorted(zip(found["token"].to_pylist(), found["c"].to_pylist(), strict=True), key=lambda x: (-x[1], x[0])))
 
 
+def _vocabulary(counts: DataFrame, total: int, distinct: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int, int]:
+    """Sorted hashes of the model's tokens, their classes (by frequency, from 1), the log-frequencies of all classes, and the
+    occurrences and kinds of the other tokens."""
+    found = counts.where(F.col("c") >= MODEL_TOKENS).mapInArrow(_hash_tokens, "h long, c long").toArrow()
+    hashes, c = found["h"].to_numpy(), found["c"].to_numpy()
+    order = np.lexsort((hashes, -c))
+    hashes, c = hashes[order], c[order]
+    others, kinds = total - int(c.sum()), distinct - len(c)
+    frequency = np.concatenate(([others + 0.5 * (kinds + 1)], c.astype(np.float64)))
+    by_hash = np.argsort(hashes, kind="stable")
+    return hashes[by_hash], (by_hash + 1).astype(np.int32), np.log(frequency / frequency.sum()), others, kinds
+
+
 def fit_and_score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` for every row.
 
@@ -249,37 +393,36 @@ def fit_and_score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     counts = materialise(docs.mapInArrow(_count_tokens, "token binary, c long").groupBy("token").agg(F.sum("c").alias("c")), "counts")
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     hot = frequent_tokens(counts)
-    listed = list(hot)[:MODEL_TOKENS]
-    classes = {token: i + 1 for i, token in enumerate(listed)}
-    others = total - sum(hot[t] for t in listed)
-    frequency = np.array([others + 0.5 * (distinct - len(listed) + 1), *(hot[t] for t in listed)], np.float64)
-    log_prior = np.log(frequency / frequency.sum())
-
-    for_training = context.broadcast((classes, log_prior))
-    width = 2 * DIMENSIONS + 1
-    names = [f"x{i}" for i in range(width)]
-    trained = docs.mapInArrow(_train_partition(for_training), "row long, weight double, " + ", ".join(f"{x} double" for x in names))
-    averaged = trained.groupBy("row").agg(*[(F.sum(x) / F.sum("weight")).alias(x) for x in names]).orderBy("row").collect()  # as many rows as classes
-    parameters = np.array([r[1:] for r in averaged]) if averaged else None
-
-    for_scoring = context.broadcast((classes, log_prior, parameters, hot, total, distinct, others, distinct - len(listed)))
+    hashes, numbers, log_prior, others, kinds = _vocabulary(counts, total, distinct)
+
+    for_training = context.broadcast((hashes, numbers, log_prior))
+    trained = docs.mapInArrow(_train_partition(for_training), PARAMETER_SCHEMA)
+    averaged = trained.repartition("row").mapInArrow(_average, PARAMETER_SCHEMA).select("row", "x").toArrow()  # as many rows as classes met
+    parameters = None
+    if averaged.num_rows:
+        parameters = np.zeros((len(log_prior) + len(_clusters(np.exp(log_prior))) - 1 + CONTEXT, 2 * DIMENSIONS + 1), np.float16)
+        for batch in averaged.to_batches():
+            parameters[batch.column("row").to_numpy()] = _numbers(batch.column("x"))
+    del averaged
+
+    for_scoring = context.broadcast((hashes, numbers, log_prior, parameters, hot, total, distinct, others, kinds))
     kind = df.schema[id_col].dataType.simpleString()
     schema = f"doc_id {kind}, held_out boolean, n_tokens long, known long, base double, model double, rare array<struct<token: binary, tf: long>>"
     scored = materialise(docs.mapInArrow(_score_partition(for_scoring), schema).withColumn("rid", F.monotonically_increasing_id()), "scored")
 
     rare = scored.where(F.size("rare") > 0).select("rid", F.explode("rare").alias("r")).select("rid", F.col("r.token").alias("_token"), "r.tf")
     c = F.coalesce("c", F.lit(0))
-    met = rare.join(counts, F.col("_token") == F.col("token"), "left").select("rid", "tf", (F.col("tf") * F.log10(c + 0.5)).alias("x"), F.when(c > 0, F.col("tf")).otherwise(0).alias("known"))
-    sums = met.groupBy(F.col("rid").alias("_rid")).agg(F.sum("x").alias("x"), F.sum("known").alias("rare_known"))
-    more = F.coalesce("x", F.lit(0.0))
+    met = rare.join(counts, F.col("_token") == F.col("token"), "left").select("rid", "tf", (F.col("tf") * F.log10(c + 0.5)).alias("x"), F.when(c > 0, F.col("tf")).otherwise(0).alias("known"), F.when(c < MODEL_TOKENS, F.col("tf") * F.log10(c + 0.5)).otherwise(0.0).alias("y"))
+    sums = met.groupBy(F.col("rid").alias("_rid")).agg(F.sum("x").alias("x"), F.sum("y").alias("y"), F.sum("known").alias("rare_known"))
+    more = lambda name: F.coalesce(name, F.lit(0.0))
     return scored.join(sums, F.col("rid") == F.col("_rid"), "left").select(
         "doc_id",
         "held_out",
         "n_tokens",
         (F.col("known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("base") + more).alias("base_score"),
-        (F.col("model") + more).alias("score"),
+        (F.col("base") + more("x")).alias("base_score"),
+        (F.col("model") + more("y")).alias("score"),
     )
 
 

@@ -57,6 +57,30 @@ def test_normalised():
         assert np.exp(p).sum() == pytest.approx(1)
 
 
+def test_rare_tokens_have_embeddings(spark):
+    """Beyond the thousand most frequent tokens, too, a token is told apart by what comes before it."""
+    rng = np.random.default_rng(1)
+    held = lambda i: zlib.crc32(str(i).encode()) % 5 == 1
+    train, tested = [i for i in range(1000) if not held(i)][:200], [i for i in range(1000) if held(i)][:80]
+    rows = []
+    for i in train:
+        parts = [f"f{k}" for k in range(1100) for _ in range(2)] + [f"a{k} b{k}" for k in range(40)]
+        rows.append((i, " ".join(parts[k] for k in rng.permutation(len(parts)))))
+    rows += [(i, f"a{k % 40} b{(k + k // 40) % 40}") for k, i in enumerate(tested)]  # 40 pairs as learnt, 40 others
+    score = {r["doc_id"]: r["score"] for r in language_model.fit_and_score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert np.mean([score[i] for i in tested[:40]]) > np.mean([score[i] for i in tested[40:]]) + 0.2
+
+
+def test_normalised_over_clusters():
+    frequency = 1 / np.arange(1, 3001)
+    model = language_model.Model(3000, np.log(frequency / frequency.sum()))
+    rng = np.random.default_rng(2)
+    model.train(*rng.integers(0, 3000, (3, 20000)))
+    for a, b in ((0, 1), (2999, 1500)):
+        p = model.log_probabilities(np.arange(3000), np.full(3000, a), np.full(3000, b))
+        assert np.exp(p).sum() == pytest.approx(1, abs=1e-4)
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body class="has-sidebar">
 <header><h1>Site name</h1></header><nav><ul><li><a href=/a>Menu</a></li></ul></nav><div id="cookie-notice">We use cookies</div>
 <div class="layout sidebar-left"><main><article><h1>Title &amp; more</h1><p>First   paragraph
