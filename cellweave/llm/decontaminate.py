@@ -6,18 +6,21 @@ occurrence: these make the shard's text.  Its FM-index (Burrows-Wheeler transfor
 suffix positions) is searched backwards for all phrases at once, occurrences are located by walking to the next sampled
 position, and their spans are merged.
 
-The phrases are broadcast in blocks of ``BLOCK_WORDS`` benchmark words, each searched in turn inside the same task.  A
-benchmark of more than ``MAX_BLOCKS`` blocks is refused: its phrases would no longer fit beside a shard.  Split such a
-benchmark and combine the results by item.
+The phrases are broadcast in blocks of ``BLOCK_WORDS`` benchmark words, each searched in turn inside the same task.  At
+most ``MAX_BLOCKS`` blocks fit beside a shard.  With more, a task keeps its documents in a local file and reads them once for
+every group of that many blocks; hits are united by row, and nothing is shuffled either.
 """
 
 from __future__ import annotations
 
+import os
+import tempfile
 from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,6 +31,7 @@ WINDOW = 13
 SHARE = 20
 #: Benchmark words a block; a block's phrases are held in memory by every worker (about 1 KB a word).
 BLOCK_WORDS = 200_000
+#: Blocks a worker holds at once.
 MAX_BLOCKS = 5
 SAMPLE = 16
 #: Shards hold up to about this many kept words.
@@ -232,22 +236,58 @@ def _hits(words: list[list[bytes]], blocks: list[Phrases]) -> tuple[np.ndarray,
     return begins, np.cumsum(hit)[:-1] > 0, items
 
 
-def _blocks(benchmark: DataFrame, window: int) -> list[list[tuple[str, list[bytes]]]]:
+def _hits_in_passes(parts: Iterator[pa.RecordBatch], groups: list[list[Broadcast]]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, list[set[str]]]]:
+    """Each part with its ``_hits`` in the blocks of all groups.  More than one group: one pass over a local copy for each."""
+    if len(groups) < 2:
+        blocks = [b.value for group in groups for b in group]
+        for part in parts:
+            yield part, *_hits([item_words(x) for x in utf8(part.column("_text"))], blocks)
+        return
+    with tempfile.TemporaryDirectory(dir=os.environ.get("SPARK_LOCAL_DIRS", "").split(",")[0] or None) as folder:
+        path = os.path.join(folder, "parts")
+        writer = None
+        with pa.OSFile(path, "wb") as out:
+            for part in parts:
+                writer = writer or pa.ipc.new_stream(out, part.schema)
+                writer.write_batch(part)
+            if writer is None:
+                return
+            writer.close()
+        found: list[tuple[np.ndarray, np.ndarray, list[set[str]]]] = []  # beginnings, packed hits and items of each part
+        for group in groups:
+            blocks = [b.value for b in group]
+            with pa.OSFile(path) as kept:
+                for i, part in enumerate(pa.ipc.open_stream(kept)):
+                    begins, hit, items = _hits([item_words(x) for x in utf8(part.column("_text"))], blocks)
+                    if group is groups[0]:
+                        found.append((begins, np.packbits(hit), items))
+                    else:
+                        np.bitwise_or(found[i][1], np.packbits(hit), out=found[i][1])
+                        for known, more in zip(found[i][2], items, strict=True):
+                            known |= more
+            del blocks
+            for b in group:
+                vars(b).pop("_value", None)  # the next group takes its place
+        with pa.OSFile(path) as kept:
+            for (begins, packed, items), part in zip(found, pa.ipc.open_stream(kept), strict=True):
+                yield part, begins, np.unpackbits(packed, count=int(begins[-1])).astype(bool), items
+
+
+def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[str, list[bytes]]]]:
     """The benchmark in blocks of at most ``BLOCK_WORDS`` words (or one item), in item order."""
-    out: list[list[tuple[str, list[bytes]]]] = [[]]
+    block: list[tuple[str, list[bytes]]] = []
     held = 0
     for name, text in benchmark.toLocalIterator():
         words = item_words((text or "").encode())
         if not words:
             continue
         if held and held + len(words) > BLOCK_WORDS:
-            if len(out) == MAX_BLOCKS:
-                raise ValueError(f"a benchmark of more than {MAX_BLOCKS} blocks of {BLOCK_WORDS} words cannot be broadcast")
-            out.append([])
-            held = 0
-        out[-1].append((name, words))
+            yield block
+            block, held = [], 0
+        block.append((name, words))
         held += len(words)
-    return out
+    if block:
+        yield block
 
 
 def find_contamination(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -260,13 +300,12 @@ def find_contamination(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_i
     """
     context = df.sparkSession.sparkContext
     listed = benchmark.select(F.coalesce(benchmark[item_col].cast("string"), F.lit("null")), benchmark[item_text_col].cast("string"))
-    shipped = [context.broadcast(Phrases(block, window)) for block in _blocks(listed, window)]
+    shipped = [context.broadcast(Phrases(block, window)) for block in _blocks(listed)]
+    groups = [shipped[at : at + MAX_BLOCKS] for at in range(0, len(shipped), MAX_BLOCKS)]
     others = ["doc_id", *keep]
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in pieces(batches, "_text"):
-            words = [item_words(x) for x in utf8(part.column("_text"))]
-            begins, hit, items = _hits(words, [b.value for b in shipped])
+        for part, begins, hit, items in _hits_in_passes(pieces(batches, "_text"), groups):
             upto = np.concatenate(([0], np.cumsum(hit)))
             n_hit, spans = upto[begins[1:]] - upto[begins[:-1]], []
             for d, n in enumerate(n_hit.tolist()):

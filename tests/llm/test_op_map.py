@@ -64,6 +64,22 @@ def test_decontaminate(spark, docs, empty):
     assert decontaminate.find_contamination(docs, bench.limit(0)).where("n_hit > 0").count() == 0
 
 
+@pytest.mark.parametrize("most", [1, 2])
+def test_decontaminate_in_passes(spark, docs, empty, most, monkeypatch):
+    """A benchmark of more blocks than a worker holds gives what it gives at once."""
+    texts = [r[1] for r in corpus()]
+    items = [(0, " ".join(words(texts[0])[20:50])), (1, texts[2]), (2, "emoji!"), (3, None), (4, "a b c d e"), (0, "same-line SAME line"), (7, " ".join(words(texts[1])[:14])), (8, " ".join(words(texts[0])[30:60]))]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    key = lambda df: sorted((str(r["doc_id"]), r["n_words"], r["n_hit"], r["items"], r["spans"]) for r in df.collect())
+    want, kept = key(decontaminate.find_contamination(docs, bench)), decontaminate.drop_contaminated(docs, bench).count()
+    assert any(len(r[3]) > 1 for r in want)
+    monkeypatch.setattr(decontaminate, "BLOCK_WORDS", 10)
+    monkeypatch.setattr(decontaminate, "MAX_BLOCKS", most)
+    assert key(decontaminate.find_contamination(docs, bench)) == want
+    assert decontaminate.drop_contaminated(docs, bench).count() == kept
+    assert decontaminate.find_contamination(empty, bench).count() == 0
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_fm_index(seed):
     random = np.random.default_rng(seed)
