@@ -1,7 +1,7 @@
 """WARC derivatives (operator 10): metadata and plain-text conversion records from response records.
 
 Each response yields one ``metadata`` record (a JSON envelope with the source's WARC and HTTP headers, title, links and
-digests) and one ``conversion`` record (its visible text).  Both carry ``WARC-Refers-To`` with the response's record id, its
+digests; a header name that occurs again has the list of its values) and one ``conversion`` record (its visible text).  Both carry ``WARC-Refers-To`` with the response's record id, its
 target URI and date, and digests of their own blocks; the response's payload digest goes into the envelope and, for the
 conversion, into ``WARC-Source-Payload-Digest``.  Record ids are name-based UUIDs of the response's id, so a rerun,
 or a task that is run again, writes the same records.  Records are independent: nothing is shuffled.
@@ -82,6 +82,14 @@ def _value(headers: Iterable[Header], name: str) -> str | None:
     return next((v for k, v in headers if k.lower() == name.lower()), None)
 
 
+def _by_name(headers: Iterable[Header]) -> dict[str, str | list[str]]:
+    """Each name's value, or the list of its values in their order if the name (as written) is repeated."""
+    values: dict[str, list[str]] = {}
+    for name, value in headers:
+        values.setdefault(name, []).append(value)
+    return {name: v[0] if len(v) == 1 else v for name, v in values.items()}
+
+
 def split_http(block: bytes) -> tuple[str, list[Header], bytes]:
     """Status line, headers and payload of an HTTP response block; without a head, all of it is payload."""
     if not block.startswith(b"HTTP/"):
@@ -122,10 +130,10 @@ def derivatives(headers: list[Header], block: bytes) -> list[tuple[list[Header],
         page = payload.decode("utf-8", "replace")
     title = _TITLE.search(page)
     envelope = {
-        "WARC-Header-Metadata": dict(headers),
+        "WARC-Header-Metadata": _by_name(headers),
         "HTTP-Response-Metadata": {
             "Status": status,
-            "Headers": dict(http),
+            "Headers": _by_name(http),
             "Entity-Length": len(payload),
             "Entity-Digest": payload_digest,
             "HTML-Metadata": {"Title": _one_line(title[1]) if title else None, "Links": [a or b or c for a, b, c in _LINK.findall(page)]},

@@ -1,6 +1,7 @@
 """Operators 6, 7 and 10, and the pipeline."""
 
 import gzip
+import json
 import math
 import zlib
 from collections import Counter
@@ -145,6 +146,17 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.build_derivatives(responses.limit(0)).count() == 0
 
 
+def test_warc_repeated_headers(spark, tmp_path):
+    """Repeated header names of real responses come through into the envelope, each with all its values."""
+    block = b"HTTP/1.1 200 OK\r\nSet-Cookie: a=1\r\nContent-Type: text/html\r\nSet-Cookie: b=2\r\nLink: <x>\r\nLink: <y>\r\nSet-Cookie: a=1\r\n\r\n<p>t</p>"
+    headers = [("WARC-Type", "response"), ("WARC-Record-ID", "<urn:x:1>"), ("WARC-Concurrent-To", "<urn:x:2>"), ("WARC-Concurrent-To", "<urn:x:3>"), ("Content-Length", str(len(block)))]
+    (tmp_path / "r.warc").write_bytes(warc.serialise(headers, block))
+    made = warc.build_derivatives(warc.read_warc(spark, str(tmp_path / "r.warc"))).where("warc_type = 'metadata'").collect()
+    envelope = json.loads(bytes(made[0]["block"]))
+    assert envelope["HTTP-Response-Metadata"]["Headers"] == {"Set-Cookie": ["a=1", "b=2", "a=1"], "Content-Type": "text/html", "Link": ["<x>", "<y>"]}
+    assert envelope["WARC-Header-Metadata"] == {"WARC-Type": "response", "WARC-Record-ID": "<urn:x:1>", "WARC-Concurrent-To": ["<urn:x:2>", "<urn:x:3>"], "Content-Length": str(len(block))}
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
     from cellweave.llm import decontaminate, secrets
