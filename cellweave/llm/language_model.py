@@ -1,56 +1,64 @@
 """LM scoring (operator 6): a log-bilinear neural model trained with noise-contrastive estimation.
 
-The corpus is counted once (token counts over all training documents, map-side combined).  Every token with at least
-``MODEL_TOKENS`` training occurrences is a class of the model with embeddings of its own, so the vocabulary follows the
-corpus; all others are one class, inside which a token has its smoothed corpus frequency.  Classes, by frequency, form
-about as many clusters as the square root of their number.  The model predicts the cluster and, inside it, the class from
-the two classes before: the context vector is a position-wise weighted sum of their embeddings, a score is its product
-with an output vector plus a bias.  Every training partition runs noise-contrastive estimation in numpy over all its
-training tokens from one common start and hands on what it changed, in rows it has met; changes are averaged row by row,
-weighted by how often a partition met the row, after a shuffle by row.  Scoring normalises over all clusters and over all
-members of the target's cluster, so log-probabilities add up to one over all tokens.
-
-Classes are found by a 64-bit hash of the token (a sorted array, 16 bytes a class); parameters are broadcast in
-half precision, some 100 bytes a class.  Counts of frequent tokens are broadcast (``HOT_TOKENS`` at most); the others meet
-their counts by a shuffle join on the token, which no frequent token takes part in.
+Tokens are 64-bit hashes of lower-cased words (``words``).  The training fold is counted once, map-side combined.  Every
+token with at least ``MODEL_TOKENS`` training occurrences is a class of the model with embeddings of its own, so the vocabulary
+follows the corpus; the least count doubles only where more than ``MAX_CLASSES`` tokens would be broadcast.  All other tokens are
+one class, inside which a token has its smoothed corpus frequency.  Classes, by frequency, form clusters, and
+clusters form regions, about as many as the cube root of the number of classes at each of the three levels.
+
+Texts are tokenised to class numbers once, and those are written.  Training shards are cut by a hash of the row, one for every
+``SHARD_TOKENS`` training tokens, and read in the hash's order, so the model depends on the rows and not on files,
+partitions or executors.  Each shard runs noise-contrastive estimation in numpy over all its tokens from one common start: the
+context vector is a position-wise weighted sum of the embeddings of the two classes before, a score is its product with an
+output vector plus a bias, at each level.  Shards hand on the rows they changed; changes are averaged row by row, weighted by
+how often a shard met the row, after a shuffle by row.  Scoring normalises by batched matrix products over all regions, the
+clusters of the target's region and the classes of its cluster, so log-probabilities add up to one over all tokens.
+
+Broadcast are the classes' hashes (12 bytes each) and parameters (66 bytes each): some 80 MB at ``MAX_CLASSES``.  Rare tokens
+meet their counts by a shuffle join on the hash, which no frequent token takes part in.
 """
 
 from __future__ import annotations
 
-import hashlib
 import math
 import zlib
-from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellweave.llm.common import materialise, pieces, read_table, utf8
+from cellweave.llm.common import dealt_anew, materialise, pieces, read_table
+from cellweave.llm.words import hash_words
 
-#: Training occurrences that make a token one of the model's: each has its own embeddings, however many there are.
+#: Training occurrences that make a token one of the model's: each has its own embeddings.
 MODEL_TOKENS = 5
-DIMENSIONS = 24
+#: Bound of what is broadcast: with more such tokens the least count doubles until no more than this are left.
+MAX_CLASSES = 1 << 20
+DIMENSIONS = 16
 CONTEXT = 2
-NOISE = 32
-BATCH = 1024
+NOISE = 12
+BATCH = 4096
 RATE = 0.05
 FIRST_SQUARE = 1e-3
 SEED = 11
 #: Different starts of embeddings; a class takes the one of its number modulo this.
 STARTS = 4093
-#: Most tokens whose counts are broadcast; some 10 MB.
-HOT_TOKENS = 200_000
-#: Text bytes a step of training or scoring: each token takes some dozen numbers meanwhile.
+#: Training tokens for each shard (a task each).
+SHARD_TOKENS = 4_000_000
+#: Bytes of text a step of counting and numbering, and of class numbers a step of scoring.
 STEP_BYTES = 4 << 20
+NUMBER_BYTES = 2 << 20
 #: Rows of parameters a batch that tasks hand on.
 ROWS = 20_000
-#: A task hands on its partial counts beyond this many different tokens.
-COUNTED = 300_000
+#: A task hands on its partial counts beyond this many.
+COUNTED = 2_000_000
 
-END = b"\n"  # no word holds white space
+#: Stands for the end of a text among the hashes of words.
+END = np.uint64(0x5851F42D4C957F2D)
+WIDTH = 2 * DIMENSIONS + 1
 
 
 def held_out(doc_id) -> bool:
@@ -58,237 +66,319 @@ def held_out(doc_id) -> bool:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % 5 == 1
 
 
-def _tokens(text: bytes) -> list[bytes]:
-    return [*text.lower().split(), END]
+def _ragged(sizes: np.ndarray, extra: int) -> np.ndarray:
+    """Places of rows' values, one after the other, if ``extra`` places come before each row."""
+    return np.arange(int(sizes.sum())) + np.repeat(extra * np.arange(1, len(sizes) + 1), sizes)
+
+
+def _token_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the texts' tokens, each text's end included, and the tokens of each text."""
+    words, sizes = hash_words(texts, lower=True)
+    out = np.full(len(words) + len(sizes), END, np.uint64)
+    out[_ragged(sizes, 1) - 1] = words
+    return out, sizes + 1
+
+
+def _sums(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+    return keys[first], np.add.reduceat(values[order], first)
 
 
 def _count_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def out(counts: Counter) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], ["token", "c"])
+    def out(held: list) -> pa.RecordBatch:
+        h, c = _sums(*(np.concatenate(x) for x in zip(*held, strict=True)))
+        return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c)], ["h", "c"])
 
-    counts: Counter = Counter()
-    for part in pieces(batches, "text"):
-        for doc_id, text in zip(part.column("doc_id").to_pylist(), utf8(part.column("text")), strict=True):
-            if not held_out(doc_id):
-                counts.update(_tokens(text))
-        if len(counts) > COUNTED:
-            yield out(counts)
-            counts = Counter()
-    yield out(counts)
+    held, waiting = [], 0
+    for part in pieces(batches, "text", STEP_BYTES):
+        h, c = np.unique(_token_hashes(part.column("text"))[0], return_counts=True)
+        held.append((h, c))
+        waiting += len(h)
+        if waiting > COUNTED:
+            yield out(held)
+            held, waiting = [], 0
+    if held:
+        yield out(held)
 
 
-def _hash(tokens: Iterable[bytes]) -> np.ndarray:
-    """64-bit hashes of tokens."""
-    return np.frombuffer(b"".join(hashlib.blake2b(t, digest_size=8).digest() for t in tokens), np.int64)
+def _bounds(weights: np.ndarray, parts: int) -> np.ndarray:
+    """Begins of about ``parts`` neighbourhoods of equal weight, and the end."""
+    upto = np.cumsum(weights)
+    number = np.minimum(np.concatenate(([0.0], upto[:-1])) / upto[-1] * parts, parts - 1).astype(np.int64)
+    return np.concatenate((np.flatnonzero(np.concatenate(([True], number[1:] != number[:-1]))), [len(weights)]))
 
 
-def _hash_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        yield pa.RecordBatch.from_arrays([pa.array(_hash(batch.column("token").to_pylist())), batch.column("c")], ["h", "c"])
+class Level(NamedTuple):
+    """One level of the output: every class's group there, the groups' first members one level below, and their log-priors."""
+
+    of_class: np.ndarray
+    begins: np.ndarray
+    log_prior: np.ndarray
 
 
-def _clusters(frequency: np.ndarray) -> np.ndarray:
-    """First class of each cluster, and the number of classes: class 0 alone, the others in order by equal sums of square roots."""
-    if len(frequency) == 1:
-        return np.array([0, 1])
-    upto = np.cumsum(np.sqrt(frequency[1:]))
-    number = np.minimum(np.concatenate(([0.0], upto[:-1])) / upto[-1] * math.ceil(math.sqrt(len(upto))), len(upto)).astype(np.int64)
-    return np.concatenate(([0], 1 + np.flatnonzero(np.concatenate(([True], number[1:] != number[:-1]))), [len(frequency)]))
+def _levels(frequency: np.ndarray) -> list[Level]:
+    """Regions, clusters and classes.  Class 0 (all other tokens) is alone in its cluster, and that in its region."""
+    k = len(frequency) - 1
+    prior = frequency / frequency.sum()
+    classes = Level(np.arange(k + 1, dtype=np.int32), np.arange(k + 2), np.log(prior))
+    if not k:
+        alone = Level(np.zeros(1, np.int32), np.array([0, 1]), np.zeros(1))
+        return [alone, alone, classes]
+    clusters = np.concatenate(([0], 1 + _bounds(np.sqrt(prior[1:]), math.ceil(k ** (2 / 3)))))
+    cluster_prior = np.add.reduceat(prior, clusters[:-1])
+    regions = np.concatenate(([0], 1 + _bounds(np.sqrt(cluster_prior[1:]), math.ceil(k ** (1 / 3)))))
+    cluster_of = np.repeat(np.arange(len(clusters) - 1, dtype=np.int32), np.diff(clusters))
+    region_of = np.repeat(np.arange(len(regions) - 1, dtype=np.int32), np.diff(regions))
+    return [
+        Level(region_of[cluster_of], regions, np.log(np.add.reduceat(cluster_prior, regions[:-1]))),
+        Level(cluster_of, clusters, np.log(cluster_prior)),
+        classes,
+    ]
 
 
 class Model:
-    """Parameters: input embeddings, position weights, output embeddings and biases, over classes 0 (others) to K and clusters.
+    """Parameters: input embeddings, position weights, and output embeddings with biases at three levels, over classes 0 to K.
 
     Tables of classes hold the changes from the start, so that memory is taken for rows which training meets.
     """
 
-    def __init__(self, classes: int, log_prior: np.ndarray):
+    def __init__(self, frequency: np.ndarray):
         random = np.random.default_rng(SEED)
-        self.log_prior = log_prior  # natural logarithm of each class's frequency: the noise distribution
-        self.starts = _clusters(np.exp(log_prior))
-        sizes = np.diff(self.starts)
-        self.cluster = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
-        self.cluster_prior = np.log(np.add.reduceat(np.exp(log_prior), self.starts[:-1]))
+        self.levels = _levels(frequency)
+        self.classes = len(frequency)
         self.start_inputs = random.normal(0, 0.1, (STARTS, DIMENSIONS)).astype(np.float32)
         self.start_outputs = random.normal(0, 0.1, (STARTS, DIMENSIONS)).astype(np.float32)
-        self.inputs = np.zeros((classes, DIMENSIONS), np.float32)
+        self.inputs = np.zeros((self.classes, DIMENSIONS), np.float32)
         self.weights = np.ones((CONTEXT, DIMENSIONS), np.float32)
-        self.outputs = np.zeros((classes, DIMENSIONS), np.float32)
-        self.bias = np.zeros(classes, np.float32)
-        self.cluster_outputs = np.zeros((len(sizes), DIMENSIONS), np.float32)
-        self.cluster_bias = np.zeros(len(sizes), np.float32)
-        self.squares = [np.zeros(n, np.float32) for n in (classes, classes, classes, len(sizes), len(sizes))]  # AdaGrad's, for as long as training goes on
-        self.met = np.zeros(classes, np.float32)  # how often a class was a target or noise
+        sizes = [len(x.log_prior) for x in self.levels]
+        self.outputs = [np.zeros((n, DIMENSIONS), np.float32) for n in sizes]
+        self.biases = [np.zeros(n, np.float32) for n in sizes]
+        # AdaGrad's, for as long as training goes on.
+        self.input_squares = np.zeros(self.classes, np.float32)
+        self.squares = [(np.zeros(n, np.float32), np.zeros(n, np.float32)) for n in sizes]
+        self.met = [np.zeros(n, np.float32) for n in sizes]
+        self.upto = [np.cumsum(np.exp(x.log_prior)) for x in self.levels]
+        self.random = random
 
     def input_of(self, rows: np.ndarray) -> np.ndarray:
-        return self.inputs[rows] + self.start_inputs[rows % STARTS]
-
-    def output_of(self, rows: np.ndarray) -> np.ndarray:
-        return self.outputs[rows] + self.start_outputs[rows % STARTS]
-
-    def pack(self, seen: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """Numbers, weights and changes of the rows met: classes, then clusters, then position weights."""
-        classes, clusters = len(self.bias), len(self.cluster_bias)
-        rows = np.flatnonzero(self.met)
-        for at in range(0, len(rows), ROWS):
-            part = rows[at : at + ROWS]
-            yield part, self.met[part].astype(np.float64), np.hstack((self.inputs[part], self.outputs[part], self.bias[part, None]))
-        tail = np.zeros((clusters + CONTEXT, 2 * DIMENSIONS + 1), np.float32)
-        tail[:clusters, DIMENSIONS : 2 * DIMENSIONS], tail[:clusters, -1] = self.cluster_outputs, self.cluster_bias
-        tail[clusters:, :DIMENSIONS] = self.weights - 1
-        yield classes + np.arange(len(tail)), np.full(len(tail), float(seen)), tail
+        return self.inputs.take(rows, axis=0) + self.start_inputs.take(rows % STARTS, axis=0)
+
+    def output_of(self, level: int, rows: np.ndarray) -> np.ndarray:
+        found = self.outputs[level].take(rows, axis=0)
+        return found + self.start_outputs.take(rows % STARTS, axis=0) if level == 2 else found
+
+    def pack(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Numbers, weights and changes of the rows met: classes, then clusters, regions and position weights."""
+        at = 0
+        for level in (2, 1, 0):
+            met = self.met[level]
+            rows = np.flatnonzero(met)
+            for i in range(0, len(rows), ROWS):
+                part = rows[i : i + ROWS]
+                x = np.zeros((len(part), WIDTH), np.float32)
+                x[:, DIMENSIONS:-1], x[:, -1] = self.outputs[level][part], self.biases[level][part]
+                if level == 2:
+                    x[:, :DIMENSIONS] = self.inputs[part]
+                yield at + part, met[part].astype(np.float64), x
+            at += len(met)
+        x = np.zeros((CONTEXT, WIDTH), np.float32)
+        x[:, :DIMENSIONS] = self.weights - 1
+        yield at + np.arange(CONTEXT), np.full(CONTEXT, max(1.0, float(self.met[0].sum()))), x
+
+    def rows(self) -> int:
+        return sum(map(len, self.biases)) + CONTEXT
 
     def unpack(self, rows: np.ndarray) -> None:
-        classes, clusters = len(self.bias), len(self.cluster_bias)
-        body, tail = rows[:classes], rows[classes:].astype(np.float32)
-        self.inputs, self.outputs, self.bias = body[:, :DIMENSIONS], body[:, DIMENSIONS : 2 * DIMENSIONS], body[:, -1].astype(np.float32)
-        self.cluster_outputs, self.cluster_bias = tail[:clusters, DIMENSIONS : 2 * DIMENSIONS].copy(), tail[:clusters, -1].copy()
-        self.weights = 1 + tail[clusters:, :DIMENSIONS]
-
-    def train(self, target: np.ndarray, first: np.ndarray, second: np.ndarray) -> None:
-        """One pass of noise-contrastive estimation over events: a class and the two classes before it.
-
-        The normaliser is held at one while training, as usual; noise samples (classes, and clusters) are shared by a batch.
-        Steps are AdaGrad's, by row.
+        at = 0
+        rows = rows.astype(np.float32)
+        self.inputs = rows[: self.classes, :DIMENSIONS]
+        for level in (2, 1, 0):
+            part = rows[at : at + len(self.biases[level])]
+            self.outputs[level], self.biases[level] = np.ascontiguousarray(part[:, DIMENSIONS:-1]), part[:, -1].copy()
+            at += len(part)
+        self.weights = 1 + rows[at:, :DIMENSIONS]
+
+    def train(self, ids: np.ndarray, is_target: np.ndarray) -> None:
+        """One step of noise-contrastive estimation over successive classes; those of ``is_target`` are predicted from the two before.
+
+        At every level the normaliser is held at one, as usual, and the noise samples are shared by the batch.  Steps are
+        AdaGrad's, by row.
         """
-        random = np.random.default_rng(SEED)
-        cumulative, cluster_cumulative = np.cumsum(np.exp(self.log_prior)), np.cumsum(np.exp(self.cluster_prior))
-        draw = lambda upto: np.minimum(np.searchsorted(upto, random.random(NOISE) * upto[-1]), len(upto) - 1)
-        order = random.permutation(len(target))
-        for at in range(0, len(order), BATCH):
-            chosen = order[at : at + BATCH]
-            w, a, b = target[chosen], first[chosen], second[chosen]
-            noise, cluster, cluster_noise = draw(cumulative), self.cluster[w], draw(cluster_cumulative)
-            np.add.at(self.met, w, 1)
-            np.add.at(self.met, noise, 1)
-            ea, eb = self.input_of(a), self.input_of(b)
-            hidden = ea * self.weights[0] + eb * self.weights[1]
-            to_hidden = self._contrast(hidden, w, noise, self.output_of, self.outputs, self.bias, self.squares[1:3])
-            to_hidden += self._contrast(hidden, cluster, cluster_noise, self.cluster_outputs.__getitem__, self.cluster_outputs, self.cluster_bias, self.squares[3:])
-            self._step(self.inputs, self.squares[0], np.concatenate((a, b)), np.vstack((to_hidden * self.weights[0], to_hidden * self.weights[1])))
-            n = len(chosen)
-            self.weights += RATE / 10 * np.vstack(((to_hidden * ea).sum(0), (to_hidden * eb).sum(0))) / n
-
-    def _contrast(self, hidden, w, noise, output_of, outputs, bias, squares) -> np.ndarray:
-        """Steps of one level's outputs and biases (changes from its log-prior); the gradient of the hidden vectors."""
-        own, other = output_of(w), output_of(noise)
+        order = np.argsort(ids, kind="stable")
+        ordered = ids[order]
+        first = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
+        rows = ordered[first]
+        place = np.empty(len(ids), np.int64)
+        place[order] = np.repeat(np.arange(len(rows)), np.diff(np.append(first, len(ids))))
+        embedded = self.input_of(rows).take(place, axis=0)
+        targets = order[is_target[order]]  # sorted by class, and so by cluster and region
+        if not len(targets):
+            return
+        before, earlier = embedded.take(targets - 1, axis=0), embedded.take(targets - 2, axis=0)
+        hidden = before * self.weights[0] + earlier * self.weights[1]
+        classes = ids[targets]
+        to_hidden = np.zeros_like(hidden)
+        for level in range(3):
+            self._contrast(level, hidden, self.levels[level].of_class[classes], to_hidden)
+        gradient = np.zeros((len(ids), DIMENSIONS), np.float32)
+        gradient[targets - 1] = to_hidden * self.weights[0]
+        gradient[targets - 2] += to_hidden * self.weights[1]
+        self._step(self.inputs, self.input_squares, rows, np.add.reduceat(gradient.take(order, axis=0), first, axis=0))
+        n = len(targets)
+        self.weights += RATE / 10 / n * np.vstack((np.einsum("ij,ij->j", to_hidden, before), np.einsum("ij,ij->j", to_hidden, earlier)))
+
+    def _contrast(self, level: int, hidden: np.ndarray, groups: np.ndarray, to_hidden: np.ndarray) -> None:
+        """Steps of one level's outputs and biases (changes from its log-prior); adds the gradient of the hidden vectors."""
+        upto, bias = self.upto[level], self.biases[level]
+        drawn = np.minimum(np.searchsorted(upto, self.random.random(NOISE) * upto[-1]), len(upto) - 1)
+        noise, times = np.unique(drawn, return_counts=True)
+        first = np.flatnonzero(np.concatenate(([True], groups[1:] != groups[:-1])))
+        counts = np.diff(np.append(first, len(groups)))
+        rows = groups[first]
+        own, other = self.output_of(level, rows).take(np.repeat(np.arange(len(rows)), counts), axis=0), self.output_of(level, noise)
         # Score minus log-prior: the prior is the start of the bias.
-        data = np.einsum("ij,ij->i", hidden, own) + bias[w] - math.log(NOISE)
-        fake = hidden @ other.T + bias[noise] - math.log(NOISE)
+        shift = np.float32(math.log(NOISE))
+        data = np.einsum("ij,ij->i", hidden, own)
+        data += np.repeat(bias[rows] - shift, counts)
+        fake = hidden @ other.T
+        fake += bias[noise] - shift
         # Gradients of the log-likelihood "data or noise".
-        gd = (1 / (1 + np.exp(np.clip(data, -30, 30)))).astype(np.float32)
-        gf = (-1 / (1 + np.exp(np.clip(-fake, -30, 30)))).astype(np.float32)
-        rows = np.concatenate((w, noise))
-        self._step(outputs, squares[0], rows, np.vstack((gd[:, None] * hidden, gf.T @ hidden)))
-        self._step(bias[:, None], squares[1], rows, np.concatenate((gd, gf.sum(0)))[:, None])
-        return gd[:, None] * own + gf @ other
+        gd = 1 / (1 + np.exp(np.minimum(data, 30)))
+        gf = -times.astype(np.float32) / (1 + np.exp(np.minimum(-fake, 30)))
+        to_hidden += gd[:, None] * own
+        to_hidden += gf @ other
+        outputs, (squares, bias_squares), met = self.outputs[level], self.squares[level], self.met[level]
+        self._step(outputs, squares, rows, np.add.reduceat(gd[:, None] * hidden, first, axis=0))
+        self._step(bias[:, None], bias_squares, rows, np.add.reduceat(gd, first)[:, None])
+        self._step(outputs, squares, noise, gf.T @ hidden)
+        self._step(bias[:, None], bias_squares, noise, gf.sum(0)[:, None])
+        met[rows] += counts
+        met[noise] += times
 
     @staticmethod
-    def _step(table: np.ndarray, squares: np.ndarray, rows: np.ndarray, gradient: np.ndarray) -> None:
-        order = np.argsort(rows, kind="stable")
-        ordered = rows[order]
-        first = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
-        total = np.add.reduceat(gradient[order], first, axis=0)
-        hit = ordered[first]
-        squares[hit] += (total * total).mean(axis=1)
-        table[hit] += RATE * total / np.sqrt(FIRST_SQUARE + squares[hit])[:, None]
-
-    def log_probabilities(self, target: np.ndarray, first: np.ndarray, second: np.ndarray) -> np.ndarray:
-        """Natural log-probabilities, normalised over all classes: of the cluster, and of the class inside it."""
-        classes, clusters = len(self.bias), len(self.cluster_bias)
-        contexts, which = np.unique(first.astype(np.int64) * classes + second, return_inverse=True)
-        hidden = self.input_of(contexts // classes) * self.weights[0] + self.input_of(contexts % classes) * self.weights[1]
-        cluster_bias = (self.cluster_bias + self.cluster_prior).astype(np.float32)
-        norms = _log_sums(hidden, self.cluster_outputs, cluster_bias)
-        out = np.empty(len(target), np.float64)
-        cluster = self.cluster[target].astype(np.int64)
-        for at in range(0, len(target), 1 << 18):
-            part = slice(at, at + (1 << 18))
-            c = cluster[part]
-            out[part] = np.einsum("ij,ij->i", hidden[which[part]], self.cluster_outputs[c]) + cluster_bias[c] - norms[which[part]]
-        order = np.argsort(cluster, kind="stable")
-        ends = np.cumsum(np.bincount(cluster, minlength=clusters))
-        for c in np.flatnonzero(np.diff(ends, prepend=0)).tolist():
-            low, high = int(self.starts[c]), int(self.starts[c + 1])
-            if high - low == 1:
-                continue
-            events = order[ends[c - 1] : ends[c]]  # never of cluster 0, which has one class
-            members = np.arange(low, high)
-            table, bias = self.output_of(members), (self.bias[members] + self.log_prior[members]).astype(np.float32)
-            needed, place = np.unique(which[events], return_inverse=True)
-            rows = hidden[needed]
-            at = target[events] - low
-            out[events] += np.einsum("ij,ij->i", rows[place], table[at]) + bias[at] - _log_sums(rows, table, bias)[place]
-        return out
-
-
-def _log_sums(hidden: np.ndarray, outputs: np.ndarray, bias: np.ndarray) -> np.ndarray:
-    """Logarithm of the sum of exponentials of all scores, for each context vector."""
-    out = np.empty(len(hidden), np.float64)
-    step = max(1, (1 << 19) // len(bias))
-    for at in range(0, len(hidden), step):
-        scores = hidden[at : at + step] @ outputs.T
+    def _step(table: np.ndarray, squares: np.ndarray, rows: np.ndarray, total: np.ndarray) -> None:
+        squares[rows] += np.einsum("ij,ij->i", total, total) / total.shape[1]
+        table[rows] += total * (RATE / np.sqrt(FIRST_SQUARE + squares[rows]))[:, None]
+
+    def finish(self) -> None:
+        """Add the starts to the tables of classes; after that the model scores and no longer trains."""
+        rows = np.arange(self.classes)
+        self.inputs, self.outputs[2] = self.input_of(rows), self.output_of(2, rows)
+
+    def log_probabilities(self, ids: np.ndarray, targets: np.ndarray) -> np.ndarray:
+        """Natural log-probabilities of the classes at ``targets``, normalised over all classes: of the region, of the cluster in
+        it, and of the class in that."""
+        order = np.argsort(ids[targets], kind="stable")
+        at = targets[order]
+        classes = ids[at]
+        hidden = self.inputs.take(ids[at - 1], axis=0) * self.weights[0] + self.inputs.take(ids[at - 2], axis=0) * self.weights[1]
+        out = np.zeros(len(at), np.float64)
+        ends = np.array([len(at)])
+        above = np.array([0, len(self.biases[0])])
+        for level in range(3):
+            groups = self.levels[level].of_class[classes]
+            begin = 0
+            for parent, end in enumerate(ends.tolist()):
+                low, high = int(above[parent]), int(above[parent + 1])
+                if end > begin and high - low > 1:
+                    bias = self.biases[level][low:high] + self.levels[level].log_prior[low:high].astype(np.float32)
+                    _add_log_softmax(out, hidden, groups, begin, end, low, self.outputs[level][low:high], bias)
+                begin = end
+            ends = np.cumsum(np.bincount(groups, minlength=len(self.biases[level])))
+            above = self.levels[level].begins
+        back = np.empty_like(out)
+        back[order] = out
+        return back
+
+
+def _add_log_softmax(out: np.ndarray, hidden: np.ndarray, groups: np.ndarray, begin: int, end: int, low: int, table: np.ndarray, bias: np.ndarray) -> None:
+    """Add the log-softmax of rows [begin, end) for their groups, over the groups of ``table`` from number ``low`` on."""
+    step = max(1, (1 << 18) // len(bias))
+    turned, ones = np.ascontiguousarray(table.T), np.ones(len(bias), np.float32)
+    for i in range(begin, end, step):
+        part = slice(i, min(end, i + step))
+        scores = hidden[part] @ turned
         scores += bias
-        top = scores.max(axis=1)
-        scores -= top[:, None]
-        out[at : at + step] = top + np.log(np.exp(scores, out=scores).sum(axis=1))
-    return out
+        own = scores[np.arange(len(scores)), groups[part] - low]
+        top = np.float32(0)
+        if max(scores.max(), -own.min()) > 60:  # beyond single precision's exponents
+            top = scores.max(axis=1)
+            scores -= top[:, None]
+        out[part] += own - top - np.log(np.exp(scores, out=scores) @ ones)
 
 
-def _events(texts: list[bytes], hashes: np.ndarray, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Class of every token of the texts, of the two before it (an end before the beginning), and tokens a text.
+def _sharded(model_of):
+    """Train a model on each shard of rows (ids, shard) that are sorted by shard; the rows that it changed.
 
-    ``hashes`` are those of the model's tokens, sorted, and ``numbers`` their classes.
+    A shard's texts form one sequence of classes, each text after ``CONTEXT`` ends, that is cut at every ``BATCH`` places however
+    the rows come in.
     """
-    split = [text.lower().split() for text in texts]
-    words = list({END}.union(*split))
-    found = np.zeros(len(words), np.int64)
-    if len(hashes):
-        wanted = _hash(words)
-        at = np.minimum(np.searchsorted(hashes, wanted), len(hashes) - 1)
-        found = np.where(hashes[at] == wanted, numbers[at], 0).astype(np.int64)
-    classes = dict(zip(words, found.tolist(), strict=True))
-    get, end = classes.__getitem__, classes[END]
-    padded, sizes = [], []
-    for words in split:
-        row = np.empty(len(words) + 1 + CONTEXT, np.int64)
-        row[:CONTEXT], row[-1] = end, end
-        row[CONTEXT:-1] = np.fromiter(map(get, words), np.int64, len(words))
-        padded.append(row)
-        sizes.append(len(words) + 1)
-    flat = np.concatenate(padded) if padded else np.empty(0, np.int64)
-    starts = np.concatenate(([0], np.cumsum(np.array(sizes, np.int64) + CONTEXT)))[:-1]
-    at = np.repeat(starts + CONTEXT, sizes) + np.arange(sum(sizes)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    return flat[at], flat[at - 1], flat[at - 2], np.array(sizes, np.int64)
 
+    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, shard, held, waiting = None, None, [], 0
+
+        def steps(last: bool) -> None:
+            nonlocal held, waiting
+            ids, is_target = (np.concatenate(x) for x in zip(*held, strict=True))
+            at = CONTEXT
+            while at < len(ids) and (last or at + BATCH <= len(ids)):
+                part = slice(at - CONTEXT, min(len(ids), at + BATCH))
+                wanted = is_target[part].copy()
+                wanted[:CONTEXT] = False
+                model.train(ids[part], wanted)
+                at += BATCH
+            held, waiting = [(ids[at - CONTEXT :], is_target[at - CONTEXT :])], max(0, len(ids) - at)
+
+        def close() -> Iterator[pa.RecordBatch]:
+            if model is not None:
+                steps(True)
+                for each in model.pack():
+                    yield _rows(*each)
+
+        for part in pieces(batches, "ids", NUMBER_BYTES):
+            shards = part.column("shard").to_numpy()
+            cuts = np.flatnonzero(np.concatenate(([True], shards[1:] != shards[:-1], [True])))
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if shards[a] != shard:
+                    yield from close()
+                    (model, end), shard, held, waiting = model_of(), shards[a], [], 0
+                ids, sizes = _ids(part.column("ids").slice(a, b - a))
+                places = _ragged(sizes, CONTEXT)
+                flat, is_target = np.full(len(ids) + CONTEXT * len(sizes), end, np.int32), np.zeros(len(ids) + CONTEXT * len(sizes), bool)
+                flat[places], is_target[places] = ids, True
+                held.append((flat, is_target))
+                waiting += len(flat)
+                if waiting >= 16 * BATCH:
+                    steps(False)
+        yield from close()
 
-PARAMETER_SCHEMA = "row long, weight double, x binary"
+    return train
 
 
-def _rows(rows: np.ndarray, weights: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
-    """Rows of ``PARAMETER_SCHEMA``: numbers in half precision."""
-    return pa.RecordBatch.from_arrays([pa.array(rows), pa.array(weights), pa.array([r.tobytes() for r in x.astype(np.float16)], pa.binary())], ["row", "weight", "x"])
+def _ids(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All texts' classes, and the tokens of each text."""
+    offsets = np.frombuffer(column.buffers()[1], np.int32 if pa.types.is_binary(column.type) else np.int64)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].view(np.int32), np.diff(offsets).astype(np.int64) // 4
 
 
-def _numbers(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.float16).reshape(len(column), 2 * DIMENSIONS + 1)
+PARAMETER_SCHEMA = "row long, weight double, x binary"
 
 
-def _train_partition(shipped):
-    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, numbers, log_prior = shipped.value
-        model, seen = Model(len(log_prior), log_prior), 0
-        for part in pieces(batches, "text", STEP_BYTES):
-            texts = [t for d, t in zip(part.column("doc_id").to_pylist(), utf8(part.column("text")), strict=True) if not held_out(d)]
-            if texts:
-                target, first, second, _ = _events(texts, hashes, numbers)
-                model.train(target, first, second)
-                seen += len(target)
-        if seen:
-            for each in model.pack(seen):
-                yield _rows(*each)
+def _binary(data: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """Binary values of ``sizes`` bytes, one after the other in ``data``."""
+    offsets = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))])
 
-    return train
+
+def _rows(rows: np.ndarray, weights: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
+    """Rows of ``PARAMETER_SCHEMA``: numbers in half precision."""
+    return pa.RecordBatch.from_arrays([pa.array(rows), pa.array(weights), _binary(x.astype(np.float16), np.full(len(rows), 2 * WIDTH))], ["row", "weight", "x"])
+
+
+def _parameters(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.float16).reshape(len(column), WIDTH)
 
 
 def _average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -296,7 +386,8 @@ def _average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def merged(held):
         rows, weights, x = (np.concatenate(c) for c in zip(*held, strict=True))
-        order = np.argsort(rows, kind="stable")
+        # In an order that does not depend on which shard's changes came first.
+        order = np.lexsort((x[:, -1], weights, rows))
         rows = rows[order]
         first = np.flatnonzero(np.concatenate(([True], rows[1:] != rows[:-1])))
         return [(rows[first], np.add.reduceat(weights[order], first), np.add.reduceat(x[order], first, axis=0))]
@@ -306,7 +397,7 @@ def _average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not batch.num_rows:
             continue
         weights = batch.column("weight").to_numpy()
-        held.append((batch.column("row").to_numpy(), weights, (_numbers(batch.column("x")) * weights[:, None]).astype(np.float32)))
+        held.append((batch.column("row").to_numpy(), weights, _parameters(batch.column("x")) * weights[:, None]))
         waiting += batch.num_rows
         if waiting > max(5 * ROWS, len(held[0][0])):
             held, waiting = merged(held), 0
@@ -317,112 +408,139 @@ def _average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield _rows(rows[part], weights[part], x[part] / weights[part, None])
 
 
-def _score_partition(shipped):
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, numbers, log_prior, parameters, hot, total, distinct, others, other_kinds = shipped.value
-        model = Model(len(log_prior), log_prior)
-        if parameters is not None:
-            model.unpack(parameters)
-        width = math.log10(total + 0.5 * (distinct + 1))
-        base = {token: math.log10(c + 0.5) for token, c in hot.items()}
-        base_of, inside = base.get, math.log10(others + 0.5 * (other_kinds + 1))
-        for part in pieces(batches, "text", STEP_BYTES):
-            ids, texts = part.column("doc_id").to_pylist(), utf8(part.column("text"))
-            target, first, second, sizes = _events(texts, hashes, numbers)
-            natural = model.log_probabilities(target, first, second) / math.log(10)
-            ends = np.cumsum(sizes)
-            cumulative = np.concatenate(([0.0], np.cumsum(natural)))
-            neural = cumulative[ends] - cumulative[ends - sizes]
-            rows: list[list] = [[], [], [], [], []]
-            for i, text in enumerate(texts):
-                tokens = _tokens(text)
-                known = [base_of(t) for t in tokens]
-                rare = Counter(t for t, x in zip(tokens, known, strict=True) if x is None)
-                n_rare = sum(rare.values())
-                found = math.fsum(x for x in known if x is not None)
-                # Hot tokens outside the model's classes: their share of the class of others.
-                other = np.flatnonzero(target[ends[i] - sizes[i] : ends[i]] == 0).tolist()
-                outside, n_other = math.fsum(known[j] for j in other if known[j] is not None), len(other)
-                rows[0].append(len(tokens) - n_rare)
-                rows[1].append(found - width * len(tokens))
-                rows[2].append(float(neural[i]) + outside - inside * n_other)
-                rows[3].append([{"token": t, "tf": n} for t, n in rare.items()])
-                rows[4].append(held_out(ids[i]))
-            rare_kind = pa.list_(pa.struct([("token", pa.binary()), ("tf", pa.int64())]))
-            columns = [part.column("doc_id"), pa.array(rows[4], pa.bool_()), pa.array(sizes), pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.float64()), pa.array(rows[2], pa.float64()), pa.array(rows[3], rare_kind)]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "held_out", "n_tokens", "known", "base", "model", "rare"])
+class Vocabulary(NamedTuple):
+    """The model's tokens: sorted hashes with their classes; occurrences of every class, and of class 0 its kinds."""
 
-    return score
+    hashes: np.ndarray
+    numbers: np.ndarray
+    counts: np.ndarray  #: of classes 0 (all other tokens) to K
+    kinds: int
+
+    def classes_of(self, hashes: np.ndarray) -> np.ndarray:
+        if not len(self.hashes):
+            return np.zeros(len(hashes), np.int32)
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        return np.where(self.hashes[at] == hashes, self.numbers[at], 0).astype(np.int32)
 
+    def frequency(self) -> np.ndarray:
+        out = self.counts.astype(np.float64)
+        out[0] += 0.5 * (self.kinds + 1)
+        return out
 
-def frequent_tokens(counts: DataFrame) -> dict[bytes, int]:
-    """The tokens with at least 2^k occurrences, most frequent first, for the least k that leaves at most ``HOT_TOKENS``.
+    def end(self) -> int:
+        return int(self.classes_of(np.array([END]))[0])
 
-    One aggregation finds k, so that only these tokens travel to the driver; a top-k would bring one from every task.
-    """
-    powers = range(63)
-    above = counts.agg(*[F.count_if(F.col("c") >= (1 << k)).alias(f"n{k}") for k in powers]).first()
-    least = next(k for k in powers if above[k] <= HOT_TOKENS)
-    found = counts.where(F.col("c") >= (1 << least)).toArrow()
-    return dict(sorted(zip(found["token"].to_pylist(), found["c"].to_pylist(), strict=True), key=lambda x: (-x[1], x[0])))
-
-
-def _vocabulary(counts: DataFrame, total: int, distinct: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int, int]:
-    """Sorted hashes of the model's tokens, their classes (by frequency, from 1), the log-frequencies of all classes, and the
-    occurrences and kinds of the other tokens."""
-    found = counts.where(F.col("c") >= MODEL_TOKENS).mapInArrow(_hash_tokens, "h long, c long").toArrow()
-    hashes, c = found["h"].to_numpy(), found["c"].to_numpy()
+
+def _vocabulary(counts: DataFrame, total: int, distinct: int) -> Vocabulary:
+    """All tokens with at least ``MODEL_TOKENS`` occurrences, or twice, four times ... as many where they are too many to broadcast."""
+    least = [MODEL_TOKENS << k for k in range(48)]
+    above = counts.agg(*[F.count_if(F.col("c") >= n).alias(f"n{n}") for n in least]).first()
+    found = counts.where(F.col("c") >= next(n for n in least if above[f"n{n}"] <= MAX_CLASSES)).toArrow()
+    hashes, c = found["h"].to_numpy().view(np.uint64), found["c"].to_numpy()
     order = np.lexsort((hashes, -c))
     hashes, c = hashes[order], c[order]
-    others, kinds = total - int(c.sum()), distinct - len(c)
-    frequency = np.concatenate(([others + 0.5 * (kinds + 1)], c.astype(np.float64)))
     by_hash = np.argsort(hashes, kind="stable")
-    return hashes[by_hash], (by_hash + 1).astype(np.int32), np.log(frequency / frequency.sum()), others, kinds
+    return Vocabulary(hashes[by_hash], (by_hash + 1).astype(np.int32), np.concatenate(([total - int(c.sum())], c)), distinct - len(c))
+
+
+def _number(shipped):
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each text's classes, and the hashes of its tokens outside the model."""
+        vocabulary: Vocabulary = shipped.value
+        logs = np.log10(vocabulary.counts + 0.5)
+        logs[0] = 0
+        for part in pieces(batches, "text", STEP_BYTES):
+            hashes, sizes = _token_hashes(part.column("text"))
+            ids = vocabulary.classes_of(hashes)
+            begins = np.cumsum(sizes) - sizes
+            other = ids == 0
+            n_other = np.add.reduceat(other, begins, dtype=np.int64)
+            rare = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n_other))), pa.int32()), pa.array(hashes[other].view(np.int64)))
+            columns = [part.column("doc_id"), part.column("held_out"), part.column("key"), pa.array(sizes), pa.array(n_other), pa.array(np.add.reduceat(logs[ids], begins)), _binary(ids, 4 * sizes), rare]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "held_out", "key", "n_tokens", "n_other", "logs", "ids", "rare"])
+
+    return number
+
+
+def _score(shipped):
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frequency, end, parameters = shipped.value
+        model = Model(frequency)
+        if parameters is not None:
+            model.unpack(parameters)
+        model.finish()
+        others = ["doc_id", "held_out", "rid", "n_tokens", "n_other", "logs"]
+        for part in pieces(batches, "ids", NUMBER_BYTES):
+            ids, sizes = _ids(part.column("ids"))
+            places = _ragged(sizes, CONTEXT)
+            flat = np.full(len(ids) + CONTEXT * len(sizes), end, np.int32)
+            flat[places] = ids
+            # A text longer than a step is scored in several.
+            natural = np.concatenate([model.log_probabilities(flat, places[at : at + NUMBER_BYTES // 4]) for at in range(0, len(places), NUMBER_BYTES // 4)])
+            neural = np.add.reduceat(natural, np.cumsum(sizes) - sizes) / math.log(10)
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in others), pa.array(neural)], [*others, "neural"])
+
+    return score
 
 
 def fit_and_score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` for every row.
 
-    Learns from the rows that are not held out, scores all.  Null and blank texts are one end token.  Repeated rows count
-    and are scored each; a null id is text "" for the fold.  Without any training rows every token is unknown (N = V = 0)
-    and the model is uniform over its single class.  An empty table gives an empty result.  ``score`` is
-    normalised over the known tokens and one unknown.
+    Learns from the rows that are not held out, scores all.  Null and blank texts are one end token; texts of any length are
+    taken whole.  Repeated rows count and are scored each; a null id is text "" for the fold.  Without any training rows every
+    token is unknown (N = V = 0) and the model is uniform over its single class.  An empty table gives an empty result.  Other
+    columns of ``df``, whatever their names, are not read.  ``score`` is normalised over the known tokens and one unknown.
     """
     context = df.sparkSession.sparkContext
-    docs = df.select(df[id_col].alias("doc_id"), df[text_col].alias("text"))
-    counts = materialise(docs.mapInArrow(_count_tokens, "token binary, c long").groupBy("token").agg(F.sum("c").alias("c")), "counts")
+    ident = F.coalesce(df[id_col].cast("string"), F.lit(""))
+    docs = df.select(
+        df[id_col].alias("doc_id"),
+        (F.pmod(F.crc32(ident), F.lit(5)) == 1).alias("held_out"),
+        F.xxhash64(ident, df[text_col]).alias("key"),
+        df[text_col].alias("text"),
+    )
+    counts = docs.where("not held_out").select("text").mapInArrow(_count_tokens, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
+    counts = materialise(counts, "counts")
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    hot = frequent_tokens(counts)
-    hashes, numbers, log_prior, others, kinds = _vocabulary(counts, total, distinct)
+    vocabulary = _vocabulary(counts, total, distinct)
+    frequency, end = vocabulary.frequency(), vocabulary.end()
 
-    for_training = context.broadcast((hashes, numbers, log_prior))
-    trained = docs.mapInArrow(_train_partition(for_training), PARAMETER_SCHEMA)
-    averaged = trained.repartition("row").mapInArrow(_average, PARAMETER_SCHEMA).select("row", "x").toArrow()  # as many rows as classes met
+    kind = df.schema[id_col].dataType.simpleString()
+    schema = f"doc_id {kind}, held_out boolean, key long, n_tokens long, n_other long, logs double, ids binary, rare array<long>"
+    numbered = docs.mapInArrow(_number(context.broadcast(vocabulary)), schema).withColumn("rid", F.monotonically_increasing_id())
+    numbered = materialise(numbered, "numbered")
+
+    shards = max(1, math.ceil(total / SHARD_TOKENS))
+    started = context.broadcast(frequency)
+    learning = numbered.where("not held_out").select("ids", F.pmod("key", F.lit(shards)).cast("int").alias("shard"), "key")
+    learning = learning.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "key").select("ids", "shard")
+    changes = learning.mapInArrow(_sharded(lambda: (Model(started.value), end)), PARAMETER_SCHEMA)
+    averaged = changes.repartition("row").mapInArrow(_average, PARAMETER_SCHEMA).select("row", "x").toArrow()  # as many rows as classes met
     parameters = None
     if averaged.num_rows:
-        parameters = np.zeros((len(log_prior) + len(_clusters(np.exp(log_prior))) - 1 + CONTEXT, 2 * DIMENSIONS + 1), np.float16)
+        parameters = np.zeros((Model(frequency).rows(), WIDTH), np.float16)
         for batch in averaged.to_batches():
-            parameters[batch.column("row").to_numpy()] = _numbers(batch.column("x"))
+            parameters[batch.column("row").to_numpy()] = _parameters(batch.column("x"))
     del averaged
 
-    for_scoring = context.broadcast((hashes, numbers, log_prior, parameters, hot, total, distinct, others, kinds))
-    kind = df.schema[id_col].dataType.simpleString()
-    schema = f"doc_id {kind}, held_out boolean, n_tokens long, known long, base double, model double, rare array<struct<token: binary, tf: long>>"
-    scored = materialise(docs.mapInArrow(_score_partition(for_scoring), schema).withColumn("rid", F.monotonically_increasing_id()), "scored")
-
-    rare = scored.where(F.size("rare") > 0).select("rid", F.explode("rare").alias("r")).select("rid", F.col("r.token").alias("_token"), "r.tf")
+    scored = numbered.select("doc_id", "held_out", "rid", "n_tokens", "n_other", "logs", "ids").mapInArrow(
+        _score(context.broadcast((frequency, end, parameters))), f"doc_id {kind}, held_out boolean, rid long, n_tokens long, n_other long, logs double, neural double"
+    )
+    rare = numbered.select("rid", F.explode("rare").alias("_h"))
     c = F.coalesce("c", F.lit(0))
-    met = rare.join(counts, F.col("_token") == F.col("token"), "left").select("rid", "tf", (F.col("tf") * F.log10(c + 0.5)).alias("x"), F.when(c > 0, F.col("tf")).otherwise(0).alias("known"), F.when(c < MODEL_TOKENS, F.col("tf") * F.log10(c + 0.5)).otherwise(0.0).alias("y"))
-    sums = met.groupBy(F.col("rid").alias("_rid")).agg(F.sum("x").alias("x"), F.sum("y").alias("y"), F.sum("known").alias("rare_known"))
-    more = lambda name: F.coalesce(name, F.lit(0.0))
+    met = rare.join(counts.withColumn("h", dealt_anew(F.col("h"))), F.col("_h") == F.col("h"), "left")
+    sums = met.groupBy(F.col("rid").alias("_rid")).agg(F.sum(F.log10(c + 0.5)).alias("more"), F.count_if(c > 0).alias("rare_known"))
+    width = math.log10(total + 0.5 * (distinct + 1))
+    inside = math.log10(float(frequency[0]))
+    more = F.coalesce("more", F.lit(0.0))
     return scored.join(sums, F.col("rid") == F.col("_rid"), "left").select(
         "doc_id",
         "held_out",
         "n_tokens",
-        (F.col("known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"),
+        (F.col("n_tokens") - F.col("n_other") + F.coalesce("rare_known", F.lit(0))).alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("base") + more("x")).alias("base_score"),
-        (F.col("model") + more("y")).alias("score"),
+        (F.col("logs") + more - F.col("n_tokens") * width).alias("base_score"),
+        (F.col("neural") + more - F.col("n_other") * inside).alias("score"),
     )
 
 
