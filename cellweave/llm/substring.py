@@ -4,15 +4,17 @@ A window is ``threshold`` consecutive words of one document; a word goes if a wi
 too.  Streaming every document past an automaton of every shard of the corpus would cost shards times documents, so
 documents are routed first, without losing a match:
 
-* Each window has one anchor, the leftmost smallest hash of its ``ANCHOR``-word grams; equal windows have equal anchors
+* Each window has one anchor, the leftmost smallest hash of its ``anchor``-word grams; equal windows have equal anchors
   at equal offsets.  Neighbouring windows mostly share an anchor, so there is about one anchor for a dozen words.
 * The windows of one anchor position form a context.  Contexts are counted by (anchor, context) with map-side
-  aggregation, so a passage in a third of all documents costs a counter per task.
-* A context that occurs twice is repeated as a whole.  Where an anchor has different contexts, their words (one
-  copy of each context) form a reference shard: its suffix automaton, with occurrence counts, is built, and each
-  context is streamed through it for its matching statistics, which tell which of its windows occur again.
-* Anchors with more than ``MAX_CONTEXTS`` different contexts (a very common phrase in ever new surroundings) have no
-  bounded automaton; their windows are counted one by one, again with map-side aggregation.
+  aggregation, so a passage in a third of all documents costs a counter per task and one copy of its words.
+* The words of an anchor's contexts (one copy of each) form a reference shard: its suffix automaton, with occurrence
+  counts, is built, and each context is streamed through it for its matching statistics, which tell which of its windows
+  occur again.  Every verdict comes from an automaton.
+* Shards are bounded.  An anchor with more than ``SHARD_CONTEXTS`` different contexts (a common phrase in ever new
+  surroundings) is dealt out again: inside its contexts, windows get anchors of longer grams, and what those have in
+  common forms shards in turn.  Anchors that occur once drop out at every step.  With grams as long as a window, equal anchors
+  are equal windows, so the steps end, whatever the number of contexts.  A context yields about four rows a step.
 
 The verdicts, a bit for each window of a context, are joined to the contexts' documents, and the maximal spans that the
 repeated windows cover are removed.
@@ -20,44 +22,25 @@ repeated windows cover are removed.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellweave.llm.common import dealt_anew, materialise, pieces, read_table, utf8
+from cellweave.llm.words import hash_words, mix
 
 THRESHOLD = 35
 ANCHOR = 12
-#: Contexts of one anchor that share an automaton: at most this many times twice the threshold in words.
-MAX_CONTEXTS = 400
-#: A worker forgets its word cache beyond this many words.
-CACHE_WORDS = 200_000
+#: Different contexts of one anchor that share an automaton; an anchor with more is dealt out by longer anchors.
+SHARD_CONTEXTS = 256
+#: Text bytes a step of finding anchors: each word takes some dozen numbers meanwhile.
+STEP_BYTES = 2 << 20
 
 _BASE = 0x9E3779B97F4A7C15 | 1
-_MASK = (1 << 64) - 1
-
-
-class WordHashes(dict):
-    """Hashes of words seen before; bounded."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        found = xxhash.xxh64_intdigest(word, 7)
-        if len(word) <= 64:
-            self[word] = found
-        return found
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+_INVERSE = pow(_BASE, -1, 1 << 64)
 
 
 def _grams(hashes: np.ndarray, n: int) -> np.ndarray:
@@ -65,15 +48,24 @@ def _grams(hashes: np.ndarray, n: int) -> np.ndarray:
     out = np.zeros(max(0, len(hashes) - n + 1), np.uint64)
     for i in range(n):
         out = out * np.uint64(_BASE) + hashes[i : i + len(out)]
-    return _mix(out)
+    return mix(out)
 
 
-def contexts_of(hashes: np.ndarray, threshold: int, anchor: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of one document's word hashes: for each anchor its hash, its context's first window, the number of windows
-    in it, and the context's hash (of its words and of the anchor's place in it)."""
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[0] = 1
+    return np.cumprod(out, dtype=np.uint64)
+
+
+def contexts_of(hashes: np.ndarray, sizes: np.ndarray, threshold: int, anchor: int) -> tuple[np.ndarray, ...]:
+    """Of texts given as their words' hashes, one text after the other: for each anchor position its text, its hash, its
+    context's first window (as a place in the text), the number of windows in it, and the context's hash (of its words and of
+    the anchor's place in it)."""
+    n = len(hashes) - threshold + 1
+    if n <= 0:
+        return tuple(np.empty(0, k) for k in (np.int64, np.uint64, np.int64, np.int64, np.uint64))
     grams = _grams(hashes, anchor)
     width = threshold - anchor + 1
-    n = len(hashes) - threshold + 1
     # Sliding leftmost minimum by doubling: best[i] is the place of the least gram among ``span`` from i.
     best, span = np.arange(len(grams)), 1
     while span < width:
@@ -82,37 +74,29 @@ def contexts_of(hashes: np.ndarray, threshold: int, anchor: int) -> tuple[np.nda
         best = np.where(grams[a] <= grams[b], a, b)
         span += step
     best = best[:n]
-    first = np.flatnonzero(np.concatenate(([True], best[1:] != best[:-1])))
-    windows = np.diff(np.concatenate((first, [n])))
+    text = np.repeat(np.arange(len(sizes)), sizes)
+    inside = text[:n] == text[threshold - 1 :]
+    fresh = np.concatenate(([True], (best[1:] != best[:-1]) | (text[1:n] != text[: n - 1]) | ~inside[:-1]))
+    first = np.flatnonzero(fresh & inside)
+    edge = np.append(np.flatnonzero(fresh | ~inside), n)
+    windows = edge[np.searchsorted(edge, first, side="right")] - first
     place = best[first]
     ends = first + windows + threshold - 1
     # Prefix hashes: the part [s, e) has (P[e] - P[s]) / base^s.
-    powers = np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(len(hashes), _BASE, np.uint64))), dtype=np.uint64)
-    inverse = np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(len(hashes), pow(_BASE, -1, 1 << 64), np.uint64))), dtype=np.uint64)
-    prefix = np.concatenate((np.zeros(1, np.uint64), np.cumsum(hashes * powers[:-1], dtype=np.uint64)))
-    content = (prefix[ends] - prefix[first]) * inverse[first]
+    prefix = np.concatenate((np.zeros(1, np.uint64), np.cumsum(hashes * _powers(_BASE, len(hashes)), dtype=np.uint64)))
+    content = (prefix[ends] - prefix[first]) * _powers(_INVERSE, len(hashes))[first]
     shape = (place - first).astype(np.uint64) << np.uint64(32) | windows.astype(np.uint64)
-    return grams[place], first, windows, _mix(content ^ _mix(shape + np.uint64(1)))
+    begins = np.cumsum(sizes) - sizes
+    return text[first], grams[place], first - begins[text[first]], windows, mix(content ^ mix(shape + np.uint64(1)))
 
 
 def _anchors(threshold: int, anchor: int):
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHashes()
-        look = known.__getitem__
-        for part in pieces(batches, "text"):
-            rids = part.column("rid").to_pylist()
-            out: list[list[np.ndarray]] = [[], [], [], [], []]
-            for rid, text in zip(rids, utf8(part.column("text")), strict=True):
-                words = text.split()
-                if len(words) < threshold:
-                    continue
-                hashes = np.fromiter(map(look, words), np.uint64, len(words))
-                h, first, windows, context = contexts_of(hashes, threshold, anchor)
-                for column, values in zip(out, (h.view(np.int64), context.view(np.int64), np.full(len(h), rid), first, windows), strict=True):
-                    column.append(values)
-            columns = [np.concatenate(x) if x else np.empty(0, np.int64) for x in out]
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["h", "context", "rid", "first", "windows"])
+        for part in pieces(batches, "text", STEP_BYTES):
+            text, h, first, windows, context = contexts_of(*hash_words(part.column("text")), threshold, anchor)
+            rid = part.column("rid").to_numpy()[text]
+            columns = [pa.array(h.view(np.int64)), pa.array(context.view(np.int64)), pa.array(rid), pa.array(first, pa.int32()), pa.array(windows, pa.int32())]
+            yield pa.RecordBatch.from_arrays(columns, ["h", "context", "rid", "first", "windows"])
 
     return find
 
@@ -192,9 +176,9 @@ def _shard_verdicts(threshold: int):
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows (h, context, n, words) sorted by h: an automaton for each anchor's contexts."""
 
-        def close(group: list[tuple[int, int, str]], h: int) -> pa.RecordBatch:
+        def close(group: list[tuple[int, int, bytes]], h: int) -> pa.RecordBatch:
             automaton = SuffixAutomaton()
-            split = [(context, n, words.encode().split()) for context, n, words in group]
+            split = [(context, n, words.split()) for context, n, words in group]
             for _, n, words in split:
                 automaton.add(words, n)
             automaton.finish()
@@ -203,7 +187,7 @@ def _shard_verdicts(threshold: int):
                 [pa.array([h] * len(split), pa.int64()), pa.array([x[0] for x in split], pa.int64()), pa.array(bits, pa.int64())], ["h", "context", "bits"]
             )
 
-        group: list[tuple[int, int, str]] = []
+        group: list[tuple[int, int, bytes]] = []
         last = None
         for batch in batches:
             for h, context, n, words in zip(*(batch.column(c).to_pylist() for c in ("h", "context", "n", "words")), strict=True):
@@ -211,7 +195,8 @@ def _shard_verdicts(threshold: int):
                     yield close(group, last)
                     group = []
                 last = h
-                group.append((context, n, words))
+                if not group or group[-1][0] != context:  # else from an equal row
+                    group.append((context, n, words))
         if group:
             yield close(group, last)
 
@@ -220,32 +205,58 @@ def _shard_verdicts(threshold: int):
 
 def _passages(threshold: int):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The words of the asked contexts of each document."""
+        """The words of the asked contexts of each document; of equal rows, a task takes one."""
+        done: set[int] = set()
         for part in pieces(batches, "text"):
-            rows = []
-            for text, asked in zip(utf8(part.column("text")), part.column("asked").to_pylist(), strict=True):
+            rows: list[list] = [[], [], [], []]
+            for rid, text, asked in zip(part.column("rid").to_pylist(), utf8(part.column("text")), part.column("asked").to_pylist(), strict=True):
+                if rid in done:
+                    continue
+                done.add(rid)
                 words = text.split()
                 for a in asked:
-                    span = words[a["first"] : a["first"] + a["windows"] + threshold - 1]
-                    rows.append({"h": a["h"], "context": a["context"], "n": a["n"], "big": a["big"], "words": b" ".join(span).decode()})
-            schema = pa.schema([("h", pa.int64()), ("context", pa.int64()), ("n", pa.int64()), ("big", pa.bool_()), ("words", pa.string())])
-            yield pa.RecordBatch.from_pylist(rows, schema)
+                    for column, value in zip(rows, (a["h"], a["context"], a["n"], b" ".join(words[a["first"] : a["first"] + a["windows"] + threshold - 1])), strict=True):
+                        column.append(value)
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(rows, kinds, strict=True)], ["h", "context", "n", "words"])
 
     return cut
 
 
-def _common_windows(threshold: int):
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Each window of contexts too many for an automaton, as text."""
-        for batch in batches:
-            rows = []
-            for h, context, n, text in zip(*(batch.column(c).to_pylist() for c in ("h", "context", "n", "words")), strict=True):
-                words = text.split(" ")
-                rows += [{"h": h, "context": context, "n": n, "at": i, "window": " ".join(words[i : i + threshold])} for i in range(len(words) - threshold + 1)]
-            schema = pa.schema([("h", pa.int64()), ("context", pa.int64()), ("n", pa.int64()), ("at", pa.int32()), ("window", pa.string())])
-            yield pa.RecordBatch.from_pylist(rows, schema)
-
-    return cut
+def _deal_out(threshold: int, anchor: int):
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The contexts inside contexts (h, context, n, words) by longer anchors, and where they are in them."""
+        for part in pieces(batches, "words", STEP_BYTES):
+            of, h, first, windows, context = contexts_of(*hash_words(part.column("words").cast(pa.string())), threshold, anchor)
+            split = [x.split() for x in part.column("words").to_pylist()]
+            words = [b" ".join(split[i][at : at + n + threshold - 1]) for i, at, n in zip(of.tolist(), first.tolist(), windows.tolist(), strict=True)]
+            outer = (part.column(c).to_numpy()[of] for c in ("h", "context", "n"))
+            columns = [*map(pa.array, outer), pa.array(h.view(np.int64)), pa.array(context.view(np.int64)), pa.array(first, pa.int32()), pa.array(words, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["outer_h", "outer_context", "n", "h", "context", "at", "words"])
+
+    return deal
+
+
+def _verdicts(contexts: DataFrame, threshold: int, anchor: int) -> DataFrame:
+    """``h, context, bits`` of contexts (h, context, n, words), rows of which may be repeated: a bit for each window that occurs
+    twice or more among those of its anchor."""
+    kinds = contexts.select("h", "context").distinct().groupBy("h").agg(F.count(F.lit(1)).alias("kinds")).where(F.col("kinds") > SHARD_CONTEXTS).select(dealt_anew(F.col("h")).alias("_h"))
+    kinds = materialise(kinds, "common")
+    alone = contexts if kinds.isEmpty() else contexts.join(kinds, F.col("h") == F.col("_h"), "left_anti")
+    judged = alone.repartition("h").sortWithinPartitions("h", "context").mapInArrow(_shard_verdicts(threshold), "h long, context long, bits long")
+    if kinds.isEmpty():
+        return judged
+    longer = min(threshold, anchor + max(1, (threshold - anchor + 1) // 2))
+    common = contexts.join(kinds, F.col("h") == F.col("_h"), "left_semi").dropDuplicates(["h", "context"])
+    dealt = common.mapInArrow(_deal_out(threshold, longer), "outer_h long, outer_context long, n long, h long, context long, at int, words binary")
+    dealt = materialise(dealt, "dealt")
+    again = dealt.groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select(dealt_anew(F.col("h")).alias("_h"))
+    shared = materialise(dealt.join(again, F.col("h") == F.col("_h"), "left_semi"), "shared")
+    inner = _verdicts(materialise(shared.groupBy("h", "context").agg(F.sum("n").alias("n"), F.first("words").alias("words")), "inner"), threshold, longer)
+    inner = inner.where("bits <> 0").select(dealt_anew(F.col("h")).alias("_h"), F.col("context").alias("_context"), "bits")
+    met = shared.join(inner, (F.col("h") == F.col("_h")) & (F.col("context") == F.col("_context")))
+    outer = met.groupBy("outer_h", "outer_context").agg(F.expr("bit_or(shiftleft(bits, at))").alias("bits"))
+    return judged.unionByName(outer.select(F.col("outer_h").alias("h"), F.col("outer_context").alias("context"), "bits"))
 
 
 def _removal(threshold: int):
@@ -284,7 +295,8 @@ def dedup_substrings(df: DataFrame, threshold: int = THRESHOLD, anchor: int = AN
     """``doc_id, n_words, n_removed, kept, spans`` for every row: the text that is left, and the word spans removed.
 
     Every occurrence of a repeated window goes, the first included, wherever its copies are (in the same document, too).
-    Null texts have no words; repeated rows are copies of each other like any documents, whatever their ids.  An empty
+    Null texts have no words; texts of any length are taken whole.  Repeated rows are copies of each other like any documents,
+    whatever their ids.  Columns of ``df`` other than the two named are not read, whatever their names.  An empty
     table gives an empty result.  ``threshold - anchor`` must be under 63 (a context's windows are bits of a long).
     """
     if not 0 < anchor <= threshold or threshold - anchor >= 63:
@@ -293,26 +305,16 @@ def dedup_substrings(df: DataFrame, threshold: int = THRESHOLD, anchor: int = AN
     # Rows are named by their content, so the name outlives a lost executor; equal rows share a name and a verdict.
     docs = docs.withColumn("rid", F.xxhash64(F.col("doc_id").isNull(), "doc_id", "text"))
     found = docs.select("rid", "text").mapInArrow(_anchors(threshold, anchor), "h long, context long, rid long, first int, windows int")
+    found = materialise(found, "anchors")
     again = found.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(dealt_anew(F.col("h")).alias("_h"))
     places = materialise(found.join(again, F.col("h") == F.col("_h")).select("h", "context", "rid", "first", "windows"), "places")
     counted = places.groupBy("h", "context").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("rid", "first", "windows")).alias("rep"))
-    counted = materialise(counted, "contexts")
-    kinds = counted.groupBy("h").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select(dealt_anew(F.col("h")).alias("_h"), "kinds")
-    whole = counted.where("n > 1").select("h", "context", F.expr("shiftleft(1L, rep.windows) - 1").alias("bits"))
-    # Different contexts of one anchor may still share windows.
-    mixed = counted.join(kinds, F.col("h") == F.col("_h"))
-    wanted = F.struct("h", "context", "n", F.col("rep.first").alias("first"), F.col("rep.windows").alias("windows"), (F.col("kinds") > MAX_CONTEXTS).alias("big"))
-    asked = mixed.groupBy(F.col("rep.rid").alias("_rid")).agg(F.collect_list(wanted).alias("asked"))
-    texts = docs.join(asked.hint("shuffle_hash"), F.col("rid") == F.col("_rid")).select("doc_id", "text", "rid", "asked")
-    passages = texts.mapInArrow(_passages(threshold), "h long, context long, n long, big boolean, words string")
-    shard = passages.where("not big").drop("big").repartition("h").sortWithinPartitions("h", "context")
-    judged = shard.mapInArrow(_shard_verdicts(threshold), "h long, context long, bits long")
-    windows = passages.where("big").drop("big").mapInArrow(_common_windows(threshold), "h long, context long, n long, at int, window string")
-    windows = windows.withColumn("window", F.sha2("window", 256))
-    twice = windows.groupBy("h", "window").agg(F.sum("n").alias("n")).where("n > 1").select(dealt_anew(F.col("h")).alias("_h"), F.col("window").alias("_window"))
-    common = windows.join(twice, (F.col("h") == F.col("_h")) & (F.col("window") == F.col("_window"))).groupBy("h", "context").agg(F.expr("bit_or(shiftleft(1L, at))").alias("bits"))
-    verdicts = whole.unionByName(judged).unionByName(common).where("bits <> 0").groupBy(F.col("h").alias("_h"), F.col("context").alias("_context")).agg(F.expr("bit_or(bits)").alias("bits"))
-    verdicts = verdicts.withColumn("_h", dealt_anew(F.col("_h")))
+    wanted = F.struct("h", "context", "n", F.col("rep.first").alias("first"), F.col("rep.windows").alias("windows"))
+    asked = counted.groupBy(F.col("rep.rid").alias("_rid")).agg(F.collect_set(wanted).alias("asked"))
+    texts = docs.join(asked.hint("shuffle_hash"), F.col("rid") == F.col("_rid")).select("rid", "text", "asked")
+    contexts = texts.mapInArrow(_passages(threshold), "h long, context long, n long, words binary")
+    verdicts = _verdicts(materialise(contexts, "contexts"), threshold, anchor).where("bits <> 0")
+    verdicts = verdicts.select(dealt_anew(F.col("h")).alias("_h"), F.col("context").alias("_context"), "bits")
     hit = places.join(verdicts, (F.col("h") == F.col("_h")) & (F.col("context") == F.col("_context"))).select("rid", "first", "windows", "bits")
     marks = hit.groupBy(F.col("rid").alias("_rid")).agg(F.collect_set(F.struct("first", "windows", "bits")).alias("marks"))
     out = docs.join(marks.hint("shuffle_hash"), F.col("rid") == F.col("_rid"), "left").select("doc_id", "text", "rid", "marks")

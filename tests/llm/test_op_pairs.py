@@ -6,10 +6,12 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from cellweave.llm import mixing, simhash, substring
 from cellweave.llm.components import components, local_components
+from cellweave.llm.words import hash_words
 from corpora import corpus, lower, words
 
 
@@ -28,9 +30,9 @@ def result(df):
     return sorted((str(r["doc_id"]), r["n_words"], r["n_removed"], hashlib.sha256(r["kept"].encode()).hexdigest()) for r in df.collect())
 
 
-@pytest.mark.parametrize("limit", [substring.MAX_CONTEXTS, 2])
+@pytest.mark.parametrize("limit", [substring.SHARD_CONTEXTS, 2])
 def test_substrings(spark, docs, empty, limit, monkeypatch):
-    monkeypatch.setattr(substring, "MAX_CONTEXTS", limit)  # 2: almost all anchors take the way for common phrases
+    monkeypatch.setattr(substring, "SHARD_CONTEXTS", limit)  # 2: almost all anchors are dealt out by longer ones
     assert result(substring.dedup_substrings(docs)) == removed(corpus(), 35)
     assert substring.dedup_substrings(empty).count() == 0
 
@@ -46,6 +48,34 @@ def test_substrings_of_few_symbols(spark):
         substring.dedup_substrings(docs, 3, 4)
 
 
+@pytest.mark.parametrize("n", [10, 1000, 5000])
+def test_common_passage_in_new_surroundings(spark, n):
+    """One passage in ``n`` else different documents, some of which share more than the passage."""
+    rng = random.Random(n)
+    fresh = lambda k: [f"{rng.getrandbits(40):x}" for _ in range(k)]
+    passage, tail = fresh(30), fresh(20)
+    rows = [(i, " ".join(fresh(20) + passage + (tail[: i % 20] if i % 3 == 0 else []) + fresh(20))) for i in range(n)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert result(substring.dedup_substrings(docs)) == removed(rows, 35)
+    # Rows of the steps: a few for each context, whatever the number of contexts.
+    texts = [f"{a} {b}" for a, b in zip((r[1] for r in rows), (r[1] for r in rows), strict=True)]
+    dealt = sum(b.num_rows for b in substring._deal_out(35, 24)(iter([pa.RecordBatch.from_arrays([pa.array([1] * n), pa.array(range(n)), pa.array([1] * n), pa.array([" ".join(t.split()[:58]).encode() for t in texts])], ["h", "context", "n", "words"])])))
+    assert dealt <= 8 * n
+
+
+def test_words():
+    rng = random.Random(6)
+    texts = [r[1] for r in corpus()] + ["", None, "é" * 40 + " É", "a" * 33, "A" * 33, " x"] + ["".join(rng.choices(" \t\nabAB\xe9", k=30)) for _ in range(200)]
+    column = pa.array(["left out", *texts])[1:]
+    for low in (False, True):
+        found = hash_words(column, low)
+        want = [words(lower(t) if low else t) for t in texts]
+        assert found.sizes.tolist() == [len(w) for w in want]
+        flat = [x for w in want for x in w]
+        assert len(set(zip(flat, found.hashes.tolist(), strict=True))) == len(set(flat)) == len(set(found.hashes.tolist()))
+    assert len(hash_words(pa.array([], pa.string())).sizes) == 0
+
+
 def test_suffix_automaton():
     rng = random.Random(2)
     for _ in range(30):
