@@ -23,6 +23,8 @@ SEED = 20240229
 FAN_IN = 200
 #: Source statistics are broadcast up to this many sources.
 BROADCAST_SOURCES = 20_000
+#: Equal rows (in id, source and size) that one task numbers; more are numbered in blocks dealt out to all tasks.
+BLOCK = 1024
 #: Words below which a remainder is a rounding error.
 TINY = 1e-6
 
@@ -47,6 +49,18 @@ def source_targets(sizes: DataFrame) -> DataFrame:
     return steps.select("source", "n_docs", "source_size", F.least(F.col("cap"), F.coalesce(F.col("water") * F.col("weight"), F.col("cap"))).alias("target"))
 
 
+def _numbered(counted: DataFrame) -> DataFrame:
+    """A row for each of ``count`` equal ones, numbered by ``copy`` from 0; no array is longer than ``BLOCK`` or than the blocks."""
+    columns = [c for c in counted.columns if c != "count"]
+    up_to = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
+    few = counted.where(F.col("count") <= BLOCK).select(*columns, F.explode(up_to(F.col("count"))).alias("copy"))
+    blocks = counted.where(F.col("count") > BLOCK).select(*columns, "count", F.explode(up_to(F.ceil(F.col("count") / BLOCK))).alias("block"))
+    own = F.least(F.lit(BLOCK).cast("long"), F.col("count") - F.col("block") * BLOCK)
+    many = blocks.repartition(*columns, "block").select(*columns, "block", F.explode(up_to(own)).alias("copy"))
+    many = many.select(*columns, (F.col("block") * BLOCK + F.col("copy")).alias("copy"))
+    return few.unionByName(many)
+
+
 def _fold(item: str) -> str:
     """SQL that folds the sorted array ``items`` of (k, doc_id, size, m): pairs in turn, the fractional one goes on."""
     snap = lambda m, size: f"CASE WHEN {m} < {TINY} THEN 0D WHEN {size} - ({m}) < {TINY} THEN {size} ELSE {m} END"
@@ -71,12 +85,12 @@ def mix_sources(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
 
     ``taken`` lies within the copies around target / source size, at most ``MAX_COPIES`` times ``size``; one document
     a source may be taken in part.  Null and blank texts have size 0 and are not taken; a null source is a source; an
-    empty source has target 0.  Repeated rows are rounded independently, and reruns agree: all randomness is a
+    empty source has target 0; an empty table gives an empty result.  Other columns of ``df`` are not read.  Repeated rows are rounded independently, and reruns agree: all randomness is a
     hash of id, size, and the running number among rows that agree in both.
     """
     size = F.coalesce(F.regexp_count(df[text_col], F.lit(WORD)), F.lit(0)).cast("long")
     counted = df.select(df[id_col].alias("doc_id"), df[source_col].alias("source"), size.alias("size")).groupBy("doc_id", "source", "size").count()
-    sizes = materialise(counted.select("doc_id", "source", "size", F.explode(F.sequence(F.lit(1).cast("long"), F.col("count"))).alias("copy")), "sizes")
+    sizes = materialise(_numbered(counted), "sizes")
     targets = materialise(source_targets(sizes), "targets")
     kind = sizes.schema["doc_id"].dataType.simpleString()
     item = f"struct<k: bigint, doc_id: {kind}, size: double, m: double>"

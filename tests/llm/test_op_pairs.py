@@ -218,3 +218,12 @@ def test_mixing_is_fair(spark):
         for r in own:
             by_size[r["size"]].append(r["taken"] / r["size"])
         assert all(abs(sum(x) / len(x) - rate) < 0.25 for x in by_size.values())
+
+
+def test_mixing_of_one_row_repeated(spark):
+    """A million equal rows are numbered in blocks and come out one by one."""
+    rows = spark.range(1_000_000).selectExpr("CAST(NULL AS LONG) AS doc_id", "'a b c' AS text", "'s' AS source").unionByName(spark.range(1).selectExpr("id AS doc_id", "'x' AS text", "'t' AS source"))
+    got = mixing.mix_sources(rows).groupBy("source").count().collect()
+    assert {r["source"]: r["count"] for r in got} == {"s": 1_000_000, "t": 1}
+    numbered = mixing._numbered(spark.createDataFrame([(1, 1), (2, 1024), (3, 1025), (4, 5000)], "doc_id long, count long"))
+    assert sorted((r["doc_id"], r["copy"]) for r in numbered.collect()) == [(d, i) for d, n in ((1, 1), (2, 1024), (3, 1025), (4, 5000)) for i in range(n)]
