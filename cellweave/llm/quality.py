@@ -1,9 +1,12 @@
 """Quality rules (operator 9): document rules, and host verdicts shrunk by an empirical beta prior.
 
 Everything is DataFrame expressions.  A document's signals come from arrays inside its own row (no explode, no
-shuffle); failures are counted per host with map-side aggregation, so a host with a third of all rows costs one
-counter per task.  Host rates are shrunk towards a beta prior fitted to all hosts by moments, and the verdict on the few
-rejected hosts is joined back: by broadcast if those hosts were counted and are few, by an ordinary join otherwise.
+shuffle); failures of each rule are counted per host with map-side aggregation, so a host with a third of all rows costs
+one counter per task.  For every rule, host rates are shrunk towards a beta prior fitted to all hosts by moments.  Two rules
+(few words, repeated words) reject a document on their own.  The others (symbols, repeated lines) are weaker evidence: they
+reject where the host bears them out, that is where its shrunk rate of that rule lies above the prior's mean by
+``HOST_SPREAD`` of the prior's standard deviations.  A host nearly all of whose documents fail is rejected whole.  The verdicts on hosts
+are joined back: by broadcast if those hosts were counted and are few, by an ordinary join otherwise.
 """
 
 from __future__ import annotations
@@ -16,12 +19,19 @@ from cellweave.llm.common import SPACE, WORD, materialise, maybe_broadcast, read
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
 GRAM = 5
-#: A host is rejected if its shrunk failure rate is above this.
+#: Symbols for each hundred code points in words, and repeated lines in a hundred lines, above which a document fails.
+MAX_SYMBOL_PERCENT = 10
+MAX_LINE_PERCENT = 30
+#: A host bears out a rule if its shrunk failure rate is above the prior's mean by this many standard deviations of the prior.
+HOST_SPREAD = 0.5
+#: A host is rejected whole if its shrunk rate of documents that fail on their own is above this.
 HOST_LIMIT = 0.8
-#: Rejected hosts are broadcast up to this many (a name and nothing else each).
+#: Hosts with a verdict are broadcast up to this many (a name and three booleans each).
 BROADCAST_HOSTS = 20_000
 
-SIGNALS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+#: Rules that reject where the host bears them out; a column of ``add_signals`` each.
+HOST_RULES = ("symbols_failed", "lines_failed")
+SIGNALS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", *HOST_RULES)
 
 
 def _gram_hashes() -> Column:
@@ -53,9 +63,10 @@ def add_signals(df: DataFrame, text_col: str = "text") -> DataFrame:
         F.size("_words").cast("long").alias("n_words"),
         F.length(F.array_join("_words", "")).cast("long").alias("word_chars"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
+        F.size("_lines").cast("long").alias("_n_lines"),
         F.transform("_words", lambda w: F.xxhash64(w)).alias("_w"),
     )
-    three = two.select(*names, "n_words", "word_chars", "n_symbols", "n_dup_lines", _gram_hashes().alias("_grams"))
+    three = two.select(*names, "n_words", "word_chars", "n_symbols", "n_dup_lines", "_n_lines", _gram_hashes().alias("_grams"))
     # Most texts repeat no window: they stop at a hash set.  The others sort (window, position) once.
     repeats = F.size(F.array_distinct("_grams")) < F.size("_grams")
     four = three.withColumn("_sorted", F.when(repeats, F.sort_array(F.transform("_grams", lambda g, i: F.struct(g.alias("g"), i.alias("i"))))))
@@ -71,51 +82,71 @@ def add_signals(df: DataFrame, text_col: str = "text") -> DataFrame:
         lambda a: a["n"],
     )
     # Through a generator, so that no filter above is pushed below, where it would repeat all this for each array element.
-    counts = F.struct("n_words", "word_chars", "n_symbols", "n_dup_lines", F.coalesce(covered, F.lit(0).cast("long")).alias("n_repeat_words"))
+    counts = F.struct("n_words", "word_chars", "n_symbols", "n_dup_lines", "_n_lines", F.coalesce(covered, F.lit(0).cast("long")).alias("n_repeat_words"))
     six = five.select(*names, F.inline(F.array(counts)))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    return six.withColumn("base_failed", failed)
+    symbols, lines = 100 * F.col("n_symbols") > MAX_SYMBOL_PERCENT * F.col("word_chars"), 100 * F.col("n_dup_lines") > MAX_LINE_PERCENT * F.col("_n_lines")
+    return six.withColumns({"base_failed": failed, "symbols_failed": symbols, "lines_failed": lines}).drop("_n_lines")
 
 
-def host_verdicts(signals: DataFrame, host_col: str = "source", limit: float = HOST_LIMIT) -> DataFrame:
-    """One row per host (null is a host): ``host, n_docs, n_failed, shrunk_rate, host_failed``.
+def host_verdicts(signals: DataFrame, host_col: str = "source", limit: float = HOST_LIMIT, spread: float = HOST_SPREAD) -> DataFrame:
+    """One row per host (null is a host): ``host, n_docs``, and for each of ``base_failed`` and ``HOST_RULES`` its failures
+    ``n_<rule>``, ``<rule>_rate`` (shrunk) and ``<rule>_host`` (the verdict).
 
-    The prior is the beta distribution whose mean and variance are those of the hosts' failure rates, with a
-    strength between 1 and 1,000,000 documents; without spread between hosts the strength is the largest.
+    The prior of a rule is the beta distribution whose mean and variance are those of the hosts' failure rates, with a
+    strength between 1 and 1,000,000 documents; without spread between hosts the strength is the largest.  Without failures
+    no host has a verdict.
     """
-    hosts = signals.groupBy(F.col(host_col).alias("host")).agg(F.count(F.lit(1)).alias("n_docs"), F.sum(F.col("base_failed").cast("long")).alias("n_failed"))
-    prior = hosts.agg(F.avg(F.col("n_failed") / F.col("n_docs")).alias("m"), F.var_pop(F.col("n_failed") / F.col("n_docs")).alias("v"))
-    strength = F.when(F.col("v") > 0, F.greatest(F.lit(1.0), F.least(F.lit(1e6), F.col("m") * (1 - F.col("m")) / F.col("v") - 1))).otherwise(F.lit(1e6))
-    prior = prior.select("m", strength.alias("k"))
-    rate = (F.col("n_failed") + F.col("m") * F.col("k")) / (F.col("n_docs") + F.col("k"))
-    return hosts.join(F.broadcast(prior)).select("host", "n_docs", "n_failed", rate.alias("shrunk_rate"), (rate > limit).alias("host_failed"))
-
-
-def _rejected(signals: DataFrame, host_col: str) -> DataFrame:
-    failed = materialise(host_verdicts(signals, host_col), "hosts").where("host_failed")
-    return maybe_broadcast(failed.select(F.col("host").alias("_host"), F.lit(True).alias("_bad")), BROADCAST_HOSTS)
+    rules = ("base_failed", *HOST_RULES)
+    hosts = signals.groupBy(F.col(host_col).alias("host")).agg(F.count(F.lit(1)).alias("n_docs"), *[F.sum(F.col(r).cast("long")).alias(f"n_{r}") for r in rules])
+    rate = lambda r: F.col(f"n_{r}") / F.col("n_docs")
+    prior = hosts.agg(*[f(rate(r)).alias(f"{x}_{r}") for r in rules for x, f in (("m", F.avg), ("v", F.var_pop))])
+    for r in rules:
+        m, v = F.col(f"m_{r}"), F.col(f"v_{r}")
+        prior = prior.withColumn(f"k_{r}", F.when(v > 0, F.greatest(F.lit(1.0), F.least(F.lit(1e6), m * (1 - m) / v - 1))).otherwise(F.lit(1e6)))
+    out = hosts.join(F.broadcast(prior))
+    for r in rules:
+        m, k = F.col(f"m_{r}"), F.col(f"k_{r}")
+        out = out.withColumn(f"{r}_rate", (F.col(f"n_{r}") + m * k) / (F.col("n_docs") + k))
+        above = F.lit(limit) if r == "base_failed" else m + spread * F.sqrt(m * (1 - m) / (k + 1))
+        out = out.withColumn(f"{r}_host", F.col(f"{r}_rate") > above)
+    return out.select("host", "n_docs", *[f"{x}{r}{y}" for r in rules for x, y in (("n_", ""), ("", "_rate"), ("", "_host"))])
+
+
+def _with_verdict(signals: DataFrame, host_col: str) -> DataFrame:
+    """``signals`` with ``kept``: the document's and its host's verdict."""
+    found = materialise(host_verdicts(signals, host_col), "hosts").select(F.col("host").alias("_host"), F.col("base_failed_host").alias("_bad"), *[F.col(f"{r}_host").alias(f"_{r}") for r in HOST_RULES])
+    found = maybe_broadcast(found.where(" OR ".join(["_bad", *[f"_{r}" for r in HOST_RULES]])), BROADCAST_HOSTS)
+    joined = signals.join(found, F.col(host_col).eqNullSafe(F.col("_host")), "left")
+    failed = F.col("base_failed") | F.coalesce("_bad", F.lit(False))
+    for r in HOST_RULES:
+        failed = failed | (F.col(r) & F.coalesce(f"_{r}", F.lit(False)))
+    return joined.withColumn("kept", ~failed).drop(*found.columns)
 
 
 def quality_verdicts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
     """Signals and the verdict for every row: ``doc_id, SIGNALS, kept``.
 
-    ``kept`` is false if the base rule failed or the host was rejected.  Repeated rows and null ids are judged like any
-    other row; a null host is a host.  An empty table gives an empty result.
+    ``kept`` is false if the base rule failed, if a host rule failed that the row's host bears out, or if the host was
+    rejected.  Texts of any length are judged whole; null texts count as empty and fail.  Repeated rows and null ids are judged
+    like any other row; a null host is a host.  Other columns of ``df`` are not read.  An empty table gives an empty result.
     """
     narrow = df.select(df[id_col].alias("doc_id"), df[host_col].alias("_source"), df[text_col].alias("_text"))
     signals = materialise(add_signals(narrow, "_text").drop("_text"), "signals")
-    joined = signals.join(_rejected(signals, "_source"), F.col("_source").eqNullSafe(F.col("_host")), "left")
-    return joined.select("doc_id", *SIGNALS, (~F.col("base_failed") & F.col("_bad").isNull()).alias("kept"))
+    return _with_verdict(signals, "_source").select("doc_id", *SIGNALS, "kept")
 
 
 def keep_quality(df: DataFrame, text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """The rows of ``df`` that pass, with ``df``'s columns.  The texts are read twice and never shuffled for it."""
+    """The rows of ``df`` that pass (see ``quality_verdicts``), with ``df``'s columns and nothing else, whatever their names.
+
+    Signals are computed once and written beside the rows (texts that fail on their own are left out there); texts are
+    never shuffled for it unless hosts with a verdict are too many to broadcast.
+    """
     names = df.columns
     marked = df.select(*[df[c].alias(f"c{i}") for i, c in enumerate(names)])
     text, host = f"c{names.index(text_col)}", f"c{names.index(host_col)}"
-    signals = add_signals(marked, text)
-    bad = _rejected(signals.select(host, "base_failed"), host)
-    kept = signals.where(~F.col("base_failed")).join(bad, F.col(host).eqNullSafe(F.col("_host")), "left_anti")
+    signals = add_signals(marked, text).withColumn(text, F.when(~F.col("base_failed"), F.col(text)))
+    kept = _with_verdict(materialise(signals, "signals"), host).where("kept")
     return kept.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)])
 
 
@@ -135,7 +166,7 @@ WITH d AS (
          length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g'))::BIGINT AS n_symbols
   FROM w
 ), lines AS (
-  SELECT rid, count(*) - count(DISTINCT line) AS n_dup FROM
+  SELECT rid, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup FROM
     (SELECT rid, unnest(string_split(text, chr(10))) AS line FROM d)
   WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY rid
 ), p AS (
@@ -149,18 +180,22 @@ WITH d AS (
     (SELECT rid, i, lag(i) OVER (PARTITION BY rid ORDER BY i) AS before FROM again) GROUP BY rid
 ), s AS (
   SELECT base.*, coalesce(n_dup, 0)::BIGINT AS n_dup_lines, coalesce(n_rep, 0)::BIGINT AS n_repeat_words,
-         n_words < 10 OR 100 * coalesce(n_rep, 0) > 20 * n_words AS base_failed
+         n_words < 10 OR 100 * coalesce(n_rep, 0) > 20 * n_words AS base_failed,
+         100 * n_symbols > 10 * word_chars AS symbols_failed, 100 * coalesce(n_dup, 0) > 30 * coalesce(n_lines, 0) AS lines_failed
   FROM base LEFT JOIN lines USING (rid) LEFT JOIN covered USING (rid)
 ), hosts AS (
-  SELECT source, count(*) AS n, sum(base_failed::INT) AS bad FROM s GROUP BY source
+  SELECT source, rule, count(*) AS n, sum(failed::INT) AS bad FROM
+    (SELECT source, unnest(['base', 'symbols', 'lines']) AS rule, unnest([base_failed, symbols_failed, lines_failed]) AS failed FROM s)
+  GROUP BY source, rule
 ), prior AS (
-  SELECT avg(bad / n) AS m, var_pop(bad / n) AS v FROM hosts
+  SELECT rule, avg(bad / n) AS m, var_pop(bad / n) AS v FROM hosts GROUP BY rule
 ), fitted AS (
-  SELECT m, CASE WHEN v > 0 THEN greatest(1.0, least(1e6, m * (1 - m) / v - 1)) ELSE 1e6 END AS k FROM prior
+  SELECT rule, m, CASE WHEN v > 0 THEN greatest(1.0, least(1e6, m * (1 - m) / v - 1)) ELSE 1e6 END AS k FROM prior
 ), verdict AS (
-  SELECT source, (bad + m * k) / (n + k) > 0.8 AS host_failed FROM hosts, fitted
+  SELECT source, bool_or(rule = 'base' AND rate > 0.8) AS bad, bool_or(rule = 'symbols' AND rate > high) AS symbols, bool_or(rule = 'lines' AND rate > high) AS lines
+  FROM (SELECT source, rule, (bad + m * k) / (n + k) AS rate, m + 0.5 * sqrt(m * (1 - m) / (k + 1)) AS high FROM hosts JOIN fitted USING (rule)) GROUP BY source
 )
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT base_failed AND NOT host_failed AS kept
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, symbols_failed, lines_failed,
+       NOT (base_failed OR verdict.bad OR symbols_failed AND verdict.symbols OR lines_failed AND verdict.lines) AS kept
 FROM s JOIN verdict ON s.source IS NOT DISTINCT FROM verdict.source
 """

@@ -12,7 +12,7 @@ import pytest
 from cellweave.llm import html_text, language_model, mixing, warc
 from cellweave.llm.words import hash_words
 from corpora import corpus, lower, words
-from test_op_map import signals_of
+from test_op_map import kept_rows
 from test_op_pairs import fingerprint, linked
 
 
@@ -266,7 +266,7 @@ def test_pipeline(spark, tmp_path):
     spark.createDataFrame(small, schema).write.parquet(str(tmp_path / "documents.parquet"))
     bench = [(0, small[4][1])]
     spark.createDataFrame(bench, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
-    kept = [r for r in small if not signals_of(r[1])[5]]
+    kept = kept_rows(small)
     root = linked({fingerprint(r[1]) for r in kept}, 3)
     groups = {}
     for r in kept:
