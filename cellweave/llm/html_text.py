@@ -1,12 +1,15 @@
 """HTML extraction (operator 7): minimum-cut labelling of a page's text blocks.
 
 A page is cut into blocks at block-level tags.  A classifier gives every block log-odds of being content, from the
-elements it stands in, its links and its length; they become capacities to the two terminals.  Neighbouring blocks,
-and blocks that follow each other in the same element, are joined by smoothness edges that grow with the part of the DOM
-path they share.  The minimum cut labels the page: content is what stays on the source's side.
+elements it stands in, their names, its links and its length; they become capacities to the two terminals.  Neighbouring
+blocks, and blocks that follow each other in the same element, are joined by smoothness edges that grow with the part of the
+DOM path they share.  Log-odds and edges are of one size, so a block that looks odd by itself (a paragraph that is one link,
+a short line) goes with its neighbours, and a group of odd blocks does not.  The minimum cut labels the page: content is what
+stays on the source's side.
 
 Blocks whose own capacity exceeds all their edges keep their side in every minimum cut, so only the others enter the
-max-flow; pages are independent of each other and nothing is shuffled.
+max-flow; pages are independent of each other and nothing is shuffled.  A page takes time in proportion to its length, however
+deep its elements are nested.
 """
 
 from __future__ import annotations
@@ -14,7 +17,7 @@ from __future__ import annotations
 import html as entities
 import math
 import re
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -24,11 +27,13 @@ from pyspark.sql import DataFrame, SparkSession
 from cellweave.llm.common import pieces, read_table
 
 _MARKUP = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?][^>]*>""", re.S)
-_ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))|\b(hidden)\b""")
+_ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 
 #: Elements whose content is no text of the page, read up to their own end tag.
 RAW = {"script", "style", "noscript", "template", "textarea", "iframe", "xmp", "noembed", "noframes"}
-SKIPPED = {"head", "title", "svg", "math", "object", "canvas", "audio", "video", "select", "button", "datalist", "dialog"}
+#: Elements without text of the page; ``head`` ends at the first element of the body.
+SKIPPED = {"head", "title", "svg", "canvas", "audio", "video", "select", "button", "datalist", "dialog"}
+IN_HEAD = {"head", "title", "meta", "link", "base", "script", "style", "noscript", "template", "html"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 BLOCK = {
     "address", "article", "aside", "blockquote", "body", "caption", "center", "dd", "details", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form",
@@ -48,105 +53,134 @@ BOILERPLATE_NAMES = {
     "pager", "pagination", "popup", "promo", "promotion", "related", "replies", "reply", "respond", "search", "share", "sharing", "sidebar", "signup", "skip", "social", "sponsor",
     "sponsored", "subscribe", "subscription", "teaser", "toolbar", "widget",
 }
-#: Those that also name a page's layout around its article.
-LAYOUT_NAMES = {"banner", "footer", "masthead", "menu", "nav", "navbar", "navigation", "search", "sidebar", "skip", "social", "toolbar", "widget"}
+#: Those that tell it in a compound name, too, and for an article inside.
+FIRM_NAMES = {
+    "ad", "ads", "adv", "advert", "adverts", "advertisement", "advertising", "breadcrumb", "breadcrumbs", "comments", "commentlist", "consent", "cookie", "cookies", "disqus", "gdpr",
+    "login", "modal", "newsletter", "pagination", "popup", "promo", "related", "replies", "sidebar", "signup", "sponsor", "sponsored", "subscribe", "teaser",
+}
 CONTENT_NAMES = {"article", "articlebody", "content", "entry", "post", "story", "text", "prose", "maincontent", "body"}
+#: Elements of the text itself: their names are weak evidence; those of headings, mostly anchors, are none.
+TEXTUAL = {"p", "li", "blockquote", "pre", "td", "th", "dd", "dt", "figcaption", "caption", "summary"}
 
-#: Log-odds of the classifier.
-IN_ARTICLE, IN_CONTENT, IN_BOILERPLATE, HEADING = 8.0, 3.0, -24.0, 1.0
-WORDS_HALF, PER_LOG_WORD, LINKED, SENTENCE = 12, 1.2, -6.0, 0.7
-#: Smoothness between neighbours, times the shared part of their DOM paths; and between followers in one element.
-ADJACENT, PROXIMATE = 1.5, 1.0
+#: Log-odds of the classifier: of where a block stands ...
+IN_ARTICLE, IN_CONTENT, UNMARKED, OUTSIDE = 2.0, 1.5, 1.6, -2.0
+BOILERPLATE, WEAK_NAME = -6.0, -1.0
+#: ... and of its text, and their bound.
+HEADING, WORDS_HALF, PER_LOG_WORD, LINKED, SENTENCE = 0.5, 12, 0.6, -2.5, 0.3
+SHORTEST, LONGEST, FIRMEST = -1.5, 1.5, 6.0
+#: Smoothness between neighbours, times the shared part of their DOM paths; between followers in one element; and what is left of
+#: either where one of the two blocks is marked as boilerplate and the other is not.
+ADJACENT, PROXIMATE, UNLIKE = 1.5, 1.0, 0.25
 
 
 class Block(NamedTuple):
     text: str
     score: float
-    path: tuple[int, ...]
+    parent: int  # number of the element around the block's own
+    depth: int  # of the block's element
+    shared: int  # elements shared with the block before
+    marked: bool  # stands in an element that is marked as boilerplate
 
 
 class _Element(NamedTuple):
     tag: str
     number: int
-    score: float
-    skipped: bool
-    header: bool
+    place: float  # IN_ARTICLE, IN_CONTENT or 0
+    marks: float  # log-odds of what marks it as boilerplate
+    skipped: bool = False
+    header: bool = False  # of an article: its headings stay
     firm: bool = False  # what makes it boilerplate holds for an article inside, too
-
-
-def _element(tag: str, attributes: str, number: int, parent: _Element | None) -> _Element:
-    score = parent.score if parent else 0.0
-    skipped = (parent.skipped if parent else False) or tag in SKIPPED
-    header = parent.header if parent else False
-    names: set[str] = set()
-    role = ""
-    if attributes.strip(" /"):
-        for m in _ATTRIBUTE.finditer(attributes):
-            key = (m[1] or m[5]).lower()
-            value = (m[2] or m[3] or m[4] or "").lower()
-            if key in ("class", "id"):
-                names.update(re.split(r"[^a-z0-9]+", value))
-            elif key == "role":
-                role = value.strip()
-            elif key in ("hidden",) or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none", value):
-                skipped = True
-    firm = parent.firm if parent else False
+    linked: bool = False
+    heading: bool = False
+
+
+def _attributes(raw: str) -> tuple[list[str], str, bool]:
+    """Class names and ids, role, and whether the element is hidden."""
+    names: list[str] = []
+    role, hidden = "", False
+    for m in _ATTRIBUTE.finditer(raw):
+        key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
+        if key in ("class", "id"):
+            names += value.split()
+        elif key == "role":
+            role = value.strip()
+        elif key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none", value):
+            hidden = True
+    return names, role, hidden
+
+
+def _named(tag: str, names: list[str]) -> tuple[float, bool]:
+    """Log-odds of an element's names, and whether they hold for an article inside."""
+    if tag in HEADINGS:
+        return 0.0, False
+    parts = {x for name in names for x in re.split(r"[^a-z0-9]+", name)}
+    whole, firm, some = BOILERPLATE_NAMES.intersection(names), parts & FIRM_NAMES, parts & BOILERPLATE_NAMES
+    if not some:
+        return 0.0, False
+    if tag in TEXTUAL:
+        return WEAK_NAME, False
+    return (BOILERPLATE, bool(firm)) if whole or firm else (WEAK_NAME, False)
+
+
+def _element(tag: str, attributes: str, number: int, up: _Element) -> _Element:
+    names, role, hidden = _attributes(attributes) if attributes.strip(" /") else ([], "", False)
+    place, marks, header, firm = up.place, up.marks, up.header, up.firm
     if tag == "main" or role == "main":
-        score, firm, header = IN_ARTICLE, False, False
+        place, marks, firm, header = IN_ARTICLE, 0.0, False, False
     elif tag == "article" or role == "article":
-        score = score if firm else IN_ARTICLE
+        if not firm:
+            place, marks = IN_ARTICLE, 0.0
     elif tag in BOILERPLATE_TAGS or role in BOILERPLATE_ROLES:
-        score += IN_BOILERPLATE
+        marks += BOILERPLATE
         firm = firm or tag != "form"
     elif tag == "header":
-        if score > 0:
-            header = True  # an article's own header: its headings stay
+        if place == IN_ARTICLE and not marks:
+            header = True
         else:
-            score += IN_BOILERPLATE
+            marks += BOILERPLATE
             firm = True
     if names and tag not in ("html", "body", "main"):
-        if names & BOILERPLATE_NAMES and not (tag == "article" and not names & {"ad", "ads", "comment", "related", "teaser", "promo", "sponsored"}):
-            score += IN_BOILERPLATE
-            firm = firm or bool(names & BOILERPLATE_NAMES - LAYOUT_NAMES)
-        elif names & CONTENT_NAMES and 0 <= score < IN_ARTICLE:
-            score = max(score, IN_CONTENT)
-    return _Element(tag, number, score, skipped, header, firm)
+        own, holds = _named(tag, names)
+        if tag == "article" and not holds:
+            own = 0.0
+        marks += own
+        firm = firm or holds
+        if not own and not marks and not place and CONTENT_NAMES.intersection(x for name in names for x in re.split(r"[^a-z0-9]+", name)):
+            place = IN_CONTENT
+    return _Element(tag, number, place, marks, up.skipped or hidden or tag in SKIPPED, header, firm, up.linked or tag == "a", up.heading or tag in HEADINGS)
 
 
 def blocks_of(page: str) -> list[Block]:
     """The page's non-empty text blocks in order, with their classifier scores (log-odds of content)."""
-    out: list[Block] = []
-    root = _Element("", 0, 0.0, False, False)
-    stack = [root]
+    found: list[tuple[str, _Element, float, int, int, int]] = []
+    stack = [_Element("", 0, 0.0, 0.0)]
+    is_open: Counter[str] = Counter()
     parts: list[str] = []
-    linked = 0
-    number = 0
+    linked = number = 0
+    low = 1  # the least depth since the block before
+
+    def close(depth: int) -> None:
+        nonlocal low
+        for e in stack[depth:]:
+            is_open[e.tag] -= 1
+        del stack[depth:]
+        low = min(low, depth)
 
     def flush() -> None:
-        nonlocal linked
+        nonlocal linked, low
         text = " ".join("".join(parts).split())
         parts.clear()
         linked_part, linked = linked, 0
-        if not text:
-            return
-        top = stack[-1]
-        words = text.count(" ") + 1
-        heading = any(e.tag in HEADINGS for e in stack)
-        score = top.score + PER_LOG_WORD * math.log(words / WORDS_HALF) + LINKED * min(1.0, linked_part / len(text))
-        if text[-1] in ".!?…。\"'”":
-            score += SENTENCE
-        if heading:
-            score += HEADING
-        if top.header and not heading:
-            score += IN_BOILERPLATE
-        out.append(Block(text, score, tuple(e.number for e in stack)))
+        if text:
+            found.append((text, stack[-1], min(1.0, linked_part / len(text)), stack[-2].number if len(stack) > 1 else 0, len(stack), low))
+            low = len(stack)
 
     def add(raw: str) -> None:
         nonlocal linked
         if raw and not stack[-1].skipped:
             text = entities.unescape(raw) if "&" in raw else raw
             parts.append(text)
-            if any(e.tag == "a" for e in stack):
+            if stack[-1].linked:
                 linked += len(text.strip())
 
     at = 0
@@ -161,6 +195,8 @@ def blocks_of(page: str) -> list[Block]:
         if tag is None:
             continue
         tag, closing, attributes = tag.lower(), m[1] or m[4], m[3] or m[6] or ""
+        if is_open["head"] and not closing and tag not in IN_HEAD:
+            close(next(i for i, e in enumerate(stack) if e.tag == "head"))
         if tag in RAW and not closing:
             end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
             at = end.end() if end else len(page)
@@ -171,43 +207,58 @@ def blocks_of(page: str) -> list[Block]:
         if tag in BLOCK:
             flush()
         if closing:
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth].tag == tag:
-                    del stack[depth:]
-                    break
+            if is_open[tag]:
+                depth = len(stack) - 1
+                while stack[depth].tag != tag:
+                    depth -= 1
+                close(depth)
             continue
         if tag in VOID:
             continue
         if tag in BLOCK:  # an open paragraph, with what it left open, ends here
-            while len(stack) > 1 and (stack[-1].tag == "p" or stack[-1].tag not in BLOCK and any(e.tag == "p" for e in stack) and tag == "p"):
-                stack.pop()
-        if tag in IMPLIED:
+            while len(stack) > 1 and (stack[-1].tag == "p" or tag == "p" and stack[-1].tag not in BLOCK and is_open["p"]):
+                close(len(stack) - 1)
+        if tag in IMPLIED and any(is_open[x] for x in IMPLIED[tag][0]):
             ended, stops = IMPLIED[tag]
             for depth in range(len(stack) - 1, 0, -1):
                 if stack[depth].tag in stops:
                     break
                 if stack[depth].tag in ended:
-                    del stack[depth:]
+                    close(depth)
                     break
         number += 1
         stack.append(_element(tag, attributes, number, stack[-1]))
+        is_open[tag] += 1
     flush()
-    return out
+    # Where something is marked as the article, what stands outside of it and has no mark is not.
+    plain = OUTSIDE if any(e.place and not e.marks for _, e, *_ in found) else UNMARKED
+    return [Block(text, _score(text, e, links, plain), parent, depth, shared, e.marks <= BOILERPLATE) for text, e, links, parent, depth, shared in found]
+
+
+def _score(text: str, element: _Element, links: float, plain: float) -> float:
+    """A block's log-odds of being content."""
+    score = (element.place or plain) + element.marks + LINKED * links
+    score += max(SHORTEST, min(LONGEST, PER_LOG_WORD * math.log((text.count(" ") + 1) / WORDS_HALF)))
+    if text[-1] in ".!?…。\"'”":
+        score += SENTENCE
+    if element.heading:
+        score += HEADING
+    elif element.header:
+        score += BOILERPLATE
+    return max(-FIRMEST, min(FIRMEST, score))
 
 
 def edges_of(blocks: list[Block]) -> list[tuple[int, int, float]]:
     """Smoothness edges: neighbours, and successive blocks right below one element."""
     out = []
     last: dict[int, int] = {}
+    like = lambda a, b: 1.0 if a.marked == b.marked else UNLIKE
     for i, block in enumerate(blocks):
         if i:
-            a, b = blocks[i - 1].path, block.path
-            shared = sum(1 for x, y in zip(a, b, strict=False) if x == y)
-            out.append((i - 1, i, ADJACENT * shared / max(len(a), len(b))))
-        parent = block.path[-2] if len(block.path) > 1 else 0
-        if parent in last and last[parent] != i - 1:
-            out.append((last[parent], i, PROXIMATE))
-        last[parent] = i
+            out.append((i - 1, i, ADJACENT * like(blocks[i - 1], block) * block.shared / max(blocks[i - 1].depth, block.depth)))
+        if last.get(block.parent, i - 1) != i - 1:
+            out.append((last[block.parent], i, PROXIMATE * like(blocks[last[block.parent]], block)))
+        last[block.parent] = i
     return out
 
 
@@ -293,10 +344,13 @@ def main_text(page: str | None) -> str:
 def extract_text(df: DataFrame, html_col: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
     """The ``keep`` columns with ``text`` and ``n_chars`` (code points) for every row.
 
-    Null and empty pages, and pages without content, give an empty text.  Unclosed and misplaced tags are read as
-    browsers do for paragraphs, lists and tables, else up to the enclosing element's end.  Repeated rows are extracted
-    each; an empty table gives an empty result.
+    Null and empty pages, and pages without content, give an empty text.  Of an article's own header the headings stay.
+    Unclosed and misplaced tags are read as browsers do for paragraphs, lists, tables and the head, else up to the enclosing
+    element's end.  Pages of any length are taken whole.  Repeated rows are extracted each; an empty table gives an empty
+    result.  Columns to ``keep`` that are named ``text`` or ``n_chars`` would clash with the result's and are refused.
     """
+    if {"text", "n_chars"} & set(keep):
+        raise ValueError("text and n_chars are columns of the result")
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in pieces(batches, "_html"):

@@ -1,8 +1,11 @@
 """Operators 6, 7 and 10, and the pipeline."""
 
 import gzip
+import itertools
 import json
 import math
+import random
+import time
 import zlib
 from collections import Counter
 
@@ -213,12 +216,62 @@ def test_minimum_cut_is_minimal():
         assert cost(html_text.minimum_cut(scores, edges)) == pytest.approx(best)
 
 
-def test_html_rows(spark):
-    rows = [(1, "u", PAGE), (1, "u", PAGE), (None, None, None), (3, "v", "")]
-    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
-    got = html_text.extract_text(pages.withColumn("text", pages["url"]).drop("text"))
-    assert sorted(r["n_chars"] for r in got.collect()) == [0, 0, 62, 62] or got.where("n_chars = length(text)").count() == 4
-    assert html_text.extract_text(pages.limit(0)).count() == 0
+@pytest.mark.parametrize(
+    "page,text",
+    [
+        ("<html><head><title>T</title><article><p>The head has no end.</p></article>", "The head has no end."),
+        ("<article><p>x = <math><mi>a</mi></math> y</p></article>", "x = a y"),
+        ('<article><h2 id="search">Search trees</h2><p class="reply-guide">How to reply.</p><div class="article-share-price">Prices rose.</div></article>', "Search trees\nHow to reply.\nPrices rose."),
+        ("<article><p data-hidden-x>Seen.</p><p hidden>Not.</p><p title='hidden'>Seen, too.</p></article>", "Seen.\nSeen, too."),
+        ("<div><p>Yes.</p><p>No it was not so.</p></div>", "Yes.\nNo it was not so."),
+        ('<article><p>Some words.</p><div class="ad-slot">Buy now!</div></article><div>Outside of it</div>', "Some words."),
+    ],
+)
+def test_html_cases(page, text):
+    assert html_text.main_text(page) == text
+
+
+def test_cut_decides():
+    """A paragraph that is one link goes with its neighbours; a list of links does not."""
+    prose = "<p>Some text with a number of words in it, that goes on for a while.</p>"
+    page = f"<article>{prose}<p><a href=x>A paragraph, one link</a></p>{prose}<ul>{''.join(f'<li><a href={i}>Link {i}</a>' for i in range(5))}</ul></article>"
+    blocks = html_text.blocks_of(page)
+    labels = html_text.minimum_cut([b.score for b in blocks], html_text.edges_of(blocks))
+    assert labels == [True] * 3 + [False] * 5 and blocks[1].score < 0
+
+
+@pytest.mark.parametrize("page", ["<div>" * 100_000 + "x", "<p><b>" * 50_000 + "z", "<td><div>" * 50_000, "<div>" * 50_000 + "</p></span>" * 50_000, "<ul>" + "<div><li>q" * 30_000], ids=range(5))
+def test_deep_pages(page):
+    """Linear in the length: a hundred thousand open elements are no burden."""
+    start = time.process_time()
+    html_text.main_text(page)
+    assert time.process_time() - start < 10
+
+
+def plain_text(page):
+    """The main text by trying every labelling of each page's blocks."""
+    blocks = html_text.blocks_of(page or "")
+    edges = html_text.edges_of(blocks)
+    cost = lambda keep: sum(abs(b.score) for b, k in zip(blocks, keep, strict=True) if (b.score > 0) != k) + sum(w for i, j, w in edges if keep[i] != keep[j])
+    best = min(itertools.product((False, True), repeat=len(blocks)), key=lambda keep: (round(cost(keep), 9), sum(keep)))
+    return "\n".join(b.text for b, k in zip(blocks, best, strict=True) if k)
+
+
+def test_html_rows(spark, tmp_path):
+    rng = random.Random(8)
+    part = lambda: rng.choice(["<p>{}</p>", "<p><a href=x>{}</a></p>", "<div class=note>{}</div>", "<div class='share ad'>{}</div>", "<li>{}", "<h2>{}</h2>", "{}<br>"]).format(" ".join("ab" * rng.randint(1, 4) for _ in range(rng.randint(1, 25))))
+    pages = ["".join(rng.choice(["", "<nav>", "</nav>", "<article>", "</article>", "<div>"]) + part() for _ in range(rng.randint(1, 9))) for _ in range(60)]
+    rows = [(1, "u", PAGE), (1, "u", PAGE), (None, None, None), (3, "v", "")] + [(10 + i, "w", p) for i, p in enumerate(pages)]
+    table = spark.createDataFrame(rows, "page_id long, url string, html string")
+    table.write.parquet(str(tmp_path / "pages.parquet"))
+    got = html_text.op7_html_text(spark, str(tmp_path)).collect()
+    want = sorted((str(i), str(u), plain_text(p), len(plain_text(p))) for i, u, p in rows)
+    assert sorted((str(r["page_id"]), str(r["url"]), r["text"], r["n_chars"]) for r in got) == want
+    clash = table.withColumns({"text": table["url"], "_html": table["url"]})
+    assert sorted(r["text"] for r in html_text.extract_text(clash).collect()) == sorted(x[2] for x in want)
+    with pytest.raises(ValueError):
+        html_text.extract_text(clash, keep=("page_id", "text"))
+    assert html_text.extract_text(table.limit(0)).count() == 0
 
 
 def test_warc_round_trip(spark, tmp_path):
