@@ -3,7 +3,8 @@
 Each response yields one ``metadata`` record (a JSON envelope with the source's WARC and HTTP headers, title, links and
 digests; a header name that occurs again has the list of its values) and one ``conversion`` record (its visible text).  Both carry ``WARC-Refers-To`` with the response's record id, its
 target URI and date, and digests of their own blocks; the response's payload digest goes into the envelope and, for the
-conversion, into ``WARC-Source-Payload-Digest``.  Record ids are name-based UUIDs of the response's id, so a rerun,
+conversion, into ``WARC-Source-Payload-Digest``.  Chunked, gzip and deflate payloads are decoded for text and links; the envelope
+says what was decoded and marks what could not be.  Record ids are name-based UUIDs of the response's id, so a rerun,
 or a task that is run again, writes the same records.  Records are independent: nothing is shuffled.
 """
 
@@ -12,16 +13,17 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
-import io
 import json
 import re
 import uuid
+import zlib
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
+from pyarrow.fs import FileSystem
 from pyspark.sql import DataFrame, SparkSession
 
-from cellweave.llm.common import pieces, read_table
+from cellweave.llm.common import materialise, pieces, read_table
 from cellweave.llm.html_text import blocks_of
 
 VERSION = "WARC/1.1"
@@ -54,25 +56,77 @@ def serialise(headers: Iterable[Header], block: bytes) -> bytes:
     return f"{VERSION}\r\n{head}\r\n".encode() + block + b"\r\n\r\n"
 
 
-def parse(data: bytes) -> Iterator[tuple[list[Header], bytes]]:
-    """The records of a WARC file, plain or gzipped (as one member or one a record); a cut last record is an error."""
-    if data[:2] == b"\x1f\x8b":
-        data = gzip.decompress(data)
-    stream = io.BytesIO(data)
-    while line := stream.readline():
+class _Reader:
+    """Lines and blocks of a WARC file, plain or gzipped (as one member or one a record), read ``STEP`` bytes at a time."""
+
+    STEP = 1 << 20
+
+    def __init__(self, stream):
+        self.stream, self.data, self.at = stream, b"", 0
+        self.members, self.raw, self.ended = None, b"", False
+        head = stream.read(2)
+        if head == b"\x1f\x8b":
+            self.members, self.raw = zlib.decompressobj(31), head
+        else:
+            self.data = head
+
+    def _more(self) -> bool:
+        while True:
+            if self.members is None:
+                fresh = self.stream.read(self.STEP)
+                self.ended = not fresh
+            else:
+                if self.members.eof:  # the next member
+                    left = self.members.unused_data
+                    self.members, self.raw = zlib.decompressobj(31), left + self.raw
+                if not self.raw:
+                    self.raw = self.stream.read(self.STEP)
+                    self.ended = not self.raw
+                fresh = self.members.decompress(self.raw, self.STEP) if self.raw else b""
+                self.raw = self.members.unconsumed_tail
+                if not fresh and not self.ended:
+                    continue
+            self.data, self.at = self.data[self.at :] + fresh, 0
+            return bool(fresh)
+
+    def line(self) -> bytes:
+        seen = 0
+        while (end := self.data.find(b"\n", self.at + seen)) < 0:
+            seen = len(self.data) - self.at
+            if not self._more():
+                end = len(self.data) - 1
+                break
+        out, self.at = self.data[self.at : end + 1], end + 1
+        return out
+
+    def take(self, n: int) -> bytes:
+        parts, held = [], 0
+        while True:
+            part = self.data[self.at : self.at + n - held]
+            self.at += len(part)
+            parts.append(part)
+            held += len(part)
+            if held == n or not self._more():
+                return b"".join(parts)
+
+
+def parse(stream) -> Iterator[tuple[list[Header], bytes]]:
+    """The records of a WARC file, given as a binary stream; no more than a record is held.  A cut last record is an error."""
+    reader = _Reader(stream)
+    while line := reader.line():
         if not line.strip():
             continue
         if not line.startswith(b"WARC/"):
-            raise ValueError(f"no WARC record at byte {stream.tell() - len(line)}")
+            raise ValueError(f"no WARC record begins with {line[:20]!r}")
         headers: list[Header] = []
-        while (line := stream.readline()).strip():
+        while (line := reader.line()).strip():
             if line[:1] in b" \t" and headers:  # a folded line
                 headers[-1] = (headers[-1][0], headers[-1][1] + " " + line.decode("utf-8", "replace").strip())
                 continue
             name, _, value = line.decode("utf-8", "replace").partition(":")
             headers.append((name.strip(), value.strip()))
-        length = int(next((v for k, v in headers if k.lower() == "content-length"), "0"))
-        block = stream.read(length)
+        length = int(_value(headers, "Content-Length") or "0")
+        block = reader.take(length)
         if len(block) < length:
             raise ValueError("the last record is cut off")
         yield headers, block
@@ -100,6 +154,49 @@ def split_http(block: bytes) -> tuple[str, list[Header], bytes]:
     return lines[0], [(n.strip(), v.strip()) for n, _, v in (x.partition(":") for x in lines[1:])], payload
 
 
+def _unchunked(data: bytes) -> bytes:
+    out, at = [], 0
+    while True:
+        end = data.find(b"\n", at)
+        try:
+            size = int(data[at:end].split(b";")[0], 16) if end >= 0 else 0
+        except ValueError:
+            return data if not out else b"".join(out)  # not chunked after all, or damaged
+        if not size:
+            return b"".join(out)
+        out.append(data[end + 1 : end + 1 + size])
+        at = end + 1 + size
+        at += 2 if data[at : at + 2] == b"\r\n" else data[at : at + 1] == b"\n"
+
+
+def decoded(http: list[Header], payload: bytes) -> tuple[bytes, list[str], str | None]:
+    """The payload without its transfer and content encodings, those undone, and the one that could not be (the rest is as it was).
+
+    A body that is cut off or damaged is decoded as far as it goes.
+    """
+    undone = []
+    codings = [x.strip().lower() for name in ("Content-Encoding", "Transfer-Encoding") for k, v in http if k.lower() == name.lower() for x in v.split(",")]
+    for coding in reversed([x for x in codings if x and x != "identity"]):
+        if coding == "chunked":
+            payload = _unchunked(payload)
+        elif coding in ("gzip", "x-gzip", "deflate"):
+            found = None
+            for bits in (31,) if coding != "deflate" else (15, -15):
+                machine = zlib.decompressobj(bits)
+                try:
+                    found = machine.decompress(payload)
+                except zlib.error:
+                    continue
+                break
+            if found is None:
+                return payload, undone, coding
+            payload = found
+        else:
+            return payload, undone, coding
+        undone.append(coding)
+    return payload, undone, None
+
+
 def response(url: str, page: str, date: str = DATE, *names: str) -> tuple[list[Header], bytes]:
     """A response record for a page that was fetched without keeping its head."""
     payload = page.encode()
@@ -123,11 +220,14 @@ def derivatives(headers: list[Header], block: bytes) -> list[tuple[list[Header],
     source = _value(headers, "WARC-Record-ID") or record_id("unnamed", digest(block))
     uri, date = _value(headers, "WARC-Target-URI") or "", _value(headers, "WARC-Date") or DATE
     payload_digest = _value(headers, "WARC-Payload-Digest") or digest(payload)
+    body, undone, left = decoded(http, payload)
     charset = re.search(r"charset=([\w-]+)", _value(http, "Content-Type") or "")
     try:
-        page = payload.decode(charset[1] if charset else "utf-8", "replace")
+        page = body.decode(charset[1] if charset else "utf-8", "replace")
     except LookupError:
-        page = payload.decode("utf-8", "replace")
+        page = body.decode("utf-8", "replace")
+    if left:  # no text can be had
+        page = ""
     title = _TITLE.search(page)
     envelope = {
         "WARC-Header-Metadata": _by_name(headers),
@@ -136,13 +236,15 @@ def derivatives(headers: list[Header], block: bytes) -> list[tuple[list[Header],
             "Headers": _by_name(http),
             "Entity-Length": len(payload),
             "Entity-Digest": payload_digest,
+            **({"Decoded": undone} if undone else {}),
+            **({"Not-Decoded": left} if left else {}),
             "HTML-Metadata": {"Title": _one_line(title[1]) if title else None, "Links": [a or b or c for a, b, c in _LINK.findall(page)]},
         },
     }
     made = []
     text = "\n".join(b.text for b in blocks_of(page)).encode("utf-8", "replace")
-    body = json.dumps(envelope, ensure_ascii=False, separators=(",", ":")).encode("utf-8", "replace")
-    for kind, content_type, content in (("metadata", "application/json", body), ("conversion", "text/plain; charset=utf-8", text)):
+    described = json.dumps(envelope, ensure_ascii=False, separators=(",", ":")).encode("utf-8", "replace")
+    for kind, content_type, content in (("metadata", "application/json", described), ("conversion", "text/plain; charset=utf-8", text)):
         made.append(
             (
                 [
@@ -179,21 +281,32 @@ def _batch(ids: list, id_type, records: list[tuple[list[Header], bytes]], id_nam
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """The records of the WARC files at ``path`` (``RECORD_SCHEMA``).  A file is read whole by one task: keep them under 1 GB."""
+    """The records of the WARC files at ``path`` (a file, folder or pattern), in ``RECORD_SCHEMA``.
+
+    A task streams each of its files through a filesystem that pyarrow knows, and holds a few megabytes or one record.  Empty
+    files have no records; a cut last record is an error.
+    """
 
     def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for data in batch.column("content").to_pylist():
-                held, size = [], 0
-                for record in parse(data):
-                    held.append(record)
-                    size += len(record[1])
-                    if size > 8 << 20:
-                        yield _batch([], None, held, None)
-                        held, size = [], 0
-                yield _batch([], None, held, None)
+            for name in batch.column("path").to_pylist():
+                store, at = FileSystem.from_uri(_uri(name))
+                with store.open_input_stream(at, compression=None) as stream:
+                    held, size = [], 0
+                    for record in parse(stream):
+                        held.append(record)
+                        size += len(record[1])
+                        if size > 8 << 20:
+                            yield _batch([], None, held, None)
+                            held, size = [], 0
+                    yield _batch([], None, held, None)
+
+    return spark.read.format("binaryFile").load(path).select("path").mapInArrow(records, RECORD_SCHEMA)
+
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(records, RECORD_SCHEMA)
+def _uri(path: str) -> str:
+    """Hadoop's spelling of a path as pyarrow takes it."""
+    return re.sub(r"^file:/(?!//)/?", "file:///", path) if ":" in path else f"file://{path}"
 
 
 def responses_from_pages(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -212,7 +325,8 @@ def responses_from_pages(df: DataFrame, id_col: str = "page_id", url_col: str =
 def build_derivatives(records: DataFrame, id_col: str | None = None) -> DataFrame:
     """Two records (``RECORD_SCHEMA``, after ``id_col`` if given) for every row of type ``response``; other types give none.
 
-    Null headers or blocks read as empty.  Repeated rows give repeated, equal records; an empty table gives none.
+    Null headers or blocks read as empty; blocks of any length are taken whole.  Repeated rows give repeated, equal records; an
+    empty table gives none.  Other columns are not read, whatever their names.
     """
     names = ([id_col] if id_col else []) + ["headers", "block"]
 
@@ -230,14 +344,35 @@ def build_derivatives(records: DataFrame, id_col: str | None = None) -> DataFram
     return records.where("warc_type = 'response'").select(*names).mapInArrow(derive, prefix + RECORD_SCHEMA)
 
 
-def write_warc(records: DataFrame, path: str) -> int:
-    """Stream the records into one gzipped WARC file on the driver, a member a record; their number."""
-    n = 0
-    with open(path, "wb") as out:
-        for row in records.select("headers", "block").toLocalIterator():
-            out.write(gzip.compress(serialise([(h["name"], h["value"]) for h in row["headers"]], bytes(row["block"])), mtime=0))
-            n += 1
-    return n
+def write_warc(records: DataFrame, path: str) -> DataFrame:
+    """Write the records as gzipped WARC files, one for each partition, into the folder ``path``, which all executors see; their
+    names with the number of records.
+
+    A member a record, in the partition's order.  A file gets its name when it is whole, so a task that is run again replaces
+    what it left and nothing is written twice; an empty partition makes no file.  Nothing goes through the driver but names.
+    """
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        store, folder = FileSystem.from_uri(_uri(path))
+        store.create_dir(folder)
+        task = TaskContext.get()
+        name = f"part-{task.partitionId():06d}.warc.gz"
+        draft = f"{folder}/.{name}.{task.taskAttemptId()}"
+        n = 0
+        with store.open_output_stream(draft, compression=None) as out:
+            for batch in batches:
+                for headers, block in zip(batch.column("headers").to_pylist(), batch.column("block").to_pylist(), strict=True):
+                    out.write(gzip.compress(serialise([(h["name"], h["value"]) for h in headers or ()], block or b""), mtime=0))
+                    n += 1
+        if n:
+            store.move(draft, f"{folder}/{name}")
+        else:
+            store.delete_file(draft)
+        yield pa.RecordBatch.from_arrays([pa.array([name] * bool(n), pa.string()), pa.array([n] * bool(n), pa.int64())], ["file", "records"])
+
+    return materialise(records.select("headers", "block").mapInArrow(write, "file string, records long"), "written")
 
 
 def op10_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:

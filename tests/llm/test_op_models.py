@@ -1,11 +1,15 @@
 """Operators 6, 7 and 10, and the pipeline."""
 
+import base64
 import gzip
+import hashlib
+import io
 import itertools
 import json
 import math
 import random
 import time
+import uuid
 import zlib
 from collections import Counter
 
@@ -15,6 +19,7 @@ import pytest
 from cellweave.llm import html_text, language_model, mixing, warc
 from cellweave.llm.words import hash_words
 from corpora import corpus, lower, words
+from pyspark.sql import functions as F
 from test_op_map import kept_rows
 from test_op_pairs import fingerprint, linked
 
@@ -286,15 +291,19 @@ def test_warc_round_trip(spark, tmp_path):
         origin = source[r["refers_to"]]
         assert r["target_uri"] == origin["target_uri"] and r["payload_digest"] == origin["payload_digest"] and r["warc_date"] == origin["warc_date"]
         assert r["block_digest"] == warc.digest(bytes(r["block"])) and r["content_length"] == len(r["block"])
-    path = str(tmp_path / "x.warc.gz")
-    assert warc.write_warc(made.drop("page_id"), path) == 10
+    path = str(tmp_path / "out")
+    files = warc.write_warc(made.drop("page_id").repartition(3), path).collect()
+    assert sum(r["records"] for r in files) == 10 and {p.name for p in (tmp_path / "out").iterdir()} == {r["file"] for r in files}
     back = warc.read_warc(spark, path)
     key = lambda df: sorted((r["record_id"], r["refers_to"], bytes(r["block"]), str(r["headers"])) for r in df.collect())
     assert key(back) == key(made)
-    records = list(warc.parse(gzip.decompress(open(path, "rb").read())))
-    assert len(records) == 10
-    with pytest.raises(ValueError):
-        list(warc.parse(b"WARC/1.1\r\nContent-Length: 10\r\n\r\nshort"))
+    whole = b"".join(gzip.decompress((tmp_path / "out" / r["file"]).read_bytes()) for r in files)
+    for data in (whole, gzip.compress(whole)):  # plain, and as one member
+        assert sorted(x[1] for x in warc.parse(io.BytesIO(data))) == sorted(bytes(r["block"]) for r in rows)
+    for bad in (b"WARC/1.1\r\nContent-Length: 10\r\n\r\nshort", b"not a record\n"):
+        with pytest.raises(ValueError):
+            list(warc.parse(io.BytesIO(bad)))
+    assert list(warc.parse(io.BytesIO(b""))) == []
     assert warc.build_derivatives(made.drop("page_id")).count() == 0
     assert warc.build_derivatives(responses.limit(0)).count() == 0
 
@@ -310,6 +319,66 @@ def test_warc_repeated_headers(spark, tmp_path):
     assert envelope["WARC-Header-Metadata"] == {"WARC-Type": "response", "WARC-Record-ID": "<urn:x:1>", "WARC-Concurrent-To": ["<urn:x:2>", "<urn:x:3>"], "Content-Length": str(len(block))}
 
 
+def test_warc_small_steps(monkeypatch):
+    """Records come out whole wherever the reads fall."""
+    rng = random.Random(9)
+    want = [([("WARC-Type", "response"), ("X", "y" * rng.randint(0, 30)), ("Content-Length", str(n))], rng.randbytes(n)) for n in (0, 1, 50, 700, 3)]
+    members = [warc.serialise(*x) for x in want]
+    for data in (b"".join(members), b"".join(map(gzip.compress, members)), gzip.compress(b"".join(members))):
+        for step in (1, 7, 64, 5000):
+            monkeypatch.setattr(warc._Reader, "STEP", step)
+            assert list(warc.parse(io.BytesIO(data))) == want
+
+
+def test_encoded_bodies():
+    page = "<title>é</title><p>Text of some length, text of some length.</p>".encode()
+    chunked = lambda data: b"".join(b"%x;q\r\n%s\r\n" % (len(data[i : i + 9]), data[i : i + 9]) for i in range(0, len(data), 9)) + b"0\r\n\r\n"
+    raw = zlib.compressobj(wbits=-15)
+    cases = [
+        ([], page, [], None), (["Content-Encoding: gzip"], gzip.compress(page), ["gzip"], None), (["Content-Encoding: deflate"], zlib.compress(page), ["deflate"], None),
+        (["Content-Encoding: Deflate"], raw.compress(page) + raw.flush(), ["deflate"], None), (["Transfer-Encoding: chunked"], chunked(page), ["chunked"], None),
+        (["Transfer-Encoding: chunked", "Content-Encoding: gzip"], chunked(gzip.compress(page)), ["chunked", "gzip"], None), (["Content-Encoding: br"], b"\x00\x01", [], "br"),
+        (["Content-Encoding: gzip"], page, [], "gzip"), (["Content-Encoding: identity"], page, [], None),
+    ]
+    for heads, body, undone, left in cases:
+        block = "\r\n".join(["HTTP/1.1 200 OK", *heads, "Content-Type: text/html"]).encode() + b"\r\n\r\n" + body
+        (_, described), (_, text) = warc.derivatives([("WARC-Record-ID", "<urn:x:1>")], block)
+        response = json.loads(described)["HTTP-Response-Metadata"]
+        assert (response.get("Decoded", []), response.get("Not-Decoded")) == (undone, left)
+        assert text.decode() == ("" if left else "Text of some length, text of some length.") and response["HTML-Metadata"]["Title"] == (None if left else "é")
+        assert response["Entity-Length"] == len(body) and response["Entity-Digest"] == warc.digest(body)
+
+
+def test_op10_by_hand(spark, tmp_path):
+    """The query's records, put together by hand from each page."""
+    pages = [(1, "http://a.example/x y", PAGE), (2, None, "<p>é</p>"), (2, None, "<p>é</p>"), (None, "u", None), (4, "http://c.example", "<div>" * 3000 + "deep")]
+    spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("block", F.lit(1)).write.parquet(str(tmp_path / "pages.parquet"))
+    want = []
+    for ident, url, page in pages:
+        data = (page or "").encode()
+        head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(data)}\r\n\r\n".encode()
+        sha = lambda x: "sha1:" + base64.b32encode(hashlib.sha1(x).digest()).decode()
+        source = f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, chr(10).join(['response', url or '', warc.DATE, sha(data), str(ident)]))}>"
+        text = "\n".join(b.text for b in html_text.blocks_of(page or "")).encode()
+        title = "T" if page == PAGE else None
+        links = ["/a"] if page == PAGE else []
+        envelope = {
+            "WARC-Header-Metadata": {
+                "WARC-Type": "response", "WARC-Record-ID": source, "WARC-Target-URI": url or "", "WARC-Date": warc.DATE, "Content-Type": "application/http; msgtype=response",
+                "WARC-Payload-Digest": sha(data), "WARC-Block-Digest": sha(head + data), "Content-Length": str(len(head + data)),
+            },
+            "HTTP-Response-Metadata": {
+                "Status": "HTTP/1.1 200 OK", "Headers": {"Content-Type": "text/html; charset=utf-8", "Content-Length": str(len(data))}, "Entity-Length": len(data), "Entity-Digest": sha(data),
+                "HTML-Metadata": {"Title": title, "Links": links},
+            },
+        }
+        for kind, body in (("metadata", envelope), ("conversion", text)):
+            made = f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, kind + chr(10) + source)}>"
+            want.append((str(ident), kind, made, source, url or "", sha(data), str(body)))
+    got = [(str(r["page_id"]), r["warc_type"], r["record_id"], r["refers_to"], r["target_uri"], r["payload_digest"], str(json.loads(bytes(r["block"])) if r["warc_type"] == "metadata" else bytes(r["block"]))) for r in warc.op10_warc_derivatives(spark, str(tmp_path)).collect()]
+    assert sorted(got) == sorted(want)
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
     from cellweave.llm import decontaminate, secrets
