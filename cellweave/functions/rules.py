@@ -65,40 +65,20 @@ def validate_rule(rule: Rule, dims: int = 2) -> Rule:
     return rule
 
 
-def _digits(section: str) -> list[int]:
-    return [int(c) for c in section]
-
-
-def _numbers(section: str) -> list[int]:
-    if not section.strip():
-        return []
-    if "," not in section and len(section) > 2:
-        raise ValueError(f"counts {section!r} must be parted by commas")
-    tokens = [t.strip() for t in section.split(",")]
-    if not all(re.fullmatch("[0-9]+", t) for t in tokens):
-        raise ValueError(f"counts {section!r} must be whole numbers")
-    return list(map(int, tokens))
-
-
-_TEXT_2D = re.compile(r"\s*[Bb]([0-8]*)\s*/\s*[Ss]([0-8]*)\s*")
-_TEXT_3D = re.compile(r"\s*[Bb]([0-9, \t]*?)\s*/\s*[Ss]([0-9, \t]*?)\s*")
+#: A section's text by dimensions: digits, or counts parted by commas (one count of two digits at most needs none).
+_COUNTS = {2: r"[0-8]*", 3: r"(?:[0-9]{1,2}|[0-9]+[ \t]*(?:,[ \t]*[0-9]+[ \t]*)+)?"}
+_RULE = {dims: re.compile(rf"\s*[Bb][ \t]*({counts})\s*/\s*[Ss][ \t]*({counts})\s*" if dims == 3 else rf"\s*[Bb]({counts})\s*/\s*[Ss]({counts})\s*") for dims, counts in _COUNTS.items()}
 
 
 def _parse(text: str, dims: int) -> Rule:
     if not isinstance(text, str):
         raise TypeError("a rule's text must be a string")
-    m = (_TEXT_2D if dims == 2 else _TEXT_3D).fullmatch(text)
-    if not m:
-        raise ValueError(f"{text!r} is no rule of the form {'B3/S23' if dims == 2 else 'B6/S5,6,7'}")
-    masks = []
-    for section in m.groups():
-        counts = _digits(section) if dims == 2 else _numbers(section)
-        if len(set(counts)) < len(counts):
-            raise ValueError(f"{text!r} repeats a count")
-        if any(c >= COUNTS[dims] for c in counts):
-            raise ValueError(f"{text!r} has a count beyond {COUNTS[dims] - 1}")
-        masks.append(tuple(i in counts for i in range(COUNTS[dims])))
-    return Rule(*masks, dims=dims)
+    found = _RULE[dims].fullmatch(text)
+    sections = [[int(n) for n in re.findall("[0-9]" if dims == 2 else "[0-9]+", section)] for section in found.groups()] if found else [[-1]]
+    for counts in sections:
+        if sorted(set(counts) & set(range(COUNTS[dims]))) != sorted(counts):
+            raise ValueError(f"{text!r} is no rule of the form {'B3/S23' if dims == 2 else 'B6/S5,6,7'} with different counts up to {COUNTS[dims] - 1}")
+    return Rule(*[tuple(i in counts for i in range(COUNTS[dims])) for counts in sections], dims=dims)
 
 
 def parse_rule(text: str) -> Rule:
@@ -188,3 +168,11 @@ def rule_text(code: Column, dims: int = 2) -> Column:
         return F.array_join(F.transform(counts, lambda c: c.cast("string")), "" if dims == 2 else ",")
 
     return F.concat(F.lit("B"), section(0), F.lit("/S"), section(n))
+
+
+def editor_state(text: Column, dims: int = 2) -> Column:
+    """What a rule editor shows for a text: whether it is a rule, its canonical text, and a flag for each count's switches."""
+    code = rule_code(text, dims)
+    birth, survival = rule_masks(code, dims)
+    shown = lambda c: F.when(code.isNotNull(), c)
+    return F.struct(code.isNotNull().alias("valid"), shown(rule_text(code, dims)).alias("rule"), shown(birth).alias("birth"), shown(survival).alias("survival"))

@@ -4,10 +4,15 @@ from __future__ import annotations
 
 import operator
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 #: Limits of a request.
 MAX_SWEEP_CELL_UPDATES = 100_000_000
 MAX_INTERACTIVE_CELL_UPDATES = 100_000_000
 NEIGHBOURS = {2: 8, 3: 26}
+#: Most generations that playback asks for at once; comparisons go by the 3D one.
+PLAYBACK_BATCH = {2: 2000, 3: 800}
 
 
 def whole(value, name: str, least: int = 1) -> int:
@@ -49,3 +54,8 @@ def validate_interactive_workload(*, dimensions: int, cells: int, steps: int) ->
     if updates > MAX_INTERACTIVE_CELL_UPDATES:
         raise ValueError(f"{updates:,} neighbour evaluations are over the limit of {MAX_INTERACTIVE_CELL_UPDATES:,}")
     return updates
+
+
+def playback_steps(owed: Column, dimensions: int) -> Column:
+    """Whole generations of those ``owed`` that the next request of a playback asks for."""
+    return F.greatest(F.lit(0), F.least(F.floor(owed), F.lit(PLAYBACK_BATCH[_dims(dimensions)]))).cast("long")

@@ -2,11 +2,12 @@
 
 The centre cell is its own offset with a weight above all neighbours together, so one sum tells both a cell's state and
 its neighbour count, each generation refers to its parent once, and small tori count with multiplicity.  Each generation
-is one shuffle with map-side sums; ``run`` writes the relation to the shared checkpoint folder every few generations.
+is one shuffle with map-side sums; ``run`` writes the relation into the shared folder every few generations.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from itertools import product
 
 from pyspark.sql import Column, DataFrame
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 from cellweave.functions.rules import Rule, rule_bit
 from cellweave.functions.workload import whole
 from cellweave.operators.grids import axes, full_shape
+from cellweave.sources.shared import materialise
 
 #: Weight of the centre by dimensions: more than all neighbours.
 CENTRE = {2: 10, 3: 32}
@@ -56,10 +58,12 @@ def step(cells: DataFrame, rule: Rule | Column, shape: tuple[int, ...], keys: tu
     return out.where(F.col("alive") != 0) if live_only else out
 
 
-def run(cells: DataFrame, rule: Rule | Column, shape: tuple[int, ...], steps: int, keys: tuple[str, ...] = ("grid_id",), live_only: bool = False, checkpoint=None) -> DataFrame:
-    """``steps`` generations; ``checkpoint`` (a function of a DataFrame) cuts the lineage every few of them."""
+def run(cells: DataFrame, rule: Rule | Column, shape: tuple[int, ...], steps: int, keys: tuple[str, ...] = ("grid_id",), live_only: bool = False, checkpoint: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """``steps`` generations; ``checkpoint`` (a function of a DataFrame; by default a table in the shared folder) cuts the
+    lineage every few of them."""
+    checkpoint = checkpoint or (lambda df: materialise(df, "generation"))
     for i in range(whole(steps, "steps", 0)):
         cells = step(cells, rule, shape, keys, live_only)
-        if checkpoint and i % CHECKPOINT_EVERY == CHECKPOINT_EVERY - 1 and i + 1 < steps:
+        if i % CHECKPOINT_EVERY == CHECKPOINT_EVERY - 1 and i + 1 < steps:
             cells = checkpoint(cells)
     return cells

@@ -73,10 +73,13 @@ def grids_to_arrays(grids: DataFrame, dims: int = 2) -> dict[int, np.ndarray]:
 
 
 def grids_from_vectors(df: DataFrame, id_col: str, vector: Column, shape: tuple[int, ...]) -> DataFrame:
-    """Packed grids from a column of number arrays: positive is alive; short vectors are padded dead, long ones cut."""
+    """Packed grids from a column of number arrays: positive is alive, null numbers and null vectors are dead.  A vector of
+    another length than the shape's is an error."""
     d, h, w = full_shape(shape)
     n = d * h * w
-    bits = F.transform(F.slice(F.concat(vector, F.array_repeat(F.lit(0.0).cast("float"), n)), 1, n), lambda v: (v > 0).cast("tinyint"))
+    bits = F.transform(vector, lambda v: F.coalesce(v > 0, F.lit(False)).cast("tinyint"))
+    dead = F.array_repeat(F.lit(0).cast("tinyint"), n)
+    bits = F.when(vector.isNull(), dead).when(F.size(vector) == n, bits).otherwise(F.raise_error(F.format_string(f"a vector of %d numbers is no grid of {n} cells", F.size(vector))))
     return df.select(F.col(id_col).cast("long").alias("grid_id"), F.lit(d).alias("depth"), F.lit(h).alias("height"), F.lit(w).alias("width"), bits.alias("cells"))
 
 
@@ -151,3 +154,21 @@ def slice_grids(grids: DataFrame, axis: str, index: int) -> DataFrame:
         cells = F.transform(F.sequence(F.lit(0), d * h - 1), lambda i: F.get("cells", (i * w + index).cast("int")))
     out = grids.select("grid_id", high.alias("height"), wide.alias("width"), cells.alias("cells"))
     return out.select("grid_id", "height", "width", F.aggregate("cells", F.lit(0), lambda a, c: a + c).alias("alive"), "cells")
+
+
+def edit_cells(grids: DataFrame, edits: DataFrame) -> DataFrame:
+    """2D packed grids after a stroke of edits (grid_id, y, x, place, mode): ``paint``, ``erase`` or, else, ``toggle`` a cell.
+
+    A stroke meets a cell once: of several edits of a cell the one with the least ``place`` counts.  Cells outside the grid
+    and edits of grids that are not there change nothing.
+    """
+    first = edits.groupBy("grid_id", "y", "x").agg(F.min_by("mode", "place").alias("mode"))
+    per_grid = first.groupBy(F.col("grid_id").alias("_id")).agg(F.map_from_entries(F.collect_list(F.struct(F.struct(F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x")), "mode"))).alias("_modes"))
+    joined = grids.join(per_grid, F.col("grid_id") == F.col("_id"), "left")
+
+    def edited(cell: Column, i: Column) -> Column:
+        place = F.struct(F.floor(i / F.col("width")).cast("int").alias("y"), F.pmod(i, F.col("width")).cast("int").alias("x"))
+        mode = F.try_element_at("_modes", place)
+        return F.when(mode.isNull(), cell).when(mode == "paint", F.lit(1)).when(mode == "erase", F.lit(0)).otherwise(F.lit(1) - cell).cast("tinyint")
+
+    return joined.withColumn("cells", F.when(F.col("_id").isNull(), F.col("cells")).otherwise(F.transform("cells", edited))).drop("_id", "_modes")

@@ -16,8 +16,10 @@ from pyspark.sql import functions as F
 
 from cellweave.functions.rules import Rule, int_to_rule, parse_rule, parse_rule_3d, rule_text
 from cellweave.functions.seeds import check_density, check_seed, rule_bits
+from cellweave.functions.workload import whole
 from cellweave.operators import simulate
 from cellweave.operators.grids import random_grids
+from cellweave.sources.shared import fresh_path, remove_at_exit
 
 
 def random_rules(spark: SparkSession, seed: int, count: int, dims: int = 2, stream: str = "rule") -> DataFrame:
@@ -63,9 +65,10 @@ def sweep(grids: DataFrame, rules: list[Rule], steps: int, dims: int) -> DataFra
     )
 
 
-def _check(rules: int, initial_conditions: int, sizes: tuple[int, ...], steps: int, density: float) -> None:
-    if min(rules, initial_conditions, *sizes) < 1 or steps < 0:
-        raise ValueError("rules, initial conditions and sizes must be positive, steps not negative")
+def _check(density: float, steps: int, **positive: int) -> None:
+    whole(steps, "steps", 0)
+    for name, value in positive.items():
+        whole(value, name)
     check_density(density)
 
 
@@ -74,16 +77,26 @@ def random_experiment(spark: SparkSession, dims: int, *, rules: int, initial_con
 
     ``rule_id`` is the rule's position in 2D and its code in 3D.
     """
-    _check(rules, initial_conditions, (size,), steps, density)
+    _check(density, steps, rules=rules, initial_conditions=initial_conditions, size=size)
     grids = random_grids(spark, check_seed(seed), (size,) * dims, density, initial_conditions, f"sweep{dims}")
-    rows = sweep(grids, sample_rules(spark, seed, rules, dims), steps, dims)
+    chosen = sample_rules(spark, seed, rules, dims)
+    rows = _sweep_with_progress(grids, chosen, steps, dims, progress) if progress else sweep(grids, chosen, steps, dims)
     rows = (rows.withColumn("rule_id", F.col("rule_index").cast("long")) if dims == 2 else rows).drop("rule_index")
     manifest = {"dimensions": dims, "grid_size": [size] * dims, "rules": rules, "initial_conditions_per_rule": initial_conditions, "steps": steps, "density": density, "seed": seed, "device": f"spark:{spark.sparkContext.master}", **({"dtype": "uint8"} if dims == 3 else {}), "timestamp": datetime.now(UTC).isoformat()}
-    if progress:
-        progress(rules, rules)
     return rows, manifest
 
 
+def _sweep_with_progress(grids: DataFrame, rules: list[Rule], steps: int, dims: int, progress: Callable[[int, int], None]) -> DataFrame:
+    """A sweep of a job for each rule, so that ``progress(done, all)`` can be told of it; rows are written as they come."""
+    path, spark = fresh_path(grids.sparkSession, "sweep"), grids.sparkSession
+    for done, rule in enumerate(rules, 1):
+        rows = sweep(grids, [rule], steps, dims).withColumn("rule_index", F.lit(done - 1))
+        rows.write.mode("append").parquet(path)
+        progress(done, len(rules))
+    remove_at_exit(spark, path)
+    return spark.read.schema(rows.schema).parquet(path)
+
+
 def random_2d_experiment(spark: SparkSession, **request) -> tuple[DataFrame, dict]:
     return random_experiment(spark, 2, **{"rules": 5, "initial_conditions": 4, "size": 24, "steps": 50} | request)
 
@@ -94,7 +107,7 @@ def random_3d_experiment(spark: SparkSession, **request) -> tuple[DataFrame, dic
 
 def compare_dimensions(spark: SparkSession, *, rules: int = 1, initial_conditions: int = 20, size_2d: int = 64, size_3d: int = 32, steps: int = 100, density: float = 0.10, seed: int = 42, rule_2d: str = "B3/S23", rule_3d: str = "B6/S5,6,7") -> tuple[DataFrame, dict]:
     """2D and 3D runs side by side: the given rules if one is asked for, else random ones of either dimension."""
-    _check(rules, initial_conditions, (size_2d, size_3d), steps, density)
+    _check(density, steps, rules=rules, initial_conditions=initial_conditions, size_2d=size_2d, size_3d=size_3d)
     out = None
     for dims, size, text, parse in ((2, size_2d, rule_2d, parse_rule), (3, size_3d, rule_3d, parse_rule_3d)):
         chosen = [parse(text)] if rules == 1 else sample_rules(spark, seed, rules, dims, "compare")
@@ -116,10 +129,15 @@ def browse(summary: DataFrame, text: str = "", by: str = "rule", descending: boo
     return found.orderBy(F.desc(by) if descending else F.asc(by), "dimensions", "rule")
 
 
+def write_results(rows: DataFrame, path: str) -> None:
+    """Result rows as CSV files with a header and quoted values, written by the executors."""
+    rows.write.option("header", True).option("quoteAll", True).csv(path)
+
+
 def save_experiment(rows: DataFrame, manifest: dict, kind: str, output_dir: str | Path | None = None) -> str:
     """Write ``manifest.json`` and ``results.csv`` into a folder on the driver; its path.
 
-    A sweep's result is small by admission control (a row per rule and condition); use ``rows.write`` for others.
+    A sweep's result is small by admission control (a row per rule and condition); use ``write_results`` for others.
     """
     target = Path(output_dir) if output_dir else Path("artifacts/experiments") / f"{kind}_{datetime.now(UTC):%Y%m%dT%H%M%SZ}"
     target.mkdir(parents=True, exist_ok=True)

@@ -6,9 +6,6 @@ events, as an access log and as metric points; parts, as rule codes.  Counts com
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,6 +17,7 @@ from cellweave.plans import oracles as sql
 from cellweave.plans.experiments import compare_dimensions, random_experiment, random_rules, summary_by_rule
 from cellweave.sources import states
 from cellweave.sources.patterns import PATTERNS, all_patterns, get_pattern
+from cellweave.sources.shared import fresh_path, remove_at_exit
 from cellweave.streaming.commands import ANSWERS, session_stream
 from cellweave.streaming.sessions import surviving_sessions
 
@@ -64,14 +62,6 @@ def _text(df: DataFrame) -> DataFrame:
     return df.withColumn("cells", F.array_join(F.transform("cells", lambda c: c.cast("string")), ""))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; in local mode without it, a temporary folder."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found and spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return (found or f"file://{tempfile.mkdtemp(prefix='cellweave-')}").rstrip("/")
-
-
 def _run(dims: int, steps: int = STEPS) -> str:
     return sql.run(sql.vectors(dims), RULE[dims], dims, SHAPE[dims], steps)
 
@@ -348,13 +338,17 @@ def stream(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("user_id").cast("string").alias("session_id"), F.col("ts").cast("timestamp").alias("ts"), action.alias("action"), F.lit("B3/S23").alias("rule"), F.lit(16).alias("size"),
         F.col("event_id").alias("seed"), F.lit(0.3).alias("density"), F.pmod("event_id", F.lit(5)).cast("int").alias("steps"),
     )
-    target = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    target = fresh_path(spark, "stream")
     query = session_stream(commands).writeStream.format("parquet").option("path", f"{target}/answers").option("checkpointLocation", f"{target}/checkpoint").outputMode("append").trigger(availableNow=True).start()
     query.awaitTermination()
+    remove_at_exit(spark, target)
     return spark.read.schema(ANSWERS).parquet(f"{target}/answers")
 
 
-_texts = {2: ["B3/S23", " b36 / s23 ", "B/S1357", "B0248/S1357", "b2/s", "B9/S23", "B33/S23", "B3/23", "life", "", "B3/S2x", "B3 /S 23"], 3: ["B/S", "B10/S10", "B6,9,10/S4,5,6", "B1/S23", "B1/S234", "B6/S567", "B1011/S", "B27/S", "B27,28/S", "B1,1/S", "B1,,2/S", "B/S0,27", "life", "b6/s5, 06,7"]}
+_texts = {
+    2: ["B3678/S34678", " b1357 / s1357", "B/S012345678", "B4/S4567x", "B88/S", "B25", "3/23", "B-1/S2", "S23/B3", "B3/S23/", "B0/S9", "B36 /S 125", "b/s", "B 2/S"],
+    3: ["B4/S4", " b5,7 / s6", "B14,19/S13", "B26/S0", "B 0 , 26 / S ", "B8,08/S1", "B12/S3,27", "B,5/S", "B5,/S6", "B5;6/S7", "B100/S1", "S4/B4", "B4/S4,4", "B9 9/S", "B/S"],
+}
 
 
 def _parse_query(dims: int) -> None:

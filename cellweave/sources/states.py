@@ -178,3 +178,60 @@ def state_json(states: DataFrame) -> DataFrame:
     flat = F.to_json(F.struct(*[c for c in common if c is not common[1]], F.col("_rows").alias("grid")), {"ignoreNullFields": "false"})
     solid = F.to_json(F.struct(F.lit(3).alias("dimensions"), *common, planes.alias("grid")), {"ignoreNullFields": "false"})
     return shaped.select(*states.columns, F.when(F.col("dimensions") == 3, solid).otherwise(flat).alias("json"))
+
+
+def _shape(depth: int, height: int, width: int, dims: int) -> tuple[int, ...]:
+    return (depth, height, width)[3 - dims :]
+
+
+def grid_files(grids: DataFrame, suffix: str, dims: int = 2) -> DataFrame:
+    """``name, content`` of a .npy or .npz file for each packed grid; write them with ``write_files``."""
+    if suffix not in (".npy", ".npz"):
+        raise ValueError("a grid is saved as .npy or .npz")
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names, contents = [], []
+            for ident, depth, height, width, cells in zip(*(batch.column(c).to_pylist() for c in ("grid_id", "depth", "height", "width", "cells")), strict=True):
+                grid, out = _binary(np.array(cells).reshape(_shape(depth, height, width, dims))), io.BytesIO()
+                np.save(out, grid) if suffix == ".npy" else np.savez_compressed(out, grid=grid)
+                names.append(f"grid-{ident}{suffix}")
+                contents.append(out.getvalue())
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(contents, pa.binary())], ["name", "content"])
+
+    return grids.select("grid_id", "depth", "height", "width", "cells").mapInArrow(encode, "name string, content binary")
+
+
+def state_files(states: DataFrame, suffix: str, name_col: str) -> DataFrame:
+    """``name, content`` of a .json or .npz file for each state (``name_col`` and STATE_SCHEMA)."""
+    if suffix not in (".json", ".npz"):
+        raise ValueError("a state is saved as .json or .npz")
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names, contents = [], []
+            for row in batch.to_pylist():
+                dims = row["dimensions"]
+                grid = np.array(row["cells"]).reshape(_shape(row["depth"], row["height"], row["width"], dims))
+                rule, about = (parse_rule if dims == 2 else parse_rule_3d)(row["rule"]), {k: row[k] for k in ("seed", "density", "generation")}
+                names.append(f"state-{row['_name']}{suffix}")
+                contents.append(export_state_json(grid, rule, **about).encode() if suffix == ".json" else state_to_npz_bytes(grid, rule, **about))
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(contents, pa.binary())], ["name", "content"])
+
+    return states.withColumn("_name", F.col(name_col)).drop(*({name_col} - {"_name"})).mapInArrow(encode, "name string, content binary")
+
+
+def read_state_files(spark: SparkSession, path: str) -> DataFrame:
+    """``path`` and the state (STATE_SCHEMA) of every .json and .npz file in a folder; a file that is no state is an error."""
+
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = pa.schema([("path", pa.string()), ("dimensions", pa.int32()), ("rule", pa.string()), ("depth", pa.int32()), ("height", pa.int32()), ("width", pa.int32()), ("seed", pa.int64()), ("density", pa.float64()), ("generation", pa.int32()), ("cells", pa.list_(pa.int8()))])
+        for batch in batches:
+            rows = []
+            for name, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
+                s = import_state_json(content.decode()) if name.endswith(".json") else state_from_npz_bytes(content)
+                rows.append({"path": name, "dimensions": s.dims, "rule": s.rule.text, "depth": s.depth, "height": s.height, "width": s.width, "seed": s.seed, "density": s.density, "generation": s.generation, "cells": s.grid.ravel().tolist()})
+            yield pa.RecordBatch.from_pylist(rows, kinds)
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{json,npz}").load(path)
+    return files.select("path", "content").mapInArrow(decode, f"path string, {STATE_SCHEMA}")

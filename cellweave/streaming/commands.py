@@ -17,6 +17,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from cellweave.functions.rules import parse_rule
 from cellweave.operators.simulate import next_generation, rule_tables, transition
+from cellweave.streaming.service import within
 from cellweave.streaming.sessions import TTL_SECONDS, seeded_grid
 
 COMMANDS = "session_id string, ts timestamp, action string, rule string, size int, seed long, density double, steps int"
@@ -71,6 +72,7 @@ def session_stream(commands: DataFrame, ttl_seconds: float = TTL_SECONDS, latene
             error, counts = None, (None,) * 4
             try:
                 if command.action == "create":
+                    within("size_2d", int(command.size))
                     grid = seeded_grid(int(command.seed), (int(command.size),) * 2, float(command.density))
                     held, counts = (int(command.size), parse_rule(command.rule).code, 0, grid.tobytes(), grid.tobytes()), (int(grid.sum()), 0, 0, 0)
                 elif held is None:

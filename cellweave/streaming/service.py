@@ -33,6 +33,13 @@ class Busy(RuntimeError):
     """Another sweep is running."""
 
 
+def status(error: Exception) -> int:
+    """The HTTP status of a request that ended with ``error``."""
+    if isinstance(error, Busy):
+        return 429
+    return 404 if isinstance(error, KeyError) else 400 if isinstance(error, (ValueError, TypeError)) else 500
+
+
 def within(name: str, value: int) -> int:
     least, most = LIMITS[name]
     if not least <= whole(value, name, least) <= most:
@@ -41,7 +48,7 @@ def within(name: str, value: int) -> int:
 
 
 class Service:
-    def __init__(self, spark: SparkSession, store_2d: SessionStore | None = None, store_3d: SessionStore | None = None):
+    def __init__(self, spark: SparkSession | None, store_2d: SessionStore | None = None, store_3d: SessionStore | None = None):
         self.spark = spark
         self.stores = {2: store_2d or SessionStore(2), 3: store_3d or SessionStore(3)}
         self._sweeping = threading.Lock()
@@ -102,6 +109,10 @@ class Service:
     def slice(self, session_id: str | None = None, axis: str = "z", index: int = 0) -> dict:
         return self.stores[3].slice(session_id, axis=axis, index=index)
 
+    def step_both(self, session_2d: str, session_3d: str, steps: int = 1) -> tuple[dict, dict]:
+        """A 2D and a 3D session side by side, by as many generations."""
+        return self.step(2, session_2d, steps), self.step(3, session_3d, steps)
+
     def sweep_limits(self) -> dict:
         return {"max_cell_updates": MAX_SWEEP_CELL_UPDATES, "max_interactive_cell_updates": MAX_INTERACTIVE_CELL_UPDATES}
 

@@ -81,14 +81,14 @@ class SessionStore:
     # Life cycle.
 
     def prune(self, protect: str | None = None) -> None:
-        now = self.clock()
-        for name in [n for n, s in self.sessions.items() if now - s.last_access >= self.ttl]:
-            del self.sessions[name]
-        over = len(self.sessions) - self.max_sessions
-        if over > 0:
-            oldest = sorted((s for s in self.sessions.values() if s.session_id != protect), key=lambda s: s.last_access)
-            for session in oldest[:over]:
-                del self.sessions[session.session_id]
+        """``sessions`` is kept in the order of access, so what has to go stands in front."""
+        latest = self.clock() - self.ttl
+        for name, session in list(self.sessions.items()):
+            stale = session.last_access <= latest
+            if not stale and len(self.sessions) <= self.max_sessions:
+                break
+            if stale or name != protect:
+                del self.sessions[name]
 
     @property
     def count(self) -> int:
@@ -106,6 +106,7 @@ class SessionStore:
             raise ValueError(f"a session's grid has {self.dims} dimensions")
         seed, density = resolve_seed(seed), check_density(self.defaults["density"] if density is None else density)
         session = Session(session_id or secrets.token_hex(16), seeded_grid(seed, shape, density), self._parse(rule), seed, density, last_access=self.clock())
+        self.sessions.pop(session.session_id, None)
         self.sessions[session.session_id] = session
         self.prune(session.session_id)
         return session
@@ -120,7 +121,7 @@ class SessionStore:
         self.prune()
         if session_id not in self.sessions:
             raise KeyError(f"no session {session_id!r}")
-        session = self.sessions[session_id]
+        session = self.sessions[session_id] = self.sessions.pop(session_id)
         session.last_access = self.clock()
         return session
 
