@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -25,40 +21,6 @@ CHUNK_BYTES = 8 << 20
 EMPTY_SHA256 = "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``.
-
-    Where the setting is absent (tests, notebooks in local mode) a temporary folder is made and set;
-    on any other master a missing setting is an error, since executors could not see such a folder.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if found:
-        return found
-    context = spark.sparkContext
-    known = context._jsc.sc().getCheckpointDir()
-    if known.isDefined():
-        return known.get()
-    if context.master != "local" and not context.master.startswith("local["):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    made = tempfile.mkdtemp(prefix="cellweave-")
-    atexit.register(shutil.rmtree, made, ignore_errors=True)
-    context.setCheckpointDir(made)
-    return context._jsc.sc().getCheckpointDir().get()
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back: a cut of lineage that outlives executors.
-
-    The folder is removed when the driver's JVM ends in an orderly way.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def bounded_rows(df: DataFrame, limit: int) -> bool:
     """Whether ``df`` has at most ``limit`` rows, reading no more than needed to tell."""
     return df.limit(limit + 1).count() <= limit

@@ -6,7 +6,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellweave.llm.common import dealt_anew, materialise
+from cellweave.llm.common import dealt_anew
+from cellweave.sources.shared import materialise
 
 MAX_ROUNDS = 60
 

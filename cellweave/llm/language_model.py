@@ -30,8 +30,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellweave.llm.common import dealt_anew, materialise, pieces, read_table
+from cellweave.llm.common import dealt_anew, pieces, read_table
 from cellweave.llm.words import hash_words
+from cellweave.sources.shared import materialise
 
 #: Training occurrences that make a token one of the model's: each has its own embeddings.
 MODEL_TOKENS = 5

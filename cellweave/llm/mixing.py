@@ -15,7 +15,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cellweave.llm.common import WORD, materialise, maybe_broadcast, read_table
+from cellweave.llm.common import WORD, maybe_broadcast, read_table
+from cellweave.sources.shared import materialise
 
 WEIGHTS = (1, 2, 3)
 MAX_COPIES = 3

@@ -14,7 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellweave.llm.common import SPACE, WORD, materialise, maybe_broadcast, read_table
+from cellweave.llm.common import SPACE, WORD, maybe_broadcast, read_table
+from cellweave.sources.shared import materialise
 
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20

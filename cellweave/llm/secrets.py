@@ -21,7 +21,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellweave.llm.common import EMPTY_SHA256, bounded_rows, materialise, maybe_broadcast, pieces, read_table, shared_dir
+from cellweave.llm.common import EMPTY_SHA256, bounded_rows, maybe_broadcast, pieces, read_table
+from cellweave.sources.shared import materialise, shared_dir
 
 #: By rule version: kinds in order, their patterns, which group is measured, and its least length.  A match that is too short
 #: is dropped and still uses up its characters.  Never change a version; add one.

@@ -20,8 +20,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellweave.llm.common import dealt_anew, materialise, pieces, read_table, utf8
+from cellweave.llm.common import dealt_anew, pieces, read_table, utf8
 from cellweave.llm.components import components, local_components
+from cellweave.sources.shared import materialise
 
 SHINGLE = 3
 RADIUS = 3

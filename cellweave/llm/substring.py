@@ -29,8 +29,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellweave.llm.common import dealt_anew, materialise, pieces, read_table, utf8
+from cellweave.llm.common import dealt_anew, pieces, read_table, utf8
 from cellweave.llm.words import hash_words, mix
+from cellweave.sources.shared import materialise
 
 THRESHOLD = 35
 ANCHOR = 12

@@ -23,8 +23,9 @@ import pyarrow as pa
 from pyarrow.fs import FileSystem
 from pyspark.sql import DataFrame, SparkSession
 
-from cellweave.llm.common import materialise, pieces, read_table
+from cellweave.llm.common import pieces, read_table
 from cellweave.llm.html_text import blocks_of
+from cellweave.sources.shared import file_uri, materialise
 
 VERSION = "WARC/1.1"
 DATE = "1970-01-01T00:00:00Z"
@@ -290,7 +291,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name in batch.column("path").to_pylist():
-                store, at = FileSystem.from_uri(_uri(name))
+                store, at = FileSystem.fromfile_uri(file_uri(name))
                 with store.open_input_stream(at, compression=None) as stream:
                     held, size = [], 0
                     for record in parse(stream):
@@ -304,11 +305,6 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path").mapInArrow(records, RECORD_SCHEMA)
 
 
-def _uri(path: str) -> str:
-    """Hadoop's spelling of a path as pyarrow takes it."""
-    return re.sub(r"^file:/(?!//)/?", "file:///", path) if ":" in path else f"file://{path}"
-
-
 def responses_from_pages(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Response records (with ``page_id``) for fetched pages; null urls and pages read as empty."""
 
@@ -355,7 +351,7 @@ def write_warc(records: DataFrame, path: str) -> DataFrame:
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        store, folder = FileSystem.from_uri(_uri(path))
+        store, folder = FileSystem.fromfile_uri(file_uri(path))
         store.create_dir(folder)
         task = TaskContext.get()
         name = f"part-{task.partitionId():06d}.warc.gz"
