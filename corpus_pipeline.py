@@ -14,36 +14,45 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cellweave.llm.common import materialise, read_table
+from cellweave.llm.common import read_table
 from cellweave.llm.decontaminate import drop_contaminated
 from cellweave.llm.mixing import mix_sources
 from cellweave.llm.quality import keep_quality
 from cellweave.llm.secrets import redact
 from cellweave.llm.simhash import keep_one_of_each
+from cellweave.sources.shared import materialise
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 9; rejected documents go."""
+    """Operator 9; rejected documents go, null and empty texts among them.  Repeated rows and rows with null ids or hosts are
+    judged each; an empty table stays empty."""
     return keep_quality(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 3, as its contract says: 3-word shingles, at most 3 differing bits; one document a group stays."""
+    """Operator 3, as its contract says: 3-word shingles, at most 3 differing bits; one document a group stays.
+
+    Of repeated rows one stays, texts without words are one group, ties go to the smallest id (null last); an empty table stays
+    empty."""
     return keep_one_of_each(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 4; contaminated documents go, the others stay as they are."""
+    """Operator 4; contaminated documents go, the others stay as they are.
+
+    Texts without words are not contaminated; repeated rows are judged each; an empty table, or benchmark, changes nothing."""
     return drop_contaminated(docs, read_table(spark, sf_dir, "benchmark", "item_id", "text"))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 5; secrets are cut out of the texts."""
+    """Operator 5; secrets are cut out of the texts.  All rows stay, null texts and repeated rows as they are."""
     return redact(docs, length_col="n_chars")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 8; a row for each document with what is taken of it."""
+    """Operator 8; a row for each document with what is taken of it.
+
+    Null and empty texts have size 0, null sources are a source, repeated rows are rounded each; an empty table gives none."""
     return mix_sources(docs)
 
 
