@@ -91,7 +91,7 @@ def mix_sources(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     """
     size = F.coalesce(F.regexp_count(df[text_col], F.lit(WORD)), F.lit(0)).cast("long")
     counted = df.select(df[id_col].alias("doc_id"), df[source_col].alias("source"), size.alias("size")).groupBy("doc_id", "source", "size").count()
-    sizes = materialise(_numbered(counted), "sizes")
+    sizes = _numbered(materialise(counted, "sizes"))
     targets = materialise(source_targets(sizes), "targets")
     kind = sizes.schema["doc_id"].dataType.simpleString()
     item = f"struct<k: bigint, doc_id: {kind}, size: double, m: double>"
