@@ -36,7 +36,7 @@ from cellweave.sources.shared import materialise
 THRESHOLD = 35
 ANCHOR = 12
 #: Different contexts of one anchor that share an automaton; an anchor with more is dealt out by longer anchors.
-SHARD_CONTEXTS = 256
+SHARD_CONTEXTS = 64
 #: Text bytes a step of finding anchors: each word takes some dozen numbers meanwhile.
 STEP_BYTES = 2 << 20
 
