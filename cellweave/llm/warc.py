@@ -291,7 +291,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name in batch.column("path").to_pylist():
-                store, at = FileSystem.fromfile_uri(file_uri(name))
+                store, at = FileSystem.from_uri(file_uri(name))
                 with store.open_input_stream(at, compression=None) as stream:
                     held, size = [], 0
                     for record in parse(stream):
@@ -351,7 +351,7 @@ def write_warc(records: DataFrame, path: str) -> DataFrame:
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        store, folder = FileSystem.fromfile_uri(file_uri(path))
+        store, folder = FileSystem.from_uri(file_uri(path))
         store.create_dir(folder)
         task = TaskContext.get()
         name = f"part-{task.partitionId():06d}.warc.gz"
