@@ -5,13 +5,16 @@ exact copies is one fingerprint however large it is.  Two fingerprints within th
 combination of ``blocks - radius`` of their blocks (pigeonhole), so those bits are the bucket key and no pair is missed.
 Within a bucket, rows sorted by population count form tiles that are compared whole, by exclusive-or and bit counts in
 numpy; a tile pair whose population counts differ beyond the radius is skipped.  A bucket with more than ``HOT_BUCKET``
-fingerprints is cut into chunks, and each pair of chunks is a unit of its own: no task holds an unbounded bucket.  A unit
-hands on a spanning forest of the links it found, not the links, and components are found on those edges.
+fingerprints is split by the same argument: the bits its key leaves free are cut into ``radius + 1`` blocks, one of which
+any two linked fingerprints share.  Each split fixes more bits, so every bucket ends up small, and a fingerprint is copied a
+number of times that depends on the bits and not on the bucket's size.  A bucket hands on a spanning forest of the links it
+found, not the links, and components are found on those edges.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -20,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellweave.llm.common import dealt_anew, pieces, read_table, utf8
+from cellweave.llm.common import dealt_anew, maybe_broadcast, pieces, read_table, utf8
 from cellweave.llm.components import components, local_components
 from cellweave.sources.shared import materialise
 
@@ -28,8 +31,10 @@ SHINGLE = 3
 RADIUS = 3
 SEED = 42
 TILE = 512
-#: Buckets beyond this many fingerprints are cut into chunks of about half as many.
+#: Buckets beyond this many fingerprints are split by more of their bits.
 HOT_BUCKET = 2048
+#: Hot buckets are broadcast (two longs each) up to this many, and joined otherwise.
+BROADCAST_HOT = 200_000
 #: Average fingerprints a bucket beyond which longer keys are used.
 BUCKET_MEAN = 256
 
@@ -73,7 +78,19 @@ def _bucket_keys(radius: int, distinct: int) -> list[tuple[int, ...]]:
         if distinct <= BUCKET_MEAN << bits:
             break
     block = [((1 << (b - a)) - 1) << a for a, b in zip(cuts, cuts[1:], strict=False)]
-    return [sum(x) - (1 << 64 if sum(x) >> 63 else 0) for x in combinations(block, blocks - radius)]
+    return [_signed(sum(x)) for x in combinations(block, blocks - radius)]
+
+
+def _signed(bits: int) -> int:
+    return bits - (1 << 64) if bits >> 63 else bits
+
+
+def _finer_keys(mask: int, radius: int) -> list[int]:
+    """The mask with each of ``radius + 1`` blocks of its free bits added: two fingerprints of one bucket that differ in at most
+    ``radius`` bits agree under at least one of them."""
+    free = [1 << i for i in range(64) if not mask >> i & 1]
+    cuts = [len(free) * i // (radius + 1) for i in range(radius + 2)]
+    return [_signed((mask & (1 << 64) - 1) | sum(free[a:b])) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
 def _compare(unit: np.ndarray, fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
@@ -103,7 +120,7 @@ def _compare(unit: np.ndarray, fps: np.ndarray, radius: int) -> tuple[np.ndarray
 
 def _unit_links(radius: int):
     def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows (band, key, low, high, fp) sorted by unit: whole units are compared as soon as they are complete."""
+        """Rows (mask, key, fp) sorted by bucket: whole buckets are compared as soon as they are complete."""
 
         def forest(parts: list[np.ndarray]) -> pa.RecordBatch:
             keys, fps = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
@@ -118,7 +135,7 @@ def _unit_links(radius: int):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            columns = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("band", "key", "low", "high")]
+            columns = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("mask", "key")]
             change = np.zeros(batch.num_rows, bool)
             for c in columns:
                 change[1:] |= c[1:] != c[:-1]
@@ -141,20 +158,30 @@ def _unit_links(radius: int):
     return links
 
 
+def _buckets(fps: DataFrame, radius: int) -> DataFrame:
+    """Rows (mask, key, fp): the fingerprints under the bits of the mask.  Two within the radius meet in some bucket; none has more
+    than ``HOT_BUCKET`` (or, if that is more, ``2 ** radius``) fingerprints."""
+    masks = _bucket_keys(radius, fps.count())
+    key: Column = F.col("fp").bitwiseAND(F.col("mask"))
+    rows = fps.select("fp", F.explode(F.array(*[F.lit(m).cast("long") for m in masks])).alias("mask")).select("mask", key.alias("key"), "fp")
+    small: list[DataFrame] = []
+    while True:
+        sizes = rows.groupBy("mask", "key").count().where((F.col("count") > HOT_BUCKET) & (F.bit_count("mask") < 64 - radius))
+        hot = materialise(sizes.select(F.col("mask").alias("_mask"), F.col("key").alias("_key")), "hot")
+        split = [(r[0], m) for r in hot.select("_mask").distinct().collect() for m in _finer_keys(r[0], radius)]
+        if not split:
+            return reduce(DataFrame.unionByName, small, rows)
+        hot = maybe_broadcast(hot, BROADCAST_HOT)
+        same = (F.col("mask") == F.col("_mask")) & (F.col("key") == F.col("_key"))
+        small.append(rows.join(hot, same, "left_anti"))
+        finer = F.broadcast(fps.sparkSession.createDataFrame(split, "_mask long, finer long"))
+        rows = rows.join(hot, same, "left_semi").join(finer, F.col("mask") == F.col("_mask")).select(F.col("finer").alias("mask"), "fp")
+        rows = materialise(rows.distinct().select("mask", key.alias("key"), "fp"), "finer")
+
+
 def fingerprint_links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     """Edges ``u, v`` between the distinct longs ``fp`` that connect exactly what links at ``radius`` bits connect."""
-    masks = _bucket_keys(radius, fps.count())
-    key: Column = F.explode(F.array(*[F.struct(F.lit(i).alias("band"), F.col("fp").bitwiseAND(F.lit(mask).cast("long")).alias("key")) for i, mask in enumerate(masks)]))
-    rows = fps.select("fp", key.alias("b")).select("fp", "b.band", "b.key")
-    sizes = rows.groupBy("band", "key").count()
-    hot = sizes.where(F.col("count") > HOT_BUCKET).select(F.col("band").alias("_band"), F.col("key").alias("_key"), F.ceil(F.col("count") * 2 / HOT_BUCKET).cast("int").alias("chunks"))
-    rows = rows.join(hot, (F.col("band") == F.col("_band")) & (F.col("key") == F.col("_key")), "left")
-    chunks = F.coalesce("chunks", F.lit(1))
-    rows = rows.select("band", "key", "fp", chunks.alias("chunks"), F.pmod(F.xxhash64("fp"), chunks).cast("int").alias("own"))
-    rows = rows.select("band", "key", "fp", "own", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
-    rows = rows.select("band", "key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "fp")
-    unit = ["band", "key", "low", "high"]
-    spread = rows.repartition(*unit).sortWithinPartitions(*unit, F.bit_count("fp"), "fp")
+    spread = _buckets(fps, radius).repartition("mask", "key").sortWithinPartitions("mask", "key", F.bit_count("fp"), "fp")
     return spread.mapInArrow(_unit_links(radius), "u long, v long")
 
 

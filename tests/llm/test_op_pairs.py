@@ -130,7 +130,7 @@ def test_simhash(spark, docs, empty):
 
 @pytest.mark.parametrize("hot,radius", [(simhash.HOT_BUCKET, 3), (16, 3), (16, 1), (64, 6)])
 def test_links_are_exact(spark, hot, radius, monkeypatch):
-    """Clusters around shared block patterns: hot buckets, chunks, and many tiles."""
+    """Clusters around shared block patterns: hot buckets, split once and again, and many tiles."""
     monkeypatch.setattr(simhash, "HOT_BUCKET", hot)
     monkeypatch.setattr(simhash, "TILE", 8)
     rng = random.Random(hot)
@@ -146,6 +146,29 @@ def test_links_are_exact(spark, hot, radius, monkeypatch):
     assert classes({p & (1 << 64) - 1: int(f) for p, f in zip(ids, found, strict=True)}) == classes(linked(prints, radius))
 
 
+def test_buckets_are_bounded(spark, monkeypatch):
+    """All fingerprints under one key: buckets end up small, and copies do not grow with their number."""
+    monkeypatch.setattr(simhash, "HOT_BUCKET", 16)
+    rng = random.Random(9)
+    copies = []
+    for n in (500, 2000):
+        prints = {rng.getrandbits(48) for _ in range(n)}
+        found = simhash._buckets(spark.createDataFrame([(p,) for p in prints], "fp long"), 3)
+        assert max(r["count"] for r in found.groupBy("mask", "key").count().collect()) <= 16
+        copies.append(found.count() / len(prints))
+    assert copies[1] < 1.5 * copies[0]
+
+
+def test_finer_keys_keep_all_links():
+    rng = random.Random(10)
+    for mask in (0xFFFF, -(1 << 48), 0x0F0F_00FF, (1 << 60) - 1):
+        finer = simhash._finer_keys(mask, 3)
+        assert all(m != mask and m & mask == mask for m in finer)
+        for _ in range(200):
+            change = sum(1 << b for b in rng.sample([i for i in range(64) if not mask >> i & 1], 3))
+            assert any(not change & m & (1 << 64) - 1 for m in finer)
+
+
 def test_longer_keys_keep_all_links():
     for distinct in (10, 1 << 30, 1 << 50):
         for mask_set in (simhash._bucket_keys(3, distinct),):
