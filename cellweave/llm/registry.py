@@ -18,6 +18,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op2_substring_dedup": substring.ORACLE_SQL,
     "op4_decontaminate": decontaminate.ORACLE_SQL,
     "op5_secret_scan": secrets.ORACLE_SQL,
     "op9_quality_rules": quality.ORACLE_SQL,

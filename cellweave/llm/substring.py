@@ -327,3 +327,25 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Repeated 35-word windows removed from all ``documents``."""
     found = dedup_substrings(read_table(spark, sf_dir, "documents", "doc_id", "text"))
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+ORACLE_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+), p AS (
+  SELECT rid, words, unnest(range(1, len(words) - 33)) AS i FROM d WHERE len(words) >= 35
+), w AS (
+  SELECT rid, i, array_to_string(words[i:i + 34], ' ') AS words35 FROM p
+), again AS (
+  SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY words35) AS n FROM w) WHERE n >= 2
+), t AS (
+  SELECT rid, unnest(words) AS word, generate_subscripts(words, 1) AS i FROM d
+), m AS (
+  SELECT t.rid, t.i, word, coalesce(t.i - max(again.i) OVER (PARTITION BY t.rid ORDER BY t.i) < 35, false) AS gone
+  FROM t LEFT JOIN again ON t.rid = again.rid AND t.i = again.i
+), kept AS (
+  SELECT rid, count(*) FILTER (gone) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (NOT gone) AS text FROM m GROUP BY rid
+)
+SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (rid)
+"""
