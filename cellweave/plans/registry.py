@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from cellweave.functions import metrics as measures
 from cellweave.functions import workload
 from cellweave.functions.rules import CONWAY, DEFAULT_3D_RULE, HIGHLIFE, Rule, parse_rule, parse_rule_3d, rule_code, rule_masks, rule_text
-from cellweave.operators import cells, grids, native, render, simulate
+from cellweave.operators import cells, grids, native, render, simulate, tiles
 from cellweave.plans import oracles as sql
 from cellweave.plans.experiments import compare_dimensions, random_experiment, random_rules, summary_by_rule
 from cellweave.sources import states
@@ -136,6 +136,11 @@ def _per_dimension(dims: int) -> None:
     def run_cells(spark, sf_dir):
         return _longs(cells.run(grids.to_cells(_vectors(spark, sf_dir, dims), dims), RULE[dims], shape, 3))
 
+    @_register(f"run_tiles_{d}", f"{_run(dims)} SELECT grid_id, {keys} FROM t WHERE gen = {STEPS} AND alive = 1")
+    def run_tiles(spark, sf_dir):
+        start = tiles.from_cells(grids.to_cells(_vectors(spark, sf_dir, dims), dims), shape, 3)
+        return _longs(tiles.to_cells(tiles.run(start, RULE[dims], shape, STEPS, 3, 4), shape, 3))
+
     @_register(f"metrics_{d}", f"{_run(dims)}, {sql.transitions(dims)} SELECT grid_id, gen AS generation, alive, changed, births, deaths FROM m")
     def metrics(spark, sf_dir):
         return _longs(simulate.run_metrics(_ruled(spark, sf_dir, dims), STEPS, dims).select("grid_id", "generation", "alive", "changed", "births", "deaths"))
@@ -229,11 +234,25 @@ _one_step("step_3d_default", DEFAULT_3D_RULE, 3)
 _points = f"SELECT DISTINCT 0 AS grid_id, l_orderkey % {TORUS[0]} AS y, (l_partkey * 31 + l_suppkey) % {TORUS[1]} AS x, 1 AS alive FROM lineitem"
 
 
+def _torus_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    y, x = F.pmod("l_orderkey", F.lit(TORUS[0])), F.pmod(F.col("l_partkey") * 31 + F.col("l_suppkey"), F.lit(TORUS[1]))
+    return _table(spark, sf_dir, "lineitem").select(F.lit(0).alias("grid_id"), y.alias("y"), x.alias("x"), F.lit(1).alias("alive")).distinct()
+
+
 @_register("step_sparse_torus", f"WITH g AS ({_points}), o AS ({sql.offsets(2)}) SELECT y, x FROM ({sql.sums('g', 2, TORUS, 'grid_id')}) WHERE {sql.successor(CONWAY, 2)} = 1")
 def step_sparse_torus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One generation of one large grid that holds live cells only."""
-    points = _table(spark, sf_dir, "lineitem").select(F.lit(0).alias("grid_id"), F.pmod("l_orderkey", F.lit(TORUS[0])).alias("y"), F.pmod(F.col("l_partkey") * 31 + F.col("l_suppkey"), F.lit(TORUS[1])).alias("x"), F.lit(1).alias("alive")).distinct()
-    return _longs(cells.step(points, CONWAY, TORUS, live_only=True).select("y", "x"))
+    return _longs(cells.step(_torus_points(spark, sf_dir), CONWAY, TORUS, live_only=True).select("y", "x"))
+
+
+_torus_steps = ", ".join(f"g{i + 1} AS (SELECT grid_id, y, x, 1 AS alive FROM ({sql.sums(f'g{i}', 2, TORUS, 'grid_id')}) WHERE {sql.successor(CONWAY, 2)} = 1)" for i in range(STEPS))
+
+
+@_register("run_tiles_torus", f"WITH g0 AS ({_points}), o AS ({sql.offsets(2)}), {_torus_steps} SELECT y, x FROM g{STEPS}")
+def run_tiles_torus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten generations of the large grid as tiles."""
+    start = tiles.from_cells(_torus_points(spark, sf_dir), TORUS)
+    return _longs(tiles.to_cells(tiles.run(start, CONWAY, TORUS, STEPS, halo=STEPS), TORUS).select("y", "x"))
 
 
 _compared = {"rules": 1, "initial_conditions": 3, "size_2d": 8, "size_3d": 4, "steps": 5, "density": 0.2, "seed": SEED}
