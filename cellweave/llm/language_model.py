@@ -295,19 +295,24 @@ class Model:
 
 
 def _add_log_softmax(out: np.ndarray, hidden: np.ndarray, groups: np.ndarray, begin: int, end: int, low: int, table: np.ndarray, bias: np.ndarray) -> None:
-    """Add the log-softmax of rows [begin, end) for their groups, over the groups of ``table`` from number ``low`` on."""
-    step = max(1, (1 << 18) // len(bias))
-    turned, ones = np.ascontiguousarray(table.T), np.ones(len(bias), np.float32)
+    """Add the log-softmax of rows [begin, end) for their groups, over the groups of ``table`` from number ``low`` on.
+
+    A row's result does not depend on the rows it is computed with: sums run along rows, and one row alone, which would be
+    multiplied in another order, is taken twice.
+    """
+    step = max(2, (1 << 18) // len(bias))
+    turned = np.ascontiguousarray(table.T)
     for i in range(begin, end, step):
         part = slice(i, min(end, i + step))
-        scores = hidden[part] @ turned
+        rows = hidden[part]
+        scores = rows @ turned if len(rows) > 1 else (np.repeat(rows, 2, axis=0) @ turned)[:1]
         scores += bias
         own = scores[np.arange(len(scores)), groups[part] - low]
-        top = np.float32(0)
-        if max(scores.max(), -own.min()) > 60:  # beyond single precision's exponents
-            top = scores.max(axis=1)
+        top = scores.max(axis=1)
+        top[(top <= 60) & (own >= -60)] = 0  # within single precision's exponents
+        if top.any():
             scores -= top[:, None]
-        out[part] += own - top - np.log(np.exp(scores, out=scores) @ ones)
+        out[part] += own - top - np.log(np.exp(scores, out=scores).sum(axis=1))
 
 
 def _sharded(model_of):

@@ -54,6 +54,22 @@ def test_layout_is_no_parameter(spark, docs, monkeypatch):
             assert a[0] == b[0] and a[1:] == pytest.approx(b[1:], abs=1e-9)
 
 
+def test_scoring_is_by_row():
+    """Log-probabilities are the same to the last bit in batches of any size, far-off scores among them."""
+    rng = np.random.default_rng(8)
+    model = language_model.Model(np.concatenate(([50.0], np.sort(rng.zipf(1.3, 3000).clip(5, 10**5))[::-1].astype(float))))
+    for level, out in enumerate(model.outputs):
+        out += rng.normal(0, 0.3, out.shape).astype(np.float32)
+        model.biases[level][::97] += 80
+    model.finish()
+    ids = rng.integers(0, model.classes, 3000).astype(np.int32)
+    places = np.arange(2, len(ids))
+    whole = model.log_probabilities(ids, places)
+    for step in (1, 2, 3, 17, 1000):
+        parts = [model.log_probabilities(ids, places[at : at + step]) for at in range(0, len(places) if step > 3 else 300, step)]
+        assert (np.concatenate(parts) == whole[: sum(map(len, parts))]).all()
+
+
 def test_scores_by_plain_loops(spark):
     """The scores of a small corpus by loops over tokens, classes and groups, from the same start."""
     rng = np.random.default_rng(3)
