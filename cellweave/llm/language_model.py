@@ -308,11 +308,12 @@ def _add_log_softmax(out: np.ndarray, hidden: np.ndarray, groups: np.ndarray, be
         scores = rows @ turned if len(rows) > 1 else (np.repeat(rows, 2, axis=0) @ turned)[:1]
         scores += bias
         own = scores[np.arange(len(scores)), groups[part] - low]
-        top = scores.max(axis=1)
-        top[(top <= 60) & (own >= -60)] = 0  # within single precision's exponents
-        if top.any():
+        top = np.float32(0)
+        if max(scores.max(), -own.min()) > 60:  # some row is beyond single precision's exponents
+            top = scores.max(axis=1)
+            top[(top <= 60) & (own >= -60)] = 0
             scores -= top[:, None]
-        out[part] += own - top - np.log(np.exp(scores, out=scores).sum(axis=1))
+        out[part] += own - top - np.log(np.einsum("ij->i", np.exp(scores, out=scores)))
 
 
 def _sharded(model_of):
