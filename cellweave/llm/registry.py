@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cellweave.llm import decontaminate, html_text, language_model, mixing, quality, secrets, simhash, substring, token_counts, warc
+from cellweave.llm import decontaminate, html_text, language_model, mixing, quality, secrets, simhash, substring, token_counts, warc, whitening
 
 QUERIES = {
     "op1_token_counts": token_counts.op1_token_counts,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_mix_sources": mixing.op8_mix_sources,
     "op9_quality_rules": quality.op9_quality_rules,
     "op10_warc_derivatives": warc.op10_warc_derivatives,
+    "op11_embedding_whitening": whitening.op11_embedding_whitening,
 }
 
 ORACLE_SQL = {
