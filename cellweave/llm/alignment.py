@@ -36,7 +36,7 @@ from cellweave.sources.shared import materialise
 DEFAULT_A = "/opt/tokenizers/byte_bpe_50k.json"
 DEFAULT_B = "/opt/tokenizers/piece_bpe_32k.model"
 #: Text bytes of a chunk.
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 4 << 20
 #: Pair counts are broadcast up to this many rows (three longs each), and joined by a shuffle beyond.
 BROADCAST_PAIRS = 200_000
 #: Links of a group up to which groups are expanded together; a longer group is expanded over its distinct ids.
@@ -205,10 +205,12 @@ def _encode(df: DataFrame, a_content: str, b_content: bytes) -> DataFrame:
                     continue
                 (a,), (b,) = left.encode([f" {text}"]), right.encode([text])
                 data = f" {text}".encode()
-                if a and b and b"".join(map(left.tokens.__getitem__, a)) == data == b"".join(map(right.tokens.__getitem__, b)):
+                a, b = np.array(a, np.int32), np.array(b, np.int32)
+                # A's pieces are cuts of the text's own bytes, B's are of what it made of the text.
+                if len(a) and len(b) and a_sizes[a].sum() == len(data) == b_sizes[b].sum() and b"".join(map(right.tokens.__getitem__, b.tolist())) == data:
                     fit.append(i)
-                    a_all.append(np.array(a, np.int32))
-                    b_all.append(np.array(b, np.int32))
+                    a_all.append(a)
+                    b_all.append(b)
             cut = _cut(a_all, b_all, a_sizes, b_sizes)
             rows = len(texts)
             columns = {"n_a": np.zeros(rows, np.int64), "n_b": np.zeros(rows, np.int64), "n_groups": np.zeros(rows, np.int64), "n_links": np.zeros(rows, np.int64)}
