@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cellweave.llm import alignment, decontaminate, html_text, language_model, mixing, quality, secrets, simhash, substring, token_counts, warc, whitening
+from cellweave.llm import alignment, decontaminate, html_text, language_model, mixing, ngram_join, quality, secrets, simhash, substring, token_counts, warc, whitening
 
 QUERIES = {
     "op1_token_counts": token_counts.op1_token_counts,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_quality_rules": quality.op9_quality_rules,
     "op10_warc_derivatives": warc.op10_warc_derivatives,
     "op11_embedding_whitening": whitening.op11_embedding_whitening,
+    "op12_ngram_jaccard": ngram_join.op12_ngram_jaccard,
     "op13_tokenizer_alignment": alignment.op13_tokenizer_alignment,
 }
 
@@ -24,4 +25,5 @@ ORACLE_SQL = {
     "op4_decontaminate": decontaminate.ORACLE_SQL,
     "op5_secret_scan": secrets.ORACLE_SQL,
     "op9_quality_rules": quality.ORACLE_SQL,
+    "op12_ngram_jaccard": ngram_join.ORACLE_SQL,
 }
