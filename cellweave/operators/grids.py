@@ -7,6 +7,8 @@ Cells are 0 or 1: what comes in is made binary.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -121,18 +123,40 @@ def from_cells(cells: DataFrame, shape: tuple[int, ...]) -> DataFrame:
 
 def place_pattern(grids: DataFrame, pattern: DataFrame, row: int, column: int) -> DataFrame:
     """2D packed grids with a pattern (rows ``y, x, alive``) written over the rectangle at (row, column), dead cells
-    included.  The pattern must fit: no wrapping.  The pattern is small and goes along as a literal."""
-    points = [(r["y"], r["x"], int(r["alive"] != 0)) for r in pattern.select("y", "x", "alive").collect()]
-    if not points:
+    included.  The pattern must fit: no wrapping.  The pattern is no larger than a grid in a row and goes along."""
+    high, wide = (None if n is None else n + 1 for n in pattern.agg(F.max("y"), F.max("x")).first())
+    if high is None:
         return grids
-    high, wide = max(p[0] for p in points) + 1, max(p[1] for p in points) + 1
     row, column = whole(row, "row", 0), whole(column, "column", 0)
     small = grids.where((F.col("height") < row + high) | (F.col("width") < column + wide)).limit(1).count()
     if small:
         raise ValueError(f"a pattern of {high}x{wide} does not fit at ({row}, {column})")
-    values = F.map_from_entries(F.array(*[F.struct(F.struct(F.lit(y + row), F.lit(x + column)), F.lit(v).cast("tinyint")) for y, x, v in points]))
-    place = lambda i: F.struct(F.floor(i / F.col("width")).cast("int"), F.pmod(i, F.col("width")).cast("int"))
-    return grids.withColumn("cells", F.transform("cells", lambda c, i: F.coalesce(F.try_element_at(values, place(i)), c)))
+    # A place a row, so no more rows than cells in one of the grids.
+    points = [tuple(r) for r in pattern.groupBy("y", "x").agg(F.max((F.col("alive") != 0).cast("int"))).collect()]
+    y, x, value = np.array(points).T
+
+    def scatter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cells, starts, wide = _flat(batch)
+            at = starts[:, None] + (y + row) * wide[:, None] + x + column
+            cells[at] = value
+            yield _with_cells(batch, cells)
+
+    return grids.mapInArrow(scatter, grids.schema)
+
+
+def _flat(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A copy of all cells of a batch of packed grids, one grid after the other, where each begins, and the widths."""
+    column = batch.column("cells")
+    starts = column.offsets.to_numpy()[:-1] - column.offsets[0].as_py()
+    return column.flatten().to_numpy(zero_copy_only=False).copy(), starts, batch.column("width").to_numpy()
+
+
+def _with_cells(batch: pa.RecordBatch, cells: np.ndarray, names: list[str] | None = None) -> pa.RecordBatch:
+    column = batch.column("cells")
+    lists = pa.ListArray.from_arrays(pa.array(column.offsets.to_numpy() - column.offsets[0].as_py()), pa.array(cells), mask=column.is_null() if column.null_count else None)
+    names = names or batch.schema.names
+    return pa.RecordBatch.from_arrays([lists if c == "cells" else batch.column(c) for c in names], names)
 
 
 def slice_grids(grids: DataFrame, axis: str, index: int) -> DataFrame:
@@ -159,16 +183,26 @@ def slice_grids(grids: DataFrame, axis: str, index: int) -> DataFrame:
 def edit_cells(grids: DataFrame, edits: DataFrame) -> DataFrame:
     """2D packed grids after a stroke of edits (grid_id, y, x, place, mode): ``paint``, ``erase`` or, else, ``toggle`` a cell.
 
-    A stroke meets a cell once: of several edits of a cell the one with the least ``place`` counts.  Cells outside the grid
-    and edits of grids that are not there change nothing.
+    A stroke meets a cell once: of several edits of a cell the one with the least ``place`` (then mode) counts.  A grid's edits
+    meet it in one row and are scattered into it: cells plus edits.  Cells outside the grid and edits of grids that are not there change nothing.
     """
-    first = edits.groupBy("grid_id", "y", "x").agg(F.min_by("mode", "place").alias("mode"))
-    per_grid = first.groupBy(F.col("grid_id").alias("_id")).agg(F.map_from_entries(F.collect_list(F.struct(F.struct(F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x")), "mode"))).alias("_modes"))
-    joined = grids.join(per_grid, F.col("grid_id") == F.col("_id"), "left")
+    first = edits.groupBy("grid_id", "y", "x").agg(F.min(F.struct("place", "mode"))["mode"].alias("mode"))
+    code = F.when(F.col("mode") == "paint", 1).when(F.col("mode") == "erase", 0).otherwise(2).cast("tinyint")
+    entry = F.struct(F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), code.alias("mode"))
+    per_grid = first.groupBy(F.col("grid_id").alias("_id")).agg(F.collect_list(entry).alias("_edits"))
+    joined = grids.join(per_grid, F.col("grid_id") == F.col("_id"), "left").drop("_id")
 
-    def edited(cell: Column, i: Column) -> Column:
-        place = F.struct(F.floor(i / F.col("width")).cast("int").alias("y"), F.pmod(i, F.col("width")).cast("int").alias("x"))
-        mode = F.try_element_at("_modes", place)
-        return F.when(mode.isNull(), cell).when(mode == "paint", F.lit(1)).when(mode == "erase", F.lit(0)).otherwise(F.lit(1) - cell).cast("tinyint")
-
-    return joined.withColumn("cells", F.when(F.col("_id").isNull(), F.col("cells")).otherwise(F.transform("cells", edited))).drop("_id", "_modes")
+    def scatter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cells, starts, wide = _flat(batch)
+            edits = batch.column("_edits")
+            own = np.repeat(np.arange(batch.num_rows), np.array(edits.value_lengths().fill_null(0)))
+            y, x, mode = (f.to_numpy(zero_copy_only=False) for f in edits.flatten().flatten())
+            high = batch.column("height").to_numpy()
+            fits = (y >= 0) & (x >= 0) & (y < high[own]) & (x < wide[own])
+            at = (starts[own] + y.astype(np.int64) * wide[own] + x)[fits]
+            cells[at] = np.where(mode[fits] == 2, 1 - cells[at], mode[fits])
+            yield _with_cells(batch, cells, names)
+
+    names = grids.columns
+    return joined.select(*names, "_edits").mapInArrow(scatter, grids.schema)

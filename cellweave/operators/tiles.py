@@ -50,7 +50,7 @@ class _Tiling:
 
     def block(self, tile: tuple[int, ...], cells: bytes | None) -> np.ndarray:
         size = self.size(tile)
-        if cells is None:
+        if not cells:
             return np.zeros(size, np.uint8)
         return _unpacked(cells, size)
 
@@ -147,11 +147,9 @@ def _every_tile(tiles: DataFrame, tiling: _Tiling) -> DataFrame:
     return every.join(tiles, KEY, "left").select(*KEY, "cells")
 
 
-def _round(tiles: DataFrame, tiling: _Tiling, rule: Rule, steps: int) -> DataFrame:
-    dims = tiling.dims
+def parts(tiles: DataFrame, tiling: _Tiling, rule: Rule, steps: int) -> DataFrame:
+    """What every tile gives to the tiles (KEY) that need it for ``steps`` generations: a block of bits and its place there."""
     shares = [tiling.shares(axis, steps) for axis in range(3)]
-    table = rule_tables(np.array([rule.code]), dims)[0]
-    rings = tuple(steps if axis >= 3 - dims else 0 for axis in range(3))
     keep_dead = bool(rule.birth[0])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,23 +164,58 @@ def _round(tiles: DataFrame, tiling: _Tiling, rule: Rule, steps: int) -> DataFra
         numbers = [pa.int32()] * 9
         return _rows(rows(), [*KEY, "z", "y", "x", "d", "h", "w", "bits"], [pa.int64(), *numbers, pa.binary()])
 
-    def advance(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return tiles.select(*KEY, "cells").mapInArrow(cut, "grid_id long, tz int, ty int, tx int, z int, y int, x int, d int, h int, w int, bits binary")
+
+
+def advance(sent: DataFrame, tiling: _Tiling, rule: Rule, steps: int, counted: bool = False) -> DataFrame:
+    """The tiles ``steps`` generations on, from their parts.
+
+    With ``counted`` also ``counts`` (alive, changed, births and deaths of the tile's own cells for each generation) and ``moved``
+    (whether the last generation changed it); tiles that died come out too then, without cells.
+    """
+    dims = tiling.dims
+    table = rule_tables(np.array([rule.code]), dims)[0]
+    rings = tuple(steps if axis >= 3 - dims else 0 for axis in range(3))
+    keep_dead = bool(rule.birth[0])
+
+    def forward(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():
-            for grid_id, tile, parts in _tiles_of(batches, "parts"):
+            for grid_id, tile, given in _tiles_of(batches, "parts"):
                 block = np.zeros([n + 2 * r for n, r in zip(tiling.size(tile), rings, strict=True)], np.uint8)
-                for p in parts:
+                for p in given:
                     size = (p["d"], p["h"], p["w"])
                     block[tuple(slice(a, a + n) for a, n in zip((p["z"], p["y"], p["x"]), size, strict=True))] = _unpacked(p["bits"], size)
-                for _ in range(steps):
-                    block = _shrunk(block, table, dims)
-                if keep_dead or block.any():
+                counts: list[int] = []
+                for left in range(steps - 1, -1, -1):
+                    after = _shrunk(block, table, dims)
+                    if counted:
+                        counts += _own_counts(block, after, left, dims)
+                    block = after
+                live = keep_dead or block.any()
+                if counted:
+                    yield grid_id, *tile, counts, counts[-3] > 0, np.packbits(block).tobytes() if live else b""
+                elif live:
                     yield grid_id, *tile, np.packbits(block).tobytes()
 
+        if counted:
+            return _rows(rows(), [*KEY, "counts", "moved", "cells"], [*_TILE_TYPES[:4], pa.list_(pa.int64()), pa.bool_(), pa.binary()])
         return _rows(rows(), [*KEY, "cells"], _TILE_TYPES)
 
-    sent = tiles.select(*KEY, "cells").mapInArrow(cut, "grid_id long, tz int, ty int, tx int, z int, y int, x int, d int, h int, w int, bits binary")
     met = sent.groupBy(*KEY).agg(F.collect_list(F.struct("z", "y", "x", "d", "h", "w", "bits")).alias("parts"))
-    return met.mapInArrow(advance, TILES)
+    return met.mapInArrow(forward, "grid_id long, tz int, ty int, tx int, counts array<long>, moved boolean, cells binary" if counted else TILES)
+
+
+def _own_counts(before: np.ndarray, after: np.ndarray, ring: int, dims: int) -> list[int]:
+    """alive, changed, births, deaths inside the ring that ``after`` has around the tile; ``before`` has one ring more."""
+    inner = lambda block, r: block[tuple(slice(r, n - r) if axis >= 3 - dims else slice(None) for axis, n in enumerate(block.shape))]
+    old, new = inner(before, ring + 1), inner(after, ring)
+    alive, births = int(new.sum(dtype=np.int64)), int((new > old).sum())
+    deaths = births + int(old.sum(dtype=np.int64)) - alive
+    return [alive, births + deaths, births, deaths]
+
+
+def _round(tiles: DataFrame, tiling: _Tiling, rule: Rule, steps: int) -> DataFrame:
+    return advance(parts(tiles, tiling, rule, steps), tiling, rule, steps)
 
 
 def _shrunk(block: np.ndarray, table: np.ndarray, dims: int) -> np.ndarray:

@@ -14,14 +14,23 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cellweave.functions import threefry
 from cellweave.functions.rules import Rule, int_to_rule, parse_rule, parse_rule_3d, rule_text
 from cellweave.functions.seeds import check_density, check_seed, rule_bits
 from cellweave.functions.workload import whole
+from cellweave.operators import keyed as keyed_operators
 from cellweave.operators import simulate
 from cellweave.operators.grids import random_grids
 from cellweave.sources.shared import fresh_path, remove_at_exit
 
 
+#: Columns of a sweep's rows.
+SWEPT = [
+    "dimensions", "rule", "rule_index", "rule_id", "initial_condition", "steps_executed", "initial_alive_fraction", "final_alive_fraction", "final_changed_fraction",
+    "mean_changed_fraction", "mean_birth_fraction", "mean_death_fraction", "fixed_point",
+]
+
+
 def random_rules(spark: SparkSession, seed: int, count: int, dims: int = 2, stream: str = "rule") -> DataFrame:
     """``rule_index, rule_id, rule``: independent rules of fair bits."""
     if count < 0:
@@ -41,19 +50,22 @@ def sweep(grids: DataFrame, rules: list[Rule], steps: int, dims: int) -> DataFra
     # A sweep has few rows and much work in each: every (rule, grid) may go to a core of its own.
     cores = grids.sparkSession.sparkContext.defaultParallelism
     spread = crossed.repartition(3 * cores, "grid_id", "rule_index")
-    runs = simulate.run_metrics(spread, steps, dims, include_first=True)
+    return _statistics(spread, ["rule_index", "rule_id", "grid_id"], steps, dims).withColumn("initial_condition", F.col("grid_id").cast("int")).select(*SWEPT)
+
+
+def _statistics(runs: DataFrame, keys: list[str], steps: int, dims: int) -> DataFrame:
+    """A row of run statistics for each grid under its rule; ``keys`` tell the rows apart and stay."""
+    runs = simulate.run_metrics(runs, steps, dims, include_first=True)
     size = (F.col("depth") * F.col("height") * F.col("width")).alias("total")
-    per = runs.select("rule_index", "rule_id", "grid_id", size, "generation", "alive", "changed", "births", "deaths").groupBy("rule_index", "rule_id", "grid_id", "total")
+    per = runs.select(*keys, size, "generation", "alive", "changed", "births", "deaths").groupBy(*keys, "total")
     first = F.max(F.when(F.col("generation") == 0, F.col("alive"))).alias("first")
     sums = per.agg(first, F.max_by("alive", "generation").alias("alive"), F.max_by("changed", "generation").alias("last"), *[F.sum(c).alias(c) for c in ("changed", "births", "deaths")])
     total = F.col("total").cast("double")
     mean = lambda c: (F.col(c) / (total * F.lit(float(steps))) if steps else F.lit(0.0))
     return sums.select(
+        *keys,
         F.lit(dims).alias("dimensions"),
         rule_text(F.col("rule_id"), dims).alias("rule"),
-        "rule_index",
-        "rule_id",
-        F.col("grid_id").cast("int").alias("initial_condition"),
         F.lit(steps).alias("steps_executed"),
         (F.col("first") / total).alias("initial_alive_fraction"),
         (F.col("alive") / total).alias("final_alive_fraction"),
@@ -65,6 +77,24 @@ def sweep(grids: DataFrame, rules: list[Rule], steps: int, dims: int) -> DataFra
     )
 
 
+def sweep_requests(requests: DataFrame, dims: int, *, rules: int, initial_conditions: int, size: int, steps: int, density: float = 0.10) -> DataFrame:
+    """A sweep for each row (``request``, ``seed``) of a table: random rules over that request's random grids.
+
+    The seed's key is split into one for rules and one for grids, and those into one for each rule and each grid, so requests
+    do not share numbers and any of them can be made again alone.  ``request`` and the columns of ``sweep``; a row without a seed
+    has no result.
+    """
+    _check(density, steps, rules=rules, initial_conditions=initial_conditions, size=size)
+    keyed = requests.where("seed IS NOT NULL").select("request", threefry.key_from_seed(F.col("seed")).alias("key"))
+    parts = keyed.select("request", threefry.split(F.col("key"), F.lit(0)).alias("rule_key"), threefry.split(F.col("key"), F.lit(1)).alias("grid_key"))
+    drawn = keyed_operators.split_keys(parts, "grid_key", initial_conditions, "initial_condition", "own_key").drop("grid_key")
+    drawn = keyed_operators.random_grids(drawn, "own_key", (size,) * dims, density)
+    chosen = F.transform(F.sequence(F.lit(0), F.lit(rules - 1)), lambda i: threefry.rule_bits(threefry.split(F.col("rule_key"), i), dims))
+    crossed = drawn.select("request", "initial_condition", "depth", "height", "width", "cells", F.posexplode(chosen).alias("rule_index", "rule_id"))
+    # Statistics are grouped before anything else is: a run's generations leave its task as one row.
+    return _statistics(crossed, ["request", "rule_index", "rule_id", "initial_condition"], steps, dims).select("request", *SWEPT)
+
+
 def _check(density: float, steps: int, **positive: int) -> None:
     whole(steps, "steps", 0)
     for name, value in positive.items():

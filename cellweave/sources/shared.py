@@ -12,6 +12,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyarrow.fs import FileSystem
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -55,6 +56,11 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def broadcast_if_small(df: DataFrame, limit: int) -> DataFrame:
+    """``df``, marked for broadcast only if it was counted and has at most ``limit`` rows."""
+    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+
+
 def file_uri(path: str) -> str:
     """Hadoop's spelling of a path as pyarrow takes it."""
     return re.sub(r"^file:/(?!//)/?", "file:///", path) if ":" in path else f"file://{path}"
