@@ -52,6 +52,8 @@ SHARD_TOKENS = 4_000_000
 #: Bytes of text a step of counting and numbering, and of class numbers a step of scoring.
 STEP_BYTES = 4 << 20
 NUMBER_BYTES = 2 << 20
+#: Rows of a matrix product when texts are scored.
+TILE_ROWS = 32
 #: Rows of parameters a batch that tasks hand on.
 ROWS = 20_000
 #: A task hands on its partial counts beyond this many.
@@ -297,15 +299,17 @@ class Model:
 def _add_log_softmax(out: np.ndarray, hidden: np.ndarray, groups: np.ndarray, begin: int, end: int, low: int, table: np.ndarray, bias: np.ndarray) -> None:
     """Add the log-softmax of rows [begin, end) for their groups, over the groups of ``table`` from number ``low`` on.
 
-    A row's result does not depend on the rows it is computed with: sums run along rows, and one row alone, which would be
-    multiplied in another order, is taken twice.
+    A row's result does not depend on the rows it is computed with: all products are of tiles of ``TILE_ROWS`` rows, the last one
+    filled up, since a matrix product sums in another order for another height; and sums run along rows.
     """
-    step = max(2, (1 << 18) // len(bias))
+    step = max(1, (1 << 18) // len(bias) // TILE_ROWS) * TILE_ROWS
     turned = np.ascontiguousarray(table.T)
     for i in range(begin, end, step):
         part = slice(i, min(end, i + step))
-        rows = hidden[part]
-        scores = rows @ turned if len(rows) > 1 else (np.repeat(rows, 2, axis=0) @ turned)[:1]
+        height = part.stop - part.start
+        rows = np.zeros((-(-height // TILE_ROWS) * TILE_ROWS, hidden.shape[1]), hidden.dtype)
+        rows[:height] = hidden[part]
+        scores = np.matmul(rows.reshape(-1, TILE_ROWS, hidden.shape[1]), turned).reshape(len(rows), -1)[:height]
         scores += bias
         own = scores[np.arange(len(scores)), groups[part] - low]
         top = np.float32(0)
