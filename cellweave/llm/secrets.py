@@ -46,6 +46,12 @@ REDACTED = "[secret]"
 #: Blobs with findings, or that tell what to scan, are broadcast up to this many (some hundred bytes each).
 BROADCAST_BLOBS = 50_000
 
+#: Patterns that would be tried anew all along a run of their own characters, as ones that are tried once a run: only if what has
+#: to follow the run is there, and then from the first start in it on.  The match is the group ``m``; spans are the same.
+_ONCE_A_RUN = {
+    RULES[2][2][1]: r"(?<![A-Za-z0-9_-])(?=[A-Za-z0-9_-]++\.eyJ[A-Za-z0-9_-]++\.[A-Za-z0-9_-])[A-Za-z0-9_-]*?(?P<m>eyJ[A-Za-z0-9_-]++\.eyJ[A-Za-z0-9_-]++\.[A-Za-z0-9_-]++)",
+}
+
 LEDGER_SCHEMA = "blob string, rule_version int, spans array<struct<kind:string,start:int,end:int>>"
 SPAN = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())])
 
@@ -55,14 +61,16 @@ def _scanner(rules):
     for kind, pattern, group, least in rules:
         if pattern == r"[0-9a-f]+":  # whole runs either way: only long ones need be met
             pattern = rf"[0-9a-f]{{{least},}}"
-        compiled.append((kind, re.compile(pattern), group, least))
+        if pattern in _ONCE_A_RUN:
+            pattern, group = _ONCE_A_RUN[pattern], "m"
+        compiled.append((kind, re.compile(pattern), group, "m" if group == "m" else 0, least))
 
     def scan(text: str) -> list[tuple[str, int, int]]:
         found = []
-        for order, (kind, pattern, group, least) in enumerate(compiled):
+        for order, (kind, pattern, group, whole, least) in enumerate(compiled):
             for m in pattern.finditer(text):
                 if m.end(group) - m.start(group) >= least:
-                    found.append((m.start(), order, kind, m.end()))
+                    found.append((m.start(whole), order, kind, m.end(whole)))
         found.sort()
         return [(kind, start, end) for start, _, kind, end in found]
 
