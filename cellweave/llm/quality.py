@@ -2,7 +2,7 @@
 
 Everything is DataFrame expressions.  A document's signals come from arrays inside its own row (no explode, no
 shuffle); failures of each rule are counted per host with map-side aggregation, so a host with a third of all rows costs
-one counter per task.  For every rule, host rates are shrunk towards a beta prior fitted to all hosts by moments.  Two rules
+one counter per task.  For every rule, host rates are shrunk towards a beta prior fitted to all hosts by moments, without the variance that sampling alone gives.  Two rules
 (few words, repeated words) reject a document on their own.  The others (symbols, repeated lines) are weaker evidence: they
 reject where the host bears them out, that is where its shrunk rate of that rule lies above the prior's mean by
 ``HOST_SPREAD`` of the prior's standard deviations.  A host nearly all of whose documents fail is rejected whole.  The verdicts on hosts
@@ -25,6 +25,8 @@ MAX_SYMBOL_PERCENT = 10
 MAX_LINE_PERCENT = 30
 #: A host bears out a rule if its shrunk failure rate is above the prior's mean by this many standard deviations of the prior.
 HOST_SPREAD = 0.5
+#: Hosts differ if their rates do by this many standard deviations more than those of equal hosts would.
+HOST_CHANCE = 3.0
 #: A host is rejected whole if its shrunk rate of documents that fail on their own is above this.
 HOST_LIMIT = 0.8
 #: Hosts with a verdict are broadcast up to this many (a name and three booleans each).
@@ -94,23 +96,34 @@ def host_verdicts(signals: DataFrame, host_col: str = "source", limit: float = H
     """One row per host (null is a host): ``host, n_docs``, and for each of ``base_failed`` and ``HOST_RULES`` its failures
     ``n_<rule>``, ``<rule>_rate`` (shrunk) and ``<rule>_host`` (the verdict).
 
-    The prior of a rule is the beta distribution whose mean and variance are those of the hosts' failure rates, with a
-    strength between 1 and 1,000,000 documents; without spread between hosts the strength is the largest.  Without failures
-    no host has a verdict.
+    The prior of a rule is the beta distribution with the mean of the hosts' failure rates and the variance that is left of
+    theirs without what sampling alone gives (the mean of m (1 - m) / n), with a strength between 1 and 1,000,000 documents.  Where
+    hosts differ no more than chance allows (the chi-square sum of their rates is within ``HOST_CHANCE`` standard deviations of
+    its expectation, or no variance is left) the strength is the largest, and the weak rules have no verdict on any host.
     """
     rules = ("base_failed", *HOST_RULES)
     hosts = signals.groupBy(F.col(host_col).alias("host")).agg(F.count(F.lit(1)).alias("n_docs"), *[F.sum(F.col(r).cast("long")).alias(f"n_{r}") for r in rules])
     rate = lambda r: F.col(f"n_{r}") / F.col("n_docs")
-    prior = hosts.agg(*[f(rate(r)).alias(f"{x}_{r}") for r in rules for x, f in (("m", F.avg), ("v", F.var_pop))])
+    prior = hosts.agg(
+        F.count(F.lit(1)).alias("_hosts"), F.avg(1 / F.col("n_docs")).alias("_each"),
+        *[f.alias(f"{x}_{r}") for r in rules for x, f in (("m", F.avg(rate(r))), ("v", F.var_pop(rate(r))), ("p", F.sum(f"n_{r}") / F.sum("n_docs")), ("s", F.sum(F.col(f"n_{r}") * rate(r))), ("b", F.sum(f"n_{r}")))],
+    )
     for r in rules:
-        m, v = F.col(f"m_{r}"), F.col(f"v_{r}")
-        prior = prior.withColumn(f"k_{r}", F.when(v > 0, F.greatest(F.lit(1.0), F.least(F.lit(1e6), m * (1 - m) / v - 1))).otherwise(F.lit(1e6)))
+        m, p = F.col(f"m_{r}"), F.col(f"p_{r}")
+        left = F.col(f"v_{r}") - m * (1 - m) * F.col("_each")
+        # Sum of n (rate - p)^2 over p (1 - p), against its expectation and deviation if all hosts were the same.
+        square = (F.col(f"s_{r}") - p * F.col(f"b_{r}")) / (p * (1 - p))
+        free = F.col("_hosts") - 1
+        differ = F.coalesce((p > 0) & (p < 1) & (left > 0) & (square > free + HOST_CHANCE * F.sqrt(2 * free)), F.lit(False))
+        prior = prior.withColumn(f"d_{r}", differ).withColumn(f"k_{r}", F.when(differ, F.greatest(F.lit(1.0), F.least(F.lit(1e6), m * (1 - m) / left - 1))).otherwise(F.lit(1e6)))
     out = hosts.join(F.broadcast(prior))
     for r in rules:
         m, k = F.col(f"m_{r}"), F.col(f"k_{r}")
         out = out.withColumn(f"{r}_rate", (F.col(f"n_{r}") + m * k) / (F.col("n_docs") + k))
-        above = F.lit(limit) if r == "base_failed" else m + spread * F.sqrt(m * (1 - m) / (k + 1))
-        out = out.withColumn(f"{r}_host", F.col(f"{r}_rate") > above)
+        if r == "base_failed":
+            out = out.withColumn(f"{r}_host", F.col(f"{r}_rate") > limit)
+        else:
+            out = out.withColumn(f"{r}_host", F.col(f"d_{r}") & (F.col(f"{r}_rate") > m + spread * F.sqrt(m * (1 - m) / (k + 1))))
     return out.select("host", "n_docs", *[f"{x}{r}{y}" for r in rules for x, y in (("n_", ""), ("", "_rate"), ("", "_host"))])
 
 
@@ -189,12 +202,14 @@ WITH d AS (
     (SELECT source, unnest(['base', 'symbols', 'lines']) AS rule, unnest([base_failed, symbols_failed, lines_failed]) AS failed FROM s)
   GROUP BY source, rule
 ), prior AS (
-  SELECT rule, avg(bad / n) AS m, var_pop(bad / n) AS v FROM hosts GROUP BY rule
+  SELECT rule, avg(bad / n) AS m, var_pop(bad / n) AS v, avg(1 / n) AS each, count(*) - 1 AS free, sum(bad) / sum(n) AS p, sum(bad * bad / n) AS s, sum(bad) AS b FROM hosts GROUP BY rule
+), spread AS (
+  SELECT rule, m, v - m * (1 - m) * each AS left_over, p > 0 AND p < 1 AND v > m * (1 - m) * each AND (s - p * b) / (p * (1 - p)) > free + 3 * sqrt(2 * free) AS differ FROM prior
 ), fitted AS (
-  SELECT rule, m, CASE WHEN v > 0 THEN greatest(1.0, least(1e6, m * (1 - m) / v - 1)) ELSE 1e6 END AS k FROM prior
+  SELECT rule, m, differ, CASE WHEN differ THEN greatest(1.0, least(1e6, m * (1 - m) / left_over - 1)) ELSE 1e6 END AS k FROM spread
 ), verdict AS (
-  SELECT source, bool_or(rule = 'base' AND rate > 0.8) AS bad, bool_or(rule = 'symbols' AND rate > high) AS symbols, bool_or(rule = 'lines' AND rate > high) AS lines
-  FROM (SELECT source, rule, (bad + m * k) / (n + k) AS rate, m + 0.5 * sqrt(m * (1 - m) / (k + 1)) AS high FROM hosts JOIN fitted USING (rule)) GROUP BY source
+  SELECT source, bool_or(rule = 'base' AND rate > 0.8) AS bad, bool_or(rule = 'symbols' AND differ AND rate > high) AS symbols, bool_or(rule = 'lines' AND differ AND rate > high) AS lines
+  FROM (SELECT source, rule, differ, (bad + m * k) / (n + k) AS rate, m + 0.5 * sqrt(m * (1 - m) / (k + 1)) AS high FROM hosts JOIN fitted USING (rule)) GROUP BY source
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, symbols_failed, lines_failed,
        NOT (base_failed OR verdict.bad OR symbols_failed AND verdict.symbols OR lines_failed AND verdict.lines) AS kept

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 
 import numpy as np
 import pytest
@@ -143,6 +144,20 @@ def test_secrets(spark, versions, empty, few, monkeypatch):
     assert sorted((str(r["doc_id"]), str(r["text"])) for r in redacted.collect()) == sorted((str(r[0]), str(cut(r[1]))) for r in rows)
 
 
+def test_once_a_run():
+    """Patterns in the form that is tried once a run find what they find as they are written, in linear time."""
+    rng = np.random.default_rng(7)
+    for pattern, once in secrets._ONCE_A_RUN.items():
+        for _ in range(3000):
+            text = "".join(rng.choice(["eyJ", "a", ".", "-", " ", "eyJx.", "eyJy.z"], int(rng.integers(1, 25))))
+            assert [m.span("m") for m in re.finditer(once, text)] == [m.span() for m in re.finditer(pattern, text)]
+    scan = secrets._scanner([r for v in secrets.RULES.values() for r in v])
+    for unit in ("eyJ", "eyJa.", "eyJa.eyJ", "-----BEGIN ", "-----BEGIN PRIVATE KEY-----", "://a:", "://", "ghp_", "xoxb-", "password", "password ", "AKIA", "0123456789abcdef "):
+        began = time.perf_counter()
+        scan(unit * (1_000_000 // len(unit)))
+        assert time.perf_counter() - began < 2, unit
+
+
 def test_ledger_scans_only_what_is_new(spark, versions, tmp_path):
     path = f"file://{tmp_path}/ledger"
     name = lambda text: hashlib.sha256((text or "").encode()).hexdigest()
@@ -192,9 +207,12 @@ def kept_rows(rows):
         bad = {h: sum(f[rule] for r, f in zip(rows, failed, strict=True) if r[3] == h) for h in hosts}
         rates = [bad[h] / n[h] for h in hosts]
         m = sum(rates) / len(rates)
-        v = sum((x - m) ** 2 for x in rates) / len(rates)
-        k = max(1, min(1e6, m * (1 - m) / v - 1)) if v > 0 else 1e6
-        high = m + 0.5 * (m * (1 - m) / (k + 1)) ** 0.5 if rule else 0.8
+        v = sum((x - m) ** 2 for x in rates) / len(rates) - m * (1 - m) * sum(1 / x for x in n.values()) / len(n)
+        p = sum(bad.values()) / sum(n.values())
+        far = sum(n[h] * (bad[h] / n[h] - p) ** 2 for h in hosts) / (p * (1 - p)) if 0 < p < 1 else 0
+        differ = v > 0 and far > len(n) - 1 + 3 * (2 * (len(n) - 1)) ** 0.5
+        k = max(1, min(1e6, m * (1 - m) / v - 1)) if differ else 1e6
+        high = (m + 0.5 * (m * (1 - m) / (k + 1)) ** 0.5 if differ else 2) if rule else 0.8
         convicted[rule] = {h for h in hosts if (bad[h] + m * k) / (n[h] + k) > high}
     return [r for r, f in zip(rows, failed, strict=True) if not (f[0] or r[3] in convicted[0] or f[1] and r[3] in convicted[1] or f[2] and r[3] in convicted[2])]
 
@@ -219,6 +237,18 @@ def test_bad_host_goes(spark):
     assert all(out[i] for i in range(200)) and not out[2000] and out[2001] and not out[1000]
 
 
+def test_equal_hosts_have_no_verdict(spark):
+    """Hosts that differ by chance alone are not told apart; one that does differ is."""
+    rng = np.random.default_rng(12)
+    plain = lambda i: " ".join(f"w{i}x{j}" for j in range(30))
+    rows = [(i, plain(i) + (" " + "#" * 60 if rng.random() < 0.06 else ""), "en", f"host{i % 20}") for i in range(3000)]
+    kept = lambda x: {r["doc_id"]: r["kept"] for r in quality.quality_verdicts(spark.createDataFrame(x, "doc_id long, text string, lang string, source string")).collect()}
+    assert all(kept(rows).values())
+    bad = [(5000 + i, plain(i + 5000) + " " + "#" * 60, "en", "bad") for i in range(80)]
+    out = kept(rows + bad)
+    assert all(out[i] for i in range(3000)) and not any(out[5000 + i] for i in range(80))
+
+
 def test_hosts_bear_out_weak_rules(spark):
     """A document full of symbols or repeated lines goes only where its host's rate of them stands out."""
     plain = lambda i: " ".join(f"w{i}x{j}" for j in range(30))
