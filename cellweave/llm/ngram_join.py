@@ -403,10 +403,10 @@ WITH RECURSIVE d AS (
     ELSE list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' ')) END) AS grams FROM d
 ), x AS (
   SELECT rid, unnest(grams) AS gram FROM g
-), both AS (
+), shared AS (
   SELECT a.rid AS u, b.rid AS v, count(*) AS n FROM x a JOIN x b ON a.gram = b.gram AND a.rid < b.rid GROUP BY ALL
 ), near AS (
-  SELECT u, v FROM both JOIN g a ON u = a.rid JOIN g b ON v = b.rid WHERE 100 * n >= 80 * (len(a.grams) + len(b.grams) - n)
+  SELECT u, v FROM shared JOIN g a ON u = a.rid JOIN g b ON v = b.rid WHERE 100 * n >= 80 * (len(a.grams) + len(b.grams) - n)
 ), e AS (
   SELECT u, v FROM near UNION SELECT v, u FROM near
 ), r AS (
