@@ -19,14 +19,17 @@ import math
 import re
 from collections import Counter, deque
 from collections.abc import Iterator
+from functools import lru_cache
 from typing import NamedTuple
+from urllib.parse import urljoin
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from cellweave.llm.common import pieces, read_table
 
-_MARKUP = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?][^>]*>""", re.S)
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_IN_TAG = re.compile(r"""[>"']""")
 _ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 
 #: Elements whose content is no text of the page, read up to their own end tag.
@@ -64,7 +67,7 @@ TEXTUAL = {"p", "li", "blockquote", "pre", "td", "th", "dd", "dt", "figcaption",
 
 #: Log-odds of the classifier: of where a block stands ...
 IN_ARTICLE, IN_CONTENT, UNMARKED, OUTSIDE = 2.0, 1.5, 1.6, -2.0
-BOILERPLATE, WEAK_NAME = -6.0, -1.0
+BOILERPLATE, COMPOUND_NAME, WEAK_NAME = -6.0, -2.5, -1.0
 #: ... and of its text, and their bound.
 HEADING, WORDS_HALF, PER_LOG_WORD, LINKED, SENTENCE = 0.5, 12, 0.6, -2.5, 0.3
 SHORTEST, LONGEST, FIRMEST = -1.5, 1.5, 6.0
@@ -73,6 +76,69 @@ SHORTEST, LONGEST, FIRMEST = -1.5, 1.5, 6.0
 ADJACENT, PROXIMATE, UNLIKE = 1.5, 1.0, 0.25
 
 
+class Markup(NamedTuple):
+    """A piece of a page: the text before a tag, and the tag (empty at the end, and for comments and the like)."""
+
+    text: str
+    tag: str
+    closing: bool
+    attributes: str
+
+
+def markup_of(page: str) -> Iterator[Markup]:
+    """The page's tags in order with the texts before them, in time in proportion to its length.
+
+    What begins like a tag and never ends is text.  Quotes in a tag hold what is inside together; once a quote does not end where a
+    tag could still end behind it, quotes count as ordinary characters for the rest of the page, so that none is
+    searched for again and again.  The content of elements in ``RAW`` is left out, with their end tags.
+    """
+    last_end = page.rfind(">")
+    careful, at, begin = True, 0, 0
+    while True:
+        low = page.find("<", at)
+        if low < 0 or low > last_end and not page.startswith("<!--", low):
+            yield Markup(page[begin:], "", False, "")
+            return
+        if page.startswith("<!--", low):
+            end = page.find("-->", low + 4)
+            yield Markup(page[begin:low], "", False, "")
+            at = begin = end + 3 if end >= 0 else len(page)
+            continue
+        if page[low + 1 : low + 2] in ("!", "?"):
+            yield Markup(page[begin:low], "", False, "")
+            at = begin = page.find(">", low) + 1
+            continue
+        closing = page.startswith("/", low + 1)
+        name = _NAME.match(page, low + 1 + closing)
+        if name is None:
+            at = low + 1
+            continue
+        end = -1
+        if careful:
+            place = name.end()
+            while (m := _IN_TAG.search(page, place)) is not None:
+                if m[0] == ">":
+                    end = m.start()
+                    break
+                place = page.find(m[0], m.end()) + 1
+                if not place:
+                    break
+            careful = end >= 0
+        if end < 0:
+            end = page.find(">", name.end())
+        tag = name[0].lower()
+        yield Markup(page[begin:low], tag, closing, page[name.end() : end])
+        at = begin = end + 1
+        if tag in RAW and not closing:
+            m = _raw_end(tag).search(page, at)
+            at = begin = m.end() if m else len(page)
+
+
+@lru_cache(maxsize=None)
+def _raw_end(tag: str) -> re.Pattern:
+    return re.compile(rf"</{tag}\s*+>", re.I)
+
+
 class Block(NamedTuple):
     text: str
     score: float
@@ -92,6 +158,7 @@ class _Element(NamedTuple):
     firm: bool = False  # what makes it boilerplate holds for an article inside, too
     linked: bool = False
     heading: bool = False
+    compound: int = 0  # outermost element around it that a part of its name marks
 
 
 def _attributes(raw: str) -> tuple[list[str], str, bool]:
@@ -119,7 +186,10 @@ def _named(tag: str, names: list[str]) -> tuple[float, bool]:
         return 0.0, False
     if tag in TEXTUAL:
         return WEAK_NAME, False
-    return (BOILERPLATE, bool(firm)) if whole or firm else (WEAK_NAME, False)
+    if whole:
+        return BOILERPLATE, bool(whole & FIRM_NAMES)
+    # A part of a name says what something is about as often as what it is.
+    return (COMPOUND_NAME, False) if firm else (WEAK_NAME, False)
 
 
 def _element(tag: str, attributes: str, number: int, up: _Element) -> _Element:
@@ -139,15 +209,18 @@ def _element(tag: str, attributes: str, number: int, up: _Element) -> _Element:
         else:
             marks += BOILERPLATE
             firm = True
+    compound = up.compound
     if names and tag not in ("html", "body", "main"):
         own, holds = _named(tag, names)
+        if own == COMPOUND_NAME and tag != "article":
+            own, compound = (0.0, compound) if compound else (own, number)
         if tag == "article" and not holds:
             own = 0.0
         marks += own
         firm = firm or holds
         if not own and not marks and not place and CONTENT_NAMES.intersection(x for name in names for x in re.split(r"[^a-z0-9]+", name)):
             place = IN_CONTENT
-    return _Element(tag, number, place, marks, up.skipped or hidden or tag in SKIPPED, header, firm, up.linked or tag == "a", up.heading or tag in HEADINGS)
+    return _Element(tag, number, place, marks, up.skipped or hidden or tag in SKIPPED, header, firm, up.linked or tag == "a", up.heading or tag in HEADINGS, compound)
 
 
 def blocks_of(page: str) -> list[Block]:
@@ -183,23 +256,13 @@ def blocks_of(page: str) -> list[Block]:
             if stack[-1].linked:
                 linked += len(text.strip())
 
-    at = 0
-    while True:
-        m = _MARKUP.search(page, at)
-        if m is None:
-            add(page[at:])
-            break
-        add(page[at : m.start()])
-        at = m.end()
-        tag = m[2] or m[5]
-        if tag is None:
+    for before, tag, closing, attributes in markup_of(page):
+        add(before)
+        if not tag:
             continue
-        tag, closing, attributes = tag.lower(), m[1] or m[4], m[3] or m[6] or ""
         if is_open["head"] and not closing and tag not in IN_HEAD:
             close(next(i for i, e in enumerate(stack) if e.tag == "head"))
-        if tag in RAW and not closing:
-            end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-            at = end.end() if end else len(page)
+        if tag in RAW:
             continue
         if tag == "br":
             parts.append(" ")
@@ -232,7 +295,41 @@ def blocks_of(page: str) -> list[Block]:
     flush()
     # Where something is marked as the article, what stands outside of it and has no mark is not.
     plain = OUTSIDE if any(e.place and not e.marks for _, e, *_ in found) else UNMARKED
-    return [Block(text, _score(text, e, links, plain), parent, depth, shared, e.marks <= BOILERPLATE) for text, e, links, parent, depth, shared in found]
+    # What holds half of the text is the page's subject, whatever a part of its name says.
+    sizes: Counter[int] = Counter()
+    for text, e, *_ in found:
+        sizes[e.compound] += len(text) if e.marks > BOILERPLATE else 0
+    most = sum(sizes.values()) / 2
+    found = [(text, e._replace(marks=e.marks - COMPOUND_NAME) if e.compound and sizes[e.compound] >= most else e, *rest) for text, e, *rest in found]
+    return [Block(text, _score(text, e, links, plain), parent, depth, shared, e.marks <= COMPOUND_NAME) for text, e, links, parent, depth, shared in found]
+
+
+def title_and_links(page: str, url: str) -> tuple[str | None, list[str]]:
+    """The page's title and the targets of its links in order: character references decoded, relative ones resolved against the page's
+    base.  Comments, scripts and other attributes (``data-href``) have none."""
+    base, links, title, inside = url, [], None, False
+    for before, tag, closing, attributes in markup_of(page):
+        if inside and title is not None:
+            title += before
+        if tag == "title":
+            if title is None and not closing:
+                title, inside = "", True
+            elif closing:
+                inside = False
+        elif tag in ("a", "area", "base") and not closing:
+            target = next((m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(attributes) if m[1].lower() == "href"), None)
+            if target is None:
+                continue
+            target = entities.unescape(target).strip()
+            try:
+                found = urljoin(base, target)
+            except ValueError:
+                found = target
+            if tag == "base":
+                base = found
+            else:
+                links.append(found)
+    return (None if title is None else " ".join(entities.unescape(title).split())), links
 
 
 def _score(text: str, element: _Element, links: float, plain: float) -> float:
