@@ -3,8 +3,9 @@
 Each response yields one ``metadata`` record (a JSON envelope with the source's WARC and HTTP headers, title, links and
 digests; a header name that occurs again has the list of its values) and one ``conversion`` record (its visible text).  Both carry ``WARC-Refers-To`` with the response's record id, its
 target URI and date, and digests of their own blocks; the response's payload digest goes into the envelope and, for the
-conversion, into ``WARC-Source-Payload-Digest``.  Chunked, gzip and deflate payloads are decoded for text and links; the envelope
-says what was decoded and marks what could not be.  Record ids are name-based UUIDs of the response's id, so a rerun,
+conversion, into ``WARC-Source-Payload-Digest``.  Chunked, gzip (any number of members) and deflate payloads are decoded for text and
+links; the envelope says what was decoded and marks what could not be, and what is no text, which has no conversion.  The encoding
+is that of the text's mark, header or ``meta`` element.  Links are those of anchors, decoded and resolved.  Record ids are name-based UUIDs of the response's id, so a rerun,
 or a task that is run again, writes the same records.  Records are independent: nothing is shuffled.
 """
 
@@ -24,13 +25,18 @@ from pyarrow.fs import FileSystem
 from pyspark.sql import DataFrame, SparkSession
 
 from cellweave.llm.common import pieces, read_table
-from cellweave.llm.html_text import blocks_of
+from cellweave.llm.html_text import blocks_of, markup_of, title_and_links
 from cellweave.sources.shared import file_uri, materialise
 
 VERSION = "WARC/1.1"
 DATE = "1970-01-01T00:00:00Z"
-_TITLE = re.compile(r"<title[^>]*>(.*?)</title", re.S | re.I)
-_LINK = re.compile(r"""<a\s[^>]*?href\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
+_CHARSET = re.compile(r"""charset\s*=\s*["']?\s*([\w.:-]+)""", re.I)
+#: What begins a text in one of these encodings.
+MARKS = ((b"\xef\xbb\xbf", "utf-8-sig"), (b"\xff\xfe", "utf-16"), (b"\xfe\xff", "utf-16"))
+#: Bytes of a page in which a ``meta`` element may name its encoding.
+META_BYTES = 1024
+#: Content types, besides ``text/``, that have text of their own; a part after a plus sign counts.
+TEXT_TYPES = {"application/xhtml+xml", "application/xml", "application/json", "application/javascript", "application/x-javascript"}
 
 HEADERS = "array<struct<name: string, value: string>>"
 _HEADER = pa.list_(pa.struct([("name", pa.string()), ("value", pa.string())]))
@@ -181,14 +187,7 @@ def decoded(http: list[Header], payload: bytes) -> tuple[bytes, list[str], str |
         if coding == "chunked":
             payload = _unchunked(payload)
         elif coding in ("gzip", "x-gzip", "deflate"):
-            found = None
-            for bits in (31,) if coding != "deflate" else (15, -15):
-                machine = zlib.decompressobj(bits)
-                try:
-                    found = machine.decompress(payload)
-                except zlib.error:
-                    continue
-                break
+            found = next((x for bits in ((31,) if coding != "deflate" else (15, -15)) if (x := _inflated(payload, bits)) is not None), None)
             if found is None:
                 return payload, undone, coding
             payload = found
@@ -198,6 +197,43 @@ def decoded(http: list[Header], payload: bytes) -> tuple[bytes, list[str], str |
     return payload, undone, None
 
 
+def _inflated(data: bytes, bits: int) -> bytes | None:
+    """All members of a compressed body, as far as they go; none if it does not begin with one."""
+    out: list[bytes] = []
+    while data:
+        machine = zlib.decompressobj(bits)
+        try:
+            out.append(machine.decompress(data))
+        except zlib.error:
+            return b"".join(out) if out else None
+        if not machine.eof or machine.unused_data == data:
+            break
+        data = machine.unused_data
+    return b"".join(out)
+
+
+def media_type(http: list[Header]) -> str:
+    return (_value(http, "Content-Type") or "").split(";")[0].strip().lower()
+
+
+def has_text(kind: str) -> bool:
+    """Whether a body of the content type is text; one without a type is taken for a page."""
+    return not kind or kind.startswith("text/") or kind in TEXT_TYPES or kind.rpartition("+")[2] in ("xml", "json")
+
+
+def text_of(http: list[Header], body: bytes) -> str:
+    """The body's text: in the encoding of its first bytes' mark, else of the header, else of a ``meta`` element, else UTF-8."""
+    named = next((name for mark, name in MARKS if body.startswith(mark)), None)
+    if named is None:
+        head = body[:META_BYTES].decode("latin-1")
+        found = _CHARSET.search(_value(http, "Content-Type") or "") or next((m for x in markup_of(head) if x.tag == "meta" if (m := _CHARSET.search(x.attributes))), None)
+        named = found[1] if found else "utf-8"
+    try:
+        return body.decode(named, "replace")
+    except (LookupError, ValueError):  # no such encoding, or not one of text
+        return body.decode("utf-8", "replace")
+
+
 def response(url: str, page: str, date: str = DATE, *names: str) -> tuple[list[Header], bytes]:
     """A response record for a page that was fetched without keeping its head."""
     payload = page.encode()
@@ -216,20 +252,16 @@ def response(url: str, page: str, date: str = DATE, *names: str) -> tuple[list[H
 
 
 def derivatives(headers: list[Header], block: bytes) -> list[tuple[list[Header], bytes]]:
-    """The metadata and the conversion record of a response record."""
+    """The metadata and the conversion record of a response record; a body that is no text, or could not be decoded, has no conversion."""
     status, http, payload = split_http(block)
     source = _value(headers, "WARC-Record-ID") or record_id("unnamed", digest(block))
     uri, date = _value(headers, "WARC-Target-URI") or "", _value(headers, "WARC-Date") or DATE
     payload_digest = _value(headers, "WARC-Payload-Digest") or digest(payload)
     body, undone, left = decoded(http, payload)
-    charset = re.search(r"charset=([\w-]+)", _value(http, "Content-Type") or "")
-    try:
-        page = body.decode(charset[1] if charset else "utf-8", "replace")
-    except LookupError:
-        page = body.decode("utf-8", "replace")
-    if left:  # no text can be had
-        page = ""
-    title = _TITLE.search(page)
+    kind = media_type(http)
+    readable = not left and has_text(kind)
+    page = text_of(http, body) if readable else ""
+    title, links = title_and_links(page, uri)
     envelope = {
         "WARC-Header-Metadata": _by_name(headers),
         "HTTP-Response-Metadata": {
@@ -239,13 +271,16 @@ def derivatives(headers: list[Header], block: bytes) -> list[tuple[list[Header],
             "Entity-Digest": payload_digest,
             **({"Decoded": undone} if undone else {}),
             **({"Not-Decoded": left} if left else {}),
-            "HTML-Metadata": {"Title": _one_line(title[1]) if title else None, "Links": [a or b or c for a, b, c in _LINK.findall(page)]},
+            **({} if has_text(kind) else {"Not-Text": kind}),
+            "HTML-Metadata": {"Title": title, "Links": links},
         },
     }
     made = []
-    text = "\n".join(b.text for b in blocks_of(page)).encode("utf-8", "replace")
+    text = (page if kind and "html" not in kind and "xml" not in kind else "\n".join(b.text for b in blocks_of(page))).encode("utf-8", "replace")
     described = json.dumps(envelope, ensure_ascii=False, separators=(",", ":")).encode("utf-8", "replace")
     for kind, content_type, content in (("metadata", "application/json", described), ("conversion", "text/plain; charset=utf-8", text)):
+        if kind == "conversion" and not readable:
+            continue
         made.append(
             (
                 [
@@ -319,7 +354,8 @@ def responses_from_pages(df: DataFrame, id_col: str = "page_id", url_col: str =
 
 
 def build_derivatives(records: DataFrame, id_col: str | None = None) -> DataFrame:
-    """Two records (``RECORD_SCHEMA``, after ``id_col`` if given) for every row of type ``response``; other types give none.
+    """Two records (``RECORD_SCHEMA``, after ``id_col`` if given) for every row of type ``response``, or the metadata alone where the body
+    has no text to convert; other types give none.
 
     Null headers or blocks read as empty; blocks of any length are taken whole.  Repeated rows give repeated, equal records; an
     empty table gives none.  Other columns are not read, whatever their names.

@@ -8,6 +8,7 @@ import itertools
 import json
 import math
 import random
+import re
 import time
 import uuid
 import zlib
@@ -252,6 +253,23 @@ def test_html_cases(page, text):
     assert html_text.main_text(page) == text
 
 
+_PROSE = "The file tells crawlers which sellers may offer the space of a site, and machines read it once a day or so, says the guide."
+
+
+@pytest.mark.parametrize(
+    "page,kept",
+    [
+        (f'<article class="newsletter-guide"><h1>How to</h1><p>{_PROSE}</p></article>', ["How to", _PROSE]),
+        (f'<main><div class="ads-txt"><h1>Ads.txt</h1><p>{_PROSE}</p><p>Short one</p></div></main><div class="ads">buy</div>', ["Ads.txt", _PROSE, "Short one"]),
+        (f'<article><p>{_PROSE}</p><div class="newsletter-box">Sign up now</div><p>{_PROSE}</p></article>', [_PROSE, _PROSE]),
+        (f'<article><p>{_PROSE}</p><div class="related-posts"><a href=x>Another thing</a></div><p>{_PROSE}</p></article>', [_PROSE, _PROSE]),
+        (f'<article class="ads"><p>{_PROSE}</p></article><main><p>{_PROSE}</p></main>', [_PROSE]),
+    ],
+)
+def test_names_are_weak_evidence_in_parts(page, kept):
+    assert html_text.main_text(page).split("\n") == kept
+
+
 def test_cut_decides():
     """A paragraph that is one link goes with its neighbours; a list of links does not."""
     prose = "<p>Some text with a number of words in it, that goes on for a while.</p>"
@@ -354,17 +372,73 @@ def test_encoded_bodies():
         ([], page, [], None), (["Content-Encoding: gzip"], gzip.compress(page), ["gzip"], None), (["Content-Encoding: deflate"], zlib.compress(page), ["deflate"], None),
         (["Content-Encoding: Deflate"], raw.compress(page) + raw.flush(), ["deflate"], None), (["Transfer-Encoding: chunked"], chunked(page), ["chunked"], None),
         (["Transfer-Encoding: chunked", "Content-Encoding: gzip"], chunked(gzip.compress(page)), ["chunked", "gzip"], None), (["Content-Encoding: br"], b"\x00\x01", [], "br"),
+        (["Content-Encoding: gzip"], gzip.compress(page[:9]) + gzip.compress(page[9:20]) + gzip.compress(page[20:]), ["gzip"], None), (["Content-Encoding: gzip"], gzip.compress(page) + b"junk", ["gzip"], None),
         (["Content-Encoding: gzip"], page, [], "gzip"), (["Content-Encoding: identity"], page, [], None),
     ]
     for heads, body, undone, left in cases:
         block = "\r\n".join(["HTTP/1.1 200 OK", *heads, "Content-Type: text/html"]).encode() + b"\r\n\r\n" + body
-        (_, described), (_, text) = warc.derivatives([("WARC-Record-ID", "<urn:x:1>")], block)
+        (_, described), *converted = warc.derivatives([("WARC-Record-ID", "<urn:x:1>")], block)
         response = json.loads(described)["HTTP-Response-Metadata"]
         assert (response.get("Decoded", []), response.get("Not-Decoded")) == (undone, left)
-        assert text.decode() == ("" if left else "Text of some length, text of some length.") and response["HTML-Metadata"]["Title"] == (None if left else "é")
+        assert [t.decode() for _, t in converted] == ([] if left else ["Text of some length, text of some length."]) and response["HTML-Metadata"]["Title"] == (None if left else "é")
         assert response["Entity-Length"] == len(body) and response["Entity-Digest"] == warc.digest(body)
 
 
+def _derived(kind: str | None, body: bytes, uri: str = "http://h.example/d/p?q"):
+    heads = ["HTTP/1.1 200 OK"] + ([f"Content-Type: {kind}"] if kind is not None else [])
+    made = warc.derivatives([("WARC-Record-ID", "<urn:x:1>"), ("WARC-Target-URI", uri)], "\r\n".join(heads).encode() + b"\r\n\r\n" + body)
+    return json.loads(made[0][1])["HTTP-Response-Metadata"], [content.decode() for _, content in made[1:]]
+
+
+def test_encodings_and_types():
+    page = "<p>café au lait, s'il vous plaît</p>"
+    want = ["café au lait, s'il vous plaît"]
+    for kind, body in (
+        ('text/html; charset="iso-8859-1"', page.encode("latin-1")), ("text/html; Charset=ISO-8859-1", page.encode("latin-1")), ("text/html; charset = 'cp1252'", page.encode("cp1252")),
+        ("text/html", b'<meta charset="iso-8859-1">' + page.encode("latin-1")), ("text/html", b"<meta http-equiv=Content-Type content='text/html; charset=latin1'>" + page.encode("latin-1")),
+        ("text/html; charset=latin-1", b"\xef\xbb\xbf" + page.encode()), ("text/html", "\ufeff".encode("utf-16-le") + page.encode("utf-16-le")), ("text/html; charset=no-such", page.encode()),
+        ("text/html; charset=hex", page.encode()), (None, page.encode()), ("application/xhtml+xml", page.encode()), ("", page.encode()),
+    ):
+        assert _derived(kind, body)[1] == want, kind
+    for kind in ("image/png", "application/pdf", "application/octet-stream", "IMAGE/GIF; x=y"):
+        described, converted = _derived(kind, b"\x89PNG\r\n<p>x</p>")
+        assert converted == [] and described["Not-Text"] == kind.split(";")[0].lower() and described["HTML-Metadata"] == {"Title": None, "Links": []}
+    assert _derived("text/plain", b"a < b\n<p>") [1] == ["a < b\n<p>"] and _derived("application/ld+json", b'{"a": "<b>"}')[1] == ['{"a": "<b>"}']
+
+
+def test_titles_and_links():
+    page = """<head><TITLE lang=en> A &amp; B\n  c </TITLE><base href="/base/"></head><!-- <a href="no">x</a> --><script>s = '<a href="no">'</script>
+      <a data-href="no">x</a><a class=k href="x?a=1&amp;b=2">l</a><A HREF='../up'>m</A><a href=http://o.example/z>n</a><a href="#top"></a><a name=q><area href=m><svg><title>no</title></svg><a href="http://[bad">b</a>"""
+    described, _ = _derived("text/html", page.encode())
+    assert described["HTML-Metadata"] == {"Title": "A & B c", "Links": [f"http://h.example/{x}" for x in ("base/x?a=1&b=2", "up")] + ["http://o.example/z", "http://h.example/base/#top", "http://h.example/base/m", "http://[bad"]}
+
+
+@pytest.mark.parametrize("unit", ["<b ", "<a ", "<title>", '<b "', '<b ">x', "<b '\"", "<!", "<!--", "<?", "</", "<script>", '<a href="', "<b a=", "<div>", "<p>", "<li>", "<ul><li>", "&", "eyJ"])
+def test_malformed_pages_take_linear_time(unit):
+    page = unit * (1_000_000 // len(unit))
+    began = time.perf_counter()
+    html_text.main_text(page)
+    between = time.perf_counter()
+    warc.derivatives([], b"HTTP/1.1 200 OK\r\n\r\n" + page.encode())
+    assert between - began < 6 and time.perf_counter() - between < 6
+
+
+def plain_markup(page):
+    """Tags by the plain rule: quotes hold together, else up to the next end."""
+    out, at = [], 0
+    for m in re.finditer(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", page, re.S):
+        out.append((page[at : m.start()], (m[2] or "").lower(), bool(m[1]), m[3] or ""))
+        at = m.end()
+    return [*out, (page[at:], "", False, "")]
+
+
+def test_markup_against_the_plain_rule():
+    rng = random.Random(11)
+    for _ in range(3000):
+        page = "".join(rng.choices(["<b>", "<i a='>'>", '<u x=">" y>', "</b>", "text", " < ", "<!-- c > -->", "<!d>", "<1>", ">", "<br/>", "<a\nb>"], k=rng.randint(0, 12)))
+        assert [tuple(m) for m in html_text.markup_of(page)] == plain_markup(page)
+
+
 def test_op10_by_hand(spark, tmp_path):
     """The query's records, put together by hand from each page."""
     pages = [(1, "http://a.example/x y", PAGE), (2, None, "<p>é</p>"), (2, None, "<p>é</p>"), (None, "u", None), (4, "http://c.example", "<div>" * 3000 + "deep")]
@@ -377,7 +451,7 @@ def test_op10_by_hand(spark, tmp_path):
         source = f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, chr(10).join(['response', url or '', warc.DATE, sha(data), str(ident)]))}>"
         text = "\n".join(b.text for b in html_text.blocks_of(page or "")).encode()
         title = "T" if page == PAGE else None
-        links = ["/a"] if page == PAGE else []
+        links = ["http://a.example/a"] if page == PAGE else []
         envelope = {
             "WARC-Header-Metadata": {
                 "WARC-Type": "response", "WARC-Record-ID": source, "WARC-Target-URI": url or "", "WARC-Date": warc.DATE, "Content-Type": "application/http; msgtype=response",
