@@ -95,6 +95,16 @@ def sweep_requests(requests: DataFrame, dims: int, *, rules: int, initial_condit
     return _statistics(crossed, ["request", "rule_index", "rule_id", "initial_condition"], steps, dims).select("request", *SWEPT)
 
 
+def compare_requests(requests: DataFrame, *, rules: int = 1, initial_conditions: int = 20, size_2d: int = 64, size_3d: int = 32, steps: int = 100, density: float = 0.10) -> DataFrame:
+    """Sweeps in both dimensions for each row (``request``, ``seed``) of a table, side by side."""
+    out = None
+    for dims, size in ((2, size_2d), (3, size_3d)):
+        rows = sweep_requests(requests, dims, rules=rules, initial_conditions=initial_conditions, size=size, steps=steps, density=density)
+        rows = rows.select("dimensions", "request", "rule", "rule_index", "initial_condition", F.lit("x".join([str(size)] * dims)).alias("grid_shape"), "initial_alive_fraction", "final_alive_fraction", "mean_changed_fraction")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 def _check(density: float, steps: int, **positive: int) -> None:
     whole(steps, "steps", 0)
     for name, value in positive.items():

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellweave.functions import threefry
+from cellweave.functions import checks, threefry
 from cellweave.functions.rules import CONWAY, DEFAULT_3D_RULE, parse_rule, parse_rule_3d
 from cellweave.operators import grids, keyed, large, tiles
 from cellweave.plans import oracles as sql
-from cellweave.plans.experiments import sweep_requests
+from cellweave.plans.experiments import compare_requests, summary_by_rule, sweep_requests
 from cellweave.sources.patterns import PATTERNS, get_pattern
 
 STEPS, STABLE_STEPS, TORUS = 10, 24, (4096, 4096)
@@ -242,5 +242,40 @@ def _keyed(dims: int) -> None:
         return _longs(rows.select("request", "rule_index", "rule_id", "rule", "initial_condition", "initial_alive_fraction", "final_alive_fraction", "mean_changed_fraction", "mean_birth_fraction", "fixed_point"))
 
 
+    @_register(f"sweep_summary_keyed_{d}", f"SELECT {dims}::BIGINT AS dimensions, rule, count(*) AS runs, round(avg(final_alive_fraction), 9) AS final, round(avg(mean_changed_fraction), 9) AS changed, count(*) FILTER (fixed_point) AS fixed FROM ({ORACLE_SQL[f'sweep_keyed_{d}']}) GROUP BY rule")
+    def summary(spark, sf_dir):
+        """Means by rule over the sweeps of all suppliers."""
+        rows = sweep_requests(_seeded(_table(spark, sf_dir, "supplier"), "s_suppkey", "request"), dims, rules=2, initial_conditions=3, size=size, steps=steps, density=0.3)
+        return _longs(summary_by_rule(rows).withColumns({"final": F.round("final", 9), "changed": F.round("changed", 9)}))
+
+
 for _dims in (2, 3):
     _keyed(_dims)
+
+
+_sides = " UNION ALL ".join(f"SELECT {dims}::BIGINT AS dimensions, request, rule, rule_index, initial_condition, '{shape}' AS grid_shape, initial_alive_fraction, final_alive_fraction, mean_changed_fraction FROM ({ORACLE_SQL[f'sweep_keyed_{dims}d']})" for dims, shape in ((2, "6x6"), (3, "4x4x4")))
+
+
+@_register("compare_keyed", _sides)
+def compare(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both dimensions side by side for every supplier."""
+    asked = _seeded(_table(spark, sf_dir, "supplier"), "s_suppkey", "request")
+    return _longs(compare_requests(asked, rules=2, initial_conditions=3, size_2d=6, size_3d=4, steps=5, density=0.3))
+
+
+_asked = "p_partkey, p_partkey % 9 - 2 AS height, p_size - 3 AS width, p_partkey % 5 - 1 AS depth, p_retailprice / 1000 - 0.7 AS density, p_partkey % 7 - 2 AS steps, p_size % 4 - 1 AS every, p_partkey % 3 + 8 AS n, p_partkey % 2 + 26 AS n_3d, p_size % 3 AS most"
+
+
+@_register(
+    "checked_requests",
+    f"SELECT p_partkey, height >= 1 AND width >= 1 AS shape_2d, depth >= 1 AND height >= 1 AND width >= 1 AS shape_3d, density BETWEEN 0 AND 1 AS density, steps >= 0 AS steps, every >= 1 AS every, n = 9 AND most <= 1 AS mask_2d, n_3d = 27 AND most <= 1 AS mask_3d FROM (SELECT {_asked} FROM part)",
+)
+def checked_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is accepted of a request for each part: shapes, density, steps, recording and masks, as expressions."""
+    asked = _table(spark, sf_dir, "part").selectExpr(*_asked.split(", "))
+    mask = lambda n: F.transform(F.sequence(F.lit(1), F.col(n).cast("int")), lambda i: F.when(i == 4, F.col("most")).otherwise(i % 2))
+    return asked.select(
+        "p_partkey", checks.dimensions(F.col("height"), F.col("width")).alias("shape_2d"), checks.dimensions(F.col("depth"), F.col("height"), F.col("width")).alias("shape_3d"),
+        checks.density(F.col("density")).alias("density"), checks.at_least(F.col("steps"), 0).alias("steps"), checks.at_least(F.col("every"), 1).alias("every"),
+        checks.mask(mask("n"), 2).alias("mask_2d"), checks.mask(mask("n_3d"), 3).alias("mask_3d"),
+    )

@@ -1,6 +1,6 @@
 import numpy as np
 import pytest
-from cellweave.functions import threefry
+from cellweave.functions import checks, threefry
 from cellweave.operators import keyed
 from cellweave.plans.experiments import sweep_requests
 from pyspark.sql import functions as F
@@ -56,3 +56,9 @@ def test_requests_are_their_own(spark):
     assert len(every) == 24 and [r for r in every if r[0] == 3] == ask(asked.where("request = 3"))
     keys = keyed.split_keys(asked.where("seed IS NOT NULL").select("request", threefry.key_from_seed(F.col("seed")).alias("key")), "key", 50, "i", "own")
     assert keys.select("own").distinct().count() == 300
+
+
+def test_checks(spark):
+    rows = spark.sql("SELECT * FROM VALUES (1, 2.0, 0.5, array(0, 1)), (0, 1.5, -0.1, null), (null, 3.0, double('NaN'), array(0, 2)), (-1, 0.0, 1.0, array(null, 1)) t(a, b, c, m)")
+    got = rows.select(checks.at_least(F.col("a"), 0), checks.dimensions(F.col("a"), F.col("b")), checks.density(F.col("c")), checks.mask(F.concat(F.col("m"), F.array_repeat(F.lit(1), 7)), 2)).collect()
+    assert [tuple(r) for r in got] == [(True, True, True, True), (True, False, False, False), (False, False, False, False), (False, False, True, False)]
