@@ -7,16 +7,16 @@ suffix positions) is searched backwards for all phrases at once, occurrences are
 position, and their spans are merged.
 
 The phrases are broadcast in blocks of ``BLOCK_WORDS`` benchmark words, each searched in turn inside the same task.  At
-most ``MAX_BLOCKS`` blocks fit beside a shard.  With more, a task keeps its documents in a local file and reads them once for
-every group of that many blocks; hits are united by row, and nothing is shuffled either.
+most ``MAX_BLOCKS`` blocks are broadcast at a time.  With more, the documents are read once for every group of that many blocks; a pass
+writes what it found of the texts that are hit, and its broadcast goes before the next one comes.  Findings are united by text
+and joined back to the rows: by broadcast if the texts hit were counted and are few, by an ordinary join otherwise.
 """
 
 from __future__ import annotations
 
-import os
-import tempfile
 from collections.abc import Iterator
-from itertools import repeat
+from functools import reduce
+from itertools import islice, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -24,19 +24,25 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellweave.llm.common import pieces, read_table, utf8
+from cellweave.llm.common import maybe_broadcast, pieces, read_table, utf8
+from cellweave.sources.shared import materialise
 
 WINDOW = 13
 #: A document is contaminated if at least one word in this many is hit.
 SHARE = 20
 #: Benchmark words a block; a block's phrases are held in memory by every worker (about 1 KB a word).
 BLOCK_WORDS = 200_000
-#: Blocks a worker holds at once.
+#: Blocks a worker holds at once: a million words, or as many items where those are longer than a block.
 MAX_BLOCKS = 5
 SAMPLE = 16
 #: Shards hold up to about this many kept words.
 SHARD_WORDS = 1 << 19
 
+#: A task forgets which texts it has handed on beyond this many.
+SEEN = 1 << 18
+#: Texts that are hit are broadcast up to this many.
+BROADCAST_TEXTS = 50_000
+
 #: Everything but digits, letters and non-ASCII bytes separates words; A-Z are lower-cased.
 _TO_WORDS = bytes(c if c >= 0x80 or 48 <= c <= 57 or 97 <= c <= 122 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
 
@@ -236,41 +242,49 @@ def _hits(words: list[list[bytes]], blocks: list[Phrases]) -> tuple[np.ndarray,
     return begins, np.cumsum(hit)[:-1] > 0, items
 
 
-def _hits_in_passes(parts: Iterator[pa.RecordBatch], groups: list[list[Broadcast]]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, list[set[str]]]]:
-    """Each part with its ``_hits`` in the blocks of all groups.  More than one group: one pass over a local copy for each."""
-    if len(groups) < 2:
-        blocks = [b.value for group in groups for b in group]
-        for part in parts:
-            yield part, *_hits([item_words(x) for x in utf8(part.column("_text"))], blocks)
-        return
-    with tempfile.TemporaryDirectory(dir=os.environ.get("SPARK_LOCAL_DIRS", "").split(",")[0] or None) as folder:
-        path = os.path.join(folder, "parts")
-        writer = None
-        with pa.OSFile(path, "wb") as out:
-            for part in parts:
-                writer = writer or pa.ipc.new_stream(out, part.schema)
-                writer.write_batch(part)
-            if writer is None:
-                return
-            writer.close()
-        found: list[tuple[np.ndarray, np.ndarray, list[set[str]]]] = []  # beginnings, packed hits and items of each part
-        for group in groups:
-            blocks = [b.value for b in group]
-            with pa.OSFile(path) as kept:
-                for i, part in enumerate(pa.ipc.open_stream(kept)):
-                    begins, hit, items = _hits([item_words(x) for x in utf8(part.column("_text"))], blocks)
-                    if group is groups[0]:
-                        found.append((begins, np.packbits(hit), items))
-                    else:
-                        np.bitwise_or(found[i][1], np.packbits(hit), out=found[i][1])
-                        for known, more in zip(found[i][2], items, strict=True):
-                            known |= more
-            del blocks
-            for b in group:
-                vars(b).pop("_value", None)  # the next group takes its place
-        with pa.OSFile(path) as kept:
-            for (begins, packed, items), part in zip(found, pa.ipc.open_stream(kept), strict=True):
-                yield part, begins, np.unpackbits(packed, count=int(begins[-1])).astype(bool), items
+def _spans_of(hit: np.ndarray) -> list[dict[str, int]]:
+    edges = np.diff(np.concatenate(([0], hit.astype(np.int8), [0])))
+    return [{"start": int(a), "end": int(b)} for a, b in zip(np.flatnonzero(edges > 0), np.flatnonzero(edges < 0), strict=True)]
+
+
+_SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+_FOUND = "spans array<struct<start: long, end: long>>, items array<string>"
+
+
+def _hits_of_group(shipped: list[Broadcast]):
+    """Of (k1, k2, _text): spans and items of the texts that windows of these blocks hit, a text once a task."""
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks, seen = [b.value for b in shipped], set()
+        for part in pieces(batches, "_text"):
+            begins, hit, items = _hits([item_words(x) for x in utf8(part.column("_text"))], blocks)
+            rows = []
+            for d, key in enumerate(zip(part.column("k1").to_pylist(), part.column("k2").to_pylist(), strict=True)):
+                if items[d] and key not in seen:
+                    if len(seen) >= SEEN:
+                        seen.clear()
+                    seen.add(key)
+                    rows.append((*key, _spans_of(hit[begins[d] : begins[d + 1]]), sorted(items[d])))
+            columns = zip(*rows, strict=True) if rows else [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), _SPANS, pa.list_(pa.string())), strict=True)], ["k1", "k2", "spans", "items"])
+
+    return search
+
+
+def _united(batches: Iterator[pa.RecordBatch], others: list[str]) -> Iterator[pa.RecordBatch]:
+    """Of rows with the spans and items of all passes (or null): the result's columns."""
+    for part in pieces(batches, "_text"):
+        sizes = [len(item_words(x)) for x in utf8(part.column("_text"))]
+        n_hit, spans, items = [], [], []
+        for n, found, names in zip(sizes, part.column("spans").to_pylist(), part.column("items").to_pylist(), strict=True):
+            hit = np.zeros(n, bool)
+            for s in found or ():
+                hit[s["start"] : s["end"]] = True
+            n_hit.append(int(hit.sum()))
+            spans.append(_spans_of(hit) if found else [])
+            items.append(names or [])
+        columns = [*(part.column(c) for c in others), pa.array(sizes, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(items, pa.list_(pa.string())), pa.array(spans, _SPANS)]
+        yield pa.RecordBatch.from_arrays(columns, [*others, "n_words", "n_hit", "items", "spans"])
 
 
 def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[str, list[bytes]]]]:
@@ -296,36 +310,43 @@ def find_contamination(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_i
     ``items`` are the ids (as strings, sorted) of items with an occurring window; ``spans`` the merged word ranges
     [start, end) to remove.  Null texts have no words; items without words have no window, one shorter than the window is
     one window as a whole.  Items with equal ids are one item; a null item id reads as ``null``.  Repeated rows and
-    null ids get a row each; an empty table on either side gives no hits.
+    null ids get a row each; texts of any length are searched whole; an empty table on either side gives no hits.  Columns not kept
+    are not read, whatever their names.
     """
     context = df.sparkSession.sparkContext
-    listed = benchmark.select(F.coalesce(benchmark[item_col].cast("string"), F.lit("null")), benchmark[item_text_col].cast("string"))
-    shipped = [context.broadcast(Phrases(block, window)) for block in _blocks(listed)]
-    groups = [shipped[at : at + MAX_BLOCKS] for at in range(0, len(shipped), MAX_BLOCKS)]
+    blocks = _blocks(benchmark.select(F.coalesce(benchmark[item_col].cast("string"), F.lit("null")), benchmark[item_text_col].cast("string")))
+    ship = lambda: [context.broadcast(Phrases(block, window)) for block in islice(blocks, MAX_BLOCKS)]
+    shipped = ship()
     others = ["doc_id", *keep]
+    narrow = df.select(df[id_col].alias("doc_id"), *keep, df[text_col].alias("_text"))
+    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in narrow.schema if f.name != "_text") + "n_words long, n_hit long, items array<string>, spans array<struct<start: long, end: long>>"
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, begins, hit, items in _hits_in_passes(pieces(batches, "_text"), groups):
+        held = [b.value for b in shipped]
+        for part in pieces(batches, "_text"):
+            begins, hit, items = _hits([item_words(x) for x in utf8(part.column("_text"))], held)
             upto = np.concatenate(([0], np.cumsum(hit)))
-            n_hit, spans = upto[begins[1:]] - upto[begins[:-1]], []
-            for d, n in enumerate(n_hit.tolist()):
-                if not n:
-                    spans.append([])
-                    continue
-                own = np.diff(np.concatenate(([0], hit[begins[d] : begins[d + 1]].astype(np.int8), [0])))
-                spans.append([{"start": int(a), "end": int(b)} for a, b in zip(np.flatnonzero(own > 0), np.flatnonzero(own < 0), strict=True)])
-            columns = [
-                *(part.column(c) for c in others),
-                pa.array(np.diff(begins)),
-                pa.array(n_hit),
-                pa.array([sorted(x) for x in items], pa.list_(pa.string())),
-                pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
-            ]
+            n_hit = upto[begins[1:]] - upto[begins[:-1]]
+            spans = [_spans_of(hit[begins[d] : begins[d + 1]]) if n else [] for d, n in enumerate(n_hit.tolist())]
+            columns = [*(part.column(c) for c in others), pa.array(np.diff(begins)), pa.array(n_hit), pa.array([sorted(x) for x in items], pa.list_(pa.string())), pa.array(spans, _SPANS)]
             yield pa.RecordBatch.from_arrays(columns, [*others, "n_words", "n_hit", "items", "spans"])
 
-    narrow = df.select(df[id_col].alias("doc_id"), *keep, df[text_col].alias("_text"))
-    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in narrow.schema if f.name != "_text")
-    return narrow.mapInArrow(search, f"{types}, n_words long, n_hit long, items array<string>, spans array<struct<start: long, end: long>>")
+    following = ship() if len(shipped) == MAX_BLOCKS else []
+    if not following:
+        return narrow.mapInArrow(search, schema)
+    # Texts are told by two 64-bit hashes: what a text is hit by does not depend on its row.
+    keys = {"k1": F.xxhash64("_text"), "k2": F.xxhash64(F.lit(1), F.col("_text"))}
+    passes = []
+    while shipped:
+        passes.append(materialise(narrow.select(F.col("_text")).withColumns(keys).mapInArrow(_hits_of_group(shipped), f"k1 long, k2 long, {_FOUND}"), "hits"))
+        for b in shipped:
+            b.destroy()
+        shipped, following = following, ship() if len(following) == MAX_BLOCKS else []
+    every = reduce(DataFrame.unionByName, passes).groupBy(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"))
+    found = every.agg(F.flatten(F.collect_set("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
+    found = maybe_broadcast(materialise(found, "found"), BROADCAST_TEXTS)
+    joined = narrow.withColumns(keys).join(found, (F.col("k1") == F.col("_k1")) & (F.col("k2") == F.col("_k2")), "left").select(*others, "_text", "spans", "items")
+    return joined.mapInArrow(lambda batches: _united(batches, others), schema)
 
 
 def contaminated() -> Column:
