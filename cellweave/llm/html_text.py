@@ -29,6 +29,8 @@ from pyspark.sql import DataFrame, SparkSession
 from cellweave.llm.common import pieces, read_table
 
 _NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+#: A tag whose attributes hold no angle: most of them.  It ends before the next one begins, so trying it costs no more than that.
+_SIMPLE = re.compile(r"""<(/?)([a-zA-Z][^\s/<>]*+)((?:[^<>"']++|"[^"<>]*+"|'[^'<>]*+')*+)>""")
 _IN_TAG = re.compile(r"""[>"']""")
 _ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 
@@ -76,13 +78,9 @@ SHORTEST, LONGEST, FIRMEST = -1.5, 1.5, 6.0
 ADJACENT, PROXIMATE, UNLIKE = 1.5, 1.0, 0.25
 
 
-class Markup(NamedTuple):
-    """A piece of a page: the text before a tag, and the tag (empty at the end, and for comments and the like)."""
-
-    text: str
-    tag: str
-    closing: bool
-    attributes: str
+#: A piece of a page: the text before a tag, the tag's name (empty at the end, and for comments and the like), whether it closes,
+#: and its attributes as they stand.
+Markup = tuple[str, str, bool, str]
 
 
 def markup_of(page: str) -> Iterator[Markup]:
@@ -96,16 +94,26 @@ def markup_of(page: str) -> Iterator[Markup]:
     careful, at, begin = True, 0, 0
     while True:
         low = page.find("<", at)
+        m = _SIMPLE.match(page, low) if low >= 0 else None
+        if m is not None:
+            slash, tag, attributes = m.groups()
+            tag = tag.lower()
+            yield page[begin:low], tag, slash != "", attributes
+            at = begin = m.end()
+            if not slash and tag in RAW:
+                m = _raw_end(tag).search(page, at)
+                at = begin = m.end() if m else len(page)
+            continue
         if low < 0 or low > last_end and not page.startswith("<!--", low):
-            yield Markup(page[begin:], "", False, "")
+            yield page[begin:], "", False, ""
             return
         if page.startswith("<!--", low):
             end = page.find("-->", low + 4)
-            yield Markup(page[begin:low], "", False, "")
+            yield page[begin:low], "", False, ""
             at = begin = end + 3 if end >= 0 else len(page)
             continue
         if page[low + 1 : low + 2] in ("!", "?"):
-            yield Markup(page[begin:low], "", False, "")
+            yield page[begin:low], "", False, ""
             at = begin = page.find(">", low) + 1
             continue
         closing = page.startswith("/", low + 1)
@@ -127,7 +135,7 @@ def markup_of(page: str) -> Iterator[Markup]:
         if end < 0:
             end = page.find(">", name.end())
         tag = name[0].lower()
-        yield Markup(page[begin:low], tag, closing, page[name.end() : end])
+        yield page[begin:low], tag, closing, page[name.end() : end]
         at = begin = end + 1
         if tag in RAW and not closing:
             m = _raw_end(tag).search(page, at)
@@ -223,8 +231,8 @@ def _element(tag: str, attributes: str, number: int, up: _Element) -> _Element:
     return _Element(tag, number, place, marks, up.skipped or hidden or tag in SKIPPED, header, firm, up.linked or tag == "a", up.heading or tag in HEADINGS, compound)
 
 
-def blocks_of(page: str) -> list[Block]:
-    """The page's non-empty text blocks in order, with their classifier scores (log-odds of content)."""
+def blocks_of(page: str | list[Markup]) -> list[Block]:
+    """The non-empty text blocks of a page, or of its markup, in order, with their classifier scores (log-odds of content)."""
     found: list[tuple[str, _Element, float, int, int, int]] = []
     stack = [_Element("", 0, 0.0, 0.0)]
     is_open: Counter[str] = Counter()
@@ -256,7 +264,7 @@ def blocks_of(page: str) -> list[Block]:
             if stack[-1].linked:
                 linked += len(text.strip())
 
-    for before, tag, closing, attributes in markup_of(page):
+    for before, tag, closing, attributes in markup_of(page) if isinstance(page, str) else page:
         add(before)
         if not tag:
             continue
@@ -304,11 +312,19 @@ def blocks_of(page: str) -> list[Block]:
     return [Block(text, _score(text, e, links, plain), parent, depth, shared, e.marks <= COMPOUND_NAME) for text, e, links, parent, depth, shared in found]
 
 
-def title_and_links(page: str, url: str) -> tuple[str | None, list[str]]:
+@lru_cache(maxsize=10_000)
+def _resolved(base: str, target: str) -> str:
+    try:
+        return urljoin(base, target)
+    except ValueError:
+        return target
+
+
+def title_and_links(page: list[Markup], url: str) -> tuple[str | None, list[str]]:
     """The page's title and the targets of its links in order: character references decoded, relative ones resolved against the page's
     base.  Comments, scripts and other attributes (``data-href``) have none."""
     base, links, title, inside = url, [], None, False
-    for before, tag, closing, attributes in markup_of(page):
+    for before, tag, closing, attributes in page:
         if inside and title is not None:
             title += before
         if tag == "title":
@@ -321,10 +337,7 @@ def title_and_links(page: str, url: str) -> tuple[str | None, list[str]]:
             if target is None:
                 continue
             target = entities.unescape(target).strip()
-            try:
-                found = urljoin(base, target)
-            except ValueError:
-                found = target
+            found = _resolved(base, target)
             if tag == "base":
                 base = found
             else:

@@ -226,7 +226,7 @@ def text_of(http: list[Header], body: bytes) -> str:
     named = next((name for mark, name in MARKS if body.startswith(mark)), None)
     if named is None:
         head = body[:META_BYTES].decode("latin-1")
-        found = _CHARSET.search(_value(http, "Content-Type") or "") or next((m for x in markup_of(head) if x.tag == "meta" if (m := _CHARSET.search(x.attributes))), None)
+        found = _CHARSET.search(_value(http, "Content-Type") or "") or next((m for _, tag, _, attributes in markup_of(head) if tag == "meta" and (m := _CHARSET.search(attributes))), None)
         named = found[1] if found else "utf-8"
     try:
         return body.decode(named, "replace")
@@ -261,7 +261,8 @@ def derivatives(headers: list[Header], block: bytes) -> list[tuple[list[Header],
     kind = media_type(http)
     readable = not left and has_text(kind)
     page = text_of(http, body) if readable else ""
-    title, links = title_and_links(page, uri)
+    marks = list(markup_of(page))
+    title, links = title_and_links(marks, uri)
     envelope = {
         "WARC-Header-Metadata": _by_name(headers),
         "HTTP-Response-Metadata": {
