@@ -9,6 +9,8 @@ from cellweave.functions.rules import CONWAY, DEFAULT_3D_RULE
 from cellweave.operators import grids, planes, simulate
 from cellweave.plans import oracles as sql
 from cellweave.plans import trajectories
+from cellweave.sources import archives
+from cellweave.sources.shared import fresh_path, remove_at_exit
 
 RULE = {2: CONWAY, 3: DEFAULT_3D_RULE}
 STEPS, RECURSIVE_STEPS = 10, 150
@@ -69,6 +71,17 @@ def sql_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """)
 
 
+def _archived(dims: int) -> None:
+    @_register(f"grid_archive_{dims}d", f"SELECT grid_id, {sql.grid_text(dims)} FROM ({sql.vectors(dims)}) GROUP BY grid_id")
+    def archived(spark, sf_dir):
+        """Every embedding grid written into archives by the data source and read back by range."""
+        archives.register(spark)
+        path = fresh_path(spark, "archives")
+        _ruled(spark, sf_dir, dims).drop("rule_id").write.format("grid-archive").mode("append").save(path)
+        remove_at_exit(spark, path)
+        return spark.read.format("grid-archive").option("cells", 4096).load(path).select("grid_id", _text())
+
+
 def _stored(dims: int) -> None:
     shape = sql.DIMS[dims]
     run = sql.run(sql.vectors(dims), RULE[dims], dims, shape, STEPS)
@@ -87,3 +100,4 @@ def _stored(dims: int) -> None:
 
 for _dims in (2, 3):
     _stored(_dims)
+    _archived(_dims)
