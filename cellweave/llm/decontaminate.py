@@ -354,7 +354,10 @@ def contaminated() -> Column:
 
 
 def drop_contaminated(df: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """The rows of ``df`` that are not contaminated, unchanged, with ``df``'s columns; nothing is shuffled."""
+    """The rows of ``df`` that are not contaminated, unchanged, with ``df``'s columns, whatever their names.
+
+    Null texts and texts without words stay; repeated rows are judged each; texts of any length are searched whole; an empty table stays empty.
+    """
     names = df.columns
     marked = df.select(*[df[c].alias(f"c{i}") for i, c in enumerate(names)])
     ident = f"c{names.index(text_col)}"

@@ -86,8 +86,9 @@ def mix_sources(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
 
     ``taken`` lies within the copies around target / source size, at most ``MAX_COPIES`` times ``size``; one document
     a source may be taken in part.  Null and blank texts have size 0 and are not taken; a null source is a source; an
-    empty source has target 0; an empty table gives an empty result.  Other columns of ``df`` are not read.  Repeated rows are rounded independently, and reruns agree: all randomness is a
-    hash of id, size, and the running number among rows that agree in both.
+    empty source has target 0; an empty table gives an empty result.  Texts of any length count whole; other columns of ``df`` are not
+    read, whatever their names.  Repeated rows are rounded independently, and reruns agree: all randomness is a hash of id, size, and
+    the running number among rows that agree in both.
     """
     size = F.coalesce(F.regexp_count(df[text_col], F.lit(WORD)), F.lit(0)).cast("long")
     counted = df.select(df[id_col].alias("doc_id"), df[source_col].alias("source"), size.alias("size")).groupBy("doc_id", "source", "size").count()

@@ -199,7 +199,8 @@ def simhash_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """``doc_id, fingerprint, component_id`` for every row.
 
     Null and blank texts have fingerprint zero and link like any other.  Repeated rows each get a row; a null id gets
-    its group's smallest id, or null where the group has none.  An empty table gives an empty result.
+    its group's smallest id, or null where the group has none.  Texts of any length count whole; other columns are not read, whatever
+    their names.  An empty table gives an empty result.
     """
     rows = materialise(add_fingerprints(df.select(df[id_col].alias("doc_id"), df[text_col].alias("text")), "text", shingle), "simhash")
     found = fingerprint_components(rows, radius).withColumnRenamed("fp", "_fp")
@@ -210,7 +211,8 @@ def simhash_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
 def keep_one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """One row of each component, with ``df``'s columns: the smallest id (null last), then the smallest row hash.
 
-    Rows that agree in every column are one row here, since all but one of them go anyway.
+    Rows that agree in every column are one row here, since all but one of them go anyway.  Texts of any length count whole, columns may
+    have any names, and an empty table stays empty.
     """
     names = df.columns
     marked = df.select(*[df[c].alias(f"c{i}") for i, c in enumerate(names)])

@@ -130,7 +130,7 @@ def token_counts(df: DataFrame, vocabulary: list[bytes], id_col: str = "doc_id",
     """Piece counts of every whole text: ``doc_id, n_bytes, n_words, n_tokens``; a narrow map without a shuffle.
 
     Null and blank texts have no words and no tokens (``n_bytes`` of null is 0).  One row out for each row in, repeated
-    rows and null ids included; other columns are not read.  An empty table gives an empty result.
+    rows and null ids included; texts of any length are counted whole; other columns are not read, whatever their names.  An empty table gives an empty result.
     """
     if len(vocabulary) > MAX_PIECES:
         raise ValueError(f"vocabulary of {len(vocabulary)} pieces; at most {MAX_PIECES} can be broadcast")
