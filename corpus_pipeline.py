@@ -8,6 +8,8 @@ of ``documents``.
 3. decontaminate: documents with at least one word in twenty inside benchmark windows go.
 4. secrets: secrets are replaced in the texts; every document stays.
 5. mix: what the mix takes of each remaining document.
+
+Every stage takes texts of any length whole; columns that a stage has no use for stay as they are, whatever their names.
 """
 
 from __future__ import annotations
