@@ -18,7 +18,7 @@ import html as entities
 import math
 import re
 from collections import Counter, deque
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from typing import NamedTuple
 from urllib.parse import urljoin
@@ -231,7 +231,7 @@ def _element(tag: str, attributes: str, number: int, up: _Element) -> _Element:
     return _Element(tag, number, place, marks, up.skipped or hidden or tag in SKIPPED, header, firm, up.linked or tag == "a", up.heading or tag in HEADINGS, compound)
 
 
-def blocks_of(page: str | list[Markup]) -> list[Block]:
+def blocks_of(page: str | Iterable[Markup]) -> list[Block]:
     """The non-empty text blocks of a page, or of its markup, in order, with their classifier scores (log-odds of content)."""
     found: list[tuple[str, _Element, float, int, int, int]] = []
     stack = [_Element("", 0, 0.0, 0.0)]
@@ -265,7 +265,8 @@ def blocks_of(page: str | list[Markup]) -> list[Block]:
                 linked += len(text.strip())
 
     for before, tag, closing, attributes in markup_of(page) if isinstance(page, str) else page:
-        add(before)
+        if before:
+            add(before)
         if not tag:
             continue
         if is_open["head"] and not closing and tag not in IN_HEAD:
@@ -275,7 +276,7 @@ def blocks_of(page: str | list[Markup]) -> list[Block]:
         if tag == "br":
             parts.append(" ")
             continue
-        if tag in BLOCK:
+        if parts and tag in BLOCK:
             flush()
         if closing:
             if is_open[tag]:
@@ -320,29 +321,36 @@ def _resolved(base: str, target: str) -> str:
         return target
 
 
-def title_and_links(page: list[Markup], url: str) -> tuple[str | None, list[str]]:
-    """The page's title and the targets of its links in order: character references decoded, relative ones resolved against the page's
-    base.  Comments, scripts and other attributes (``data-href``) have none."""
-    base, links, title, inside = url, [], None, False
-    for before, tag, closing, attributes in page:
-        if inside and title is not None:
-            title += before
-        if tag == "title":
-            if title is None and not closing:
-                title, inside = "", True
-            elif closing:
-                inside = False
-        elif tag in ("a", "area", "base") and not closing:
-            target = next((m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(attributes) if m[1].lower() == "href"), None)
-            if target is None:
-                continue
-            target = entities.unescape(target).strip()
-            found = _resolved(base, target)
-            if tag == "base":
-                base = found
-            else:
-                links.append(found)
-    return (None if title is None else " ".join(entities.unescape(title).split())), links
+class PageHead:
+    """A page's ``title`` and the targets of its ``links`` in order: character references decoded, relative ones resolved against the page's
+    base.  Comments, scripts and other attributes (``data-href``) have none.  Known once all of ``watch`` is taken."""
+
+    def __init__(self, url: str):
+        self.base, self.links, self.title = url, [], None
+
+    def watch(self, marks: Iterable[Markup]) -> Iterator[Markup]:
+        """The marks, looked at as they pass."""
+        inside = False
+        for mark in marks:
+            tag = mark[1]
+            if inside:
+                self.title += mark[0]
+            if tag == "title":
+                if self.title is None and not mark[2]:
+                    self.title, inside = "", True
+                elif mark[2]:
+                    inside = False
+            elif tag in ("a", "area", "base") and not mark[2]:
+                target = next((m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(mark[3]) if m[1].lower() == "href"), None)
+                if target is not None:
+                    found = _resolved(self.base, entities.unescape(target).strip())
+                    if tag == "base":
+                        self.base = found
+                    else:
+                        self.links.append(found)
+            yield mark
+        if self.title is not None:
+            self.title = " ".join(entities.unescape(self.title).split())
 
 
 def _score(text: str, element: _Element, links: float, plain: float) -> float:

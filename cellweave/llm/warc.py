@@ -25,7 +25,7 @@ from pyarrow.fs import FileSystem
 from pyspark.sql import DataFrame, SparkSession
 
 from cellweave.llm.common import pieces, read_table
-from cellweave.llm.html_text import blocks_of, markup_of, title_and_links
+from cellweave.llm.html_text import PageHead, blocks_of, markup_of
 from cellweave.sources.shared import file_uri, materialise
 
 VERSION = "WARC/1.1"
@@ -261,8 +261,12 @@ def derivatives(headers: list[Header], block: bytes) -> list[tuple[list[Header],
     kind = media_type(http)
     readable = not left and has_text(kind)
     page = text_of(http, body) if readable else ""
-    marks = list(markup_of(page))
-    title, links = title_and_links(marks, uri)
+    head = PageHead(uri)
+    marks = head.watch(markup_of(page))
+    if kind and "html" not in kind and "xml" not in kind:
+        text, _ = page, list(marks)
+    else:
+        text = "\n".join(b.text for b in blocks_of(marks))
     envelope = {
         "WARC-Header-Metadata": _by_name(headers),
         "HTTP-Response-Metadata": {
@@ -273,11 +277,11 @@ def derivatives(headers: list[Header], block: bytes) -> list[tuple[list[Header],
             **({"Decoded": undone} if undone else {}),
             **({"Not-Decoded": left} if left else {}),
             **({} if has_text(kind) else {"Not-Text": kind}),
-            "HTML-Metadata": {"Title": title, "Links": links},
+            "HTML-Metadata": {"Title": head.title, "Links": head.links},
         },
     }
     made = []
-    text = (page if kind and "html" not in kind and "xml" not in kind else "\n".join(b.text for b in blocks_of(page))).encode("utf-8", "replace")
+    text = text.encode("utf-8", "replace")
     described = json.dumps(envelope, ensure_ascii=False, separators=(",", ":")).encode("utf-8", "replace")
     for kind, content_type, content in (("metadata", "application/json", described), ("conversion", "text/plain; charset=utf-8", text)):
         if kind == "conversion" and not readable:
@@ -306,10 +310,11 @@ def _batch(ids: list, id_type, records: list[tuple[list[Header], bytes]], id_nam
     if id_name:
         columns.append(pa.array(ids, id_type))
         names.append(id_name)
+    named = [{name.lower(): value for name, value in reversed(h)} for h, _ in records]  # of a repeated name the first counts
     for field in _FIELDS:
-        values = [_value(h, field) for h, _ in records]
+        values = [n.get(field.lower()) for n in named]
         if field == "WARC-Payload-Digest":
-            values = [v or _value(h, "WARC-Source-Payload-Digest") for v, (h, _) in zip(values, records, strict=True)]
+            values = [v or n.get("warc-source-payload-digest") for v, n in zip(values, named, strict=True)]
         columns.append(pa.array([None if v is None else int(v) for v in values], pa.int64()) if field == "Content-Length" else pa.array(values, pa.string()))
     columns.append(pa.array([[{"name": n, "value": v} for n, v in h] for h, _ in records], _HEADER))
     columns.append(pa.array([b for _, b in records], pa.binary()))
