@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import operator
 import re
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
 from pyspark.sql import Column
@@ -124,6 +124,11 @@ DEFAULT_3D_RULE = parse_rule_3d("B6/S5,6,7")
 # The same codecs over columns.
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once a row, however often (or inside of which lambdas) the body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def _code_of(counts: Column) -> Column:
     """Sum of 2^count over an array of counts, in a long."""
     return F.aggregate(counts, F.lit(0).cast("long"), lambda a, c: a + F.call_function("shiftleft", F.lit(1).cast("long"), c))
@@ -132,19 +137,27 @@ def _code_of(counts: Column) -> Column:
 def rule_code(text: Column, dims: int = 2) -> Column:
     """The integer code of a rule's text; null where the text is no rule."""
     pattern = r"^\s*[Bb]([0-8]*)\s*/\s*[Ss]([0-8]*)\s*$" if dims == 2 else r"^\s*[Bb]([0-9, \t]*?)\s*/\s*[Ss]([0-9, \t]*?)\s*$"
-    sections = [F.regexp_extract(text, pattern, i) for i in (1, 2)]
-    arrays, valid = [], text.rlike(pattern)
-    for section in sections:
+
+    def tokens(section: Column) -> Column:
         if dims == 2:
-            tokens = F.filter(F.split(section, ""), lambda x: x != "")
-        else:
-            tokens = F.when(F.trim(section) == "", F.array().cast("array<string>")).otherwise(F.transform(F.split(section, ","), lambda x: F.trim(x)))
-            valid &= section.contains(",") | (F.length(section) <= 2)
-            valid &= F.forall(tokens, lambda x: x.rlike("^[0-9]+$"))
-        counts = F.transform(tokens, lambda x: x.try_cast("int"))
-        arrays.append(counts)
-        valid &= (F.size(F.array_distinct(counts)) == F.size(counts)) & F.forall(counts, lambda c: F.coalesce(c < COUNTS[dims], F.lit(False)))
-    return F.when(valid, _code_of(arrays[0]) + F.call_function("shiftleft", _code_of(arrays[1]), F.lit(COUNTS[dims])))
+            return F.filter(F.split(section, ""), lambda x: x != "")
+        return F.when(F.trim(section) == "", F.array().cast("array<string>")).otherwise(F.transform(F.split(section, ","), lambda x: F.trim(x)))
+
+    def read(section: Column) -> Column:
+        """A section's code, null where it is none."""
+
+        def coded(found: Column) -> Column:
+            counts = F.transform(found, lambda x: x.try_cast("int"))
+            valid = F.forall(found, lambda x: x.rlike("^[0-9]+$")) if dims == 3 else F.lit(True)
+            return let(counts, lambda c: F.when(valid & (F.size(F.array_distinct(c)) == F.size(c)) & F.forall(c, lambda n: F.coalesce(n < COUNTS[dims], F.lit(False))), _code_of(c)))
+
+        whole = F.when(section.contains(",") | (F.length(section) <= 2), section) if dims == 3 else section
+        return let(tokens(whole), coded)
+
+    def both(sections: Column) -> Column:
+        return let(F.transform(sections, read), lambda codes: codes[0] + F.call_function("shiftleft", codes[1], F.lit(COUNTS[dims])))
+
+    return let(text, lambda t: F.when(t.rlike(pattern), let(F.array(F.regexp_extract(t, pattern, 1), F.regexp_extract(t, pattern, 2)), both)))
 
 
 def rule_bit(code: Column, bit: Column) -> Column:
@@ -172,7 +185,10 @@ def rule_text(code: Column, dims: int = 2) -> Column:
 
 def editor_state(text: Column, dims: int = 2) -> Column:
     """What a rule editor shows for a text: whether it is a rule, its canonical text, and a flag for each count's switches."""
-    code = rule_code(text, dims)
-    birth, survival = rule_masks(code, dims)
-    shown = lambda c: F.when(code.isNotNull(), c)
-    return F.struct(code.isNotNull().alias("valid"), shown(rule_text(code, dims)).alias("rule"), shown(birth).alias("birth"), shown(survival).alias("survival"))
+
+    def state(code: Column) -> Column:
+        birth, survival = rule_masks(code, dims)
+        shown = lambda c: F.when(code.isNotNull(), c)
+        return F.struct(code.isNotNull().alias("valid"), shown(rule_text(code, dims)).alias("rule"), shown(birth).alias("birth"), shown(survival).alias("survival"))
+
+    return let(rule_code(text, dims), state)

@@ -4,6 +4,7 @@ import pytest
 from cellweave.functions.rules import COUNTS, HIGHLIFE, Rule, editor_state, int_to_rule, masks_to_rule, parse_rule, parse_rule_3d, rule_code, rule_to_int, rule_to_masks, validate_rule
 from hypothesis import given
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 PARSE = {2: parse_rule, 3: parse_rule_3d}
 JOINT = {2: "", 3: ","}
@@ -93,3 +94,11 @@ def test_columns_agree(spark, dims):
         code, shown = got[t]
         assert code == plain(t)
         assert (shown["valid"], shown["rule"]) == ((True, int_to_rule(code, dims).text) if code is not None else (False, None))
+
+
+@pytest.mark.parametrize("dims", [2, 3])
+def test_a_text_is_read_once_a_row(spark, dims):
+    """Each section is extracted at one place of the plan, not once for every switch that the editor shows."""
+    shown = spark.range(2).select(editor_state(F.concat(F.lit("B1/S"), F.col("id").cast("string")), dims).alias("e")).select("e.valid", "e.rule", "e.birth", "e.survival")
+    assert shown._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract") <= 2
+    assert [r["rule"] for r in shown.collect()] == ["B1/S0", "B1/S1"]
