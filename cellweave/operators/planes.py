@@ -2,7 +2,7 @@
 
 A generation adds the eight neighbours of all cells of a row at once: shifted words go through carry-save adders, whose bits select
 the rule's counts.  Everything is SQL text made of built-in functions, so it runs without Python, in any number of
-generations from one expression (a fold), as SQL functions (``register``), or as a recursive query (``recursive_run``).  Rows
+generations from one expression (a fold), as SQL functions (``register``), or with every generation kept (``recursive_run``).  Rows
 have at most ``WIDEST`` cells.
 """
 
@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from cellweave.functions.workload import whole
 
 WIDEST = 62
+#: Lines of cells that a row of ``recursive_run`` holds at once.
+HELD = 1 << 14
 
 
 def _let(value: str, name: str, body: str) -> str:
@@ -25,8 +27,15 @@ def _majority(a: str, b: str, c: str) -> str:
     return f"(({a} & {b}) | ({c} & ({a} ^ {b})))"
 
 
-def step_sql(rows: str, width: str, code: str) -> str:
-    """The rows one generation on.  ``width`` is an int, ``code`` a long."""
+def terms_sql(code: str) -> str:
+    """The counts under which a rule's cells live, as masks: ``x0`` to ``x3`` turn a count's bits to ones, ``b`` is birth and ``s`` survival."""
+    wanted = lambda bit: f"0L - (shiftright(coded, {bit}) & 1L)"
+    every = [f"named_struct({', '.join(f"'x{k}', {0 if n >> k & 1 else -1}L" for k in range(4))}, 'b', {wanted(n)}, 's', {wanted(9 + n)})" for n in range(9)]
+    return _let(code, "coded", f"CASE WHEN coded IS NOT NULL THEN filter(array({', '.join(every)}), t -> t.b <> 0L OR t.s <> 0L) END")
+
+
+def step_sql(rows: str, width: str, terms: str) -> str:
+    """The rows one generation on.  ``width`` is an int, ``terms`` the rule's (``terms_sql``)."""
     mask = f"(shiftleft(1L, {width}) - 1L)"
     west, east = f"(((shiftleft(r, 1)) | shiftright(r, {width} - 1)) & {mask})", f"(shiftright(r, 1) | shiftleft(r & 1L, {width} - 1))"
     # Of each row the sum of its two side cells (bits s2, c2), and of all three (s, c).
@@ -37,27 +46,23 @@ def step_sql(rows: str, width: str, code: str) -> str:
     added = f"named_struct('m', q.m, 'b0', {' ^ '.join(ones)}, 'k', {_majority(*ones)}, 't', {' ^ '.join(twos)}, 'f', {_majority(*twos)})"
     sums = _let(threes, "h", f"transform(h, (q, i) -> {_let(up, 'u', _let(down, 'd', added))})")
     bits = f"transform({sums}, v -> named_struct('m', v.m, 'b0', v.b0, 'b1', v.t ^ v.k, 'b2', v.f ^ (v.t & v.k), 'b3', v.f & v.t & v.k))"
-
-    def term(n: int) -> str:
-        same = " & ".join(f"v.b{k}" if n >> k & 1 else f"~v.b{k}" for k in range(4))
-        wanted = lambda bit: f"(0L - (shiftright({code}, {bit}) & 1L))"
-        return f"({same} & (({wanted(n)} & ~v.m) | ({wanted(9 + n)} & v.m)))"
-
-    return f"transform({bits}, v -> ({' | '.join(term(n) for n in range(9))}) & {mask})"
+    same = " & ".join(f"(v.b{k} ^ t.x{k})" for k in range(4))
+    return f"transform({bits}, v -> aggregate({terms}, 0L, (a, t) -> a | ({same} & ((t.b & ~v.m) | (t.s & v.m)))) & {mask})"
 
 
 def run_sql(rows: str, width: str, code: str, steps: str) -> str:
     """The rows ``steps`` generations on: one expression, whatever the number."""
-    return f"CASE WHEN {steps} <= 0 THEN {rows} ELSE aggregate(sequence(1, {steps}), {rows}, (g, unused) -> {step_sql('g', width, code)}) END"
+    folded = _let(terms_sql(code), "terms", f"aggregate(sequence(1, {steps}), {rows}, (g, unused) -> {step_sql('g', width, 'terms')})")
+    return f"CASE WHEN {steps} <= 0 THEN {rows} ELSE {folded} END"
 
 
 def pack_sql(cells: str, height: str, width: str) -> str:
-    line = f"aggregate(transform(sequence(0, {width} - 1), x -> shiftleft(CAST(get({cells}, y * {width} + x) <> 0 AS BIGINT), x)), 0L, (a, b) -> a | b)"
-    return f"transform(sequence(0, {height} - 1), y -> {line})"
+    line = f"aggregate(transform(sequence(0, {width} - 1), x -> shiftleft(CAST(get(given, y * {width} + x) <> 0 AS BIGINT), x)), 0L, (a, b) -> a | b)"
+    return _let(cells, "given", f"transform(sequence(0, {height} - 1), y -> {line})")
 
 
 def unpack_sql(rows: str, width: str) -> str:
-    return f"transform(sequence(0, size({rows}) * {width} - 1), i -> CAST(shiftright(get({rows}, i div {width}), pmod(i, {width})) & 1L AS TINYINT))"
+    return _let(rows, "given", f"transform(sequence(0, size(given) * {width} - 1), i -> CAST(shiftright(get(given, i div {width}), pmod(i, {width})) & 1L AS TINYINT))")
 
 
 def alive_sql(rows: str) -> str:
@@ -70,23 +75,21 @@ def _code_sql(text: str, dims: int) -> str:
     counts = "[0-8]*" if dims == 2 else r"[0-9, \\t]*?"
     pattern = f"^{blank}*[Bb]({counts}){blank}*/{blank}*[Ss]({counts}){blank}*$"
     n = 9 if dims == 2 else 27
-    parts = []
-    for i in (1, 2):
-        section = f"regexp_extract({text}, '{pattern}', {i})"
-        parts.append(f"filter(split({section}, ''), x -> x <> '')" if dims == 2 else f"CASE WHEN trim({section}) = '' THEN array() ELSE transform(split({section}, ','), x -> trim(BOTH ' \\t' FROM x)) END")
-    sections = [f"regexp_extract({text}, '{pattern}', {i})" for i in (1, 2)]
-    numbers = [f"transform({p}, x -> try_cast(x AS INT))" for p in parts]
-    valid = [f"{text} RLIKE '{pattern}'"] + [f"size(array_distinct({x})) = size({x}) AND forall({x}, c -> coalesce(c < {n}, false))" for x in numbers]
+    parts = "filter(split(s, ''), x -> x <> '')" if dims == 2 else "CASE WHEN trim(s) = '' THEN array() ELSE transform(split(s, ','), x -> trim(BOTH ' \\t' FROM x)) END"
+    valid = "size(array_distinct(c)) = size(c) AND forall(c, i -> coalesce(i < {n}, false))".format(n=n)
     if dims == 3:
-        valid += [f"(contains({s}, ',') OR length({s}) <= 2) AND forall({p}, x -> x RLIKE '^[0-9]+$')" for s, p in zip(sections, parts, strict=True)]
-    total = [f"aggregate({x}, 0L, (a, c) -> a + shiftleft(1L, c))" for x in numbers]
-    return f"CASE WHEN {' AND '.join(valid)} THEN {total[0]} + shiftleft({total[1]}, {n}) END"
+        valid += " AND (contains(s, ',') OR length(s) <= 2) AND forall(p, x -> x RLIKE '^[0-9]+$')"
+    total = f"CASE WHEN {valid} THEN aggregate(c, 0L, (a, i) -> a + shiftleft(1L, i)) END"
+    read = _let(parts, "p", _let("transform(p, x -> try_cast(x AS INT))", "c", total))
+    codes = f"transform(array(regexp_extract(t, '{pattern}', 1), regexp_extract(t, '{pattern}', 2)), s -> {read})"
+    both = _let(codes, "k", f"k[0] + shiftleft(k[1], {n})")
+    return _let(text, "t", f"CASE WHEN t RLIKE '{pattern}' THEN {both} END")
 
 
 def _text_sql(code: str, dims: int) -> str:
     n, joint = (9, "") if dims == 2 else (27, ",")
-    part = lambda shift: f"array_join(transform(filter(sequence(0, {n - 1}), i -> (shiftright({code}, i + {shift}) & 1L) = 1L), i -> CAST(i AS STRING)), '{joint}')"
-    return f"concat('B', {part(0)}, '/S', {part(n)})"
+    part = lambda shift: f"array_join(transform(filter(sequence(0, {n - 1}), i -> (shiftright(coded, i + {shift}) & 1L) = 1L), i -> CAST(i AS STRING)), '{joint}')"
+    return _let(code, "coded", f"concat('B', {part(0)}, '/S', {part(n)})")
 
 
 #: The SQL functions by name: parameters, result and body.
@@ -97,7 +100,7 @@ FUNCTIONS = {
     "ca_rule_text_3d": ("code BIGINT", "STRING", _text_sql("code", 3)),
     "ca_pack": ("cells ARRAY<TINYINT>, height INT, width INT", "ARRAY<BIGINT>", pack_sql("cells", "height", "width")),
     "ca_unpack": ("grid ARRAY<BIGINT>, width INT", "ARRAY<TINYINT>", unpack_sql("grid", "width")),
-    "ca_step": ("grid ARRAY<BIGINT>, width INT, code BIGINT", "ARRAY<BIGINT>", step_sql("grid", "width", "code")),
+    "ca_step": ("grid ARRAY<BIGINT>, width INT, code BIGINT", "ARRAY<BIGINT>", _let(terms_sql("code"), "terms", step_sql("grid", "width", "terms"))),
     "ca_run": ("grid ARRAY<BIGINT>, width INT, code BIGINT, steps INT", "ARRAY<BIGINT>", run_sql("grid", "width", "code", "steps")),
     "ca_alive": ("grid ARRAY<BIGINT>", "BIGINT", alive_sql("grid")),
 }
@@ -134,18 +137,23 @@ def run_steps(grids: DataFrame, steps: int) -> DataFrame:
     return from_planes(after).select(*grids.columns)
 
 
+def _states_sql(steps: str, after: str) -> str:
+    """The column ``planes`` and what ``after`` makes of it (the last of ``h0``), ``steps`` times: an array of grids."""
+    return f"CASE WHEN {steps} <= 0 THEN array(planes) ELSE {_let(terms_sql('rule_id'), 'terms', f"aggregate(sequence(1, {steps}), array(planes), (h0, unused) -> concat(h0, array({after})))")} END"
+
+
 def recursive_run(grids: DataFrame, steps: int) -> DataFrame:
-    """All generations 0 to ``steps`` of 2D grids (``grid_id, generation, planes, width``) as one recursive query.
+    """All generations 0 to ``steps`` of 2D grids (``grid_id, generation, planes, width``), each made of the one before.
 
-    The query names its own level limit; Spark's limit on rows of a recursion (``spark.sql.cteRecursionRowLimit``, a million by default)
-    is the session's to lift where grids times generations are more.
+    Two nested folds a row: the first generation of every block of generations, then a block's own, so a row holds about
+    ``HELD`` lines of cells at once besides the blocks' beginnings, and runs that fit one block are computed once.  Spark's
+    own recursive queries count all rows of all levels against a limit (a million by default), which any table of grids passes.
     """
     steps = whole(steps, "steps", 0)
-    start = to_planes(grids).select("grid_id", "width", "rule_id", "planes")
-    return grids.sparkSession.sql(
-        f"""WITH RECURSIVE t(grid_id, width, rule_id, generation, planes) MAX RECURSION LEVEL {steps + 2} AS (
-          SELECT grid_id, width, rule_id, 0, planes FROM {{start}}
-          UNION ALL SELECT grid_id, width, rule_id, generation + 1, {step_sql("planes", "width", "rule_id")} FROM t WHERE generation < {steps}
-        ) SELECT grid_id, generation, planes, width FROM t""",
-        start=start,
-    )
+    # Every row is much work, and a small file would be one task.
+    start = to_planes(grids).select("grid_id", "width", "rule_id", "planes").repartition(3 * grids.sparkSession.sparkContext.defaultParallelism, "grid_id")
+    sized = start.withColumn("block", F.expr(f"CAST(least({steps + 1}, greatest(1, {HELD} div greatest(1, size(planes)))) AS INT)"))
+    blocks = sized.select("grid_id", "width", "rule_id", "block", F.posexplode(F.expr(_states_sql(f"({steps} div block)", run_sql("element_at(h0, -1)", "width", "rule_id", "block")))).alias("number", "planes"))
+    own = F.expr(_states_sql(f"least(block - 1, {steps} - number * block)", step_sql("element_at(h0, -1)", "width", "terms")))
+    each = blocks.select("grid_id", "width", (F.col("number") * F.col("block")).alias("begin"), F.posexplode(own).alias("at", "planes"))
+    return each.select("grid_id", (F.col("begin") + F.col("at")).alias("generation"), "planes", "width")

@@ -56,6 +56,31 @@ def test_recursion(spark):
             assert rows[i, g] == rolled(s, CONWAY, g).ravel().tolist()
 
 
+def test_kept_generations_have_no_limit_of_rows(spark, monkeypatch):
+    """More rows than Spark lets a recursive query have; and blocks of generations give what one block gives."""
+    stack = [(np.random.default_rng(i).random((5, 6)) < 0.4).astype(np.uint8) for i in range(4)]
+    packed = simulate.with_rule(grids.grids_from_arrays(spark, stack), CONWAY)
+    rows = lambda: sorted((r["grid_id"], r["generation"], tuple(r["planes"])) for r in planes.recursive_run(packed, 23).collect())
+    spark.conf.set("spark.sql.cteRecursionRowLimit", "20")
+    try:
+        whole = rows()
+    finally:
+        spark.conf.unset("spark.sql.cteRecursionRowLimit")
+    assert len(whole) == 4 * 24 and [r[:2] for r in whole] == [(i, g) for i in range(4) for g in range(24)]
+    for held in (1, 5 * 7, 5 * 12):
+        monkeypatch.setattr(planes, "HELD", held)
+        assert rows() == whole
+    assert len(planes.recursive_run(packed, 0).collect()) == 4
+
+
+def test_arguments_are_computed_once():
+    """A pack of an expression, and a run under a parsed rule, do that work once, not for each cell."""
+    assert planes.pack_sql("GIVEN", "8", "8").count("GIVEN") == 1 and planes.pack_sql("GIVEN", "8", "8").index("GIVEN") < planes.pack_sql("GIVEN", "8", "8").index("->")
+    assert planes.run_sql("g0", "8", "CODE", "5").count("CODE") == 1
+    assert planes._code_sql("TEXT", 2).count("TEXT") == planes._code_sql("TEXT", 3).count("TEXT") == 1
+    assert planes._text_sql("CODE", 2).count("CODE") == 1
+
+
 def test_sql_functions(spark):
     planes.register(spark)
     texts = ["B3/S23", " b36 / s125 ", "B/S", "B33/S", "B9/S", "life", "", None, "B3/S23x", "B012345678/S8"]
