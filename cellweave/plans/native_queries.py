@@ -1,4 +1,4 @@
-"""Registered queries on bit planes, from SQL text, by recursion and over stored trajectories; with SQL for comparison."""
+"""Registered queries on bit planes, from SQL text, with all generations kept, and over stored trajectories; with SQL for comparison."""
 
 from __future__ import annotations
 
@@ -45,7 +45,7 @@ def bit_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_register("recursive_planes_2d", f"{sql.run(sql.vectors(2), CONWAY, 2, (8, 8), RECURSIVE_STEPS)} SELECT grid_id, gen AS generation, sum(alive)::BIGINT AS alive FROM t GROUP BY grid_id, gen")
 def recursive_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Live cells of every embedding grid in 150 generations, by one recursive query."""
+    """Live cells of every embedding grid in 150 generations, each made of the one before."""
     every = planes.recursive_run(_ruled(spark, sf_dir, 2), RECURSIVE_STEPS)
     return every.select("grid_id", F.col("generation").cast("long").alias("generation"), F.expr(planes.alive_sql("planes")).alias("alive"))
 
@@ -60,10 +60,14 @@ _code = "((p_partkey * 1234567891011) % 262144)"
 def sql_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five generations of a grid under each part's rule, and its live cells by line, in SQL text alone."""
     planes.register(spark)
+    # A row is much work: a small file goes to all cores.
+    spread = 3 * spark.sparkContext.defaultParallelism
     return spark.sql(f"""
-      WITH ruled AS (
+      WITH met AS (
+        SELECT /*+ REPARTITION({spread}, p_partkey) */ p_partkey, embedding FROM parquet.`{sf_dir}/part.parquet` JOIN parquet.`{sf_dir}/embeddings.parquet` ON p_partkey = vec_id + 1
+      ), ruled AS (
         SELECT p_partkey, ca_rule_text(pmod(p_partkey * 1234567891011, 262144)) AS rule, ca_pack(transform(slice(embedding, 1, 64), v -> CAST(coalesce(v > 0, false) AS TINYINT)), 8, 8) AS grid
-        FROM parquet.`{sf_dir}/part.parquet` JOIN parquet.`{sf_dir}/embeddings.parquet` ON p_partkey = vec_id + 1
+        FROM met
       ), ended AS (
         SELECT p_partkey, rule, ca_run(grid, 8, ca_rule_code(rule), 5) AS grid FROM ruled
       )
