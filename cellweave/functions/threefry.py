@@ -11,6 +11,7 @@ import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from cellweave.functions.rules import let
 from cellweave.functions.seeds import check_density
 
 #: Fixed values of the published generator: rotations of eight successive rounds, and the word that makes the third key word.
@@ -42,19 +43,28 @@ def word_pair(k0: Column, k1: Column, c0: Column, c1: Column) -> Column:
     """The same as a struct ``k0, k1`` of longs: a fold over the rounds, so that the expression stays small."""
     mask = F.lit(WORD).cast("long")
     cut = lambda x: x.bitwiseAND(mask)
-    keys = F.array(k0, k1, k0.bitwiseXOR(k1).bitwiseXOR(F.lit(PARITY).cast("long")))
     rounds = F.array(*[F.struct(F.lit(ROTATIONS[i % 8]).alias("r"), F.lit(i // 4 + 1 if i % 4 == 3 else 0).alias("n")) for i in range(ROUNDS)])
 
-    def step(held: Column, at: Column) -> Column:
-        a = cut(held["k0"] + held["k1"])
-        turned = F.call_function("shiftleft", held["k1"], at["r"]).bitwiseOR(F.call_function("shiftright", held["k1"], F.lit(32) - at["r"]))
-        b = cut(turned).bitwiseXOR(a)
+    def fold(keys: Column, start: Column) -> Column:
         key = lambda n: F.get(keys, F.pmod(n, F.lit(3)))
-        fold = at["n"] > 0
-        return F.struct(F.when(fold, cut(a + key(at["n"]))).otherwise(a).alias("k0"), F.when(fold, cut(b + key(at["n"] + 1) + at["n"])).otherwise(b).alias("k1"))
 
-    start = F.struct(cut(c0 + k0).alias("k0"), cut(c1 + k1).alias("k1"))
-    return F.aggregate(rounds, start, step)
+        def step(held: Column, at: Column) -> Column:
+            a = cut(held["k0"] + held["k1"])
+            turned = F.call_function("shiftleft", held["k1"], at["r"]).bitwiseOR(F.call_function("shiftright", held["k1"], F.lit(32) - at["r"]))
+
+            def mixed(a: Column) -> Column:
+                b = cut(turned).bitwiseXOR(a)
+                return F.when(at["n"] > 0, F.struct(cut(a + key(at["n"])).alias("k0"), cut(b + key(at["n"] + 1) + at["n"]).alias("k1"))).otherwise(F.struct(a.alias("k0"), b.alias("k1")))
+
+            return let(a, mixed)
+
+        return F.aggregate(rounds, start, step)
+
+    # Keys and counters are bound first: the rounds name them many times, and they may be pairs of their own.
+    given = F.struct(k0.alias("k0"), k1.alias("k1"), c0.alias("c0"), c1.alias("c1"))
+    start = lambda g: F.struct(cut(g["c0"] + g["k0"]).alias("k0"), cut(g["c1"] + g["k1"]).alias("k1"))
+    words_of = lambda g: F.array(g["k0"], g["k1"], g["k0"].bitwiseXOR(g["k1"]).bitwiseXOR(F.lit(PARITY).cast("long")))
+    return let(given, lambda g: let(words_of(g), lambda keys: fold(keys, start(g))))
 
 
 def key_from_seed(seed: Column) -> Column:
@@ -65,7 +75,7 @@ def key_from_seed(seed: Column) -> Column:
 
 def split(key: Column, index: Column) -> Column:
     """The ``index``-th key made of a key."""
-    return word_pair(key["k0"], key["k1"], *_counter(index))
+    return let(key, lambda k: word_pair(k["k0"], k["k1"], *_counter(index)))
 
 
 def _counter(index: Column) -> tuple[Column, Column]:
@@ -75,16 +85,19 @@ def _counter(index: Column) -> tuple[Column, Column]:
 
 def draw(key: Column, index: Column) -> Column:
     """The 32-bit word of a key at an index."""
-    pair = word_pair(key["k0"], key["k1"], *_counter(index))
-    return F.transform(F.array(pair), lambda p: p["k0"].bitwiseXOR(p["k1"]))[0]
+    return let(split(key, index), lambda p: p["k0"].bitwiseXOR(p["k1"]))
 
 
 def rule_bits(key: Column, dims: int) -> Column:
     """A rule code of fair bits: 18 in 2D, 54 in 3D."""
-    low = draw(key, F.lit(0))
-    if dims == 2:
-        return low.bitwiseAND(F.lit((1 << 18) - 1).cast("long"))
-    return low + draw(key, F.lit(1)).bitwiseAND(F.lit((1 << 22) - 1).cast("long")) * F.lit(1 << 32).cast("long")
+
+    def code(k: Column) -> Column:
+        low = draw(k, F.lit(0))
+        if dims == 2:
+            return low.bitwiseAND(F.lit((1 << 18) - 1).cast("long"))
+        return low + draw(k, F.lit(1)).bitwiseAND(F.lit((1 << 22) - 1).cast("long")) * F.lit(1 << 32).cast("long")
+
+    return let(key, code)
 
 
 def alive(k0: np.ndarray, k1: np.ndarray, cells: int, density: float) -> np.ndarray:

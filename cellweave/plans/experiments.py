@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellweave.functions import threefry
-from cellweave.functions.rules import Rule, int_to_rule, parse_rule, parse_rule_3d, rule_text
+from cellweave.functions.rules import Rule, int_to_rule, let, parse_rule, parse_rule_3d, rule_text
 from cellweave.functions.seeds import check_density, check_seed, rule_bits
 from cellweave.functions.workload import whole
 from cellweave.operators import keyed as keyed_operators
@@ -85,12 +85,15 @@ def sweep_requests(requests: DataFrame, dims: int, *, rules: int, initial_condit
     has no result.
     """
     _check(density, steps, rules=rules, initial_conditions=initial_conditions, size=size)
-    keyed = requests.where("seed IS NOT NULL").select("request", threefry.key_from_seed(F.col("seed")).alias("key"))
-    parts = keyed.select("request", threefry.split(F.col("key"), F.lit(0)).alias("rule_key"), threefry.split(F.col("key"), F.lit(1)).alias("grid_key"))
+    # A request is few bytes and much work: a small file of them goes to all cores.
+    spread = requests.where("seed IS NOT NULL").repartition(3 * requests.sparkSession.sparkContext.defaultParallelism, "request")
+    keyed = spread.select("request", threefry.key_from_seed(F.col("seed")).alias("key"))
+    numbers = F.sequence(F.lit(0), F.lit(rules - 1))
+    chosen = let(threefry.split(F.col("key"), F.lit(0)), lambda own: F.transform(numbers, lambda i: threefry.rule_bits(threefry.split(own, i), dims)))
+    parts = keyed.select("request", chosen.alias("chosen"), threefry.split(F.col("key"), F.lit(1)).alias("grid_key"))
     drawn = keyed_operators.split_keys(parts, "grid_key", initial_conditions, "initial_condition", "own_key").drop("grid_key")
     drawn = keyed_operators.random_grids(drawn, "own_key", (size,) * dims, density)
-    chosen = F.transform(F.sequence(F.lit(0), F.lit(rules - 1)), lambda i: threefry.rule_bits(threefry.split(F.col("rule_key"), i), dims))
-    crossed = drawn.select("request", "initial_condition", "depth", "height", "width", "cells", F.posexplode(chosen).alias("rule_index", "rule_id"))
+    crossed = drawn.select("request", "initial_condition", "depth", "height", "width", "cells", F.posexplode("chosen").alias("rule_index", "rule_id"))
     # Statistics are grouped before anything else is: a run's generations leave its task as one row.
     return _statistics(crossed, ["request", "rule_index", "rule_id", "initial_condition"], steps, dims).select("request", *SWEPT)
 

@@ -58,6 +58,16 @@ def test_requests_are_their_own(spark):
     assert keys.select("own").distinct().count() == 300
 
 
+def test_keys_are_drawn_once(spark):
+    """A key of a key's words: three folds in 3D, however often the rounds name their keys; requests go to all cores."""
+    keyed_rows = spark.range(3).withColumn("key", threefry.key_from_seed(F.col("id")))
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan(keyed_rows.select(threefry.rule_bits(threefry.split(F.col("key"), F.lit(1)), 3))).count("aggregate(") <= 3
+    asked = spark.range(40).selectExpr("id AS request", "id * 31 AS seed").coalesce(1)
+    rows = sweep_requests(asked, 2, rules=1, initial_conditions=1, size=4, steps=1)
+    assert "RepartitionByExpression [request" in plan(rows)
+
+
 def test_checks(spark):
     rows = spark.sql("SELECT * FROM VALUES (1, 2.0, 0.5, array(0, 1)), (0, 1.5, -0.1, null), (null, 3.0, double('NaN'), array(0, 2)), (-1, 0.0, 1.0, array(null, 1)) t(a, b, c, m)")
     got = rows.select(checks.at_least(F.col("a"), 0), checks.dimensions(F.col("a"), F.col("b")), checks.density(F.col("c")), checks.mask(F.concat(F.col("m"), F.array_repeat(F.lit(1), 7)), 2)).collect()
