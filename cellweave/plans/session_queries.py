@@ -34,7 +34,7 @@ def _commands(events: DataFrame) -> DataFrame:
     action = F.element_at(F.array(*[F.lit(a) for a in ACTIONS]), F.pmod(number, F.lit(len(ACTIONS))).cast("int") + 1)
     return events.select(
         F.col("user_id").cast("string").alias("session_id"), F.col("ts").cast("timestamp").alias("ts"), number.alias("command_id"), action.alias("action"), dims.alias("dims"), rule.alias("rule"),
-        F.lit(8).alias("size"), (number * 7919).alias("seed"), F.lit(DENSITY).alias("density"), (1 + F.pmod(number, F.lit(3))).cast("int").alias("steps"),
+        F.lit(8).alias("size"), (number * 7919).bitwiseAND(F.lit(threefry.WORD).cast("long")).alias("seed"), F.lit(DENSITY).alias("density"), (1 + F.pmod(number, F.lit(3))).cast("int").alias("steps"),
     )
 
 

@@ -103,3 +103,11 @@ def test_bounds():
         lifecycle.perform(held, Row(**row(action="step", steps=1000)))
     with pytest.raises(KeyError):
         lifecycle.perform(None, Row(**row(action="look")))
+
+
+def test_seeds_of_the_log_are_one_word(spark):
+    """The query's seeds are words, as its SQL has them, where event numbers times a factor are longer."""
+    from cellweave.plans.session_queries import _commands
+
+    log = spark.sql("SELECT id AS event_id, 1L AS user_id, TIMESTAMP '2024-01-01' AS ts FROM VALUES (3L), (542367L), (5999999L) t(id)")
+    assert [r["seed"] for r in _commands(log).orderBy("command_id").collect()] == [n * 7919 % (1 << 32) for n in (3, 542367, 5999999)]
