@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from cellweave.functions.rules import Rule, validate_rule
 from cellweave.functions.workload import whole
 from cellweave.operators.grids import axes
-from cellweave.operators.tiles import _TILE_TYPES, EDGE, HALO, KEY, TILES, _every_tile, _rows, _Tiling, _tiles_of, advance, parts
+from cellweave.operators.tiles import _TILE_TYPES, EDGE, HALO, KEY, TILES, _every_tile, _groups, _numbers, _rows, _Tiling, _tiles_of, advance, parts
 from cellweave.sources.shared import broadcast_if_small, materialise
 
 #: Rows of tile keys, or of picked cells, that are broadcast at most.
@@ -77,9 +77,10 @@ def _related(keys: DataFrame, by_axis: list[dict[int, list[int]]]) -> DataFrame:
 
     def relate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = {(g, *found) for g, *tile in zip(*(batch.column(c).to_pylist() for c in KEY), strict=True) for found in product(*(by[t] for by, t in zip(by_axis, tile, strict=True)))}
-            columns = zip(*out, strict=True) if out else [()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _TILE_TYPES, strict=False)], KEY)
+            idents = batch.column("grid_id").to_numpy()
+            for tile, places in _groups(_numbers(batch)):
+                for found in product(*(by[t] for by, t in zip(by_axis, tile.tolist(), strict=True))):
+                    yield pa.RecordBatch.from_arrays([pa.array(idents[places]), *(pa.array(np.full(len(places), n, np.int32)) for n in found)], KEY)
 
     return keys.select(*KEY).mapInArrow(relate, "grid_id long, tz int, ty int, tx int").distinct()
 

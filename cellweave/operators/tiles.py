@@ -7,7 +7,7 @@ absent is dead, so a sparse grid costs its live tiles.
 ``run`` goes in rounds of ``halo`` generations: every tile is sent to itself and to the tiles around it as far as their
 halo reaches into it, a tile with its halo is advanced by numpy, and a ring of cells is used up with each generation.  A
 round is one shuffle of about a bit a cell (a cell relation sends 9 or 27 rows a cell and generation), is
-written into the shared folder, and no task holds more than a tile and its halo at a time.
+written into the shared folder, and no task holds more than a tile and its halo, or a stack of small ones, at a time.
 """
 
 from __future__ import annotations
@@ -19,13 +19,14 @@ from math import ceil
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cellweave.functions.rules import COUNTS, Rule, validate_rule
 from cellweave.functions.workload import whole
 from cellweave.operators.grids import axes, full_shape
-from cellweave.operators.simulate import rule_tables
+from cellweave.operators.simulate import STACK_CELLS, rule_tables
 from cellweave.sources.shared import materialise
 
 TILES = "grid_id long, tz int, ty int, tx int, cells binary"
@@ -111,14 +112,17 @@ def from_cells(cells: DataFrame, shape: tuple[int, ...], edge: int | None = None
     found = live.groupBy(*KEY).agg(F.collect_set("at").alias("live"))
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows():
-            for grid_id, tile, live in _tiles_of(batches, "live"):
-                block = np.zeros(tiling.edges, np.uint8)
-                block.reshape(-1)[live] = 1
-                block = block[tuple(map(slice, tiling.size(tile)))]
-                yield grid_id, *tile, np.packbits(block).tobytes()
-
-        return _rows(rows(), [*KEY, "cells"], _TILE_TYPES)
+        for batch in batches:
+            idents, live = batch.column("grid_id").to_numpy(), batch.column("live")
+            for number, found in _groups(_numbers(batch)):
+                tile = tuple(number.tolist())
+                for some in _pieces(found, int(np.prod(tiling.edges))):
+                    own = live.take(pa.array(some))
+                    stack = np.zeros((len(some), *tiling.edges), np.uint8)
+                    stack.reshape(len(some), -1)[np.array(pc.list_parent_indices(own)), own.flatten().to_numpy()] = 1
+                    block = stack[(slice(None), *map(slice, tiling.size(tile)))]
+                    keys = [pa.array(idents[some]), *(pa.array(np.full(len(some), t, np.int32)) for t in tile)]
+                    yield pa.RecordBatch.from_arrays([*keys, _binary(block)], [*KEY, "cells"])
 
     return found.mapInArrow(fill, TILES)
 
@@ -129,12 +133,16 @@ def to_cells(tiles: DataFrame, shape: tuple[int, ...], edge: int | None = None)
     names = axes(tiling.dims)
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for grid_id, tile, cells in _tiles_of(batches, "cells"):
-            found = np.argwhere(tiling.block(tile, cells)) + np.multiply(tile, tiling.edges)
-            for at in range(0, len(found), HANDED_ON):
-                part = found[at : at + HANDED_ON].astype(np.int32)
-                places = [pa.array(part[:, axis]) for axis in range(3 - len(names), 3)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), grid_id, np.int64)), *places], ["grid_id", *names])
+        for batch in batches:
+            idents, cells = batch.column("grid_id").to_numpy(), batch.column("cells")
+            for number, held in _groups(_numbers(batch)):
+                tile = tuple(number.tolist())
+                for some in _pieces(held, int(np.prod(tiling.size(tile)))):
+                    which, *places = np.nonzero(_stack(cells.take(pa.array(some)), tiling.size(tile)))
+                    for at in range(0, len(which), HANDED_ON):
+                        part = slice(at, at + HANDED_ON)
+                        own = [pa.array((places[axis][part] + tile[axis] * tiling.edges[axis]).astype(np.int32)) for axis in range(3 - len(names), 3)]
+                        yield pa.RecordBatch.from_arrays([pa.array(idents[some][which[part]]), *own], ["grid_id", *names])
 
     return tiles.select(*KEY, "cells").mapInArrow(spread, ", ".join(["grid_id long", *[f"{a} int" for a in names]]))
 
@@ -147,24 +155,77 @@ def _every_tile(tiles: DataFrame, tiling: _Tiling) -> DataFrame:
     return every.join(tiles, KEY, "left").select(*KEY, "cells")
 
 
+def _groups(keys: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The distinct rows of ``keys`` and the places of each."""
+    if not len(keys):
+        return
+    order = np.lexsort(keys.T[::-1])
+    ends = np.flatnonzero((keys[order][1:] != keys[order][:-1]).any(axis=1)) + 1
+    for places in np.split(order, ends):
+        yield keys[places[0]], places
+
+
+def _stack(cells: pa.Array, size: tuple[int, ...]) -> np.ndarray:
+    """The blocks of a column of bits, all of one size; null and empty ones are dead."""
+    n, width = int(np.prod(size)), ceil(int(np.prod(size)) / 8)
+    bits = np.zeros((len(cells), width), np.uint8)
+    held = np.array(pc.fill_null(pc.greater(pc.binary_length(cells), 0), False))
+    bits[held] = np.frombuffer(b"".join(cells.filter(pa.array(held)).to_pylist()), np.uint8).reshape(-1, width)
+    return np.unpackbits(bits, axis=1, count=n).reshape(-1, *size)
+
+
+def _binary(stack: np.ndarray) -> pa.Array:
+    """A column of the packed bits of a stack's blocks."""
+    bits = np.packbits(stack.reshape(len(stack), -1), axis=1)
+    offsets = np.arange(len(bits) + 1, dtype=np.int32) * bits.shape[1]
+    return pa.BinaryArray.from_buffers(pa.binary(), len(bits), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(bits))])
+
+
+def _numbers(batch: pa.RecordBatch) -> np.ndarray:
+    return np.stack([batch.column(c).to_numpy() for c in KEY[1:]], axis=1)
+
+
+def _pieces(places: np.ndarray, cells: int) -> Iterator[np.ndarray]:
+    """``places`` in pieces of at most ``STACK_CELLS`` cells, each place having so many; at least one a piece."""
+    fit = max(1, STACK_CELLS // max(1, cells))
+    for at in range(0, len(places), fit):
+        yield places[at : at + fit]
+
+
+def _between(shares: dict[int, list[tuple[int, int, int, int]]]) -> dict[int, dict[int, tuple[int, int, list[tuple[int, int, int]]]]]:
+    """By giver and taker along an axis: what is sent (begin, end), and where its runs (begin, end, place) go.
+
+    On a small torus a halo goes round many times; what a tile gives to another is sent once all the same.
+    """
+    out: dict = {}
+    for giver, each in shares.items():
+        for taker, begin, end, place in each:
+            low, high, runs = out.setdefault(giver, {}).get(taker, (begin, end, []))
+            out[giver][taker] = (min(low, begin), max(high, end), [*runs, (begin, end, place)])
+    return out
+
+
 def parts(tiles: DataFrame, tiling: _Tiling, rule: Rule, steps: int) -> DataFrame:
-    """What every tile gives to the tiles (KEY) that need it for ``steps`` generations: a block of bits and its place there."""
-    shares = [tiling.shares(axis, steps) for axis in range(3)]
+    """What every tile gives to the tiles (KEY) that need it for ``steps`` generations: a block of bits, and the giver's number (z, y, x)."""
+    between = [_between(tiling.shares(axis, steps)) for axis in range(3)]
     keep_dead = bool(rule.birth[0])
+    names, types = [*KEY, "z", "y", "x", "bits"], [pa.int64(), *[pa.int32()] * 6, pa.binary()]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows():
-            for grid_id, tile, cells in _tiles_of(batches, "cells"):
-                block = tiling.block(tile, cells)
-                for each in product(*(s[t] for s, t in zip(shares, tile, strict=True))):
-                    part = block[tuple(slice(begin, end) for _, begin, end, _ in each)]
-                    if part.any() or keep_dead:
-                        yield grid_id, *(x[0] for x in each), *(x[3] for x in each), *part.shape, np.packbits(part).tobytes()
-
-        numbers = [pa.int32()] * 9
-        return _rows(rows(), [*KEY, "z", "y", "x", "d", "h", "w", "bits"], [pa.int64(), *numbers, pa.binary()])
-
-    return tiles.select(*KEY, "cells").mapInArrow(cut, "grid_id long, tz int, ty int, tx int, z int, y int, x int, d int, h int, w int, bits binary")
+        for batch in batches:
+            idents, cells = batch.column("grid_id").to_numpy(), batch.column("cells")
+            for tile, found in _groups(_numbers(batch)):
+                size = tiling.size(tuple(tile))
+                for some in _pieces(found, int(np.prod(size))):
+                    stack = _stack(cells.take(pa.array(some)), size)
+                    for each in product(*(by[t].items() for by, t in zip(between, tile.tolist(), strict=True))):
+                        sent = stack[(slice(None), *(slice(low, high) for _, (low, high, _) in each))]
+                        live = np.arange(len(sent)) if keep_dead else np.flatnonzero(sent.any(axis=(1, 2, 3)))
+                        if len(live):
+                            numbers = [pa.array(np.full(len(live), n, np.int32)) for n in (*(taker for taker, _ in each), *tile)]
+                            yield pa.RecordBatch.from_arrays([pa.array(idents[some][live]), *numbers, _binary(sent[live])], schema=pa.schema(list(zip(names, types, strict=True))))
+
+    return tiles.select(*KEY, "cells").mapInArrow(cut, "grid_id long, tz int, ty int, tx int, z int, y int, x int, bits binary")
 
 
 def advance(sent: DataFrame, tiling: _Tiling, rule: Rule, steps: int, counted: bool = False) -> DataFrame:
@@ -178,39 +239,57 @@ def advance(sent: DataFrame, tiling: _Tiling, rule: Rule, steps: int, counted: b
     rings = tuple(steps if axis >= 3 - dims else 0 for axis in range(3))
     keep_dead = bool(rule.birth[0])
 
+    between = [_between(tiling.shares(axis, steps)) for axis in range(3)]
+
+    def filled(given: pa.Array, tile: tuple[int, ...]) -> np.ndarray:
+        """The blocks with halo of one tile number, from the lists of their parts."""
+        stack = np.zeros((len(given), *(n + 2 * r for n, r in zip(tiling.size(tile), rings, strict=True))), np.uint8)
+        owner, flat = np.array(pc.list_parent_indices(given)), given.flatten()
+        bits = flat.field("bits")
+        for giver, found in _groups(np.stack([flat.field(c).to_numpy() for c in "zyx"], axis=1)):
+            spans = [by[g][t] for by, g, t in zip(between, giver.tolist(), tile, strict=True)]
+            sent = _stack(bits.take(pa.array(found)), tuple(high - low for low, high, _ in spans))
+            for runs in product(*(runs for _, _, runs in spans)):
+                source = (slice(None), *(slice(begin - low, end - low) for (begin, end, _), (low, _, _) in zip(runs, spans, strict=True)))
+                stack[(owner[found], *(slice(place, place + end - begin) for begin, end, place in runs))] = sent[source]
+        return stack
+
     def forward(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows():
-            for grid_id, tile, given in _tiles_of(batches, "parts"):
-                block = np.zeros([n + 2 * r for n, r in zip(tiling.size(tile), rings, strict=True)], np.uint8)
-                for p in given:
-                    size = (p["d"], p["h"], p["w"])
-                    block[tuple(slice(a, a + n) for a, n in zip((p["z"], p["y"], p["x"]), size, strict=True))] = _unpacked(p["bits"], size)
-                counts: list[int] = []
-                for left in range(steps - 1, -1, -1):
-                    after = _shrunk(block, table, dims)
+        for batch in batches:
+            idents, given = batch.column("grid_id").to_numpy(), batch.column("parts")
+            for number, found in _groups(_numbers(batch)):
+                tile = tuple(number.tolist())
+                for some in _pieces(found, int(np.prod([n + 2 * r for n, r in zip(tiling.size(tile), rings, strict=True)]))):
+                    stack, counts = filled(given.take(pa.array(some)), tile), []
+                    for left in range(steps - 1, -1, -1):
+                        after = _shrunk(stack, table, dims)
+                        if counted:
+                            counts += _own_counts(stack, after, left, dims)
+                        stack = after
+                    live = np.ones(len(stack), bool) if keep_dead else stack.any(axis=(1, 2, 3))
+                    keys = lambda chosen, some=some, tile=tile: [pa.array(idents[some][chosen]), *(pa.array(np.full(len(chosen), t, np.int32)) for t in tile)]
                     if counted:
-                        counts += _own_counts(block, after, left, dims)
-                    block = after
-                live = keep_dead or block.any()
-                if counted:
-                    yield grid_id, *tile, counts, counts[-3] > 0, np.packbits(block).tobytes() if live else b""
-                elif live:
-                    yield grid_id, *tile, np.packbits(block).tobytes()
-
-        if counted:
-            return _rows(rows(), [*KEY, "counts", "moved", "cells"], [*_TILE_TYPES[:4], pa.list_(pa.int64()), pa.bool_(), pa.binary()])
-        return _rows(rows(), [*KEY, "cells"], _TILE_TYPES)
-
-    met = sent.groupBy(*KEY).agg(F.collect_list(F.struct("z", "y", "x", "d", "h", "w", "bits")).alias("parts"))
+                        table_of = np.stack(counts, axis=1)
+                        # Tiles that died come out without cells.
+                        for chosen, cells in ((np.flatnonzero(live), None), (np.flatnonzero(~live), b"")):
+                            if len(chosen):
+                                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(chosen) + 1, dtype=np.int32) * table_of.shape[1]), pa.array(table_of[chosen].ravel()))
+                                bits = _binary(stack[chosen]) if cells is None else pa.array([cells] * len(chosen), pa.binary())
+                                yield pa.RecordBatch.from_arrays([*keys(chosen), lists, pa.array(table_of[chosen, -3] > 0), bits], [*KEY, "counts", "moved", "cells"])
+                    elif live.any():
+                        chosen = np.flatnonzero(live)
+                        yield pa.RecordBatch.from_arrays([*keys(chosen), _binary(stack[chosen])], [*KEY, "cells"])
+
+    met = sent.groupBy(*KEY).agg(F.collect_list(F.struct("z", "y", "x", "bits")).alias("parts"))
     return met.mapInArrow(forward, "grid_id long, tz int, ty int, tx int, counts array<long>, moved boolean, cells binary" if counted else TILES)
 
 
-def _own_counts(before: np.ndarray, after: np.ndarray, ring: int, dims: int) -> list[int]:
-    """alive, changed, births, deaths inside the ring that ``after`` has around the tile; ``before`` has one ring more."""
-    inner = lambda block, r: block[tuple(slice(r, n - r) if axis >= 3 - dims else slice(None) for axis, n in enumerate(block.shape))]
-    old, new = inner(before, ring + 1), inner(after, ring)
-    alive, births = int(new.sum(dtype=np.int64)), int((new > old).sum())
-    deaths = births + int(old.sum(dtype=np.int64)) - alive
+def _own_counts(before: np.ndarray, after: np.ndarray, ring: int, dims: int) -> list[np.ndarray]:
+    """alive, changed, births, deaths of each block of a stack inside the ring that ``after`` has around the tile; ``before`` has one ring more."""
+    inner = lambda stack, r: stack[(slice(None), *(slice(r, n - r) if axis >= 3 - dims else slice(None) for axis, n in enumerate(stack.shape[1:])))]
+    old, new, each = inner(before, ring + 1), inner(after, ring), (1, 2, 3)
+    alive, births = new.sum(each, dtype=np.int64), (new > old).sum(each)
+    deaths = births + old.sum(each, dtype=np.int64) - alive
     return [alive, births + deaths, births, deaths]
 
 
@@ -218,11 +297,11 @@ def _round(tiles: DataFrame, tiling: _Tiling, rule: Rule, steps: int) -> DataFra
     return advance(parts(tiles, tiling, rule, steps), tiling, rule, steps)
 
 
-def _shrunk(block: np.ndarray, table: np.ndarray, dims: int) -> np.ndarray:
-    """The next generation of a block without its outermost ring."""
-    total, centre = block, block
-    for axis in range(3 - dims, 3):
-        n = block.shape[axis]
+def _shrunk(stack: np.ndarray, table: np.ndarray, dims: int) -> np.ndarray:
+    """The next generation of the blocks of a stack without their outermost ring."""
+    total, centre = stack, stack
+    for axis in range(4 - dims, 4):
+        n = stack.shape[axis]
         take = lambda a, begin, axis=axis, n=n: a[(slice(None),) * axis + (slice(begin, begin + n - 2),)]
         total = take(total, 0) + take(total, 1) + take(total, 2)
         centre = take(centre, 1)

@@ -45,3 +45,10 @@ def test_sparse_tiles(spark):
     for bad in ({"steps": -1}, {"steps": 1, "halo": 0}):
         with pytest.raises(ValueError):
             tiles.run(start, CONWAY, shape, **bad)
+
+
+def test_halo_round_a_small_torus_is_sent_once(spark):
+    """A halo that goes round the torus several times takes each tile once: eight tiles give to eight, not a part a lap."""
+    tiling = tiles._Tiling((4, 4, 4), 3)
+    full = grids.to_cells(grids.grids_from_arrays(spark, [np.ones((4, 4, 4), np.uint8)]), 3)
+    assert tiles.parts(tiles.from_cells(full, (4, 4, 4), 3), tiling, DEFAULT_3D_RULE, 5).count() == 64
