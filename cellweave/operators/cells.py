@@ -3,12 +3,16 @@
 The centre cell is its own offset with a weight above all neighbours together, so one sum tells both a cell's state and
 its neighbour count, each generation refers to its parent once, and small tori count with multiplicity.  Each generation
 is one shuffle with map-side sums; ``run`` writes the relation into the shared folder every few generations.
+
+A shuffle by cell parts neighbours, so the next map-side sums hold a row for nearly every neighbour of a task's cells.  Small grids
+are therefore dealt out whole (``by_grid``): their generations follow in one task without a shuffle, a bounded number of cells a task.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 from itertools import product
+from math import prod
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,6 +26,18 @@ from cellweave.sources.shared import materialise
 CENTRE = {2: 10, 3: 32}
 COUNTS = {2: 9, 3: 27}
 CHECKPOINT_EVERY = 4
+#: Cells that meet in a task, and cells of the largest grid that is dealt out whole.
+TASK_CELLS, WHOLE_CELLS = 1 << 18, 1 << 14
+
+
+def by_grid(rows: DataFrame, shape: tuple[int, ...], keys: tuple[str, ...] = ("grid_id",)) -> DataFrame:
+    """Packed grids, or their cells, so that a grid is in one task and a task has about ``TASK_CELLS`` cells: the rows are counted
+    for that.  Grids of more than ``WHOLE_CELLS`` cells stay where they are."""
+    size = prod(full_shape(shape))
+    if size > WHOLE_CELLS:
+        return rows
+    cells = rows.count() * (size if "cells" in rows.columns else 1)
+    return rows.repartition(max(-(-cells // TASK_CELLS), rows.sparkSession.sparkContext.defaultParallelism), *keys)
 
 
 def _sums(cells: DataFrame, shape: tuple[int, ...], keys: list[str]) -> DataFrame:
@@ -60,10 +76,10 @@ def step(cells: DataFrame, rule: Rule | Column, shape: tuple[int, ...], keys: tu
 
 def run(cells: DataFrame, rule: Rule | Column, shape: tuple[int, ...], steps: int, keys: tuple[str, ...] = ("grid_id",), live_only: bool = False, checkpoint: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """``steps`` generations; ``checkpoint`` (a function of a DataFrame; by default a table in the shared folder) cuts the
-    lineage every few of them."""
+    lineage every few of them.  Small grids are dealt out whole after each; ``cells`` from ``by_grid`` begin so."""
     checkpoint = checkpoint or (lambda df: materialise(df, "generation"))
     for i in range(whole(steps, "steps", 0)):
         cells = step(cells, rule, shape, keys, live_only)
         if i % CHECKPOINT_EVERY == CHECKPOINT_EVERY - 1 and i + 1 < steps:
-            cells = checkpoint(cells)
+            cells = by_grid(checkpoint(cells), shape, keys)
     return cells

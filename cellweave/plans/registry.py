@@ -49,6 +49,11 @@ def _vectors(spark: SparkSession, sf_dir: str, dims: int) -> DataFrame:
     return grids.grids_from_vectors(_table(spark, sf_dir, "embeddings"), "vec_id", F.col("embedding"), SHAPE[dims])
 
 
+def _relation(spark: SparkSession, sf_dir: str, dims: int) -> DataFrame:
+    """The grids' cells, each grid in one task."""
+    return grids.to_cells(cells.by_grid(_vectors(spark, sf_dir, dims), SHAPE[dims]), dims)
+
+
 def _ruled(spark: SparkSession, sf_dir: str, dims: int) -> DataFrame:
     return simulate.with_rule(_vectors(spark, sf_dir, dims), RULE[dims])
 
@@ -85,7 +90,7 @@ def _per_dimension(dims: int) -> None:
 
     @_register(f"neighbor_count_{d}", f"WITH g AS ({sql.vectors(dims)}), o AS ({sql.offsets(dims)}) SELECT grid_id, {axes}, s // {centre} AS alive, s % {centre} AS n FROM ({sql.sums('g', dims, shape, 'grid_id')})")
     def neighbours(spark, sf_dir):
-        return _longs(cells.neighbour_counts(grids.to_cells(_vectors(spark, sf_dir, dims), dims), shape))
+        return _longs(cells.neighbour_counts(_relation(spark, sf_dir, dims), shape))
 
     @_register(f"neighbor_count_packed_{d}", f"WITH g AS ({sql.vectors(dims)}), o AS ({sql.offsets(dims)}) SELECT grid_id, string_agg((s % {centre})::VARCHAR, ',' ORDER BY {axes}) AS counts FROM ({sql.sums('g', dims, shape, 'grid_id')}) GROUP BY grid_id")
     def packed_neighbours(spark, sf_dir):
@@ -105,7 +110,7 @@ def _per_dimension(dims: int) -> None:
     @_register(f"cell_transitions_{d}", f"{one}, {sql.transitions(dims)} SELECT grid_id, alive, changed, births, deaths FROM m")
     def cell_transitions(spark, sf_dir):
         """The same counts from two cell relations that are joined by cell."""
-        before = grids.to_cells(_vectors(spark, sf_dir, dims), dims)
+        before = _relation(spark, sf_dir, dims)
         return _longs(measures.cell_counts(before, cells.step(before, RULE[dims], shape), ["grid_id", *sql.AXES[dims]]))
 
     @_register(f"repacked_{d}", f"SELECT grid_id, {sql.grid_text(dims)} FROM ({sql.vectors(dims)}) GROUP BY grid_id")
@@ -134,7 +139,7 @@ def _per_dimension(dims: int) -> None:
 
     @_register(f"run_steps_cells_{d}", f"{_run(dims, 3)} SELECT grid_id, {keys}, alive::BIGINT AS alive FROM t WHERE gen = 3")
     def run_cells(spark, sf_dir):
-        return _longs(cells.run(grids.to_cells(_vectors(spark, sf_dir, dims), dims), RULE[dims], shape, 3))
+        return _longs(cells.run(_relation(spark, sf_dir, dims), RULE[dims], shape, 3))
 
     @_register(f"run_tiles_{d}", f"{_run(dims)} SELECT grid_id, {keys} FROM t WHERE gen = {STEPS} AND alive = 1")
     def run_tiles(spark, sf_dir):
@@ -223,7 +228,7 @@ def _one_step(name: str, rule: Rule, dims: int) -> None:
 
     @_register(name, f"WITH g AS ({sql.vectors(dims)}), o AS ({sql.offsets(dims)}) SELECT grid_id, {keys}, {sql.successor(rule, dims)}::BIGINT AS alive FROM ({sql.sums('g', dims, SHAPE[dims], 'grid_id')})")
     def one(spark, sf_dir):
-        return _longs(cells.step(grids.to_cells(_vectors(spark, sf_dir, dims), dims), rule, SHAPE[dims]))
+        return _longs(cells.step(_relation(spark, sf_dir, dims), rule, SHAPE[dims]))
 
 
 _one_step("step_conway", CONWAY, 2)

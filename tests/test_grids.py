@@ -71,6 +71,22 @@ def test_neighbours_wrap(spark):
     assert grids.grids_to_arrays(simulate.neighbour_counts(full, 3), 3)[0][1, 1, 1] == 26
 
 
+def test_small_grids_stay_whole_in_tasks(spark, monkeypatch):
+    """Generations of small grids follow without a shuffle, and more grids are more tasks, not larger ones."""
+    monkeypatch.setattr(cells, "TASK_CELLS", 160)
+    random = np.random.default_rng(5)
+    stack = [random.integers(0, 2, (4, 5)).astype(np.uint8) for _ in range(80)]
+    start = grids.to_cells(cells.by_grid(grids.grids_from_arrays(spark, stack), (4, 5)))
+    plan = cells.run(start, CONWAY, (4, 5), 3)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "hashpartitioning(grid_id" in plan
+    last = cells.run(start, CONWAY, (4, 5), 6)
+    assert last.rdd.getNumPartitions() == 10
+    got = grids.grids_to_arrays(grids.from_cells(last, (4, 5)))
+    assert len(got) == 80 and all((got[i] == brute(g, CONWAY, 6)).all() for i, g in enumerate(stack))
+    large = spark.range(3).selectExpr("id AS grid_id", "0 AS y", "0 AS x", "1 AS alive")
+    assert cells.by_grid(large, (4096, 4096)) is large
+
+
 def test_sparse_equals_dense(spark):
     grid = placed((12, 9), GLIDER)
     dense = grids.to_cells(grids.grids_from_arrays(spark, [grid]))
