@@ -117,7 +117,7 @@ def from_cells(cells: DataFrame, shape: tuple[int, ...]) -> DataFrame:
 
     z = F.col("z") if "z" in cells.columns else F.lit(0)
     place = ((z * h + F.col("y")) * w + F.col("x")).cast("int")
-    live = cells.groupBy("grid_id").agg(F.collect_set(F.when(F.col("alive") != 0, place)).alias("live"))
+    live = cells.groupBy(F.col("grid_id").cast("long").alias("grid_id")).agg(F.collect_set(F.when(F.col("alive") != 0, place)).alias("live"))
     return _packed(live.mapInArrow(fill, "grid_id long, cells array<tinyint>"), shape, F.col("cells"))
 
 

@@ -108,7 +108,7 @@ def from_cells(cells: DataFrame, shape: tuple[int, ...], edge: int | None = None
     numbers = [F.floor(p / e).cast("int").alias(f"t{a}") for p, e, a in zip(place, tiling.edges, "zyx", strict=True)]
     inside = [F.pmod(p, F.lit(e)).cast("int") for p, e in zip(place, tiling.edges, strict=True)]
     _, height, width = tiling.edges
-    live = cells.where("alive <> 0").select("grid_id", *numbers, ((inside[0] * height + inside[1]) * width + inside[2]).alias("at"))
+    live = cells.where("alive <> 0").select(F.col("grid_id").cast("long").alias("grid_id"), *numbers, ((inside[0] * height + inside[1]) * width + inside[2]).alias("at"))
     found = live.groupBy(*KEY).agg(F.collect_set("at").alias("live"))
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -52,3 +52,14 @@ def test_halo_round_a_small_torus_is_sent_once(spark):
     tiling = tiles._Tiling((4, 4, 4), 3)
     full = grids.to_cells(grids.grids_from_arrays(spark, [np.ones((4, 4, 4), np.uint8)]), 3)
     assert tiles.parts(tiles.from_cells(full, (4, 4, 4), 3), tiling, DEFAULT_3D_RULE, 5).count() == 64
+
+
+def test_grid_ids_of_other_types(spark):
+    """Cells whose grid ids are no longs become tiles and grids, whose ids are."""
+    rows = spark.createDataFrame([(3, 0, 1, 1), (3, 1, 1, 1), (3, 2, 1, 1), (-4, 5, 5, 1)], "grid_id int, y int, x int, alive int")
+    for kind in ("byte", "short", "int", "long"):
+        cells = rows.withColumn("grid_id", rows["grid_id"].cast(kind))
+        end = tiles.to_cells(tiles.run(tiles.from_cells(cells, (6, 6), 4), CONWAY, (6, 6), 1, 4), (6, 6), 4)
+        assert {tuple(r) for r in end.collect()} == {(3, 1, 0), (3, 1, 1), (3, 1, 2)}
+        packed = grids.grids_to_arrays(grids.from_cells(cells, (6, 6)))
+        assert sorted(packed) == [-4, 3] and packed[3].sum() == 3 and packed[-4][5, 5] == 1
