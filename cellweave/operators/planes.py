@@ -104,10 +104,10 @@ FUNCTIONS = {
     "ca_run": ("grid ARRAY<BIGINT>, width INT, code BIGINT, steps INT", "ARRAY<BIGINT>", run_sql("grid", "width", "code", "steps")),
     "ca_alive": ("grid ARRAY<BIGINT>", "BIGINT", alive_sql("grid")),
 }
-#: Table functions, for use behind ``LATERAL``; Spark wants their arguments computed before, not by SQL functions in place.
-TABLES = {
-    "ca_cells": ("grid ARRAY<BIGINT>, width INT", "y INT, x INT, alive INT", "SELECT y, x, CAST(shiftright(line, x) & 1L AS INT) AS alive FROM (SELECT pos AS y, col AS line, explode(sequence(0, ca_cells.width - 1)) AS x FROM (SELECT posexplode(ca_cells.grid)))"),
-}
+#: Table functions, for use behind ``LATERAL``; Spark wants their arguments computed before, not by SQL functions in place.  A body is one
+#: generator from one row: Spark then spreads the outer rows as they are, where other bodies are joined back by the distinct grids, computed anew.
+_CELLS = "transform(ca_cells.grid, (line, i) -> transform(sequence(0, ca_cells.width - 1), j -> named_struct('y', i, 'x', j, 'alive', CAST(shiftright(line, j) & 1L AS INT))))"
+TABLES = {"ca_cells": ("grid ARRAY<BIGINT>, width INT", "y INT, x INT, alive INT", f"SELECT * FROM inline(flatten({_CELLS}))")}
 
 
 def register(spark: SparkSession) -> None:

@@ -60,14 +60,15 @@ _code = "((p_partkey * 1234567891011) % 262144)"
 def sql_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five generations of a grid under each part's rule, and its live cells by line, in SQL text alone."""
     planes.register(spark)
-    # A row is much work: a small file goes to all cores.
+    # A row is much work: a small file goes to all cores.  Both tables may be large: neither is broadcast.
     spread = 3 * spark.sparkContext.defaultParallelism
     return spark.sql(f"""
-      WITH met AS (
-        SELECT /*+ REPARTITION({spread}, p_partkey) */ p_partkey, embedding FROM parquet.`{sf_dir}/part.parquet` JOIN parquet.`{sf_dir}/embeddings.parquet` ON p_partkey = vec_id + 1
+      WITH signs AS (
+        SELECT vec_id + 1 AS key, transform(sequence(0, 63), i -> CAST(coalesce(get(embedding, i) > 0, false) AS TINYINT)) AS cells FROM parquet.`{sf_dir}/embeddings.parquet`
+      ), met AS (
+        SELECT /*+ MERGE(signs), REPARTITION({spread}, p_partkey) */ p_partkey, cells FROM parquet.`{sf_dir}/part.parquet` JOIN signs ON p_partkey = key
       ), ruled AS (
-        SELECT p_partkey, ca_rule_text(pmod(p_partkey * 1234567891011, 262144)) AS rule, ca_pack(transform(slice(embedding, 1, 64), v -> CAST(coalesce(v > 0, false) AS TINYINT)), 8, 8) AS grid
-        FROM met
+        SELECT p_partkey, ca_rule_text(pmod(p_partkey * 1234567891011, 262144)) AS rule, ca_pack(cells, 8, 8) AS grid FROM met
       ), ended AS (
         SELECT p_partkey, rule, ca_run(grid, 8, ca_rule_code(rule), 5) AS grid FROM ruled
       )

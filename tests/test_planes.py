@@ -1,5 +1,6 @@
 import time
 
+import duckdb
 import numpy as np
 import pytest
 from cellweave.functions import rules
@@ -9,6 +10,8 @@ from cellweave.plans import trajectories
 from pyspark.sql import functions as F
 from test_tiles import rolled
 
+import __spark_entry__ as entry
+
 
 @pytest.mark.parametrize("shape", [(8, 8), (1, 3), (5, 2), (3, 62), (70, 33), (1, 1), (2, 2)])
 def test_planes_agree_with_rolls(spark, shape):
@@ -97,6 +100,32 @@ def test_sql_functions(spark):
     assert spark.sql("SELECT ca_alive(ca_run(g, 5, ca_rule_code('B3/S23'), 7)) AS n, ca_unpack(ca_run(g, 5, ca_rule_code('B3/S23'), 8), 5) = ca_unpack(g, 5) AS same FROM blinker").collect() == [(3, True)]
 
 
+def test_cells_come_without_a_join(spark):
+    """The table function spreads the outer rows as they are; null and empty grids have no cells, equal grids keep their own."""
+    planes.register(spark)
+    spark.sql("SELECT * FROM VALUES (1, array(5L, 2L)), (2, array(5L, 2L)), (3, NULL), (4, CAST(array() AS ARRAY<BIGINT>)), (5, array(NULL, 1L)) t(id, g)").createOrReplaceTempView("held")
+    found = spark.sql("SELECT id, c.y, c.x, c.alive FROM held, LATERAL ca_cells(g, 3) c")
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+    lines = {(1, 0): (1, 0, 1), (1, 1): (0, 1, 0), (2, 0): (1, 0, 1), (2, 1): (0, 1, 0), (5, 0): (None,) * 3, (5, 1): (1, 0, 0)}
+    assert sorted(map(tuple, found.collect()), key=lambda r: r[:3]) == [(i, y, x, alive) for (i, y), line in lines.items() for x, alive in enumerate(line)]
+
+
+def test_sql_text_on_odd_vectors_without_broadcasts(spark, tmp_path):
+    """Null, short and empty vectors are dead where they have no number; however small the tables, the driver holds neither."""
+    vectors = [(0, None), (1, [1.0] * 64), (2, [1.0, -1.0, 2.0]), (3, []), (4, [None, float("nan")] * 32), (5, [(-1.0) ** (i * i // 3) for i in range(80)]), (None, [1.0] * 64), (90, [1.0] * 64)]
+    spark.createDataFrame(vectors, "vec_id long, embedding array<float>").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    spark.createDataFrame([(k,) for k in [*range(9), None]], "p_partkey long").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    found = entry.queries()["sql_text_2d"](spark, str(tmp_path))
+    rows = sorted(map(tuple, found.select("p_partkey", "rule", "y", "alive").collect()))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and plan.count("FileScan") == 2 * (1 + plan.count("== Initial Plan =="))
+    con = duckdb.connect()
+    for t in ("embeddings", "part"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    want = con.execute(f"SELECT p_partkey, rule, y, alive FROM ({entry.oracle_sql()['sql_text_2d']})").fetchall()
+    assert rows == sorted(want) and len(rows) == 6 * 8
+
+
 def test_stored_trajectory(spark, tmp_path):
     stack = [(np.random.default_rng(i).random((6, 5)) < 0.4).astype(np.uint8) for i in range(4)]
     packed = simulate.with_rule(grids.grids_from_arrays(spark, stack), CONWAY).repartition(2)
