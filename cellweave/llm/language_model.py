@@ -52,8 +52,8 @@ SHARD_TOKENS = 4_000_000
 #: Bytes of text a step of counting and numbering, and of class numbers a step of scoring.
 STEP_BYTES = 4 << 20
 NUMBER_BYTES = 2 << 20
-#: Rows of a matrix product when texts are scored.
-TILE_ROWS = 32
+#: Rows of a matrix product when texts are scored: one panel of any kernel.  Kernels for AVX2 sum the rows of a higher tile in different orders.
+TILE_ROWS = 8
 #: Rows of parameters a batch that tasks hand on.
 ROWS = 20_000
 #: A task hands on its partial counts beyond this many.

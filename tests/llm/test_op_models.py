@@ -7,12 +7,16 @@ import io
 import itertools
 import json
 import math
+import os
 import random
 import re
+import subprocess
+import sys
 import time
 import uuid
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -71,6 +75,15 @@ def test_scoring_is_by_row():
         assert (np.concatenate(parts) == whole[: sum(map(len, parts))]).all()
 
 
+@pytest.mark.parametrize("kernel", ["Haswell", "Zen", "Sandybridge", "Nehalem"])
+def test_scoring_is_by_row_with_the_kernels_of_other_cpus(kernel):
+    """The same under matrix kernels that another CPU would get; the library reads the name when it is loaded, so in a process of its own."""
+    if "avx2" not in Path("/proc/cpuinfo").read_text():
+        pytest.skip("this CPU can't run them")
+    code = f"import sys; sys.path[:0] = {sys.path!r}; import test_op_models; test_op_models.test_scoring_is_by_row()"
+    subprocess.run([sys.executable, "-c", code], env=os.environ | {"OPENBLAS_CORETYPE": kernel}, check=True, timeout=120)
+
+
 def test_scores_by_plain_loops(spark):
     """The scores of a small corpus by loops over tokens, classes and groups, from the same start."""
     rng = np.random.default_rng(3)
